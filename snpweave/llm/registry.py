@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from snpweave.llm.ngram_join import OP9_SQL, op9_ngram_join
 from snpweave.llm.packing import op4_packing
 
-QUERIES = {"op4_packing": op4_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_packing": op4_packing, "op9_ngram_join": op9_ngram_join}
+ORACLE_SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL}
