@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from snpweave.llm.ngram_join import OP9_SQL, op9_ngram_join
 from snpweave.llm.packing import op4_packing
+from snpweave.llm.suffix_dedup import op6_suffix_dedup
 
-QUERIES = {"op4_packing": op4_packing, "op9_ngram_join": op9_ngram_join}
+QUERIES = {"op4_packing": op4_packing, "op6_suffix_dedup": op6_suffix_dedup, "op9_ngram_join": op9_ngram_join}
 ORACLE_SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL}
