@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from snpweave.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from snpweave.llm.ngram_join import OP9_SQL, op9_ngram_join
 from snpweave.llm.packing import op4_packing
+from snpweave.llm.quality import op8_quality_classifier
 from snpweave.llm.suffix_dedup import op6_suffix_dedup
 
-QUERIES = {"op4_packing": op4_packing, "op6_suffix_dedup": op6_suffix_dedup, "op9_ngram_join": op9_ngram_join}
-ORACLE_SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL}
+QUERIES = {
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_packing": op4_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_ngram_join": op9_ngram_join,
+}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL}
