@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from snpweave.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
+from snpweave.llm.fingerprint import op5_fingerprint
+from snpweave.llm.lm_scoring import op10_lm_scoring
 from snpweave.llm.ngram_join import OP9_SQL, op9_ngram_join
 from snpweave.llm.packing import op4_packing
 from snpweave.llm.quality import op8_quality_classifier
+from snpweave.llm.secrets import op7_secret_scan
 from snpweave.llm.suffix_dedup import op6_suffix_dedup
+from snpweave.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "op5_fingerprint": op5_fingerprint,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_ngram_join": op9_ngram_join,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op9_ngram_join": OP9_SQL}
