@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+SMALL_ROWS = 1_000_000
 U64 = np.uint64
 
 
@@ -35,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df (a few numbers a row) with a hint to broadcast it, if a count shows that it is small; else as it is, for a shuffle."""
+    df = materialize(df, "side")
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import components, digest128, materialize, shingle_hashes, text_blocks, with_text, word_hashes
+from snpweave.llm.common import components, digest128, materialize, shingle_hashes, small_or_shuffled, text_blocks, with_text, word_hashes
 
 SLOTS, SKETCH_BLOCKS, SEEN = 1 << 19, 64, 100_000
-_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int"
+_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary"
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,11 +82,12 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
             for row, s in _sets(batch, words):
                 n = len(s)
                 if n == 0:
-                    head.append((ids[row], None, 0, None, None))
+                    head.append((ids[row], None, 0, None, None, None))
                     continue
                 d = digest128(s)
-                eid = seen.get(d)
+                eid, buckets = seen.get(d), None
                 if eid is None:
+                    buckets = bucket_counts(s)
                     if len(seen) >= SEEN:
                         seen.clear()
                     eid = seen[d] = serial
@@ -95,7 +96,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                     f = freq[(s & np.uint64(slots - 1)).astype(np.int64)]
                     order = np.lexsort((s, f))[:p]
                     posts.append((eid, n, s[order]))
-                head.append((ids[row], eid, n, *d))
+                head.append((ids[row], eid, n, *d, buckets))
                 if sum(len(x[2]) for x in posts[-1:]) and len(posts) >= 256:
                     yield _post_rows(posts)
                     posts = []
@@ -104,7 +105,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
             if head:
                 c = list(zip(*head, strict=True))
                 none = pa.nulls(len(head), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, pa.nulls(len(head), pa.int32())], names=_names())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, pa.nulls(len(head), pa.int32()), pa.array(c[5], pa.binary())], names=_names())
 
     return docs.select("doc_id", "text").mapInArrow(run, _KIND)
 
@@ -119,7 +120,7 @@ def _post_rows(posts: list) -> pa.RecordBatch:
     none = pa.nulls(total, pa.int64())
     pos = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32))],
+        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.binary())],
         names=_names(),
     )
 
@@ -147,13 +148,40 @@ def _set_rows(d: list, raw: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(raw, pa.binary())], names=["d1", "d2", "shingles"])
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
-    """At most this many common elements of two sorted arrays: halves on either side of a probe are compared by size."""
-    if depth == 0 or len(x) < 8 or len(y) < 8:
-        return min(len(x), len(y))
-    i = len(x) // 2
-    j = int(np.searchsorted(y, x[i]))
-    return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
+def bucket_counts(s: np.ndarray) -> bytes:
+    """Sizes of the parts into which the leading bits of the hashes split a set, about two elements a part (a byte each;
+    empty if one doesn't fit)."""
+    bits = min(16, max(4, int(len(s) // 2).bit_length()))
+    parts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return parts.astype(np.uint8).tobytes() if parts.max() < 256 else b""
+
+
+def common_bound(x: bytes, y: bytes, most: int) -> int:
+    """No more common elements than this: per part, the smaller of both sizes (the suffix filter, over all parts at once)."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) == 0 or len(b) == 0:
+        return most
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(k, -1).sum(axis=1), b.reshape(k, -1).sum(axis=1)).sum())
+
+
+def _least(n: int, percent: int) -> int:
+    """The overlap that sets of n elements together need."""
+    return -(-percent * n // (100 + percent))
+
+
+def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of class ids that the bucket counts of both sets leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n, x, y = (batch.column(i) for i in range(6))
+            keep = pa.array([common_bound(p, q, min(i, j)) >= _least(i + j, percent) for i, j, p, q in zip(m.to_pylist(), n.to_pylist(), x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    side = lambda k, n, x: classes.select(F.col("gid").alias(k), F.col("n").alias(n), F.col("buckets").alias(x))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,13 +192,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                least = -(-percent * (len(x) + len(y)) // (100 + percent))
-                ok = suffix_bound(x, y) >= least
-                if ok:
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    ok = int((y[at] == x).sum()) >= least
-                keep.append(ok)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                keep.append(int((y[at] == x).sum()) >= _least(len(x) + len(y), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -191,10 +215,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     source = with_text(docs, id_col, text_col)
     sketch = frequency_sketch(source, words)
     table = materialize(postings(source, sketch, words, percent), "postings")
-    heads = table.where("kind = 0").select("doc_id", "eid", "n", "d1", "d2")
-    classes = materialize(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("eid").alias("gid"), F.min("doc_id").alias("doc_id")), "classes")
+    heads = table.where("kind = 0").select("doc_id", "eid", "n", "d1", "d2", "buckets")
+    classes = heads.where("n > 0").groupBy("d1", "d2").agg(F.min("eid").alias("gid"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets", ignorenulls=True).alias("buckets"))
+    classes = materialize(classes, "classes")
     local = heads.where("n > 0").select("eid", "d1", "d2").distinct()
-    gid_of = materialize(local.join(classes, ["d1", "d2"]).select("eid", "gid"), "gids")
+    gid_of = materialize(local.join(classes.select("d1", "d2", "gid"), ["d1", "d2"]).select("eid", "gid"), "gids")
 
     by = Window.partitionBy("h").orderBy("n", "eid")
     lists = table.where("kind = 1").select("h", "eid", "n", "pos")
@@ -206,27 +231,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
     met = lists.where("prev IS NOT NULL").select("eid", "n", "pos", F.explode(F.array("prev", "first")).alias("o"))
     met = met.where(_near("n", "pos", "o.n", "o.pos", percent)).select("eid", F.col("o.eid").alias("other")).distinct()
     met = met.join(gid_of, "eid").select(F.col("gid").alias("a"), F.col("other").alias("eid")).join(gid_of, "eid").select("a", F.col("gid").alias("b"))
-    first_pairs = materialize(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first_pairs = materialize(suffix_filter(met, classes, percent), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+        needed = materialize(ids.join(classes.select("gid", "doc_id", "d1", "d2"), "gid"), "needed")
+        keys = small_or_shuffled(needed.select("doc_id").distinct())
+        texts = source.alias("s").join(keys.alias("k"), F.expr("s.doc_id <=> k.doc_id"), "left_semi")
+        found = set_table(texts, words).join(small_or_shuffled(needed.select("d1", "d2", "gid")), ["d1", "d2"])
+        return materialize(found.select("gid", "shingles").dropDuplicates(["gid"]), "sets")
 
-    grouped = materialize(lists.select("h", "eid", "n", "pos").join(gid_of, "eid").groupBy("h", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "grouped")
-    needed = grouped.select("gid").distinct().join(classes, "gid")
-    texts = source.alias("s").join(needed.select("doc_id").distinct().alias("k"), F.expr("s.doc_id <=> k.doc_id"), "left_semi")
-    sets = set_table(texts, words).join(needed.select("d1", "d2", "gid"), ["d1", "d2"]).groupBy("gid").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "sets")
-    links = materialize(verify(first_pairs, sets, percent), "links1")
+    links = materialize(verify(first_pairs, sets_of(first_pairs), percent), "links1")
 
     # pass 2: all pairs of one list that are still in different components
+    grouped = lists.select("h", "eid", "n", "pos").join(gid_of, "eid").groupBy("h", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     part = components(links)
     shown = grouped.join(part.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    shown = materialize(shown, "shown")
     split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     open_lists = materialize(shown.join(split, "h"), "open")
     l, r = open_lists.alias("l"), open_lists.alias("r")
     crossing = l.join(r, F.expr("l.h = r.h AND l.gid < r.gid AND l.component <> r.component") & _near("l.n", "l.pos", "r.n", "r.pos", percent))
     crossing = crossing.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    all_links = links.unionAll(verify(crossing, sets, percent))
+    crossing = materialize(suffix_filter(crossing, classes, percent), "crossing")
+    all_links = links.unionAll(verify(crossing, sets_of(crossing), percent))
     whole = materialize(components(all_links), "components")
 
-    member = classes.join(whole.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    member = classes.drop("n", "buckets").join(whole.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     names = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = member.join(names, "component").select("d1", "d2", "component_id")
     return heads.join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
