@@ -77,16 +77,16 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, fold (crc32 of the id modulo 4) and the features as little-endian 32-bit floats."""
+    """doc_id, text_key, fold (crc32 of the id modulo 4) and the features as little-endian 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
             for _, _, data, offsets in text_blocks(batch):
                 out += [r.tobytes() for r in block_features(data, offsets).astype("<f4")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "fold", "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["doc_id", "text_key", "fold", "features"])
 
-    return docs.select("doc_id", (crc_of_id() % 4).cast("int").alias("fold"), "text").mapInArrow(run, "doc_id long, fold int, features binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), (crc_of_id() % 4).cast("int").alias("fold"), "text").mapInArrow(run, "doc_id long, text_key long, fold int, features binary")
 
 
 # ---------------------------------------------------------------- learning
@@ -129,7 +129,7 @@ def fit(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+    """One row per document: doc_id, held_out, score, predicted and text_key (xxhash64 of the text)."""
     spark = docs.sparkSession
     features = materialize(document_features(with_text(docs, id_col, text_col)), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(crc_of_id() % 4 != 2)
@@ -149,13 +149,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
             if len(batch) == 0 or shared.value is None:
                 score = np.full(len(batch), 0.5)
             else:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4").reshape(len(batch), -1).astype(float)
+                x = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<f4").reshape(len(batch), -1).astype(float)
                 score = 1 / (1 + np.exp(-np.clip(expand(x) @ shared.value, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["doc_id", "fold", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["doc_id", "text_key", "fold", "score"])
 
-    out = features.mapInArrow(run, "doc_id long, fold int, score double")
-    return out.select("doc_id", (F.col("fold") == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    out = features.mapInArrow(run, "doc_id long, text_key long, fold int, score double")
+    return out.select("doc_id", (F.col("fold") == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "text_key")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")

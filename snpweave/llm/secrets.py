@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import materialize, with_text
+from snpweave.llm.common import materialize, small_or_shuffled, with_text
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -142,6 +142,31 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["at"], s["stop"])), ",")
 
 
+def redact(docs: DataFrame, columns: list[str], mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
+    """docs with every secret span of their texts replaced by the mark; overlapping spans become one. n_chars follows
+    the new text."""
+    found = secret_spans(docs, rate).withColumn("all", F.array_sort(F.concat("base", "added"))).where(F.size("all") > 0)
+    found = materialize(found.select("doc_id", "text_key", "all").distinct(), "secrets")
+    keys = small_or_shuffled(found.select("doc_id", "text_key"))
+    keyed = docs.select(*columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).alias("d")
+    same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id AND {a}.text_key = {b}.text_key")
+    plain = keyed.join(keys.alias("s"), same("d", "s"), "left_anti").select(*columns)
+    some = keyed.join(keys.alias("k"), same("d", "k"), "left_semi").alias("d").join(found.alias("s"), same("d", "s"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("d.text")
+
+    def add(acc: Column, s: Column) -> Column:
+        fresh = s["at"] >= acc["at"]
+        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["at"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+    cut = F.aggregate(F.col("s.all"), start, add)
+    some = some.withColumn("cut", cut).withColumn("new", F.concat(F.col("cut.out"), F.expr("substring(d.text, cut.at + 1)")))
+    rest = [c for c in columns if c not in ("text", "n_chars")]
+    some = some.select(F.col("new").alias("text"), F.length("new").cast("long").alias("n_chars"), *[F.col(f"d.{c}") for c in rest])
+    return plain.unionByName(some.select(*columns))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -2,17 +2,19 @@
 
 Every byte covered by a `length`-byte string that also starts at another place (in any document) goes.
 
-1. Candidates. In every window of `length` bytes the 64-byte strings with the smallest hash are its anchors
+1. Candidates. In every window of `length` bytes the GRAM-byte strings with the smallest hash are its anchors
    (winnowing); equal windows have the same anchors, so a window can only repeat where one of its anchors does.
-   Texts are hashed whole, copies of one text are one entity, and anchors are counted over all documents.
-2. Shards. The text around each repeated anchor (all windows that hold it) goes to the shard of the anchor's
-   hash. Equal surroundings are merged on the way, so a passage in thousands of documents is one string there.
-   An anchor with very many different surroundings is dealt over several shards.
-3. Each shard builds a suffix array by Larsson-Sadakane refinement (rank doubling that sorts only groups still
-   unsorted) and common prefixes by Kasai's rule (a suffix's common prefix is at least its left neighbour's
-   less one, so only irreducible ones are compared). Runs of common prefix >= length are repeated windows.
-4. Windows of an anchor dealt over several shards are merged across them: sorted window digests by range, each
-   shard's run looked up in the others by binary search.
+   Copies of one text are one entity, and anchors are counted over all documents.
+2. Cores. The windows that hold a repeated anchor are taken in STEPS groups of neighbouring starts; what all windows
+   of a group have in common is its core. Only cores that stand at several places go on. A string is a core with the
+   few bytes on either side that its windows reach; equal strings are merged on the way, so a passage in thousands
+   of documents is one string.
+3. Shards. The strings of a core go to one shard, the core itself as a single symbol. Each shard builds a suffix array
+   by Larsson-Sadakane refinement (rank doubling that sorts only groups still unsorted) and common prefixes by Kasai's
+   rule (a suffix's common prefix is at least its left neighbour's less one, so only irreducible ones are compared).
+   Runs of common prefixes that span a whole window are repeated windows.
+4. The strings of a core with very many of them are dealt over several shards. Their windows are merged across these:
+   sorted window digests by range, each looked up among those of all shards by binary search.
 
 Null or empty text: nothing to remove. Null ids are kept. Repeated rows are copies of each other: texts of at
 least `length` bytes then go altogether. An empty table gives no rows. Extra columns are ignored.
@@ -30,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import digest128, materialize, mix, n_partitions, prefix_hash, range_hash, text_blocks, with_text
+from snpweave.llm.common import digest128, materialize, mix, n_partitions, prefix_hash, range_hash, small_or_shuffled, text_blocks, with_text
 
-GRAM = 64
+GRAM, STEPS = 232, 4
 SHARD_BYTES = 1_500_000
-SPLIT_AT = 1_000
+SPLIT_AT = 4_000
 _A = "kind int, doc_id long, rid long, tk long, eid long, n_bytes long, d1 long, d2 long, sha256 string, fp long, pos int"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -116,37 +118,39 @@ def anchor_rows(source: DataFrame, length: int) -> DataFrame:
     return source.select("doc_id", "rid", "tk", "text").mapInArrow(run, _A)
 
 
-# ---------------------------------------------------------------- surroundings of repeated anchors
+# ---------------------------------------------------------------- cores of repeated anchors
 
 
-def surroundings(texts: DataFrame, length: int, with_bytes: bool, gram: int = GRAM) -> DataFrame:
-    """For every repeated anchor (gid, text, at: array of (pos, fp)): the bytes of all windows that hold it, how many
-    of them stand before the anchor, and a digest."""
-    schema = "fp long, s1 long, s2 long, gid long, pos int" + (", before int, bytes binary" if with_bytes else "")
+def reach(length: int, gram: int = GRAM, steps: int = STEPS) -> int:
+    """Starts in a group of windows less one: the bytes that its windows reach on either side of their core."""
+    return -(-(length - gram + 1) // steps) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
 
-        def out(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            types = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
+def cores(texts: DataFrame, length: int, with_bytes: bool, gram: int = GRAM, steps: int = STEPS) -> DataFrame:
+    """For every repeated anchor (gid, text, at: array of positions) and group of windows: two digests c1, c2 of the
+    core and s1, s2 of the string, where the core starts, and (with_bytes) what stands before and after it."""
+    schema = "c1 long, c2 long, s1 long, s2 long, gid long, start int" + (", ahead binary, after binary" if with_bytes else "")
+    side = reach(length, gram, steps)
+    size = length - side
 
-        rows, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for gid, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py().encode()
-                for x in at.as_py():
-                    lo, hi = max(0, x["pos"] - length + gram), min(len(raw), x["pos"] + length)
-                    part = raw[lo:hi]
-                    before = x["pos"] - lo
-                    d = digest128(np.frombuffer(part + before.to_bytes(4, "little"), np.uint8))
-                    rows.append((x["fp"], *d, gid, x["pos"], before, part) if with_bytes else (x["fp"], *d, gid, x["pos"]))
-                    size += len(part) if with_bytes else 40
-                    if size > 4 << 20:
-                        yield out(rows)
-                        rows, size = [], 0
-        yield out(rows)
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                p = at.values.to_numpy().astype(np.int64)
+                # the core of group k holds the anchor and ends it at the latest: its first window starts side before it
+                start = np.unique(np.concatenate([p - k * (side + 1) for k in range(steps)]))
+                start = start[(start >= 0) & (start + size <= len(raw))]
+                lo, hi = np.maximum(0, start - side), np.minimum(len(raw), start + size + side)
+                sums = [prefix_hash(raw, i) for i in (0, 1)]
+                c = [range_hash(sums[i], start, start + size, i).view(np.int64) for i in (0, 1)]
+                edge = (((start - lo) << 32) | (hi - lo)).astype(np.uint64)
+                s = [(mix(range_hash(sums[i], lo, hi, i) ^ edge)).view(np.int64) for i in (0, 1)]
+                cols = [pa.array(c[0]), pa.array(c[1]), pa.array(s[0]), pa.array(s[1]), pa.array(np.full(len(start), gid, np.int64)), pa.array(start.astype(np.int32))]
+                if with_bytes:
+                    cols += [pa.array([raw[x:y].tobytes() for x, y in zip(lo, start, strict=True)], pa.binary()), pa.array([raw[x:y].tobytes() for x, y in zip(start + size, hi, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return texts.select("gid", "text", "at").mapInArrow(run, schema)
 
@@ -155,21 +159,22 @@ def surroundings(texts: DataFrame, length: int, with_bytes: bool, gram: int = GR
 
 
 def suffix_array(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes sorted by their first `length` bytes, the place of each in that order, and the ranks by first h bytes
-    for doubling h (Larsson-Sadakane: each round sorts only groups that are still ties)."""
+    """Suffixes of an array of symbols sorted by their first `length` symbols, the place of each in that order, and the
+    ranks by first h symbols for doubling h (Larsson-Sadakane: each round sorts only groups that are still ties)."""
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
+    each = 4 if n == 0 or int(text.max()) < 1 << 16 else 2
+    padded = np.zeros(n + each, np.uint64)
     padded[:n] = text
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : n + i]
-    order = np.argsort(key, kind="stable")
+    for i in range(each):
+        key = (key << np.uint64(64 // each)) | padded[i : n + i]
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)).astype(np.int32)
-    h, levels = 8, [(8, rank.copy())]
+    h, levels = each, [(each, rank.copy())]
     while h < length:
         step = min(h, length - h)
         first = np.flatnonzero(new)
@@ -180,7 +185,7 @@ def suffix_array(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
             mine = order[at]
             nxt = np.where(mine + step < n, rank[np.minimum(mine + step, n - 1)], -1).astype(np.int64)
             both = (rank[mine].astype(np.int64) << 32) | (nxt + 1)
-            by = np.argsort(both, kind="stable")
+            by = np.argsort(both)
             order[at] = mine[by]
             both = both[by]
             new[at[1:]] |= both[1:] != both[:-1]
@@ -212,7 +217,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, place: np.ndarray, leve
         x[ok] += h
         y[ok] += h
         got[ok] += h
-    for _ in range(8):
+    for _ in range(levels[0][0]):
         ok = live & (x < n) & (y < n)
         ok[ok] = text[x[ok]] == text[y[ok]]
         live &= ok
@@ -228,73 +233,74 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, place: np.ndarray, leve
     return np.minimum(prefix, length)[order]
 
 
-def repeated_windows(parts: list[bytes], owner: np.ndarray, start: np.ndarray, copied: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string (a stretch of text `owner` from its byte `start`; copied: it has equals elsewhere), which of its
-    windows also stand at another place."""
-    size = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    if len(text) < length:
-        return [np.zeros(max(0, s - length + 1), bool) for s in size]
+def repeated_windows(core: np.ndarray, ahead: list[bytes], after: list[bytes], owner: np.ndarray, start: np.ndarray, copied: np.ndarray, side: int) -> list[np.ndarray]:
+    """For each string (core number, bytes ahead of and after it; start: of its core in text `owner`; copied: it has
+    equals elsewhere) which of its windows, by bytes ahead of the core, also stand at another place."""
+    lead = np.array([len(x) for x in ahead])
+    size = lead + 1 + np.array([len(x) for x in after])
+    first = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(x + b"\0" + y for x, y in zip(ahead, after, strict=True)), np.uint8).astype(np.int64)
+    text[first + lead] = 256 + core
+    length = side + 1
     order, place, levels = suffix_array(text, length)
     prefix = common_prefixes(text, order, place, levels, length)
     run = np.cumsum(prefix < length)
-    first = np.cumsum(size) - size
-    part = np.repeat(np.arange(len(parts)), size)
+    part = np.repeat(np.arange(len(size)), size)
     inner = np.arange(len(text)) - first[part]
-    ok = (size[part] - inner >= length)[order]
+    ok = ((inner <= lead[part]) & (size[part] - inner >= length))[order]
     suffix, run = order[ok], run[ok]
-    where = (owner[part[suffix]].astype(np.int64) << 32) | (start[part[suffix]] + inner[suffix])
-    edge = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
     flags = np.zeros(len(text), bool)
-    if len(edge):
-        lo, hi = np.minimum.reduceat(where, edge), np.maximum.reduceat(where, edge)
-        twice = (lo != hi) | np.logical_or.reduceat(copied[part[suffix]], edge)
+    if len(run):
+        where = (owner[part[suffix]].astype(np.int64) << 32) | (start[part[suffix]] - lead[part[suffix]] + inner[suffix])
+        edge = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        twice = (np.minimum.reduceat(where, edge) != np.maximum.reduceat(where, edge)) | np.logical_or.reduceat(copied[part[suffix]], edge)
         flags[suffix] = np.repeat(twice, np.diff(np.append(edge, len(run))))
-    return [flags[f : f + max(0, s - length + 1)] for f, s in zip(first, size, strict=True)]
+    return [flags[f : f + n + 1][::-1] for f, n in zip(first, lead, strict=True)]
 
 
-def spans_of(flags: np.ndarray, length: int, shift: int) -> list[int]:
-    """Ends of the maximal runs covered by the flagged windows, flat, moved by shift."""
-    at = np.flatnonzero(flags)
-    if len(at) == 0:
-        return []
-    cut = np.flatnonzero(np.diff(at) > length)
-    starts, ends = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + length
-    return np.column_stack((starts, ends)).reshape(-1).__add__(shift).tolist()
+_SHARD = "s1 long, s2 long, spans array<int>, c1 long, c2 long, w1 long, w2 long, ahead int, gid long, start long, copied boolean"
 
 
-_SHARD = "fp long, s1 long, s2 long, spans array<int>, w1 long, w2 long, off int, gid long, start long, copied boolean"
+def window_spans(ahead: np.ndarray, length: int) -> list[int]:
+    """Union of windows given by their bytes ahead of the core (ascending), flat, relative to the core's start."""
+    if len(ahead) == 0:
+        return []
+    return [-int(ahead[-1]), length - int(ahead[0])]  # they all hold the core
 
 
 def shard_matches(shards: DataFrame, length: int) -> DataFrame:
-    """Rows with spans: what each string of a shard repeats, relative to its anchor. Rows with w1, w2: digests and places
-    of the windows of an anchor that is dealt over several shards."""
+    """Rows with spans: what each string of a shard repeats, relative to its core. Rows with w1, w2: digests and places
+    of the windows of a core that is dealt over several shards."""
+    side = reach(length)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [bytes(x) for x in pdf["bytes"]]
-        before = pdf["before"].to_numpy()
-        gids, owner = np.unique(pdf["gid"].to_numpy(), return_inverse=True)
-        flags = repeated_windows(parts, owner, pdf["pos"].to_numpy() - before, (pdf["copies"] > 1).to_numpy(), length)
-        out = pd.DataFrame({"fp": pdf["fp"], "s1": pdf["s1"], "s2": pdf["s2"], "spans": [spans_of(f, length, -b) for f, b in zip(flags, before, strict=True)], "w1": None, "w2": None, "off": None, "gid": None, "start": None, "copied": None})
+        ahead, after = [bytes(x) for x in pdf["ahead"]], [bytes(x) for x in pdf["after"]]
+        core = np.unique(pdf["c1"].to_numpy() ^ (pdf["c2"].to_numpy() << 1), return_inverse=True)[1]
+        owner = np.unique(pdf["gid"].to_numpy(), return_inverse=True)[1]
+        start = pdf["start"].to_numpy().astype(np.int64)
+        flags = repeated_windows(core, ahead, after, owner, start, pdf["copied"].to_numpy(), side)
+        out = pdf[["s1", "s2"]].assign(spans=[window_spans(np.flatnonzero(f), length) for f in flags])
         out = out[[len(x) > 0 for x in out["spans"]]]
-        open_rows = []
-        for k in np.flatnonzero(pdf["split"].to_numpy()):
-            at = np.arange(len(flags[k]))
-            raw = np.frombuffer(parts[k], np.uint8)
-            w = [range_hash(prefix_hash(raw, i), at, at + length, i).view(np.int64) for i in (0, 1)]
-            open_rows.append(pd.DataFrame({"fp": pdf["fp"].iloc[k], "s1": pdf["s1"].iloc[k], "s2": pdf["s2"].iloc[k], "spans": None, "w1": w[0], "w2": w[1], "off": (at - before[k]).astype(np.int32), "gid": pdf["gid"].iloc[k], "start": pdf["pos"].iloc[k] - before[k] + at, "copied": bool(pdf["copies"].iloc[k] > 1)}))
-        out = pd.concat([out, *open_rows]) if open_rows else out
-        return out.astype({"w1": "Int64", "w2": "Int64", "off": "Int32", "gid": "Int64", "start": "Int64", "copied": "boolean"})
+        found = [out.reindex(columns=[x.split()[0] for x in _SHARD.split(", ")])]
+        split = np.flatnonzero(pdf["split"].to_numpy())
+        for k in split:
+            l = np.arange(max(0, side - len(after[k])), min(side, len(ahead[k])) + 1)
+            raw = np.frombuffer(ahead[k] + after[k], np.uint8)
+            w = [mix(range_hash(prefix_hash(raw, i), len(ahead[k]) - l, len(ahead[k]) - l + side, i) + l.astype(np.uint64)).view(np.int64) for i in (0, 1)]
+            found.append(pd.DataFrame({"s1": pdf["s1"].iloc[k], "s2": pdf["s2"].iloc[k], "spans": None, "c1": pdf["c1"].iloc[k], "c2": pdf["c2"].iloc[k], "w1": w[0], "w2": w[1], "ahead": l, "gid": pdf["gid"].iloc[k], "start": start[k] - l, "copied": bool(pdf["copied"].iloc[k])}))
+        whole = pd.concat(found) if len(found) > 1 else found[0]
+        return whole.astype({k: "Int64" for k in ("c1", "c2", "w1", "w2", "ahead", "gid", "start")} | {"copied": "boolean"})
 
     return shards.groupBy("shard").applyInPandas(run, _SHARD)
 
 
 def merge_across(windows: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Windows that two shards of one anchor share: by range of the digest, the sorted run of every shard is looked up
-    in all digests by binary search."""
+    """Windows that stand at several places, of cores dealt over several shards: by range of the digest, all sorted, each
+    looked up by binary search."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = mix(pdf["w1"].to_numpy().view(np.uint64)) ^ pdf["w2"].to_numpy().view(np.uint64)
+        bits = lambda c: pdf[c].to_numpy().view(np.uint64)
+        key = mix(mix(bits("w1") ^ bits("c1")) + (bits("w2") ^ mix(bits("c2"))))
         owner = np.unique(pdf["gid"].to_numpy(), return_inverse=True)[1]
         where = (owner.astype(np.int64) << 32) | pdf["start"].to_numpy()
         order = np.argsort(key, kind="stable")
@@ -302,10 +308,10 @@ def merge_across(windows: DataFrame, length: int, ranges: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         twice = (np.minimum.reduceat(where, first) != np.maximum.reduceat(where, first)) | np.logical_or.reduceat(copied, first)
         hit = pdf[twice[np.searchsorted(ordered[first], key)]]
-        return hit.assign(spans=[[int(o), int(o) + length] for o in hit["off"]])[["fp", "s1", "s2", "spans"]]
+        return hit.assign(spans=pd.Series([[-int(l), length - int(l)] for l in hit["ahead"]], dtype=object, index=hit.index))[["s1", "s2", "spans"]]
 
     flat = windows.withColumn("range", F.pmod("w1", F.lit(ranges)))
-    return flat.groupBy("range").applyInPandas(run, "fp long, s1 long, s2 long, spans array<int>")
+    return flat.groupBy("range").applyInPandas(run, "s1 long, s2 long, spans array<int>")
 
 
 # ---------------------------------------------------------------- the operator
@@ -330,29 +336,30 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     gid_of = materialize(heads.select("eid", "d1", "d2").distinct().join(classes.select("d1", "d2", "gid"), ["d1", "d2"]).select("eid", "gid"), "gids")
 
     found = rows.where("kind = 1").select("fp", "eid", "pos")
-    spread = lambda df, a: df.groupBy("fp").agg(F.min(F.struct(a, "pos")).alias("lo"), F.max(F.struct(a, "pos")).alias("hi")).where("lo <> hi").select("fp")
+    spread = lambda df, a: df.groupBy("fp").agg(F.min(a).alias("a"), F.max(a).alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).where("a <> b OR p <> q").select("fp")
     some = materialize(found.join(spread(found, "eid"), "fp", "left_semi"), "repeated")
     some = materialize(some.join(gid_of, "eid").select("fp", "gid", "pos").distinct(), "repeated")
     some = some.join(spread(some, "gid"), "fp", "left_semi")
-    by_doc = some.groupBy("gid").agg(F.collect_list(F.struct("pos", "fp")).alias("at")).join(classes.select("gid", "rid", "tk"), "gid")
+    by_doc = some.groupBy("gid").agg(F.collect_list("pos").alias("at")).join(classes.select("gid", "rid", "tk"), "gid")
     texts = source.select("rid", "tk", "text").join(by_doc, ["rid", "tk"]).groupBy("rid", "tk").agg(F.first("gid").alias("gid"), F.first("text").alias("text"), F.first("at").alias("at"))
     texts = materialize(texts.select("gid", "text", "at"), "texts")
 
-    strings = surroundings(texts, length, True).groupBy("fp", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("gid", "pos")).alias("of"), F.first("before").alias("before"), F.first("bytes").alias("bytes"))
-    strings = materialize(strings.select("fp", "s1", "s2", "copies", "of.gid", "of.pos", "before", "bytes"), "strings")
-    kinds = strings.groupBy("fp").agg(F.count("*").alias("kinds"))
-    size = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    strings = cores(texts, length, True).groupBy("c1", "c2", "s1", "s2", "ahead", "after").agg(F.min("gid").alias("gid"), F.min("start").alias("start"), ((F.min("gid") != F.max("gid")) | (F.min("start") != F.max("start"))).alias("copied"))
+    strings = materialize(strings, "strings")
+    kinds = strings.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    many = materialize(strings.join(kinds, ["c1", "c2"]), "shared")
+    size = many.agg(F.sum(F.length("ahead") + F.length("after") + 1)).first()[0] or 0
     shards = max(n_partitions(spark), -(-size // SHARD_BYTES))
     split = F.col("kinds") > SPLIT_AT
-    many = strings.join(kinds, "fp").where("kinds > 1").withColumn("split", split)
-    many = many.withColumn("shard", F.pmod(F.when(split, F.xxhash64("fp", "s1")).otherwise(F.xxhash64("fp")), F.lit(shards)))
+    many = many.withColumn("split", split).withColumn("shard", F.pmod(F.when(split, F.xxhash64("c1", "s1")).otherwise(F.xxhash64("c1", "c2")), F.lit(shards)))
     matches = materialize(shard_matches(many, length), "matches")
     crossed = merge_across(matches.where("w1 IS NOT NULL").drop("spans"), length, shards)
-    whole = strings.where("copies > 1").select("fp", "s1", "s2", F.array(-F.col("before"), F.length("bytes") - F.col("before")).alias("spans")).where(F.col("spans")[1] - F.col("spans")[0] >= length)
-    spans = matches.where("spans IS NOT NULL").select("fp", "s1", "s2", "spans").unionAll(crossed).unionAll(whole)
+    core_size = length - reach(length)
+    whole = strings.where("copied").select("s1", "s2", F.array(-F.length("ahead"), F.length("after") + core_size).alias("spans")).where(F.col("spans")[1] - F.col("spans")[0] >= length)
+    spans = matches.where("spans IS NOT NULL").select("s1", "s2", "spans").unionAll(crossed).unionAll(whole)
 
-    placed = surroundings(texts, length, False).join(spans, ["fp", "s1", "s2"])
-    placed = placed.select("gid", F.expr("transform(spans, x -> x + pos)").alias("spans"))
+    placed = cores(texts, length, False).select("s1", "s2", "gid", "start").join(spans, ["s1", "s2"])
+    placed = placed.select("gid", F.expr("transform(spans, x -> x + start)").alias("spans"))
     placed = placed.groupBy("gid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,3 +388,26 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+    """docs (doc_id, text_key, text, ...) with the byte spans of `spans` (doc_id, text_key, spans) cut out of their
+    texts; a character of which a part goes is dropped. n_chars follows the new text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, flat in zip(batch.column(0), batch.column(1), strict=True):
+                raw, s = text.as_py().encode(), np.array(flat.as_py(), np.int64).reshape(-1, 2)
+                out.append(b"".join(raw[a:b] for a, b in zip(np.append(0, s[:, 1]), np.append(s[:, 0], len(raw)), strict=True)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+
+    side = materialize(spans, "cuts")
+    keys = small_or_shuffled(side.select("doc_id", "text_key"))
+    same = F.expr("d.doc_id <=> s.doc_id AND d.text_key = s.text_key")
+    plain = docs.alias("d").join(keys.alias("s"), same, "left_anti").select(*columns)
+    some = docs.alias("d").join(keys.alias("s"), same, "left_semi").alias("d").join(side.alias("s"), same)
+    rest = [c for c in columns if c not in ("text", "n_chars")]
+    some = some.select("d.text", "s.spans", *[f"d.{c}" for c in rest])
+    schema = ", ".join(["text string", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest]])
+    return plain.unionByName(some.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long")).select(*columns))
