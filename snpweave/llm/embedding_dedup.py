@@ -67,7 +67,8 @@ def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
             for dim, part in pdf.groupby("dim"):
                 x = unit(np.frombuffer(b"".join(part["vector"]), "<f8").reshape(-1, dim))
                 sums[dim] = sums.get(dim, 0) + x.T @ x
-        yield pd.DataFrame({"dim": list(sums), "sums": [s.reshape(-1).tolist() for s in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"dim": list(sums), "sums": [s.reshape(-1).tolist() for s in sums.values()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "sums": [np.sum([np.asarray(x) for x in pdf["sums"]], axis=0).tolist()]})
