@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     shared = tmp_path_factory.mktemp("shared")
-    builder = SparkSession.builder.master("local[4]").appName("tests")
+    builder = SparkSession.builder.master("local[2]").appName("tests")
     for k, v in {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": str(shared), "spark.driver.memory": "4g"}.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
