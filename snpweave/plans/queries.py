@@ -100,7 +100,7 @@ def regression_y2(s, d):
 
 def monte_carlo_p(s, d):
     x, g, p = _geno(s, d)
-    return scores.monte_carlo(x.where("set_id < 20"), g, p, "y2", rounds=20)
+    return scores.monte_carlo(x, g, p, "y2", rounds=20)
 
 
 def ranked_results(s, d):
@@ -150,7 +150,7 @@ def eqtl_annotator(s, d):
 
 def carriers(s, d):
     x, g, p = _geno(s, d)
-    return _r(filters.carriers(x.where("set_id < 40"), g, p, "y2"), "freq")
+    return _r(filters.carriers(x, g, p, "y2"), "freq")
 
 
 def genotype_lookup(s, d):
@@ -167,7 +167,7 @@ def linkage(s, d):
 def ld_filter(s, d):
     n = s.range(25).select(F.col("id").cast("int").alias("a"))
     ld = filters.pairwise_ld(star.genotypes25(s, d), n.join(n.withColumnRenamed("a", "b"), F.expr("a < b")))
-    x = star.pair_sets(s).where("set_id < 30")
+    x = star.pair_sets(s)
     cand = x.select("set_id", F.explode(F.expr("array_except(sequence(0, 24), snps)")).alias("snp_id"))
     return filters.ld_passes(cand, x, ld, 0.003).select("set_id", "snp_id")
 
@@ -218,11 +218,11 @@ def network_stats(s, d):
 
 
 def connected_components(s, d):
-    return network.components(_edges(s).where("node1 % 7 = node2 % 7"))
+    return network.components(network.same_label_edges(star.labels(s)))
 
 
 def diameter(s, d):
-    return network.diameter(network.same_label_edges(star.labels(s)).where("node1 < 40 AND node2 < 40"))
+    return network.diameter(network.same_label_edges(star.labels(s)))
 
 
 def page_rank(s, d):
@@ -249,14 +249,14 @@ def shuffled_network(s, d):
 
 
 def network_filter(s, d):
-    return filters.filter_in_network(star.snps100(s), _edges(s).where("node1 % 3 = 0")).select("snp_id")
+    return filters.filter_in_network(star.snps100(s), network.label_network_edges(star.labels(s), star.label_network(s), "NET")).select("snp_id")
 
 
 # ---------------------------------------------------------------- sets and search
 
 
 def set_subsets(s, d):
-    out = sets.subsets(star.pair_sets(s).where("set_id >= 300"), 2, 2)
+    out = sets.subsets(star.pair_sets(s), 2, 2)
     return out.select("set_id", F.array_join("snps", ",").alias("snps"))
 
 
@@ -301,9 +301,9 @@ def random_seeds(s, d):
 
 def qubo(s, d):
     x, g, p = _geno(s, d)
-    b = scores.bayesian(scores.cells(x.where("set_id < 300"), g, p, "y2"))
-    pairs = x.join(b, "set_id").where("snps[1] < 8").select(F.col("snps")[0].alias("i"), F.col("snps")[1].alias("j"), F.round(F.col("BAYESIAN") / 1000, 6).alias("stat"), F.lit(0.0).alias("bio"))
-    return _r(search.clique_qubo(pairs), "w", digits=5)
+    x = x.where("size(snps) = 2")
+    pairs = x.join(scores.bayesian(scores.cells(x, g, p, "y2")), "set_id").select(F.col("snps")[0].alias("i"), F.col("snps")[1].alias("j"), F.round(F.col("BAYESIAN") / 1000, 5).alias("stat"), F.lit(0.0).alias("bio"))
+    return _r(search.clique_qubo(pairs), "w", digits=6)
 
 
 def qubo_annealing(s, d):
@@ -382,10 +382,10 @@ ORACLE_SQL = {
     "duplicate_variants": "SELECT min(p_partkey) AS id, p_brand, p_size FROM part GROUP BY p_brand, p_size",
     "bh_correction": "WITH t AS (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS p FROM lineitem JOIN part ON p_partkey = l_partkey), v AS (SELECT p, count(*) AS c FROM t GROUP BY p), w AS (SELECT p, p * sum(c) OVER () / sum(c) OVER (ORDER BY p) AS raw FROM v), q AS (SELECT p, least(1, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM w) SELECT l_orderkey, l_linenumber, round(p, 6) AS p, round(q, 6) AS q FROM t JOIN q USING (p)",
     "eqtl_annotator": "WITH t AS (SELECT (l_partkey % 100)::INT AS snp_id, p_brand AS label, l_discount::DOUBLE * l_discount::DOUBLE * l_discount::DOUBLE AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('A', 'R')), v AS (SELECT p, count(*) AS c FROM t GROUP BY p), w AS (SELECT p, p * sum(c) OVER () / sum(c) OVER (ORDER BY p) AS raw FROM v), q AS (SELECT p, least(1, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM w) SELECT DISTINCT snp_id, label FROM t JOIN q USING (p) WHERE q < 0.0003",
-    "carriers": f"WITH {_G25}, {_SETS}, c AS (SELECT set_id, ind_id FROM (SELECT set_id, unnest(snps) AS snp_id FROM sets WHERE set_id < 40) JOIN g USING (snp_id) GROUP BY ALL HAVING min(g) > 0) SELECT set_id, y2 AS category, count(*) AS num, round(count(*) / (SELECT count(*) FROM ind x WHERE x.y2 = i.y2), 6) AS freq, string_agg(ind_id::VARCHAR, ';' ORDER BY ind_id) AS individuals FROM c JOIN ind i USING (ind_id) GROUP BY set_id, y2",
+    "carriers": f"WITH {_G25}, {_SETS}, c AS (SELECT set_id, ind_id FROM (SELECT set_id, unnest(snps) AS snp_id FROM sets) JOIN g USING (snp_id) GROUP BY ALL HAVING min(g) > 0) SELECT set_id, y2 AS category, count(*) AS num, round(count(*) / (SELECT count(*) FROM ind x WHERE x.y2 = i.y2), 6) AS freq, string_agg(ind_id::VARCHAR, ';' ORDER BY ind_id) AS individuals FROM c JOIN ind i USING (ind_id) GROUP BY set_id, y2",
     "genotype_lookup": f"WITH {_G25}, {_SETS}, {_JOINT} SELECT set_id, count(*) AS num FROM joint WHERE gid = 4 GROUP BY ALL",
     "linkage": f"WITH {_G25}, {_LD} SELECT a, b, round(r2, 6) AS r2 FROM ld",
-    "ld_filter": f"WITH {_G25}, {_SETS}, {_LD}, b AS (SELECT a, b, r2 FROM ld UNION ALL SELECT b, a, r2 FROM ld), c AS (SELECT set_id, snps, x.range::INT AS snp_id FROM sets, range(25) x WHERE set_id < 30 AND NOT list_contains(snps, x.range)) SELECT set_id, snp_id FROM (SELECT set_id, snp_id, unnest(snps) AS m FROM c) JOIN b ON a = snp_id AND b = m GROUP BY ALL HAVING avg(r2) < 0.003",
+    "ld_filter": f"WITH {_G25}, {_SETS}, {_LD}, b AS (SELECT a, b, r2 FROM ld UNION ALL SELECT b, a, r2 FROM ld), c AS (SELECT set_id, snps, x.range::INT AS snp_id FROM sets, range(25) x WHERE NOT list_contains(snps, x.range)) SELECT set_id, snp_id FROM (SELECT set_id, snp_id, unnest(snps) AS m FROM c) JOIN b ON a = snp_id AND b = m GROUP BY ALL HAVING avg(r2) < 0.003",
     "kfold": f"WITH {_IND}, f AS (SELECT ind_id, ntile(5) OVER (ORDER BY ind_id)::INT AS fold FROM ind) SELECT fold, count(*) AS n, min(ind_id) AS lo, max(ind_id) AS hi FROM f GROUP BY ALL",
     "dataset_stats": f"WITH {_IND}, {_SNP25} SELECT (SELECT count(*) FROM snp) AS variants, count(*) AS samples, sum((y2 = 1)::INT)::BIGINT AS cases, sum((y2 = 0)::INT)::BIGINT AS controls FROM ind",
     "merged_datasets": f"WITH {_G25} SELECT snp_id, 2 * count(*) AS n, (2 * sum(g))::BIGINT AS total FROM g WHERE snp_id BETWEEN 5 AND 19 GROUP BY ALL",
@@ -396,18 +396,18 @@ ORACLE_SQL = {
     "joint_degrees": f"WITH {_EDGES} SELECT a.degree AS d_in, b.degree AS d_out, count(*) AS n FROM sym JOIN deg a ON a.node = sym.node JOIN deg b ON b.node = other GROUP BY ALL",
     "adjacency": f"WITH {_EDGES} SELECT node, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM sym GROUP BY ALL",
     "network_stats": f"WITH {_EDGES} SELECT 100::BIGINT AS nodes, count(*) AS edges, round(2.0 * count(*) / 9900, 6)::DOUBLE AS density, (SELECT count(DISTINCT label) FROM ann) AS labels FROM e",
-    "connected_components": f"WITH RECURSIVE {_EDGES}, l AS (SELECT node, other FROM sym WHERE node % 7 = other % 7), r AS (SELECT node, node AS reach FROM l UNION SELECT r.node, l.other FROM r JOIN l ON l.node = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY ALL",
-    "diameter": f"WITH RECURSIVE {_LABELS}, {_SAME}, l AS (SELECT node1 AS a, node2 AS b FROM same WHERE node1 < 40 AND node2 < 40 UNION ALL SELECT node2, node1 FROM same WHERE node1 < 40 AND node2 < 40), r AS (SELECT DISTINCT a, a AS b, 0 AS d FROM l UNION SELECT r.a, l.b, d + 1 FROM r JOIN l ON l.a = r.b WHERE d < 12), m AS (SELECT a, b, min(d) AS d FROM r GROUP BY ALL) SELECT max(d)::BIGINT AS diameter FROM m",
+    "connected_components": f"WITH RECURSIVE {_EDGES}, l AS (SELECT node1 AS node, node2 AS other FROM same UNION ALL SELECT node2, node1 FROM same), r AS (SELECT node, node AS reach FROM l UNION SELECT r.node, l.other FROM r JOIN l ON l.node = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY ALL",
+    "diameter": f"WITH RECURSIVE {_LABELS}, {_SAME}, l AS (SELECT node1 AS a, node2 AS b FROM same UNION ALL SELECT node2, node1 FROM same), r AS (SELECT DISTINCT a, a AS b, 0 AS d FROM l UNION SELECT r.a, l.b, d + 1 FROM r JOIN l ON l.a = r.b WHERE d < 12), m AS (SELECT a, b, min(d) AS d FROM r GROUP BY ALL) SELECT max(d)::BIGINT AS diameter FROM m",
     "set_neighbours": f"WITH {_EDGES}, {_SETS100}, m AS (SELECT set_id, unnest(snps) AS node FROM sets) SELECT DISTINCT set_id, other AS snp_id FROM m JOIN sym USING (node) WHERE (set_id, other) NOT IN (SELECT set_id, node FROM m)",
     "set_edges": f"WITH {_EDGES}, {_SETS100} SELECT set_id, node1, node2 FROM sets JOIN e ON list_contains(snps, node1) AND list_contains(snps, node2)",
     "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 % 60, node2 % 60) AS node1, greatest(node1 % 60, node2 % 60) AS node2 FROM e WHERE node1 % 60 <> node2 % 60",
     "shuffled_network": f"WITH {_EDGES} SELECT degree, count(*) AS n FROM deg GROUP BY ALL",
-    "network_filter": f"WITH {_EDGES} SELECT DISTINCT unnest([node1, node2]) AS snp_id FROM e WHERE node1 % 3 = 0",
-    "set_subsets": f"WITH {_SETS}, t AS (SELECT set_id, snps FROM sets WHERE set_id >= 300) SELECT set_id, array_to_string(s, ',') AS snps FROM (SELECT set_id, unnest([snps, [snps[1], snps[2]], [snps[1], snps[3]], [snps[2], snps[3]]]) AS s FROM t)",
+    "network_filter": f"WITH {_EDGES} SELECT DISTINCT unnest([node1, node2]) AS snp_id FROM lnet",
+    "set_subsets": f"WITH {_SETS} SELECT DISTINCT set_id, array_to_string(s, ',') AS snps FROM (SELECT set_id, unnest(CASE WHEN len(snps) = 3 THEN [snps, [snps[1], snps[2]], [snps[1], snps[3]], [snps[2], snps[3]]] ELSE [snps] END) AS s FROM sets)",
     "set_sizes": f"WITH {_SETS} SELECT len(snps)::INT AS size, count(*) AS n FROM sets GROUP BY ALL",
     "collapsed": f"WITH {_SETS}, t AS (SELECT set_id, (set_id % 4) || ',' || (set_id % 4 + 1) AS key, set_id % 3 AS rounds FROM sets) SELECT key, count(*) AS \"NUM_MERGED\", string_agg(rounds::VARCHAR, ';' ORDER BY set_id) AS \"rounds_ALL\", string_agg(DISTINCT rounds::VARCHAR, ';' ORDER BY rounds::VARCHAR) AS \"rounds_DISTINCT\" FROM t GROUP BY key",
     "cluster_best": _cells("y2") + f", {_K2}, c AS (SELECT set_id, set_id % 11 AS cluster, round(b, 6) AS score FROM k2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score, set_id) AS i, row_number() OVER (ORDER BY score, set_id) AS a, count(*) OVER () AS n FROM c) SELECT set_id, cluster, score FROM r WHERE i = 1 OR a <= ceil(0.1 * n)",
     "best_trace": "WITH t AS (SELECT ts, value, min(value) OVER (ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events) SELECT ts, value FROM t WHERE low IS NULL OR value < low",
     "scalar_functions": "WITH t AS (SELECT c_custkey::BIGINT AS n, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM customer) SELECT n AS id, CASE WHEN n = 0 THEN '0' ELSE ltrim(substr(d, (n // 1048576 % 32 + 1), 1) || substr(d, (n // 32768 % 32 + 1), 1) || substr(d, (n // 1024 % 32 + 1), 1) || substr(d, (n // 32 % 32 + 1), 1) || substr(d, (n % 32 + 1), 1), '0') END AS b32, CASE n % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 10 WHEN 2 THEN 120 ELSE 7200 END::DOUBLE AS minutes, n::VARCHAR AS bare, (n % 3) * 9 + ((n + 1) % 3) * 3 + 2 AS gid FROM t",
-    "qubo": _cells("y2") + f", {_K2}, p AS (SELECT snps[1] AS i, snps[2] AS j, round(b / 1000, 6) AS stat FROM k2 JOIN sets USING (set_id) WHERE set_id < 300 AND snps[2] < 8), c AS (SELECT range AS c FROM range(2)), v AS (SELECT range AS v FROM range(8)) SELECT v + 8 * c AS i, v + 8 * c AS j, (-25.0)::DOUBLE AS w FROM v, c UNION ALL SELECT i + 8 * c, j + 8 * c, round(10 - 0.5 * stat, 5)::DOUBLE FROM p, c UNION ALL SELECT v, v + 8, 1.0::DOUBLE FROM v",
+    "qubo": _cells("y2") + f", {_K2}, p AS (SELECT snps[1] AS i, snps[2] AS j, round(b / 1000, 5) AS stat FROM k2 JOIN sets USING (set_id) WHERE len(snps) = 2), c AS (SELECT range AS c FROM range(2)), v AS (SELECT range AS v FROM range(25)) SELECT v + 25 * c AS i, v + 25 * c AS j, (-25.0)::DOUBLE AS w FROM v, c UNION ALL SELECT i + 25 * c, j + 25 * c, round(10 - 0.5 * stat, 6)::DOUBLE FROM p, c UNION ALL SELECT v, v + 25, 1.0::DOUBLE FROM v",
 }
