@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 SMALL_ROWS = 1_000_000
+BATCH_ROWS = 2_000
 U64 = np.uint64
 
 
@@ -47,7 +48,10 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) under fixed names; a null text counts as empty."""
+    """(id, text) under fixed names; a null text counts as empty. Arrow batches of this session get fewer rows than Spark's
+    default, as a row here is a whole text."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -204,10 +204,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(n1: str, p1: str, n2: str, p2: str, percent: int):
-    """Length and positional filters of two postings of one shingle."""
-    least = f"{percent} * ({n1} + {n2})"
-    most = f"(least({p1}, {p2}) + 1 + least({n1} - {p1} - 1, {n2} - {p2} - 1))"
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * {most} >= {least}")
+    """Length and positional filters of two postings of one shingle. At the first shingle that two sets share, in the
+    common order, no more than it and what follows on the shorter side can be shared; every pair meets there."""
+    most = f"least({n1} - {p1}, {n2} - {p2})"
+    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * {most} >= {percent} * ({n1} + {n2})")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
