@@ -9,10 +9,12 @@ from snpweave.llm.ngram_join import OP9_SQL, op9_ngram_join
 from snpweave.llm.packing import op4_packing
 from snpweave.llm.quality import op8_quality_classifier
 from snpweave.llm.secrets import op7_secret_scan
+from snpweave.llm.sentencepiece_lattice import op1_sentencepiece
 from snpweave.llm.suffix_dedup import op6_suffix_dedup
 from snpweave.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
