@@ -5,10 +5,11 @@ counted into a fixed-size count sketch, which orders every set rare-first; a doc
 the first n - ceil(t*n) + 1 of them. Documents meet on prefix shingles; each pair left by the filters is
 verified once, on the whole sets.
 
-Equal sets are one class from the start, so copies never form pairs. Links are found in two passes, for the
-sake of groups with thousands of near copies: first every posting is paired with the first and with the
-previous one of its list, which joins most of each group; then all pairs of postings whose classes are still
-in different components are verified, so no link between components is lost.
+Equal sets are one class from the start, so copies never form pairs. Links are found in passes, for the sake of
+groups with thousands of near copies: first every posting is paired with the first and with the previous one
+of its list, then with the member of its list that has most links (in a group of edited copies the original),
+which joins nearly all of each group; last, all pairs of postings whose classes are still in different components
+are verified, so no link between components is lost.
 
 Null or empty text, or text without words: an empty set, linked with nothing, its own component. A text with
 fewer than n words is one shingle. Null ids stay null (such rows still link others); a component whose ids are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from snpweave.llm.common import components, digest128, materialize, shingle_hashes, small_or_shuffled, text_blocks, with_text, word_hashes
 
-SLOTS, SKETCH_BLOCKS, SEEN = 1 << 19, 64, 100_000
+SLOTS, SKETCH_BLOCKS, SEEN, HUB_ROUNDS = 1 << 19, 64, 100_000, 2
 _KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary"
 
 
@@ -151,7 +152,7 @@ def _set_rows(d: list, raw: list) -> pa.RecordBatch:
 def bucket_counts(s: np.ndarray) -> bytes:
     """Sizes of the parts into which the leading bits of the hashes split a set, about two elements a part (a byte each;
     empty if one doesn't fit)."""
-    bits = min(16, max(4, int(len(s) // 2).bit_length()))
+    bits = min(16, max(6, int(len(s) // 2).bit_length()))
     parts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return parts.astype(np.uint8).tobytes() if parts.max() < 256 else b""
 
@@ -184,6 +185,20 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return both.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def signatures(classes: DataFrame) -> DataFrame:
+    """gid, sig: the bucket counts added up to 64 (null where one is above 127)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1).to_pylist():
+                sums = np.frombuffer(x, np.uint8).astype(np.int64).reshape(64, -1).sum(axis=1) if x else None
+                out.append(sums.tolist() if sums is not None and sums.max() < 128 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int8()))], names=["gid", "sig"])
+
+    return classes.select("gid", "buckets").mapInArrow(run, "gid long, sig array<tinyint>")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of class ids whose whole sets reach the similarity."""
 
@@ -244,16 +259,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
 
     links = materialize(verify(first_pairs, sets_of(first_pairs), percent), "links1")
 
-    # pass 2: all pairs of one list that are still in different components
     grouped = lists.select("h", "eid", "n", "pos").join(gid_of, "eid").groupBy("h", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    part = components(links)
-    shown = grouped.join(part.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    shown = materialize(shown, "shown")
-    split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    open_lists = materialize(shown.join(split, "h"), "open")
+    grouped, tried = materialize(grouped, "grouped"), first_pairs
+
+    def still_open() -> DataFrame:
+        """Postings with their component, of lists that hold more than one."""
+        part = components(links)
+        shown = grouped.join(part.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+        shown = materialize(shown, "shown")
+        split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+        return materialize(shown.join(split, "h"), "open")
+
+    # pass 2, twice: every posting with the member of its list that has most links so far, if that is in another component
+    for _ in range(HUB_ROUNDS):
+        rows = still_open()
+        degree = links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("degree"))
+        hubs = rows.join(degree, "gid").groupBy("h").agg(F.max(F.struct("degree", "gid", "n", "pos", "component")).alias("o"))
+        met = rows.join(hubs, "h").where("component <> o.component").where(_near("n", "pos", "o.n", "o.pos", percent))
+        met = met.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        met = materialize(suffix_filter(met, classes, percent), "pairs")
+        links = materialize(links.unionAll(verify(met, sets_of(met), percent)), "links")
+        tried = tried.unionAll(met)
+
+    # pass 3: all pairs of one list that are still in different components
+    # (the suffix filter on 64 buckets is part of the join, so that pairs it rules out are never made)
+    open_lists = still_open()
+    open_lists = open_lists.join(signatures(classes.join(open_lists.select("gid").distinct(), "gid", "left_semi")), "gid")
+    common = f"coalesce({100 + percent} * aggregate(zip_with(l.sig, r.sig, (x, y) -> least(x, y)), 0, (t, x) -> t + x) >= {percent} * (l.n + r.n), true)"
     l, r = open_lists.alias("l"), open_lists.alias("r")
-    crossing = l.join(r, F.expr("l.h = r.h AND l.gid < r.gid AND l.component <> r.component") & _near("l.n", "l.pos", "r.n", "r.pos", percent))
-    crossing = crossing.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
+    crossing = l.join(r, F.expr("l.h = r.h AND l.gid < r.gid AND l.component <> r.component") & _near("l.n", "l.pos", "r.n", "r.pos", percent) & F.expr(common))
+    crossing = crossing.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     crossing = materialize(suffix_filter(crossing, classes, percent), "crossing")
     all_links = links.unionAll(verify(crossing, sets_of(crossing), percent))
     whole = materialize(components(all_links), "components")
