@@ -36,7 +36,7 @@ from snpweave.llm.common import digest128, materialize, mix, n_partitions, prefi
 
 GRAM, STEPS = 232, 4
 SHARD_BYTES = 1_500_000
-SPLIT_AT = 4_000
+SPLIT_AT, LEAST_SPLIT = 4_000, 250
 _A = "kind int, doc_id long, rid long, tk long, eid long, n_bytes long, d1 long, d2 long, sha256 string, fp long, pos int"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -348,15 +348,17 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     strings = materialize(strings, "strings")
     kinds = strings.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1")
     many = materialize(strings.join(kinds, ["c1", "c2"]), "shared")
-    size = many.agg(F.sum(F.length("ahead") + F.length("after") + 1)).first()[0] or 0
-    shards = max(n_partitions(spark), -(-size // SHARD_BYTES))
-    split = F.col("kinds") > SPLIT_AT
+    size, rows_in = many.agg(F.sum(F.length("ahead") + F.length("after") + 1), F.count("*")).first()
+    shards = max(n_partitions(spark), -(-(size or 0) // SHARD_BYTES))
+    split = F.col("kinds") > min(SPLIT_AT, max(LEAST_SPLIT, rows_in // shards))  # a core gets no more than a shard's share
     many = many.withColumn("split", split).withColumn("shard", F.pmod(F.when(split, F.xxhash64("c1", "s1")).otherwise(F.xxhash64("c1", "c2")), F.lit(shards)))
     matches = materialize(shard_matches(many, length), "matches")
     crossed = merge_across(matches.where("w1 IS NOT NULL").drop("spans"), length, shards)
     core_size = length - reach(length)
     whole = strings.where("copied").select("s1", "s2", F.array(-F.length("ahead"), F.length("after") + core_size).alias("spans")).where(F.col("spans")[1] - F.col("spans")[0] >= length)
+    # all windows of a string hold its core, so together they cover one span
     spans = matches.where("spans IS NOT NULL").select("s1", "s2", "spans").unionAll(crossed).unionAll(whole)
+    spans = spans.groupBy("s1", "s2").agg(F.array(F.min(F.col("spans")[0]), F.max(F.col("spans")[1])).alias("spans"))
 
     placed = cores(texts, length, False).select("s1", "s2", "gid", "start").join(spans, ["s1", "s2"])
     placed = placed.select("gid", F.expr("transform(spans, x -> x + start)").alias("spans"))
