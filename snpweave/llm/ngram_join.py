@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from snpweave.llm.common import components, digest128, materialize, shingle_hashes, small_or_shuffled, text_blocks, with_text, word_hashes
 
-SLOTS, SKETCH_BLOCKS, SEEN, HUB_ROUNDS = 1 << 19, 64, 100_000, 2
+SLOTS, SKETCH_BLOCKS, SEEN, HUB_ROUNDS = 1 << 19, 64, 100_000, 1
 _KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary"
 
 
@@ -270,7 +270,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
         split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
         return materialize(shown.join(split, "h"), "open")
 
-    # pass 2, twice: every posting with the member of its list that has most links so far, if that is in another component
+    # pass 2: every posting with the member of its list that has most links so far, if that is in another component
     for _ in range(HUB_ROUNDS):
         rows = still_open()
         degree = links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("degree"))

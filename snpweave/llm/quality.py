@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from snpweave.llm.common import crc_of_id, materialize, text_blocks, with_text, word_bounds, word_hashes
 
 MARKS = "|#$%&*!?.,;:'\"-_@/\\<>()[]{}=+~^`"
-SAMPLE = 20_000
+SAMPLE = 10_000
 KINDS = 6 + len(MARKS)
 
 
