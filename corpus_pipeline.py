@@ -2,8 +2,8 @@
 
 Rows are named by their id and a hash of their text, so repeated ids with different texts are told apart. A stage that
 filters or edits sends only its decisions to the documents; they are broadcast if a count shows that they are few.
-Null texts count as empty throughout; rows with a null id are scored, edited and packed like others, and never dropped
-as copies. Empty tables give empty results. Columns beside those of documents are dropped.
+Null texts count as empty throughout; rows with a null id are scored, edited and packed like others, and dropped as
+copies of others like them. Empty tables give empty results. Columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snpweave.llm.common import materialize, small_or_shuffled
-from snpweave.llm.ngram_join import jaccard_components
+from snpweave.llm.ngram_join import jaccard_groups
 from snpweave.llm.packing import pack
 from snpweave.llm.quality import score_quality
 from snpweave.llm.secrets import redact
@@ -37,14 +37,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a word-shingle Jaccard of 0.75 stays: that with the smallest id; of equal
-    rows one."""
-    found = materialize(jaccard_components(docs), "groups")
-    gone = small_or_shuffled(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = small_or_shuffled(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    again = _keyed(kept.join(twice, "doc_id", "left_semi")).dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
+    """One row of each group linked at a word-shingle Jaccard of 0.75 stays: that with the smallest id (null ids last),
+    of one id that with the smallest text key. Texts without words are in no group; of those with one id and text one
+    stays."""
+    found = materialize(jaccard_groups(docs).select("doc_id", "text_key", "component"), "groups")
+    linked = found.where("component IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    groups = small_or_shuffled(linked.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "first.doc_id", "first.text_key"))
+    others = linked.alias("l").join(groups.alias("g"), F.expr("l.component = g.component")).where(~_same("l", "g"))
+    gone = small_or_shuffled(others.select("l.doc_id", "l.text_key").distinct())
+    kept = _keyed(docs).alias("d").join(gone.alias("g"), _same("d", "g"), "left_anti")
+    named = found.where("component IS NOT NULL OR doc_id IS NOT NULL")
+    twice = small_or_shuffled(named.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")).alias("t")
+    again = kept.join(twice, _same("d", "t"), "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
+    return kept.join(twice, _same("d", "t"), "left_anti").select(*COLUMNS).unionByName(again)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

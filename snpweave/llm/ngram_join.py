@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from snpweave.llm.common import components, digest128, materialize, shingle_hashes, small_or_shuffled, text_blocks, with_text, word_hashes
 
 SLOTS, SKETCH_BLOCKS, SEEN, HUB_ROUNDS = 1 << 19, 64, 100_000, 1
-_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary"
+_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary, text_key long"
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,7 +70,7 @@ def frequency_sketch(docs: DataFrame, words: int, slots: int = SLOTS) -> np.ndar
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """kind 0: one row per document (doc_id, class eid of its task, n, digest); kind 1: the prefix postings of each
+    """kind 0: one row per document (doc_id, class eid of its task, n, digest, text_key); kind 1: the prefix postings of each
     class (eid, n, h, pos). A class seen before in the same task sends no postings again."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     slots = len(sketch)
@@ -106,9 +106,9 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
             if head:
                 c = list(zip(*head, strict=True))
                 none = pa.nulls(len(head), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, pa.nulls(len(head), pa.int32()), pa.array(c[5], pa.binary())], names=_names())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, pa.nulls(len(head), pa.int32()), pa.array(c[5], pa.binary()), batch.column(2)], names=_names())
 
-    return docs.select("doc_id", "text").mapInArrow(run, _KIND)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _KIND)
 
 
 def _names() -> list[str]:
@@ -121,7 +121,7 @@ def _post_rows(posts: list) -> pa.RecordBatch:
     none = pa.nulls(total, pa.int64())
     pos = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.binary())],
+        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.binary()), none],
         names=_names(),
     )
 
@@ -227,10 +227,16 @@ def _near(n1: str, p1: str, n2: str, p2: str, percent: int):
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return jaccard_groups(docs, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """jaccard_components with text_key (xxhash64 of the text) and component, which tells groups apart whatever their
+    ids; it is null for texts without words."""
     source = with_text(docs, id_col, text_col)
     sketch = frequency_sketch(source, words)
     table = materialize(postings(source, sketch, words, percent), "postings")
-    heads = table.where("kind = 0").select("doc_id", "eid", "n", "d1", "d2", "buckets")
+    heads = table.where("kind = 0").select("doc_id", "text_key", "eid", "n", "d1", "d2", "buckets")
     classes = heads.where("n > 0").groupBy("d1", "d2").agg(F.min("eid").alias("gid"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets", ignorenulls=True).alias("buckets"))
     classes = materialize(classes, "classes")
     local = heads.where("n > 0").select("eid", "d1", "d2").distinct()
@@ -295,8 +301,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_co
 
     member = classes.drop("n", "buckets").join(whole.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     names = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(names, "component").select("d1", "d2", "component_id")
-    return heads.join(named, ["d1", "d2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = member.join(names, "component").select("d1", "d2", "component", "component_id")
+    return heads.join(named, ["d1", "d2"], "left").select("doc_id", "text_key", "component", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
