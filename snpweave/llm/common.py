@@ -1,9 +1,7 @@
-"""What the operators share: scratch tables, text blocks, word hashes, connected components."""
+"""What the operators share: scratch tables, text blocks, word hashes; connected components from snpweave.shared."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snpweave.shared import components, local_forest, materialize, scratch_dir  # noqa: F401
+
 BLOCK_BYTES = 2 << 20
 SMALL_ROWS = 1_000_000
 BATCH_ROWS = 2_000
@@ -21,22 +21,6 @@ U64 = np.uint64
 # ---------------------------------------------------------------- scratch tables
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-snpweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/snpweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_or_shuffled(df: DataFrame) -> DataFrame:
     """df (a few numbers a row) with a hint to broadcast it, if a count shows that it is small; else as it is, for a shuffle."""
     df = materialize(df, "side")
@@ -177,55 +161,3 @@ def digest128(values: np.ndarray) -> tuple[int, int]:
 
 def crc(raw: bytes) -> int:
     return zlib.crc32(raw) & 0xFFFFFFFF
-
-
-# ---------------------------------------------------------------- connected components
-
-
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Per task, replace blocks of the links (a, b) by a forest with the same components: fewer, flatter links."""
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parent: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                root = x
-                while parent.setdefault(root, root) != root:
-                    root = parent[root]
-                while parent[x] != root:
-                    parent[x], x = root, parent[x]
-                return root
-
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-            rows = [(x, find(x)) for x in parent if find(x) != x]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
-
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(reduce, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in the links (a, b): component is the smallest id reachable.
-
-    Alternates large and small stars; each is one aggregation and one join, so no node's links meet in
-    one task, and every round is a table in the shared folder. Null ends and loops are ignored.
-    """
-    flat = local_forest(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
-    now = materialize(flat.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(small, "links")
-        sums = now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == before:
-            break
-        before = sums
-    tops = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionAll(tops)

@@ -108,6 +108,16 @@ def test_graph(spark):
     assert sum(r[0] for r in network.page_rank(e).select("rank").collect()) == pytest.approx(1)
 
 
+def test_components_of_long_paths(spark):
+    order = list(range(400, 1, -2)) + [0, 1] + list(range(3, 402, 2))  # both smallest nodes in the middle
+    path = [(a, b) for a, b in zip(order, order[1:])]
+    links = [(a, b) for a, b in path if (a, b) != (0, 1)]
+    e = lambda rows: spark.createDataFrame([(min(x), max(x)) for x in rows], "node1 int, node2 int").repartition(8)
+    assert set(column(network.components(e(path)), "node", "component").values()) == {0}
+    got = column(network.components(e([*links, (900, 900)])), "node", "component")
+    assert got == {v: v if v == 900 else v % 2 for v in [*order, 900]}
+
+
 def test_label_edges(spark):
     ann = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "C")], "snp_id int, label string")
     net = spark.createDataFrame([("A", "C"), ("A", "A")], "label1 string, label2 string")
