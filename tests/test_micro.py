@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,22 @@ def test_components_of_long_paths(spark):
     assert got == {v: v if v == 900 else v % 2 for v in [*order, 900]}
 
 
+def test_centralities_of_a_long_path(spark):
+    n = 30  # a path that ends in a clique mixes slowly
+    links = [(i, i + 1) for i in range(n)] + [(a, b) for a in range(n, n + 6) for b in range(a + 1, n + 6)]
+    links = sorted(set(links))
+    e = spark.createDataFrame(links, "node1 int, node2 int")
+    m = np.zeros((n + 6, n + 6))
+    for a, b in links:
+        m[a, b] = m[b, a] = 1
+    want = np.linalg.solve(np.eye(len(m)) - 0.85 * (m / m.sum(axis=0)), np.full(len(m), 0.15 / len(m)))
+    got = column(network.page_rank(e), "node", "rank")
+    assert [got[i] for i in range(len(m))] == pytest.approx(want, abs=1e-9)
+    path = spark.createDataFrame([(i, i + 1) for i in range(7)], "node1 int, node2 int")
+    assert column(network.closeness(path), "node", "closeness") == pytest.approx({i: 7 / sum(abs(i - j) for j in range(8)) for i in range(8)})
+    assert column(network.closeness(path, 3), "node", "closeness")[0] == pytest.approx(3 / 6)
+
+
 def test_label_edges(spark):
     ann = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "C")], "snp_id int, label string")
     net = spark.createDataFrame([("A", "C"), ("A", "A")], "label1 string, label2 string")
