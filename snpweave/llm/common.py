@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snpweave.shared import components, local_forest, materialize, scratch_dir  # noqa: F401
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 SMALL_ROWS = 1_000_000
 BATCH_ROWS = 2_000
 U64 = np.uint64
@@ -70,6 +72,39 @@ def text_blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_
         at = end
 
 
+# ---------------------------------------------------------------- sums of arrays over tasks
+
+PART, SALTS = 8192, 64
+_PARTS = "key int, block int, task int, salt int, part binary"
+
+
+def array_parts(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What one task adds to `summed_arrays`: its arrays by key, cut into blocks of PART numbers."""
+    task = TaskContext.get().partitionId()
+    for key, a in arrays.items():
+        parts = [a[i : i + PART].tobytes() for i in range(0, len(a), PART)]
+        same = lambda x: pa.array([x] * len(parts), pa.int32())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([same(key), pa.array(range(len(parts)), pa.int32()), same(task), same(task % SALTS), pa.array(parts, pa.binary())], names=[x.split()[0] for x in _PARTS.split(", ")])
+
+
+def summed_arrays(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], dtype: str) -> dict[int, np.ndarray]:
+    """By key, the sum over all tasks of the arrays that `make` yields by `array_parts`. Two levels, each a group a block, so
+    that no group holds more than a 64th of the tasks' blocks; the driver gets the one sum."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")
+        total = np.frombuffer(pdf["part"].iloc[0], dtype).copy()
+        for p in pdf["part"].iloc[1:]:
+            total += np.frombuffer(p, dtype)
+        return pdf.iloc[:1].assign(part=[total.tobytes()])
+
+    parts = df.mapInArrow(make, _PARTS).groupBy("key", "block", "salt").applyInPandas(add, _PARTS)
+    blocks: dict[int, dict[int, np.ndarray]] = {}
+    for r in parts.groupBy("key", "block").applyInPandas(add, _PARTS).select("key", "block", "part").collect():
+        blocks.setdefault(r["key"], {})[r["block"]] = np.frombuffer(bytes(r["part"]), dtype)
+    return {k: np.concatenate([b[i] for i in sorted(b)]) for k, b in blocks.items()}
+
+
 # ---------------------------------------------------------------- word hashes
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import components, digest128, materialize
+from snpweave.llm.common import array_parts, components, digest128, materialize, summed_arrays
 
 TILE = 1024
 SLACK = 1e-9
@@ -59,23 +59,20 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes by vector length: sums of outer products from every task, added up on the executors."""
+    """Principal axes by vector length: sums of outer products from every task, added up on the executors by blocks."""
 
-    def gram(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for pdf in pdfs:
-            for dim, part in pdf.groupby("dim"):
-                x = unit(np.frombuffer(b"".join(part["vector"]), "<f8").reshape(-1, dim))
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            raw = batch.column(1).to_pylist()
+            for dim in np.unique(dims).tolist():
+                x = unit(np.frombuffer(b"".join(raw[k] for k in np.flatnonzero(dims == dim)), "<f8").reshape(-1, dim))
                 sums[dim] = sums.get(dim, 0) + x.T @ x
-        if sums:
-            yield pd.DataFrame({"dim": list(sums), "sums": [s.reshape(-1).tolist() for s in sums.values()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "sums": [np.sum([np.asarray(x) for x in pdf["sums"]], axis=0).tolist()]})
+        yield from array_parts({d: s.reshape(-1) for d, s in sums.items()})
 
-    schema = "dim int, sums array<double>"
-    rows = classes.select("dim", "vector").mapInPandas(gram, schema).groupBy("dim").applyInPandas(add, schema).collect()
-    return {r["dim"]: np.linalg.eigh(np.array(r["sums"]).reshape(r["dim"], -1))[1][:, ::-1].copy() for r in rows}
+    found = summed_arrays(classes.select("dim", "vector"), gram, "<f8")
+    return {d: np.linalg.eigh(s.reshape(d, d))[1][:, ::-1].copy() for d, s in found.items()}
 
 
 def _rotated(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:

@@ -7,7 +7,7 @@ verified once, on the whole sets.
 
 Equal sets are one class from the start, so copies never form pairs. Links are found in passes, for the sake of
 groups with thousands of near copies: first every posting is paired with the first and with the previous one
-of its list, then with the member of its list that has most links (in a group of edited copies the original),
+of its list (a list that the sketch shows to be long is dealt over parts, whose first ones meet), then with the member of its list that has most links (in a group of edited copies the original),
 which joins nearly all of each group; last, all pairs of postings whose classes are still in different components
 are verified, so no link between components is lost.
 
@@ -21,16 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import components, digest128, materialize, shingle_hashes, small_or_shuffled, text_blocks, with_text, word_hashes
+from snpweave.llm.common import array_parts, components, digest128, materialize, mix, shingle_hashes, small_or_shuffled, summed_arrays, text_blocks, with_text, word_hashes
 
-SLOTS, SKETCH_BLOCKS, SEEN, HUB_ROUNDS = 1 << 19, 64, 100_000, 1
-_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, buckets binary, text_key long"
+SLOTS, SEEN, HUB_ROUNDS, LIST = 1 << 19, 50_000, 1, 500
+_KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, part int, buckets binary, text_key long"
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -44,7 +43,6 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 def frequency_sketch(docs: DataFrame, words: int, slots: int = SLOTS) -> np.ndarray:
     """Occurrences of all shingles of all texts, added up in `slots` counters by hash: 4 bytes a counter, whatever
     the corpus. Parts are summed on the executors; the driver gets the one sum."""
-    width = slots // SKETCH_BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
@@ -53,25 +51,16 @@ def frequency_sketch(docs: DataFrame, words: int, slots: int = SLOTS) -> np.ndar
                 hashes, bounds = word_hashes(data, offsets)
                 found = [shingle_hashes(hashes[bounds[i] : bounds[i + 1]], words) for i in range(end - first)]
                 total += np.bincount((np.concatenate(found) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        part = total.astype("<u4").reshape(SKETCH_BLOCKS, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names=["block", "part"])
+        yield from array_parts({0: total})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.uint64)
-        for p in pdf["part"]:
-            total += np.frombuffer(p, "<u4")
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
-    rows = docs.select("text").mapInArrow(count, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
-    out = np.zeros((SKETCH_BLOCKS, width), np.uint32)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(bytes(r["part"]), "<u4")
-    return out.reshape(-1)
+    found = summed_arrays(docs.select("text"), count, "<i8")
+    return np.minimum(found.get(0, np.zeros(slots, np.int64)), 2**32 - 1).astype(np.uint32)
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
     """kind 0: one row per document (doc_id, class eid of its task, n, digest, text_key); kind 1: the prefix postings of each
-    class (eid, n, h, pos). A class seen before in the same task sends no postings again."""
+    class (eid, n, h, pos, part). A class seen before in the same task sends no postings again. A shingle that the sketch
+    counts more than LIST times has its postings dealt over parts 1, 2, ... by class; others have part 0."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     slots = len(sketch)
 
@@ -96,9 +85,11 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                     p = n - -(-percent * n // 100) + 1
                     f = freq[(s & np.uint64(slots - 1)).astype(np.int64)]
                     order = np.lexsort((s, f))[:p]
-                    posts.append((eid, n, s[order]))
+                    lists = f[order].astype(np.uint64) // np.uint64(LIST)
+                    deal = np.where(lists > 0, mix(np.full(p, eid, np.uint64)) % (lists + np.uint64(1)) + np.uint64(1), 0)
+                    posts.append((eid, n, s[order], deal.astype(np.int32)))
                 head.append((ids[row], eid, n, *d, buckets))
-                if sum(len(x[2]) for x in posts[-1:]) and len(posts) >= 256:
+                if len(posts) >= 256:
                     yield _post_rows(posts)
                     posts = []
             if posts:
@@ -106,7 +97,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
             if head:
                 c = list(zip(*head, strict=True))
                 none = pa.nulls(len(head), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, pa.nulls(len(head), pa.int32()), pa.array(c[5], pa.binary()), batch.column(2)], names=_names())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), none, *[pa.nulls(len(head), pa.int32())] * 2, pa.array(c[5], pa.binary()), batch.column(2)], names=_names())
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _KIND)
 
@@ -121,7 +112,7 @@ def _post_rows(posts: list) -> pa.RecordBatch:
     none = pa.nulls(total, pa.int64())
     pos = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(total, pa.binary()), none],
+        [pa.array(np.ones(total, np.int32)), none, pa.array(np.repeat(np.array([p[0] for p in posts], np.int64), sizes)), pa.array(np.repeat(np.array([p[1] for p in posts], np.int32), sizes)), none, none, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.concatenate([p[3] for p in posts])), pa.nulls(total, pa.binary()), none],
         names=_names(),
     )
 
@@ -242,14 +233,19 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
     local = heads.where("n > 0").select("eid", "d1", "d2").distinct()
     gid_of = materialize(local.join(classes.select("d1", "d2", "gid"), ["d1", "d2"]).select("eid", "gid"), "gids")
 
-    by = Window.partitionBy("h").orderBy("n", "eid")
-    lists = table.where("kind = 1").select("h", "eid", "n", "pos")
     cell = F.struct("eid", "n", "pos")
-    lists = lists.select("*", F.lag(cell).over(by).alias("prev"), F.lead("eid").over(by).alias("next"), F.first(cell).over(by).alias("first"))
-    lists = materialize(lists.where("prev IS NOT NULL OR next IS NOT NULL").drop("next"), "lists")
 
-    # pass 1: each posting with the first and the previous one of its list
-    met = lists.where("prev IS NOT NULL").select("eid", "n", "pos", F.explode(F.array("prev", "first")).alias("o"))
+    def in_line(df: DataFrame, keys: list[str]) -> DataFrame:
+        by = Window.partitionBy(*keys).orderBy("n", "eid")
+        return df.select("*", F.lag(cell).over(by).alias("prev"), F.lead("eid").over(by).alias("next"), F.first(cell).over(by).alias("first"))
+
+    lists = in_line(table.where("kind = 1").select("h", "part", "eid", "n", "pos"), ["h", "part"])
+    lists = materialize(lists.where("prev IS NOT NULL OR next IS NOT NULL OR part > 0").drop("next"), "lists")
+
+    # pass 1: each posting with the first and the previous one of its part of the list, and so the first ones of the parts
+    tops = in_line(lists.where("part > 0 AND prev IS NULL").select("h", "eid", "n", "pos"), ["h"])
+    met = lists.select("eid", "n", "pos", "prev", "first").unionAll(tops.select("eid", "n", "pos", "prev", "first")).where("prev IS NOT NULL")
+    met = met.select("eid", "n", "pos", F.explode(F.array("prev", "first")).alias("o"))
     met = met.where(_near("n", "pos", "o.n", "o.pos", percent)).select("eid", F.col("o.eid").alias("other")).distinct()
     met = met.join(gid_of, "eid").select(F.col("gid").alias("a"), F.col("other").alias("eid")).join(gid_of, "eid").select("a", F.col("gid").alias("b"))
     met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -274,14 +270,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
         shown = grouped.join(part.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
         shown = materialize(shown, "shown")
         split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-        return materialize(shown.join(split, "h"), "open")
+        return materialize(shown.join(small_or_shuffled(split), "h"), "open")
 
     # pass 2: every posting with the member of its list that has most links so far, if that is in another component
     for _ in range(HUB_ROUNDS):
         rows = still_open()
         degree = links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("degree"))
         hubs = rows.join(degree, "gid").groupBy("h").agg(F.max(F.struct("degree", "gid", "n", "pos", "component")).alias("o"))
-        met = rows.join(hubs, "h").where("component <> o.component").where(_near("n", "pos", "o.n", "o.pos", percent))
+        met = rows.join(small_or_shuffled(hubs), "h").where("component <> o.component").where(_near("n", "pos", "o.n", "o.pos", percent))
         met = met.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         met = materialize(suffix_filter(met, classes, percent), "pairs")
         links = materialize(links.unionAll(verify(met, sets_of(met), percent)), "links")

@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 
+from snpweave.llm.common import materialize
+
 from .conftest import WORDS, shingles, smallest_reachable
 
 
@@ -23,7 +25,7 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
         groups.setdefault(top if sets[i] else ("none", rows[i][0]), set()).add((rows[i][0], rows[i][1] or ""))
     rank = lambda x: (x[0] is None, x[0] or 0)
 
-    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").localCheckpoint()
+    kept = materialize(corpus_pipeline.near_duplicate_stage(spark, docs, ""), "kept")
     got = Counter((x.doc_id, x.text or "") for x in kept.collect())
     assert set(got.values()) == {1} and sum(got.values()) == len(groups)
     for members in groups.values():
