@@ -1,17 +1,26 @@
 """SentencePiece encoding and decoding by a relational lattice over distinct words.
 
 1. Texts are cut where no piece can reach over: before a run of space marks and around characters that no piece holds.
-   Texts are staged as chunks: local word numbers and the chunk's distinct words.
-2. Lattice. Every distinct word of the corpus is exploded into its substrings of at most the longest piece; these are
+   Texts become chunks: local word numbers and the chunk's distinct words, dealt once by chunk. All that follows keeps
+   that dealing, so the chunks are the only thing that is shuffled.
+2. Lattice. Every distinct word of a chunk is exploded into its substrings of at most the longest piece; these are
    joined with the piece table (bounded by the model, broadcast); the edges that match are grouped by word.
-3. Fold. The model here is a merge model (BPE), whose pieces have merge ranks instead of log probabilities: a best path
-   by sums (Viterbi) gives other segmentations than the library. The fold over the lattice, a Spark higher-order
-   `aggregate`, therefore takes the edges by rank and place and merges an edge if its ends are boundaries and exactly
-   one boundary lies between. That is the library's result as every piece's own merges come in the order of their ranks,
-   which `piece_table` proves on the whole vocabulary before use. A `unigram` fold (Viterbi) serves unigram models.
-4. Each chunk gets the segmentations of its words back and lines up the ids. Characters without a piece become bytes.
-
-Words of more than 62 characters (a long's bits hold the boundaries) are folded by the same rule in Python.
+3. Fold, a Spark higher-order `aggregate` over a word's edges. For a unigram model `viterbi` finds the path of the
+   highest sum of log probabilities. The model that the query uses is a merge model (BPE), whose scores are merge
+   ranks: a best path by sums gives other segmentations than the library, so `merge_fold` takes the edges by rank and
+   place and merges an edge if its ends are boundaries and exactly one boundary lies between.
+4. Each chunk gets the boundaries of its words and lines up the ids. Characters without a piece become bytes.
+
+Why one fold by rank is the library's result: the library merges, again and again, the adjacent pair of the least rank.
+It could differ only if a pair appeared whose rank is less than that of a merge already made. Both ends of such a pair P
+are boundaries, and boundaries never come back, so nothing has been merged over them, and what happened between them is
+what happens to P's characters alone. `Pieces` checks for every piece that ranks are distinct and that folding its
+characters alone, by rank, ends in the piece itself; so P would have been merged at its rank. (By induction over length.)
+Only pieces that are nothing but marks may share a rank; runs of marks are compared with the library up to eight times the
+longest piece.
+
+Words of more than 61 characters (a long's bits hold the boundaries) are folded by the same rule in Python, where the
+ids are lined up; results don't depend on the limit.
 
 Null or empty text: no ids. Null ids are kept. Repeated rows are encoded each. An empty table gives no rows. Extra
 columns are ignored. Decoding gives the text back, except that a space mark inside the text becomes a space.
@@ -21,20 +30,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import materialize, with_text
+from snpweave.llm.common import n_partitions, with_text
 from snpweave.llm.lm_scoring import pack_bytes, unpack_bytes
 from snpweave.llm.token_counts import MARK, _model_path, piece_model
 
-CHUNK_WORDS, LONGEST = 2_000_000, 62
+CHUNK_WORDS, LONGEST = 2_000_000, 61
+HEAD = 5  # parts of a chunk before its words
 
 
 class Pieces:
@@ -45,6 +55,9 @@ class Pieces:
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        scores = [model.get_score(i) for i in normal if len(self.names[i].strip(MARK)) > 0 and len(self.names[i]) > 1]
+        if len(set(scores)) < len(scores):
+            raise ValueError("two pieces have one rank")
         ranks = np.argsort(np.argsort([-model.get_score(i) for i in normal], kind="stable"), kind="stable")
         self.rank = {self.names[i]: int(r) for i, r in zip(normal, ranks, strict=True)}
         self.id = {self.names[i]: i for i in normal}
@@ -55,6 +68,12 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in self.rank):
             raise ValueError("a piece reaches over the start of a word")
         self.cut = re.compile(f"[{re.escape(cuts)}]|{MARK}+[^{MARK}{re.escape(cuts)}]*|[^{MARK}{re.escape(cuts)}]+") if cuts else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        for p in self.rank:
+            if self.fold(p) != [self.id[p]]:
+                raise ValueError(f"merges in {p!r} are not in the order of ranks")
+        for k in range(2, 8 * self.longest):
+            if self.fold(MARK * k) != model.encode(" " * (k - 1)):
+                raise ValueError("a run of marks is merged in another order")
         self.raw = [bytes([i - self.byte0]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
 
     def fold(self, word: str) -> list[int]:
@@ -86,33 +105,31 @@ def pieces_of(path: str) -> Pieces:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, rank, id. Raises where one fold by rank gives another segmentation of a piece than the library."""
-    p, model = pieces_of(path), piece_model(path)
-    words = [w if w.startswith(MARK) else MARK + w for w in p.rank if w.strip(MARK)]
-    for w, ids in zip(words, model.encode([w[1:] for w in words]), strict=True):
-        if p.fold(w) != ids:
-            raise ValueError(f"merges in {w!r} are not in the order of ranks")
-    return spark.createDataFrame([(k, r, p.id[k]) for k, r in p.rank.items()], "piece string, rank int, id int")
+    """piece, rank."""
+    return spark.createDataFrame(list(pieces_of(path).rank.items()), "piece string, rank int")
 
 
 def stage_words(docs: DataFrame, path: str) -> DataFrame:
-    """One row per chunk: chunk, doc_ids, sizes (words), hashes (sha256 of each text), words (local numbers), vocab."""
-    schema = "chunk long, doc_ids array<long>, sizes array<int>, hashes array<string>, words binary, vocab array<string>"
-    names = [x.split()[0] for x in schema.split(", ")]
+    """One row per chunk: chunk (a digest of what it holds) and parts: local word numbers, sizes (words), ids, which ids are
+    null, and digests of the texts; then the distinct words, frequent ones first."""
 
-    def row(chunk: int, ids: list, sizes: list, hashes: list, words: list, vocab: dict) -> pa.RecordBatch:
-        local = np.array(words, "<u4")
+    def row(ids: list, sizes: list, digests: list, words: array, vocab: dict) -> pa.RecordBatch:
+        local = np.frombuffer(words, "<u4") if words else np.zeros(0, "<u4")
         # frequent words get small numbers, which pack better
         order = np.argsort(-np.bincount(local, minlength=len(vocab)), kind="stable")
         place = np.empty(len(order), "<u4")
         place[order] = np.arange(len(order), dtype="<u4")
-        texts = np.array(list(vocab), object)[order].tolist()
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([hashes], pa.list_(pa.string())), pa.array([pack_bytes(place[local] if len(local) else local)], pa.binary()), pa.array([texts], pa.list_(pa.string()))], names=names)
+        texts = list(vocab)
+        parts = [pack_bytes(place[local] if len(local) else local), pack_bytes(np.array(sizes, "<u4")), pack_bytes(np.array([i or 0 for i in ids], "<i8")), bytes(i is None for i in ids), b"".join(digests)]
+        parts += [texts[k].encode() for k in order]
+        key = hashlib.blake2b(digest_size=8)
+        for x in parts:
+            key.update(len(x).to_bytes(8, "little") + x)
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key.digest(), "little", signed=True)], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["chunk", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pieces_of(path).cut.findall
-        chunk = TaskContext.get().partitionId() << 34
-        ids, sizes, hashes, words, vocab = [], [], [], [], {}
+        ids, sizes, digests, words, vocab = [], [], [], array("I"), {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -120,99 +137,114 @@ def stage_words(docs: DataFrame, path: str) -> DataFrame:
                 for w in set(found):
                     if w not in vocab:
                         vocab[w] = len(vocab)
-                words += map(vocab.__getitem__, found)
+                words.extend(map(vocab.__getitem__, found))
                 ids.append(doc_id)
                 sizes.append(len(found))
-                hashes.append(hashlib.sha256(text.encode()).hexdigest())
+                digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 if len(words) >= CHUNK_WORDS:
-                    yield row(chunk, ids, sizes, hashes, words, vocab)
-                    chunk += 1
-                    ids, sizes, hashes, words, vocab = [], [], [], [], {}
+                    yield row(ids, sizes, digests, words, vocab)
+                    ids, sizes, digests, words, vocab = [], [], [], array("I"), {}
         if ids:
-            yield row(chunk, ids, sizes, hashes, words, vocab)
+            yield row(ids, sizes, digests, words, vocab)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long NOT NULL, parts array<binary> NOT NULL")
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """word, n, edges: for every word the pieces that match it, as (rank, i, j, id) by rank and place."""
-    n = F.length("word")
-    spots = F.expr(f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({longest}, length(word) - i + 1)), l -> struct(i AS i, l AS l))))")
-    parts = words.select("word", F.explode(spots).alias("s")).select("word", F.col("s.i").alias("i"), F.col("s.l").alias("l"), F.expr("substring(word, s.i, s.l)").alias("piece"))
-    edges = parts.join(F.broadcast(table), "piece").select("word", F.struct("rank", (F.col("i") - 1).alias("i"), (F.col("i") + F.col("l") - 1).alias("j"), "id").alias("e"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list("e")).alias("edges"))
-    return grouped.select("word", n.alias("n"), "edges")
+def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str], value: str) -> DataFrame:
+    """keys, n (characters) and edges of every word: (value of the piece, i, j) for each piece that stands at i:j and has
+    more than one character. Substrings are exploded, joined with the pieces and grouped by word; a word's first character
+    keeps a row for words without edges."""
+    n = F.length("word").alias("n")
+    spots = words.select(*keys, "word", n).select("*", F.explode(F.expr("sequence(1, n)")).alias("i"))
+    sizes = F.expr(f"CASE WHEN i = 1 THEN sequence(1, least({longest}, n)) WHEN i < n THEN sequence(2, least({longest}, n - i + 1)) ELSE array() END")
+    spots = spots.select("*", F.explode(sizes).alias("l"))
+    parts = spots.select(*keys, "n", "i", "l", F.expr("substring(word, i, l)").alias("piece"))
+    edges = parts.join(F.broadcast(table.where(F.length("piece") > 1)), "piece", "left").where(f"{value} IS NOT NULL OR (i = 1 AND l = 1)")
+    edge = F.when(F.col(value).isNotNull(), F.struct(value, (F.col("i") - 1).alias("i"), (F.col("i") + F.col("l") - 1).alias("j")))
+    return edges.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def merge_fold() -> Column:
     """Boundaries (bit b: a boundary before character b) after all merges by rank and place."""
     return F.expr("""
-      aggregate(filter(edges, e -> e.j - e.i > 1), shiftleft(1L, n + 1) - 1L, (acc, e) ->
+      aggregate(sort_array(edges), shiftleft(1L, n + 1) - 1L, (acc, e) ->
         CASE WHEN (shiftright(acc, e.i) & 1L) = 1L AND (shiftright(acc, e.j) & 1L) = 1L
                AND bit_count(shiftright(acc, e.i + 1) & (shiftleft(1L, e.j - e.i - 1) - 1L)) = 1
              THEN acc & ~shiftleft(shiftleft(1L, e.j - e.i - 1) - 1L, e.i + 1) ELSE acc END)""")
 
 
-def segmentations(words: DataFrame, path: str) -> DataFrame:
-    """word, ids for distinct words."""
-    spark, p = words.sparkSession, pieces_of(path)
-    short = words.where(F.length("word") <= LONGEST)
-    lat = lattice(short, piece_table(spark, path), p.longest).withColumn("mask", merge_fold())
-    lat = lat.withColumn("cuts", F.expr("filter(sequence(0, n), b -> (shiftright(mask, b) & 1L) = 1L)"))
-    # a segment is an edge, or a character without a piece: its bytes
-    own = "filter(edges, e -> e.i = b AND e.j = cuts[k + 1])"
-    as_bytes = f"transform(sequence(1, length(hex(encode(substring(word, b + 1, 1), 'UTF-8'))) div 2), x -> {p.byte0} + cast(conv(substring(hex(encode(substring(word, b + 1, 1), 'UTF-8')), 2 * x - 1, 2), 16, 10) AS int))"
-    ids = F.expr(f"flatten(transform(slice(cuts, 1, size(cuts) - 1), (b, k) -> CASE WHEN size({own}) > 0 THEN transform({own}, e -> e.id) ELSE {as_bytes} END))")
-    folded = lat.select("word", ids.alias("ids"))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces_of(path).fold(w.as_py()) for w in batch.column(0)], pa.list_(pa.int32()))], names=["word", "ids"])
+def viterbi(words: DataFrame, table: DataFrame, longest: int, unknown: float) -> DataFrame:
+    """word and its boundaries on the path of the highest sum of scores, for a unigram table (piece, score double) with all
+    scores below 0; a character that is no piece costs `unknown`. Of equal sums the one whose last piece is longest wins.
 
-    # words in which no piece matches at all have no row in the lattice
-    none = short.join(folded.select("word"), "word", "left_anti").unionAll(words.where(F.length("word") > LONGEST))
-    return folded.unionAll(none.mapInArrow(rest, "word string, ids array<int>"))
+    The fold goes over the ends of pieces: it holds the best sum at every place so far and where its last piece begins."""
+    singles = F.broadcast(table.where(F.length("piece") == 1).select(F.col("piece").alias("c"), F.col("score").alias("one")))
+    chars = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("i")).withColumn("c", F.expr("substring(word, i, 1)"))
+    ones = chars.join(singles, "c", "left").groupBy("word").agg(F.expr(f"transform(sort_array(collect_list(struct(i, coalesce(one, {unknown}D) AS one))), x -> x.one)").alias("ones"))
+    lat = lattice(words, table, longest, ["word"], "score").join(ones, "word")
+    fold = F.expr("""
+      aggregate(sequence(1, n), named_struct('sum', array(0D), 'start', array(0)), (acc, b) ->
+        named_struct('sum', concat(acc.sum, array(array_max(concat(array(acc.sum[b - 1] + ones[b - 1]), transform(filter(edges, e -> e.j = b), e -> acc.sum[e.i] + e.score))))),
+                     'start', concat(acc.start, array(-array_max(concat(array(named_struct('s', acc.sum[b - 1] + ones[b - 1], 'i', 1 - b)), transform(filter(edges, e -> e.j = b), e -> named_struct('s', acc.sum[e.i] + e.score, 'i', -e.i)))).i))))""")
+    lat = lat.withColumn("best", fold)
+    back = F.expr("aggregate(sequence(1, n), array(n), (cuts, x) -> CASE WHEN cuts[size(cuts) - 1] > 0 THEN concat(cuts, array(best.start[cuts[size(cuts) - 1]])) ELSE cuts END)")
+    return lat.select("word", F.array_sort(back).alias("cuts"), F.expr("best.sum[n]").alias("score"))
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, round_trip (whether decoding gives the text back)."""
     path = path or _model_path()
-    chunks = materialize(stage_words(with_text(docs, id_col, text_col), path), "words")
-    asked = chunks.select("chunk", F.posexplode("vocab").alias("at", "word"))
-    words = materialize(asked.select("word").distinct(), "distinct")
-    known = materialize(segmentations(words, path), "segmentations")
-    reply = asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("reply"))
-    joined = chunks.drop("vocab").join(reply, "chunk", "left")
+    p, spark = pieces_of(path), docs.sparkSession
+    # both sides of the join below take the whole rows unfiltered (hence the outer explode of arrays that are never empty),
+    # so the dealing by chunk is one exchange that both read
+    chunks = stage_words(with_text(docs, id_col, text_col), path).repartition(4 * n_partitions(spark), "chunk")
+    words = chunks.select("chunk", F.posexplode_outer("parts").alias("at", "raw")).where(f"at >= {HEAD}").select("chunk", "at", F.col("raw").cast("string").alias("word"))
+    found = lattice(words.where(F.length("word") <= LONGEST), piece_table(spark, path), p.longest, ["chunk", "at"], "rank")
+    reply = found.select("chunk", "at", merge_fold().alias("mask")).groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("reply"))
+    joined = chunks.join(reply, "chunk", "left").select("parts", "reply")
+
+    def word_ids(words: list[str], masks: dict[int, int], p: Pieces) -> tuple[list[int], list[int]]:
+        """Ids of all words, one after the other, and how many each has."""
+        flat: list[int] = []
+        sizes = []
+        for k, w in enumerate(words):
+            before = len(flat)
+            if len(w) > LONGEST:
+                flat += p.fold(w)
+            else:
+                mask, i = masks[k] >> 1, 0
+                while mask:
+                    j = i + (mask & -mask).bit_length()
+                    mask >>= j - i
+                    one = p.id.get(w[i:j])
+                    flat += [one] if one is not None else [p.byte0 + b for b in w[i:j].encode()]
+                    i = j
+            sizes.append(len(flat) - before)
+        return flat, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for batch in batches:
-            for k in range(len(batch)):
-                cell = lambda c: batch.column(batch.schema.get_field_index(c))[k]  # noqa: B023, E731
-                local = unpack_bytes(cell("words").as_py(), "<u4").astype(np.int64)
-                reply = cell("reply").values
-                if reply is None or len(reply) == 0:
-                    flat, size = np.zeros(0, np.int32), np.zeros(1, np.int64)
-                else:
-                    at, lists = reply.field("at").to_numpy(), reply.field("ids")
-                    offsets = lists.offsets.to_numpy().astype(np.int64)
-                    values = lists.values.to_numpy()
-                    order = np.argsort(at)
-                    size = np.diff(offsets)[order]
-                    first = offsets[:-1][order]
-                    mine = size[local]
-                    begin = np.cumsum(mine) - mine
-                    flat = values[np.repeat(first[local] - begin, mine) + np.arange(int(mine.sum()))]
-                sizes = np.asarray(cell("sizes").as_py(), np.int64)
-                word_ends = np.append(0, np.cumsum(size[local])) if len(local) else np.zeros(1, np.int64)
-                cuts = word_ends[np.append(0, np.cumsum(sizes))]
-                ok = []
-                for a, b, sha in zip(cuts[:-1], cuts[1:], cell("hashes").as_py(), strict=True):
-                    ok.append(hashlib.sha256(p.decode(flat[a:b].tolist()).encode()).hexdigest() == sha)
-                ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([cell("doc_ids").values, pa.array(np.diff(cuts)), ids, pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
-
-    return joined.select("words", "sizes", "hashes", "doc_ids", "reply").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+            for parts, reply in zip(batch.column(0), batch.column(1), strict=True):
+                raw = parts.values
+                head = [raw[k].as_py() for k in range(HEAD)]
+                vocab = [x.decode() for x in raw.slice(HEAD).to_pylist()]
+                at = reply.values.field("at").to_numpy() - HEAD if reply.is_valid else np.zeros(0, np.int32)
+                masks = dict(zip(at.tolist(), reply.values.field("mask").to_pylist(), strict=True)) if reply.is_valid else {}
+                if len(masks) != sum(len(w) <= LONGEST for w in vocab):
+                    raise RuntimeError("words of a chunk without an answer: its source gives other rows when it is read again")
+                flat, size = (np.array(x, np.int64) for x in word_ids(vocab, masks, p))
+                local = unpack_bytes(head[0], "<u4").astype(np.int64)
+                first, mine = np.cumsum(size) - size, size[local]
+                ends = np.append(0, np.cumsum(mine))
+                flat = flat[np.repeat(first[local] - ends[:-1], mine) + np.arange(int(ends[-1]))]
+                cuts = ends[np.append(0, np.cumsum(unpack_bytes(head[1], "<u4").astype(np.int64)))]
+                ids = pa.array(unpack_bytes(head[2], "<i8"), pa.int64(), mask=np.frombuffer(head[3], bool))
+                ok = [hashlib.blake2b(p.decode(flat[a:b].tolist()).encode(), digest_size=16).digest() == head[4][16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(cuts)), lists, pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -217,3 +217,23 @@ def test_quality(spark, empty, odd):
     assert np.mean([got[i].predicted == int(i % 5 > 0) for i in range(600)]) > 0.97
     assert quality.score_quality(empty, labels).count() == 0
     assert {x.score for x in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
+
+
+def test_viterbi_finds_the_best_path(spark):
+    r = random.Random(3)
+    words_ = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(40)} | {"abcabcx", "x", "xx"})
+    pieces = {c: -3.0 - i / 10 for i, c in enumerate("abc")} | {"".join(r.choice("abc") for _ in range(r.randrange(2, 5))): -r.uniform(2, 9) for _ in range(25)}
+    table = spark.createDataFrame(list(pieces.items()), "piece string, score double")
+    got = {x.word: x for x in sentencepiece_lattice.viterbi(spark.createDataFrame([(w,) for w in words_], "word string"), table, 4, -20.0).collect()}
+    score = lambda w, cuts: sum(pieces.get(w[a:b], -20.0 if b - a == 1 else -1e9) for a, b in zip(cuts, cuts[1:]))  # noqa: B905, E731
+    assert sorted(got) == words_
+    for w in words_:
+        ways = [[0, *[i + 1 for i in range(len(w) - 1) if m >> i & 1], len(w)] for m in range(2 ** (len(w) - 1))]
+        assert got[w].score == pytest.approx(max(score(w, c) for c in ways)) == pytest.approx(score(w, got[w].cuts))
+
+
+def test_sentencepiece_of_long_words_and_runs(spark, model):
+    r = random.Random(8)
+    texts = ["x" * 70, "ab" * 400, " " * 90 + "y", "the " * 3000 + "end", "▁" * 5 + "a", "".join(r.choice("aeinrst") for _ in range(3000)), "\n\n  a\t b", "日本" * 50, "a" * 62 + " " + "b" * 61 + " " + "c" * 63]
+    got = sentencepiece_lattice.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(x.ids == model.encode(texts[x.doc_id]) for x in got) and len(got) == len(texts)
