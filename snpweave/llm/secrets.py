@@ -1,16 +1,21 @@
 """Secret scans: key patterns, and a randomness test battery for strings that no pattern names.
 
-DataFrame functions only. Patterns give spans of kind assign, access and hex. The battery looks at every other
-maximal run of key-like characters that mixes digits and letters:
+DataFrame functions only. Patterns give spans of kind assign, access and hex. The battery looks at what they leave: every
+maximal run of at least LEAST key-like characters that changes between letters and digits or from lower to upper case.
 
 - encoding: the smallest alphabet that holds it (hex, base32, lower or upper case with digits, base64);
-- uniformity: chi-squared of its symbol counts against equal shares (upper tail, Wilson-Hilferty);
-- runs: Wald-Wolfowitz number of runs above and below the middle of the alphabet;
-- serial correlation of neighbouring symbols.
-A string stays a candidate while none of the three rejects randomness (Bonferroni). Its p-value under ordinary text
-is that of its number of changes between letter cases and digits, which grow with its length if it is random but are
-rare in words and identifiers; Benjamini-Hochberg over all candidates of the corpus, counted by tenths of log10 p,
-controls the share of false ones. Those spans are of kind random.
+- uniformity: chi-squared of its symbol counts against equal shares;
+- runs: the number of changes between lower case, upper case and digits (one less than that of runs);
+- serial correlation: the number of changes between vowels and consonants among neighbouring letters, and the correlation
+  of neighbouring symbol numbers.
+
+Each test has two sides. Random strings of the encoding: a string stays in question while no test rejects that (each at
+REJECT). Ordinary text: the same statistics are far from those of random strings (symbols as uneven as letters of Latin
+scripts, few changes of class, vowels and consonants taking turns), the farther the longer the string. A test's z-value
+against text is weighted by the distance between the two in standard deviations, which follows from encoding and length, so
+a test counts as much as it can tell; the weighted sum gives one p-value a string. Strings that the first side rejects have
+p = 1. Benjamini-Hochberg over all distinct strings of the corpus, counted by tenths of log10 p, controls the share of false
+ones; what passes are spans of kind random. Short strings of small alphabets cannot reach the p-values that it asks for.
 
 Null or empty text: no spans. Null ids and repeated rows: a row each. An empty table gives no rows. Extra columns are
 ignored.
@@ -26,23 +31,29 @@ from snpweave.llm.common import materialize, small_or_shuffled, with_text
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-# a maximal run with a digit and a letter; the look-ahead keeps ordinary words out early
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24,}"
+LEAST = 12  # shorter runs are left to the patterns: no alphabet reaches the control's p-values there
+KEY = "[A-Za-z0-9+/_=-]"
+RUN = rf"(?<!{KEY})(?={KEY}{{{LEAST}}})(?={KEY}*?(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z])){KEY}+"
 KINDS = ("assign", "access", "hex", "random")
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-TEXT_CHANGES = 0.15  # share of neighbours in ordinary identifiers that change between letter cases and digits
+# ordinary text: chance that two of its letters are equal, share of neighbours of different class, and of letters that are
+# neighbours of which one is a vowel
+TEXT_EQUAL, TEXT_CHANGES, TEXT_TURNS = 0.065, 0.15, 0.6
 REJECT = 0.001
+BLOCK = 256
 
 _SPAN = "struct<at:int, kind:int, stop:int>"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
-    """Spans of all matches of the pattern, from the lengths of the matches and of the pieces between them. keep: array
-    of booleans, one a match."""
+    """Spans of all matches of the pattern, from the lengths of the matches and of the pieces between them, added up by
+    blocks (one long array would be copied for every match). keep: array of booleans, one a match."""
     rx = F.lit(pattern)
     found = F.regexp_extract_all(text, rx, F.lit(0))
     steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("size"), (keep if keep is not None else F.transform(found, lambda _: F.lit(True))).alias("keep"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
+    none = F.array().cast(f"array<{_SPAN}>")
+    state = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
@@ -50,7 +61,24 @@ def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) ->
         span = F.struct(at.alias("at"), F.lit(kind).alias("kind"), stop.alias("stop"))
         return F.struct(stop.alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def join(acc: Column, block: Column) -> Column:
+        inner = F.array(F.aggregate(block, state(acc["at"]), add))
+        return F.transform(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))[0]
+
+    return F.when(text.rlike(pattern), F.aggregate(blocks, state(F.lit(0)), join, lambda acc: acc["out"])).otherwise(none)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with every span turned to blanks."""
+
+    def add(acc: Column, s: Column) -> Column:
+        start, stop = F.greatest(acc["at"], s["at"]), F.greatest(acc["at"], s["stop"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), stop - start))
+        return F.struct(stop.alias("at"), out.alias("out"))
+
+    end = F.array(F.struct(F.length(text).alias("at"), F.lit(0).alias("kind"), F.length(text).alias("stop")))
+    whole = F.aggregate(F.concat(spans, end), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: acc["out"])
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _lower_tail(z: Column) -> Column:
@@ -63,41 +91,61 @@ def _lower_tail(z: Column) -> Column:
 
 
 def random_candidates(strings: DataFrame) -> DataFrame:
-    """Adds to a column `s`: n, alphabet size a, uniformity p-value p_random, and log10 of the p-value under text."""
+    """Adds to a column `s`: n (symbols), a (alphabet size), whether the string may be random, and log10 of its p-value
+    under ordinary text (0 where it can't be random)."""
     body = F.translate(F.regexp_replace("s", "=+$", ""), "-_", "+/")
     hexa, b32 = F.col("s").rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.col("s").rlike("^[A-Z2-7]+=*$")
     lower, upper = F.col("s").rlike("^[a-z0-9]+$"), F.col("s").rlike("^[A-Z0-9]+$")
-    alphabet = F.when(hexa, "0123456789abcdef").when(b32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").when(lower, "0123456789abcdefghijklmnopqrstuvwxyz").when(upper, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ").otherwise(B64)
-    df = strings.withColumn("alphabet", alphabet).withColumn("body", F.when(hexa, F.lower(body)).otherwise(body))
+    kind = F.when(hexa, 0).when(b32, 1).when(lower, 2).when(upper, 3).otherwise(4)
+    df = strings.withColumn("kind", kind).withColumn("body", F.when(hexa, F.lower(body)).otherwise(body))
+    of_kind = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("kind") + 1)
+    df = df.withColumn("alphabet", of_kind(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", B64]))
+    # of random neighbours: share of different class, and of letters of which one is a vowel
+    mixed = lambda *parts: 1 - sum((p / sum(parts)) ** 2 for p in parts)
+    df = df.withColumn("changing", of_kind([mixed(10, 6), mixed(26, 6), mixed(26, 10), mixed(26, 10), mixed(26, 26, 10)]))
+    df = df.withColumn("turning", of_kind([mixed(2, 4)] + [mixed(5, 21)] * 4))
     df = df.withColumn("n", F.length("body").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
-    df = df.withColumn("x", F.expr("transform(split(body, ''), c -> cast(locate(c, alphabet) - 1 AS double))"))
-    df = df.withColumn("x", F.expr("filter(x, v -> v >= 0)"))
-    # chi-squared
+    n = F.col("n")
+    # uniformity
     df = df.withColumn("squares", F.expr("aggregate(split(alphabet, ''), 0D, (t, c) -> t + pow(length(body) - length(replace(body, c, '')), 2))"))
-    df = df.withColumn("chi2", F.col("a") / F.col("n") * F.col("squares") - F.col("n"))
-    k = F.col("a") - 1
-    p_chi = 1 - _lower_tail((F.pow(F.col("chi2") / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
-    # runs above and below the middle
-    df = df.withColumn("up", F.expr("transform(x, v -> v >= a / 2)")).withColumn("n1", F.expr("cast(size(filter(up, v -> v)) AS double)"))
-    changes = lambda a: F.expr(f"cast(size(filter(transform(sequence(1, greatest(size({a}) - 1, 1)), i -> element_at({a}, i) <> element_at({a}, least(i + 1, size({a})))), v -> v)) AS double)")
-    df = df.withColumn("runs", changes("up") + 1)
-    n, n1 = F.col("n"), F.col("n1")
-    mean = 2 * n1 * (n - n1) / n + 1
-    var = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
-    p_runs = F.when(var <= 0, 0.0).otherwise(2 * (1 - _lower_tail(F.abs(F.col("runs") - mean) / F.sqrt(var))))
+    df = df.withColumn("chi2", F.col("a") / n * F.col("squares") - n)
+    # runs of one class: neighbours among letters and digits that differ in it
+    df = df.withColumn("plain", F.regexp_replace("body", "[+/=]", ""))
+    pairs = F.greatest(F.length("plain") - 1, F.lit(1)).cast("double")
+    df = df.withColumn("pairs", pairs).withColumn("changes", F.regexp_count("plain", F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")).cast("double"))
     # serial correlation
+    low = F.lower("plain")
+    df = df.withColumn("letters", F.regexp_count(low, F.lit("(?<=[a-z])(?=[a-z])")).cast("double"))
+    df = df.withColumn("turns", F.regexp_count(low, F.lit("(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])")).cast("double"))
+    df = df.withColumn("x", F.expr("transform(filter(split(body, ''), c -> locate(c, alphabet) > 0), c -> cast(locate(c, alphabet) AS double))"))
     df = df.withColumn("mean", F.expr("aggregate(x, 0D, (t, v) -> t + v) / size(x)"))
     df = df.withColumn("dev", F.expr("transform(x, v -> v - mean)"))
     df = df.withColumn("power", F.expr("aggregate(dev, 0D, (t, v) -> t + v * v)"))
     df = df.withColumn("lagged", F.expr("aggregate(zip_with(slice(dev, 1, greatest(size(dev) - 1, 1)), slice(dev, 2, greatest(size(dev) - 1, 1)), (u, v) -> u * v), 0D, (t, v) -> t + coalesce(v, 0D))"))
+
+    k = F.col("a") - 1
+    spread = lambda m, p: F.sqrt(F.greatest(m * p * (1 - p), F.lit(1e-9)))
+    # against random strings (chi-squared by Wilson-Hilferty)
+    z_chi = (F.pow(F.col("chi2") / k, F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+    z_runs = F.abs(F.col("changes") - F.col("changing") * F.col("pairs")) / spread(F.col("pairs"), F.col("changing"))
+    z_turns = F.when(F.col("letters") > 0, F.abs(F.col("turns") - F.col("turning") * F.col("letters")) / spread(F.col("letters"), F.col("turning"))).otherwise(0.0)
     corr = F.when(F.col("power") > 0, F.col("lagged") / F.col("power")).otherwise(1.0)
-    p_serial = 2 * (1 - _lower_tail(F.abs(corr + 1 / n) * F.sqrt(n)))
-    df = df.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
-    # changes between upper case, lower case, digits and the rest, against ordinary text: a normal tail, by its logarithm
-    df = df.withColumn("class", F.expr("transform(split(body, ''), c -> CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'A' AND 'Z' THEN 1 WHEN c BETWEEN 'a' AND 'z' THEN 2 ELSE 3 END)"))
-    z = (changes("class") - 0.5 - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
-    tail = F.when(z > 5, -z * z / 2 - F.log(z * 2.5066282746310002)).otherwise(F.log(F.greatest(1 - _lower_tail(z), F.lit(1e-300))))
-    return df.withColumn("log_p", tail / F.log(F.lit(10.0)))
+    z_serial = F.abs(corr + 1 / n) * F.sqrt(n)
+    p = F.least(1 - _lower_tail(z_chi), 2 * (1 - _lower_tail(z_runs)), 2 * (1 - _lower_tail(z_turns)), 2 * (1 - _lower_tail(z_serial)))
+    df = df.withColumn("may_be_random", p >= REJECT)
+
+    # against text: z-values, each weighted by how far apart text and random strings are
+    excess = F.greatest(n * (F.col("a") * TEXT_EQUAL - 1), F.lit(0.0))  # noncentral chi-squared
+    sd_chi = F.sqrt(2 * (k + 2 * excess))
+    tests = [((k + excess - F.col("chi2")) / sd_chi, excess / sd_chi)]
+    for seen, m, text, rand, up in (("changes", "pairs", TEXT_CHANGES, "changing", 1), ("turns", "letters", TEXT_TURNS, "turning", -1)):
+        sd = spread(F.col(m), F.lit(text))
+        tests.append((F.when(F.col(m) > 0, up * (F.col(seen) - text * F.col(m)) / sd).otherwise(0.0), F.greatest(up * (F.col(rand) - text) * F.col(m) / sd, F.lit(0.0))))
+    z = sum(w * v for v, w in tests) / F.sqrt(F.greatest(sum(w * w for _, w in tests), F.lit(1e-9)))
+    df = df.withColumn("z", z)
+    tail = F.expr(f"CASE WHEN z > 5 THEN -z * z / 2 - ln(z * {2.5066282746310002}D) ELSE NULL END")
+    log_p = F.coalesce(tail, F.log(F.greatest(1 - _lower_tail(F.col("z")), F.lit(1e-300)))) / F.log(F.lit(10.0))
+    return df.withColumn("log_p", F.when(F.col("may_be_random"), log_p).otherwise(0.0))
 
 
 def false_discovery_cut(tests: DataFrame, rate: float) -> float:
@@ -119,15 +167,16 @@ def secret_spans(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", te
     text = F.col("text")
     long_enough = lambda p, g, n: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda m: F.length(m) >= n)
     base = F.concat(_spans(text, ASSIGN, 0, long_enough(ASSIGN, 2, 6)), _spans(text, ACCESS, 1, long_enough(ACCESS, 0, 20)), _spans(text, HEX, 2))
-    runs = F.transform(_spans(text, RUN, 3), lambda r: F.struct(r["at"].alias("at"), r["stop"].alias("stop"), F.substring(text, r["at"] + 1, r["stop"] - r["at"]).alias("s")))
-    found = source.select("doc_id", F.xxhash64("text").alias("text_key"), F.array_sort(base).alias("base"), runs.alias("runs"))
-    free = F.expr("filter(runs, r -> NOT exists(base, b -> b.at < r.stop AND b.stop > r.at))")
-    found = materialize(found.withColumn("runs", free), "spans")
+    found = source.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.array_sort(base).alias("base"))
+    rest = _masked(text, F.col("base"))
+    found = found.withColumn("rest", F.when(rest.rlike(RUN), rest))  # null where there is no candidate
+    runs = F.transform(_spans(F.coalesce("rest", F.lit("")), RUN, 3), lambda r: F.struct(r["at"].alias("at"), r["stop"].alias("stop"), F.substring("rest", r["at"] + 1, r["stop"] - r["at"]).alias("s")))
+    found = materialize(found.select("doc_id", "text_key", "base", runs.alias("runs")), "spans")
 
     tests = random_candidates(found.select(F.explode("runs").alias("r")).select("r.s").distinct())
-    tests = materialize(tests.select("s", "p_random", "log_p").where(F.col("p_random") >= REJECT), "tests")
+    tests = materialize(tests.select("s", "log_p"), "tests")
     cut = false_discovery_cut(tests, rate)
-    secret = tests.where(F.col("log_p") <= cut).select("s")
+    secret = small_or_shuffled(tests.where(F.col("log_p") <= cut).select("s"))
     some = found.where(F.size("runs") > 0).select("doc_id", "text_key", F.explode("runs").alias("r")).select("doc_id", "text_key", "r.at", "r.stop", "r.s")
     added = some.join(secret, "s").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("at", F.lit(3).alias("kind"), "stop"))).alias("added"))
     plain = found.where(F.size("runs") == 0).select("doc_id", "text_key", "base", F.array().cast(f"array<{_SPAN}>").alias("added"))

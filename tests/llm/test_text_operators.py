@@ -171,6 +171,40 @@ def test_secrets(spark, docs, corpus, empty, odd):
     assert clean.where("text LIKE '%[SECRET]%'").count() == 1 and clean.count() == len(corpus)
 
 
+def test_random_strings_of_every_encoding_and_length(spark):
+    """Planted keys without a pattern are found in all encodings from 20 symbols on, ordinary names and clean texts are left."""
+    import string
+
+    r = random.Random(7)
+    kinds = {"base64": (string.ascii_letters + string.digits + "+/", 0.95), "lower": (string.ascii_lowercase + string.digits, 0.88), "upper": (string.ascii_uppercase + string.digits, 0.88), "base32": (string.ascii_uppercase + "234567", 0.75), "hex": ("0123456789abcdef", 0.75)}
+    rows, of = [], {}
+    for name, (symbols, _) in kinds.items():
+        for n in (20, 22, 23) if name == "hex" else (20, 23, 24, 40):
+            for _ in range(60):
+                of[len(rows)] = name
+                rows.append("some words " + "".join(r.choice(symbols) for _ in range(n)) + " follow")
+    names = "my_variable_name_2024_section_overview1 user-guide-chapter-12-section-4-figure-3 IntroductionToStatistics101 photo20240229backup REPORT2023FINALVERSION v2beta1release3candidate MainWindowController windows10professional".split()
+    syllable = lambda: r.choice("bcdfglmnprst") + r.choice("aeiou")
+    names += ["".join(syllable() for _ in range(r.randrange(5, 9))) + str(r.randrange(2000)) for _ in range(500)]
+    rows += names
+    found = secrets.secret_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).select("doc_id", F.size("added").alias("k"), "added").collect()
+    hits = Counter(of.get(x.doc_id, "text") for x in found if x.k)
+    assert hits["text"] <= 0.01 * sum(hits.values())
+    for name, (_, least) in kinds.items():
+        assert hits[name] >= least * sum(v == name for v in of.values()), name
+    # a span that the patterns took is not tested again; the rest of its run is
+    key = "".join(r.choice(kinds["base64"][0][:62]) for _ in range(40))
+    more = [(i, t) for i, t in enumerate(rows)] + [(10**6, f"token=abcdefgh,{key}"), (10**6 + 1, "0123456789abcdef" * 2)]
+    last = {x.doc_id: x for x in secrets.secret_spans(spark.createDataFrame(more, "doc_id long, text string")).where("doc_id >= 1000000").collect()}
+    assert [(a.at, a.stop) for a in last[10**6].added] == [(15, 55)] and not last[10**6 + 1].added
+
+
+def test_many_spans_in_one_text(spark):
+    text = "password=abcdef1 and " * 1500 + "AKIA" + "B" * 20
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.written(F.col("base")).alias("base")).first()
+    assert row.base == base_spans(text)
+
+
 def test_ngram_join(docs, corpus, empty, odd):
     sets = {i: shingles(t) for i, t in corpus}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
