@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from snpweave.shared import components, local_forest, materialize, scratch_dir  # noqa: F401
 
 BLOCK_BYTES = 512 << 10
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
 BATCH_ROWS = 2_000
 U64 = np.uint64
 
