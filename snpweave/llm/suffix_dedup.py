@@ -337,9 +337,10 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
 
     found = rows.where("kind = 1").select("fp", "eid", "pos")
     spread = lambda df, a: df.groupBy("fp").agg(F.min(a).alias("a"), F.max(a).alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).where("a <> b OR p <> q").select("fp")
-    some = materialize(found.join(spread(found, "eid"), "fp", "left_semi"), "repeated")
+    # what is joined by a hash or a digest stands in a table of its own first, so that a join can split the rows of a hot one
+    some = materialize(found.join(small_or_shuffled(spread(found, "eid")), "fp", "left_semi"), "repeated")
     some = materialize(some.join(gid_of, "eid").select("fp", "gid", "pos").distinct(), "repeated")
-    some = some.join(spread(some, "gid"), "fp", "left_semi")
+    some = some.join(small_or_shuffled(spread(some, "gid")), "fp", "left_semi")
     by_doc = some.groupBy("gid").agg(F.collect_list("pos").alias("at")).join(classes.select("gid", "rid", "tk"), "gid")
     texts = source.select("rid", "tk", "text").join(by_doc, ["rid", "tk"]).groupBy("rid", "tk").agg(F.first("gid").alias("gid"), F.first("text").alias("text"), F.first("at").alias("at"))
     texts = materialize(texts.select("gid", "text", "at"), "texts")
@@ -347,7 +348,7 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     strings = cores(texts, length, True).groupBy("c1", "c2", "s1", "s2", "ahead", "after").agg(F.min("gid").alias("gid"), F.min("start").alias("start"), ((F.min("gid") != F.max("gid")) | (F.min("start") != F.max("start"))).alias("copied"))
     strings = materialize(strings, "strings")
     kinds = strings.groupBy("c1", "c2").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    many = materialize(strings.join(kinds, ["c1", "c2"]), "shared")
+    many = materialize(strings.join(small_or_shuffled(kinds), ["c1", "c2"]), "shared")
     size, rows_in = many.agg(F.sum(F.length("ahead") + F.length("after") + 1), F.count("*")).first()
     shards = max(n_partitions(spark), -(-(size or 0) // SHARD_BYTES))
     split = F.col("kinds") > min(SPLIT_AT, max(LEAST_SPLIT, rows_in // shards))  # a core gets no more than a shard's share
@@ -358,7 +359,7 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     whole = strings.where("copied").select("s1", "s2", F.array(-F.length("ahead"), F.length("after") + core_size).alias("spans")).where(F.col("spans")[1] - F.col("spans")[0] >= length)
     # all windows of a string hold its core, so together they cover one span
     spans = matches.where("spans IS NOT NULL").select("s1", "s2", "spans").unionAll(crossed).unionAll(whole)
-    spans = spans.groupBy("s1", "s2").agg(F.array(F.min(F.col("spans")[0]), F.max(F.col("spans")[1])).alias("spans"))
+    spans = small_or_shuffled(spans.groupBy("s1", "s2").agg(F.array(F.min(F.col("spans")[0]), F.max(F.col("spans")[1])).alias("spans")))
 
     placed = cores(texts, length, False).select("s1", "s2", "gid", "start").join(spans, ["s1", "s2"])
     placed = placed.select("gid", F.expr("transform(spans, x -> x + start)").alias("spans"))
