@@ -44,7 +44,8 @@ from snpweave.llm.lm_scoring import pack_bytes, unpack_bytes
 from snpweave.llm.token_counts import MARK, _model_path, piece_model
 
 CHUNK_WORDS, LONGEST = 2_000_000, 61
-HEAD = 5  # parts of a chunk before its words
+HEAD = 4  # parts of a chunk before its words
+SLICE = 200_000  # words whose ids are lined up at once
 
 
 class Pieces:
@@ -110,17 +111,18 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage_words(docs: DataFrame, path: str) -> DataFrame:
-    """One row per chunk: chunk (a digest of what it holds) and parts: local word numbers, sizes (words), ids, which ids are
-    null, and digests of the texts; then the distinct words, frequent ones first."""
+    """One row per chunk: chunk (a digest of what it holds) and parts: local word numbers, sizes (words), ids, and for
+    each text whether its id is null (1) and whether it holds a space mark (2); then the distinct words, frequent ones
+    first."""
 
-    def row(ids: list, sizes: list, digests: list, words: array, vocab: dict) -> pa.RecordBatch:
+    def row(ids: list, sizes: list, marks: list, words: array, vocab: dict) -> pa.RecordBatch:
         local = np.frombuffer(words, "<u4") if words else np.zeros(0, "<u4")
         # frequent words get small numbers, which pack better
         order = np.argsort(-np.bincount(local, minlength=len(vocab)), kind="stable")
         place = np.empty(len(order), "<u4")
         place[order] = np.arange(len(order), dtype="<u4")
         texts = list(vocab)
-        parts = [pack_bytes(place[local] if len(local) else local), pack_bytes(np.array(sizes, "<u4")), pack_bytes(np.array([i or 0 for i in ids], "<i8")), bytes(i is None for i in ids), b"".join(digests)]
+        parts = [pack_bytes(place[local] if len(local) else local), pack_bytes(np.array(sizes, "<u4")), pack_bytes(np.array([i or 0 for i in ids], "<i8")), bytes((i is None) + 2 * m for i, m in zip(ids, marks, strict=True))]
         parts += [texts[k].encode() for k in order]
         key = hashlib.blake2b(digest_size=8)
         for x in parts:
@@ -129,7 +131,7 @@ def stage_words(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pieces_of(path).cut.findall
-        ids, sizes, digests, words, vocab = [], [], [], array("I"), {}
+        ids, sizes, marks, words, vocab = [], [], [], array("I"), {}
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -140,37 +142,44 @@ def stage_words(docs: DataFrame, path: str) -> DataFrame:
                 words.extend(map(vocab.__getitem__, found))
                 ids.append(doc_id)
                 sizes.append(len(found))
-                digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
+                marks.append(MARK in text)
                 if len(words) >= CHUNK_WORDS:
-                    yield row(ids, sizes, digests, words, vocab)
-                    ids, sizes, digests, words, vocab = [], [], [], array("I"), {}
+                    yield row(ids, sizes, marks, words, vocab)
+                    ids, sizes, marks, words, vocab = [], [], [], array("I"), {}
         if ids:
-            yield row(ids, sizes, digests, words, vocab)
+            yield row(ids, sizes, marks, words, vocab)
 
     return docs.select("doc_id", "text").mapInArrow(run, "chunk long NOT NULL, parts array<binary> NOT NULL")
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str], value: str) -> DataFrame:
-    """keys, n (characters) and edges of every word: (value of the piece, i, j) for each piece that stands at i:j and has
-    more than one character. Substrings are exploded, joined with the pieces and grouped by word; a word's first character
-    keeps a row for words without edges."""
+def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str], edge: Column, none: Column) -> DataFrame:
+    """keys and edges of every word: `edge` (of the piece's row, its start i from 1, its size l and the word's size n) for
+    each piece of more than one character that stands in the word, and `none` once. Substrings are exploded, joined with the
+    pieces and grouped by word; the row of a word's first character stays for words without edges and gives `none`."""
     n = F.length("word").alias("n")
     spots = words.select(*keys, "word", n).select("*", F.explode(F.expr("sequence(1, n)")).alias("i"))
     sizes = F.expr(f"CASE WHEN i = 1 THEN sequence(1, least({longest}, n)) WHEN i < n THEN sequence(2, least({longest}, n - i + 1)) ELSE array() END")
     spots = spots.select("*", F.explode(sizes).alias("l"))
     parts = spots.select(*keys, "n", "i", "l", F.expr("substring(word, i, l)").alias("piece"))
-    edges = parts.join(F.broadcast(table.where(F.length("piece") > 1)), "piece", "left").where(f"{value} IS NOT NULL OR (i = 1 AND l = 1)")
-    edge = F.when(F.col(value).isNotNull(), F.struct(value, (F.col("i") - 1).alias("i"), (F.col("i") + F.col("l") - 1).alias("j")))
-    return edges.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(edge).alias("edges"))
+    edges = parts.join(F.broadcast(table.where(F.length("piece") > 1).withColumn("found", F.lit(True))), "piece", "left").where("found OR (i = 1 AND l = 1)")
+    return edges.select(*keys, F.when(F.col("found"), edge).otherwise(none).alias("e")).groupBy(*keys).agg(F.collect_list("e").alias("edges"))
+
+
+def _ranked() -> tuple[Column, Column]:
+    """An edge as one number that sorts by rank and place, and the word's size as one below 0."""
+    return F.expr("shiftleft(cast(rank AS long), 32) | shiftleft(cast(i - 1 AS long), 16) | cast(i + l - 1 AS long)"), F.expr("cast(-n AS long)")
 
 
 def merge_fold() -> Column:
     """Boundaries (bit b: a boundary before character b) after all merges by rank and place."""
-    return F.expr("""
-      aggregate(sort_array(edges), shiftleft(1L, n + 1) - 1L, (acc, e) ->
-        CASE WHEN (shiftright(acc, e.i) & 1L) = 1L AND (shiftright(acc, e.j) & 1L) = 1L
-               AND bit_count(shiftright(acc, e.i + 1) & (shiftleft(1L, e.j - e.i - 1) - 1L)) = 1
-             THEN acc & ~shiftleft(shiftleft(1L, e.j - e.i - 1) - 1L, e.i + 1) ELSE acc END)""")
+    i, j = "cast(shiftright(e, 16) & 65535 AS int)", "cast(e & 65535 AS int)"
+    inside = f"shiftleft(shiftleft(1L, {j} - {i} - 1) - 1L, {i} + 1)"
+    return F.expr(f"""
+      aggregate(sort_array(edges), 0L, (acc, e) -> CASE
+        WHEN e < 0 THEN shiftleft(1L, cast(1 - e AS int)) - 1L
+        WHEN (shiftright(acc, {i}) & 1L) = 0L OR (shiftright(acc, {j}) & 1L) = 0L THEN acc
+        WHEN bit_count(acc & {inside}) = 1 THEN acc & ~{inside}
+        ELSE acc END)""")
 
 
 def viterbi(words: DataFrame, table: DataFrame, longest: int, unknown: float) -> DataFrame:
@@ -181,7 +190,8 @@ def viterbi(words: DataFrame, table: DataFrame, longest: int, unknown: float) ->
     singles = F.broadcast(table.where(F.length("piece") == 1).select(F.col("piece").alias("c"), F.col("score").alias("one")))
     chars = words.select("word", F.explode(F.expr("sequence(1, length(word))")).alias("i")).withColumn("c", F.expr("substring(word, i, 1)"))
     ones = chars.join(singles, "c", "left").groupBy("word").agg(F.expr(f"transform(sort_array(collect_list(struct(i, coalesce(one, {unknown}D) AS one))), x -> x.one)").alias("ones"))
-    lat = lattice(words, table, longest, ["word"], "score").join(ones, "word")
+    edge = F.struct("score", (F.col("i") - 1).alias("i"), (F.col("i") + F.col("l") - 1).alias("j"))
+    lat = lattice(words, table, longest, ["word"], edge, F.lit(None)).withColumn("n", F.length("word")).join(ones, "word")
     fold = F.expr("""
       aggregate(sequence(1, n), named_struct('sum', array(0D), 'start', array(0)), (acc, b) ->
         named_struct('sum', concat(acc.sum, array(array_max(concat(array(acc.sum[b - 1] + ones[b - 1]), transform(filter(edges, e -> e.j = b), e -> acc.sum[e.i] + e.score))))),
@@ -199,28 +209,30 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     # so the dealing by chunk is one exchange that both read
     chunks = stage_words(with_text(docs, id_col, text_col), path).repartition(4 * n_partitions(spark), "chunk")
     words = chunks.select("chunk", F.posexplode_outer("parts").alias("at", "raw")).where(f"at >= {HEAD}").select("chunk", "at", F.col("raw").cast("string").alias("word"))
-    found = lattice(words.where(F.length("word") <= LONGEST), piece_table(spark, path), p.longest, ["chunk", "at"], "rank")
+    found = lattice(words.where(F.length("word") <= LONGEST), piece_table(spark, path), p.longest, ["chunk", "at"], *_ranked())
     reply = found.select("chunk", "at", merge_fold().alias("mask")).groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("reply"))
     joined = chunks.join(reply, "chunk", "left").select("parts", "reply")
 
-    def word_ids(words: list[str], masks: dict[int, int], p: Pieces) -> tuple[list[int], list[int]]:
-        """Ids of all words, one after the other, and how many each has."""
-        flat: list[int] = []
-        sizes = []
+    def word_ids(words: list[str], masks: Iterator[int], p: Pieces) -> tuple[array, array, np.ndarray]:
+        """Ids of all words, one after the other, how many each has, and whether they decode to the word."""
+        flat, sizes, good = array("i"), array("I"), np.ones(len(words), bool)
         for k, w in enumerate(words):
-            before = len(flat)
+            ids = []
             if len(w) > LONGEST:
-                flat += p.fold(w)
+                ids = p.fold(w)
             else:
-                mask, i = masks[k] >> 1, 0
+                mask, i = next(masks) >> 1, 0
                 while mask:
                     j = i + (mask & -mask).bit_length()
                     mask >>= j - i
                     one = p.id.get(w[i:j])
-                    flat += [one] if one is not None else [p.byte0 + b for b in w[i:j].encode()]
+                    ids += [one] if one is not None else [p.byte0 + b for b in w[i:j].encode()]
                     i = j
-            sizes.append(len(flat) - before)
-        return flat, sizes
+            if b"".join([p.raw[x] for x in ids]) != w.replace(MARK, " ").encode():
+                good[k] = False
+            flat.extend(ids)
+            sizes.append(len(ids))
+        return flat, sizes, good
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
@@ -229,20 +241,30 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                 raw = parts.values
                 head = [raw[k].as_py() for k in range(HEAD)]
                 vocab = [x.decode() for x in raw.slice(HEAD).to_pylist()]
-                at = reply.values.field("at").to_numpy() - HEAD if reply.is_valid else np.zeros(0, np.int32)
-                masks = dict(zip(at.tolist(), reply.values.field("mask").to_pylist(), strict=True)) if reply.is_valid else {}
-                if len(masks) != sum(len(w) <= LONGEST for w in vocab):
+                at, mask = (reply.values.field(c).to_numpy() for c in ("at", "mask")) if reply.is_valid else (np.zeros(0, np.int64),) * 2
+                if len(at) != sum(len(w) <= LONGEST for w in vocab):
                     raise RuntimeError("words of a chunk without an answer: its source gives other rows when it is read again")
-                flat, size = (np.array(x, np.int64) for x in word_ids(vocab, masks, p))
-                local = unpack_bytes(head[0], "<u4").astype(np.int64)
-                first, mine = np.cumsum(size) - size, size[local]
-                ends = np.append(0, np.cumsum(mine))
-                flat = flat[np.repeat(first[local] - ends[:-1], mine) + np.arange(int(ends[-1]))]
-                cuts = ends[np.append(0, np.cumsum(unpack_bytes(head[1], "<u4").astype(np.int64)))]
-                ids = pa.array(unpack_bytes(head[2], "<i8"), pa.int64(), mask=np.frombuffer(head[3], bool))
-                ok = [hashlib.blake2b(p.decode(flat[a:b].tolist()).encode(), digest_size=16).digest() == head[4][16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(cuts)), lists, pa.array(ok, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+                ids, sizes, good = word_ids(vocab, iter(mask[np.argsort(at)].tolist()), p)
+                flat, size = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(sizes, np.int64)
+                first = np.cumsum(size) - size
+                local, n_words = unpack_bytes(head[0], "<u4"), unpack_bytes(head[1], "<u4").astype(np.int64)
+                doc_ids, marks = unpack_bytes(head[2], "<i8"), np.frombuffer(head[3], np.uint8)
+                end = np.cumsum(n_words)
+                doc = 0
+                while doc < len(n_words):  # some documents at a time
+                    begin = int(end[doc] - n_words[doc])
+                    stop = max(doc + 1, int(np.searchsorted(end, begin + SLICE, side="right")))
+                    mine = local[begin : int(end[stop - 1])]
+                    count = size[mine]
+                    ends = np.append(0, np.cumsum(count))
+                    tokens = flat[np.repeat(first[mine] - ends[:-1], count) + np.arange(int(ends[-1]))]
+                    cuts = np.append(0, end[doc:stop] - begin)
+                    bad = np.diff(np.append(0, np.cumsum(~good[mine]))[cuts]) > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc_ids[doc:stop], pa.int64(), mask=marks[doc:stop] & 1 > 0), pa.array(np.diff(ends[cuts])), pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(tokens)), pa.array(~(bad | (marks[doc:stop] & 2 > 0)), pa.bool_())],
+                        names=["doc_id", "n_tokens", "ids", "round_trip"],
+                    )
+                    doc = stop
 
     return joined.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 

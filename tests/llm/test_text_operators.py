@@ -295,3 +295,11 @@ def test_risk_is_minimised():
         w = quality.nn_pu(of(p), of(u), prior, 0.1)
         assert negative(w) > -1e-9 or prior == 0.95  # an estimate below 0 for whatever weights counts as 0
         assert all(risk(w) <= risk(w + r.normal(0, s, 4)) + 1e-12 for s in (1e-3, 1e-2, 0.1, 1.0) for _ in range(50))
+
+
+def test_round_trip_is_what_decoding_shows(spark):
+    texts = ["plain words", "a ▁ mark", "two  spaces ", " lead", "\x00� é", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = sentencepiece_lattice.encode_texts(docs)
+    back = {x.doc_id: x.text for x in sentencepiece_lattice.decode_ids(enc).collect()}
+    assert {x.doc_id: x.round_trip for x in enc.collect()} == {i: back[i] == (t or "") for i, t in enumerate(texts)}
