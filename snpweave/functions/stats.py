@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -30,62 +31,100 @@ def normal_cdf(x: float, mean: float = 0.0, sd: float = 1.0) -> float:
     return 0.5 * math.erfc(-(x - mean) / (sd * math.sqrt(2)))
 
 
-def gamma_upper(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
-    if x <= 0:
-        return 1.0
-    lead = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
+def normal_quantile(p: float) -> float:
+    """The value below which a standard normal falls with probability p, by bisection."""
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if normal_cdf(middle) < p else (low, middle)
+    return high
+
+
+@lru_cache(maxsize=4)
+def ln_factorials(n: int) -> np.ndarray:
+    """ln 0! .. ln n!."""
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
+def ln_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function of positive numbers, by Stirling's series at x + 8."""
+    x = np.asarray(x, float)
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - np.log(np.prod([x + k for k in range(8)], axis=0))
+
+
+def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma function of whole arrays: series below a + 1, continued fraction above."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.ones(a.shape)
+    lead = np.exp(-x + a * np.log(np.maximum(x, TINY)) - ln_gamma(a))
+    low = (x > 0) & (x < a + 1)
+    if low.any():
+        k, v = a[low].copy(), x[low]
+        term = 1 / k
+        total = term.copy()
+        while (np.abs(term) > np.abs(total) * 1e-16).any():
+            k = k + 1
+            term = term * v / k
             total += term
-        return max(0.0, 1 - total * lead)
-    b, c = x + 1 - a, 1e300
-    d = 1 / b
-    h = d
-    for i in range(1, 10_000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return h * lead
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    lead = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    h = d
-    for m in range(1, 10_000):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or 1e-300)
-            c = 1 + num / c or 1e-300
+        out[low] = np.maximum(0.0, 1 - total * lead[low])
+    high = x >= a + 1
+    if high.any():
+        p, b = a[high], x[high] + 1 - a[high]
+        c, d = np.full(p.shape, 1e300), 1 / b
+        h = d.copy()
+        for i in range(1, 10_000):
+            an = -i * (i - p)
+            b = b + 2
+            d = 1 / _off_zero(an * d + b)
+            c = _off_zero(b + an / c)
             h *= d * c
-        if abs(d * c - 1) < 1e-16:
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        out[high] = h * lead[high]
+    return out
+
+
+def _off_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 0, 1e-300, x)
+
+
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of whole arrays by its continued fraction."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, v = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    inner = (v > 0) & (v < 1)
+    v = np.where(inner, v, 0.5)
+    lead = np.exp(ln_gamma(p + q) - ln_gamma(p) - ln_gamma(q) + p * np.log(v) + q * np.log1p(-v)) / p
+    c, d = np.ones(p.shape), 1 / _off_zero(1 - (p + q) * v / (p + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        step = np.ones(p.shape)
+        for num in (m * (q - m) * v / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * v / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / _off_zero(1 + num * d)
+            c = _off_zero(1 + num / c)
+            step = d * c
+            h = h * step
+        if (np.abs(step - 1) < 1e-15).all():
             break
-    return lead * h
+    part = lead * h
+    part = np.where(swap, 1 - part, part)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(inner, part, np.where(swap, 1.0, 0.0))))
 
 
-def chi2_sf(x: float, df: float) -> float:
-    return gamma_upper(df / 2, x / 2)
+def chi2_sf(x, df):
+    return gamma_upper(np.asarray(df, float) / 2, np.asarray(x, float) / 2)
 
 
-def f_sf(x: float, d1: float, d2: float) -> float:
+def f_sf(x, d1, d2):
+    x, d1, d2 = (np.asarray(v, float) for v in (x, d1, d2))
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * x))
 
 
 def t_sf(t: float, df: float) -> float:
-    p = 0.5 * beta_inc(df / 2, 0.5, df / (df + t * t))
+    p = 0.5 * float(beta_inc(df / 2, 0.5, df / (df + t * t)))
     return p if t >= 0 else 1 - p
 
 

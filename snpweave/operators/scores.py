@@ -1,18 +1,21 @@
 """Statistical scores of SNP sets, as grouped aggregations over joint genotypes.
 
 A set's individuals fall into at most 3^k cells, one for each joint genotype. Every closed-form score is a function of
-the cells' counts and sums, so the individuals are aggregated once (partial sums on the map side) and the rest works
-on a few rows a set. Genotypes, sets and phenotypes are never collected.
+the cells' counts and sums, so the individuals are counted once (`blocks`) and the rest works on a few rows a set.
+Genotypes, sets and phenotypes are never collected. `joint_genotypes` is for results that name individuals.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from snpweave.functions.stats import chi2_sf, clamp_probability, f_sf, ln_factorial, normal_cdf
+from snpweave.functions.stats import TINY, chi2_sf, clamp_probability, f_sf, ln_factorial, ln_factorials, normal_quantile
+from snpweave.operators.blocks import category_cells, value_cells
+from snpweave.shared import materialize
 
 #: whether a larger score is better
 MAXIMISE = {"PENETRANCE_LLH", "REGRESSION_LLH", "REGRESSION_NLL_GAIN", "REGRESSION_LLH_GAIN", "REGRESSION_AIC_GAIN", "REGRESSION_BIC_GAIN"}
@@ -32,9 +35,8 @@ def joint_genotypes(sets: DataFrame, genotypes: DataFrame) -> DataFrame:
 
 
 def cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
-    """set_id, gid, y, n: individuals by joint genotype and category."""
-    joint = joint_genotypes(sets, genotypes).join(phenotypes.select("ind_id", F.col(y).alias("y")), "ind_id")
-    return joint.groupBy("set_id", "gid", "y").agg(F.count("*").alias("n"))
+    """set_id, gid, y, n: individuals by joint genotype and category, counted by blocks."""
+    return category_cells(sets, genotypes, phenotypes, y)
 
 
 def _with_empty(cell: DataFrame, totals: DataFrame) -> DataFrame:
@@ -59,10 +61,11 @@ def quantile_bins(phenotypes: DataFrame, y: str, bins: int = 100) -> DataFrame:
     """ind_id, bin of a quantitative phenotype: floor(bins * normal cdf(y)), with the population variance in the place of
     the standard deviation."""
     stat = phenotypes.select(F.avg(y), F.var_pop(y)).first()
+    edges = np.array([normal_quantile(k / bins) for k in range(1, bins)])
 
     @pandas_udf("int")
     def binned(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: min(bins - 1, int(normal_cdf(x, stat[0], stat[1]) * bins)))
+        return pd.Series(np.searchsorted(edges, (v.to_numpy() - stat[0]) / stat[1], side="right"))
 
     return phenotypes.select("ind_id", binned(F.col(y).cast("double")).alias("bin"))
 
@@ -79,15 +82,14 @@ def chi_squared(cell: DataFrame, totals: DataFrame) -> DataFrame:
 
     @pandas_udf("double")
     def p_value(x: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(a, b) if b > 0 else 1.0 for a, b in zip(x, df, strict=True)])
+        return pd.Series(np.where(df > 0, chi2_sf(x.to_numpy(), np.maximum(df.to_numpy(), 1.0)), 1.0))
 
     return out.withColumn("VARIANCE", p_value("chi2", F.col("df").cast("double"))).select("set_id", "chi2", F.col("df").cast("long").alias("df"), "VARIANCE")
 
 
 def quantitative_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
     """set_id, gid, n, mean and population variance of a quantitative phenotype by joint genotype."""
-    joint = joint_genotypes(sets, genotypes).join(phenotypes.select("ind_id", F.col(y).cast("double").alias("y")), "ind_id")
-    return joint.groupBy("set_id", "gid").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
+    return value_cells(sets, genotypes, phenotypes, y).drop("low", "high")
 
 
 def anova(cell: DataFrame) -> DataFrame:
@@ -99,7 +101,10 @@ def anova(cell: DataFrame) -> DataFrame:
 
     @pandas_udf("double")
     def p_value(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if v == 0 else 2.2250738585072014e-308 if v == float("inf") else f_sf(v, c, d) for v, c, d in zip(x, a, b, strict=True)])
+        v = x.to_numpy()
+        plain = (v > 0) & np.isfinite(v)
+        p = f_sf(np.where(plain, v, 1.0), np.maximum(a.to_numpy(), 1.0), np.maximum(b.to_numpy(), 1.0))
+        return pd.Series(np.where(plain, p, np.where(v == 0, 1.0, TINY)))
 
     return out.withColumn("f", f).select("set_id", "f", F.col("df1").cast("long"), F.col("df2").cast("long"), p_value("f", F.col("df1").cast("double"), F.col("df2").cast("double")).alias("VARIANCE"))
 
@@ -126,15 +131,23 @@ def penetrance_quantitative(sets: DataFrame, genotypes: DataFrame, phenotypes: D
     """As `penetrance` with normal densities: a cell's mean and population standard deviation (0 becomes 1e-4), or those
     of all where it is smaller than min_cell; densities above 1 count as 1."""
     pheno = phenotypes.select("ind_id", F.col(y).cast("double").alias("y"))
-    joint = joint_genotypes(sets, genotypes).join(pheno, "ind_id")
-    stats = joint.groupBy("set_id", "gid").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"))
     whole = pheno.agg(F.avg("y").alias("gm"), F.stddev_pop("y").alias("gsd"), F.count("*").alias("people"))
-    stats = stats.crossJoin(F.broadcast(whole))  # one row
+    stats = value_cells(sets, genotypes, phenotypes, y).crossJoin(F.broadcast(whole))  # one row
     own = F.col("n") >= min_cell
-    stats = stats.select("set_id", "gid", "people", F.when(own, F.col("m")).otherwise(F.col("gm")).alias("mean"), F.when(own, F.col("sd")).otherwise(F.col("gsd")).alias("sd")).withColumn("sd", F.when(F.col("sd") == 0, 1e-4).otherwise(F.col("sd")))
-    z = (F.col("y") - F.col("mean")) / F.col("sd")
-    density = F.exp(-z * z / 2) / (F.col("sd") * 2.5066282746310002)
-    nll = joint.join(stats, ["set_id", "gid"]).groupBy("set_id").agg(F.sum(-F.log(clamp_probability(density))).alias("nll"), F.max("people").alias("people"), F.lit(2.0).alias("C"))
+    stats = stats.withColumn("m", F.when(own, F.col("mean")).otherwise(F.col("gm"))).withColumn("sd", F.when(own, F.sqrt("var")).otherwise(F.col("gsd"))).withColumn("sd", F.when(F.col("sd") == 0, 1e-4).otherwise(F.col("sd")))
+    # no density of the cell is cut at 1 or at the smallest double: its sum of squares gives its likelihood
+    scale = F.col("sd") * 2.5066282746310002
+    far = F.greatest(F.abs(F.col("low") - F.col("m")), F.abs(F.col("high") - F.col("m"))) / F.col("sd")
+    stats = stats.withColumn("plain", (scale >= 1) & (far * far / 2 + F.log(scale) < 708)).withColumn("nll", F.col("n") * F.log(scale) + F.col("n") * (F.col("var") + (F.col("mean") - F.col("m")) ** 2) / (2 * F.col("sd") ** 2))
+    stats = materialize(stats.select("set_id", "gid", "people", "m", "sd", "plain", "nll"), "cells")
+    parts = stats.where("plain").select("set_id", "nll", "people")
+    cut = stats.where("NOT plain")
+    if not cut.isEmpty():  # the others individual by individual
+        some = sets.join(cut.select("set_id").distinct(), "set_id", "left_semi")
+        joint = joint_genotypes(some, genotypes).join(pheno, "ind_id").join(cut, ["set_id", "gid"])
+        z = (F.col("y") - F.col("m")) / F.col("sd")
+        parts = parts.unionAll(joint.select("set_id", (-F.log(clamp_probability(F.exp(-z * z / 2) / scale))).alias("nll"), "people"))
+    nll = parts.groupBy("set_id").agg(F.sum("nll").alias("nll"), F.max("people").alias("people"), F.lit(2.0).alias("C"))
     return _criteria(nll.join(sets.select("set_id", F.size("snps").alias("k")), "set_id"))
 
 
@@ -152,8 +165,8 @@ def predict_penetrance(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFr
 
 
 def score_sets(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
-    """All closed-form scores of a categorical phenotype from one aggregation."""
-    cell = cells(sets, genotypes, phenotypes, y)
+    """All closed-form scores of a categorical phenotype from one table of cells."""
+    cell = materialize(cells(sets, genotypes, phenotypes, y), "cells")
     totals = category_totals(phenotypes, y)
     return bayesian(cell).join(chi_squared(cell, totals).select("set_id", "VARIANCE"), "set_id").join(penetrance(sets, cell, totals), "set_id")
 
@@ -164,20 +177,32 @@ def rank_sets(scored: DataFrame, score: str, tie: str = "set_id") -> DataFrame:
     return scored.withColumn("RANK", F.row_number().over(Window.orderBy(order, tie)).cast("long"))
 
 
-def shuffled_phenotypes(phenotypes: DataFrame, y: str, rounds: int, seed: int = 0) -> DataFrame:
-    """round, ind_id, y: the phenotype dealt anew in every round, by the order of a hash of round, seed and individual."""
-    numbered = phenotypes.select("ind_id", y).crossJoin(F.broadcast(phenotypes.sparkSession.range(rounds).select(F.col("id").alias("round"))))  # a copy a round
-    by = lambda *c: F.row_number().over(Window.partitionBy("round").orderBy(*c))
-    people = numbered.select("round", "ind_id", by("ind_id").alias("i"))
-    values = numbered.select("round", y, by(F.xxhash64("round", F.lit(seed), "ind_id"), "ind_id").alias("i"))
-    return people.join(values, ["round", "i"]).select("round", "ind_id", F.col(y).alias("y"))
-
-
-def monte_carlo(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, rounds: int, seed: int = 0) -> DataFrame:
-    """set_id, p: (rounds whose BAYESIAN score the original doesn't beat + 1) / (rounds + 1)."""
-    original = bayesian(cells(sets, genotypes, phenotypes, y)).select("set_id", F.col("BAYESIAN").alias("own"))
-    joint = joint_genotypes(sets, genotypes).join(shuffled_phenotypes(phenotypes, y, rounds, seed), "ind_id")
-    cell = joint.groupBy("set_id", "round", "gid", "y").agg(F.count("*").alias("n"))
-    parts = cell.groupBy("set_id", "round", "gid").agg(F.sum("n").alias("size"), F.sum(ln_factorial(F.col("n"))).alias("own_f"))
-    other = parts.groupBy("set_id", "round").agg(F.sum(ln_factorial(F.col("size") + 1) - F.col("own_f")).alias("score"))
-    return other.join(original, "set_id").groupBy("set_id").agg(((F.sum(F.when(F.col("own") < F.col("score"), 0).otherwise(1)) + 1) / (F.count("*") + 1)).alias("p"))
+def monte_carlo(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """set_id, p: (rounds whose BAYESIAN score the original doesn't beat + 1) / (rounds + 1).
+
+    When a phenotype is dealt anew at random, the counts of a set's cells have the multivariate hypergeometric distribution
+    of tables with the same cell sizes and category totals. Each round draws such a table from the set's cells, so a round
+    costs a few draws and not a pass over the individuals."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cats, c = np.unique(pdf["y"].to_numpy(), return_inverse=True)
+        gids, g = np.unique(pdf["gid"].to_numpy(), return_inverse=True)
+        table = np.zeros((len(gids), len(cats)), np.int64)
+        np.add.at(table, (g, c), pdf["n"].to_numpy())
+        size, ln = table.sum(axis=1), ln_factorials(int(table.sum()) + 1)
+        own = (ln[size + 1] - ln[table].sum(axis=1)).sum()
+        rng = np.random.default_rng([seed, int(pdf["set_id"].iloc[0]) & 0xFFFFFFFF])
+        rest = np.tile(table.sum(axis=0), (rounds, 1))  # individuals of each category not dealt yet
+        score = np.full(rounds, ln[size + 1].sum())
+        for n in size:
+            left, others = np.full(rounds, n), rest.sum(axis=1)
+            for k in range(len(cats)):
+                others = others - rest[:, k]
+                drawn = rng.hypergeometric(rest[:, k], others, left)
+                rest[:, k] -= drawn
+                left = left - drawn
+                score -= ln[drawn]
+        worse = (score <= own + 1e-9 * abs(own)).sum()
+        return pd.DataFrame({"set_id": [pdf["set_id"].iloc[0]], "p": [(worse + 1) / (rounds + 1)]})
+
+    return cells(sets, genotypes, phenotypes, y).groupBy("set_id").applyInPandas(run, "set_id long, p double")

@@ -100,7 +100,7 @@ def regression_y2(s, d):
 
 def monte_carlo_p(s, d):
     x, g, p = _geno(s, d)
-    return scores.monte_carlo(x, g, p, "y2", rounds=20)
+    return _r(scores.monte_carlo(x, g, p, "y2"), "p")
 
 
 def ranked_results(s, d):
