@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding by a relational lattice over distinct words.
 
 1. Texts are cut where no piece can reach over: before a run of space marks and around characters that no piece holds.
-   Texts become chunks: local word numbers and the chunk's distinct words, dealt once by chunk. All that follows keeps
-   that dealing, so the chunks are the only thing that is shuffled.
-2. Lattice. Every distinct word of a chunk is exploded into its substrings of at most the longest piece; these are
+   Texts become chunks: a body of local word numbers, and a question for each of the chunk's distinct words. One exchange
+   deals bodies by chunk and questions by word; all that follows keeps that dealing.
+2. Lattice. Every distinct word of the corpus is exploded into its substrings of at most the longest piece; these are
    joined with the piece table (bounded by the model, broadcast); the edges that match are grouped by word.
 3. Fold, a Spark higher-order `aggregate` over a word's edges. For a unigram model `viterbi` finds the path of the
    highest sum of log probabilities. The model that the query uses is a merge model (BPE), whose scores are merge
    ranks: a best path by sums gives other segmentations than the library, so `merge_fold` takes the edges by rank and
    place and merges an edge if its ends are boundaries and exactly one boundary lies between.
-4. Each chunk gets the boundaries of its words and lines up the ids. Characters without a piece become bytes.
+4. The answers to a chunk's questions, packed, go back to it, and it lines up the ids. Characters without a piece become
+   bytes.
 
 Why one fold by rank is the library's result: the library merges, again and again, the adjacent pair of the least rank.
 It could differ only if a pair appeared whose rank is less than that of a merge already made. Both ends of such a pair P
@@ -20,7 +21,7 @@ Only pieces that are nothing but marks may share a rank; runs of marks are compa
 longest piece.
 
 Words of more than 61 characters (a long's bits hold the boundaries) are folded by the same rule in Python, where the
-ids are lined up; results don't depend on the limit.
+boundaries of others become ids; results don't depend on the limit.
 
 Null or empty text: no ids. Null ids are kept. Repeated rows are encoded each. An empty table gives no rows. Extra
 columns are ignored. Decoding gives the text back, except that a space mark inside the text becomes a space.
@@ -39,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import n_partitions, with_text
+from snpweave.llm.common import n_partitions, prefix_hash, range_hash, with_text
 from snpweave.llm.lm_scoring import pack_bytes, unpack_bytes
 from snpweave.llm.token_counts import MARK, _model_path, piece_model
 
-CHUNK_WORDS, LONGEST = 2_000_000, 61
-HEAD = 4  # parts of a chunk before its words
+CHUNK_WORDS, LONGEST = 5_000_000, 61
 SLICE = 200_000  # words whose ids are lined up at once
+ASKED = 400_000  # questions that are answered together
 
 
 class Pieces:
@@ -111,23 +112,37 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage_words(docs: DataFrame, path: str) -> DataFrame:
-    """One row per chunk: chunk (a digest of what it holds) and parts: local word numbers, sizes (words), ids, and for
-    each text whether its id is null (1) and whether it holds a space mark (2); then the distinct words, frequent ones
-    first."""
+    """Rows of chunks. A body: key (a digest of what the chunk holds), at null, and its packed word numbers, sizes (words),
+    ids, and for each text whether its id is null (1) and whether it holds a space mark (2). A question: key (a hash of the
+    word), the chunk's key, at (the word's number in it, frequent ones first), and the word."""
+    schema = "key long NOT NULL, chunk long NOT NULL, at int, body binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def row(ids: list, sizes: list, marks: list, words: array, vocab: dict) -> pa.RecordBatch:
+    def rows(ids: list, sizes: list, marks: list, words: array, vocab: dict) -> Iterator[pa.RecordBatch]:
         local = np.frombuffer(words, "<u4") if words else np.zeros(0, "<u4")
-        # frequent words get small numbers, which pack better
         order = np.argsort(-np.bincount(local, minlength=len(vocab)), kind="stable")
         place = np.empty(len(order), "<u4")
-        place[order] = np.arange(len(order), dtype="<u4")
-        texts = list(vocab)
+        place[order] = np.arange(len(order), dtype="<u4")  # frequent words get small numbers, which pack better
+        texts = [w.encode() for w in vocab]
         parts = [pack_bytes(place[local] if len(local) else local), pack_bytes(np.array(sizes, "<u4")), pack_bytes(np.array([i or 0 for i in ids], "<i8")), bytes((i is None) + 2 * m for i, m in zip(ids, marks, strict=True))]
-        parts += [texts[k].encode() for k in order]
-        key = hashlib.blake2b(digest_size=8)
-        for x in parts:
-            key.update(len(x).to_bytes(8, "little") + x)
-        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(key.digest(), "little", signed=True)], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["chunk", "parts"])
+        body = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+        key = hashlib.blake2b(body, digest_size=8)
+        for k in order:
+            key.update(len(texts[k]).to_bytes(4, "little") + texts[k])
+        chunk = int.from_bytes(key.digest(), "little", signed=True)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.array([body], pa.binary())], names=names)
+        # questions of one partition stand together in the exchange, in the order of their words, which packs better
+        flat, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        hashes = np.zeros(len(texts), np.int64)
+        for at in range(0, len(texts), ASKED // 8):
+            end = min(len(texts), at + ASKED // 8)
+            data = flat[offsets[at] : offsets[end]]
+            cut = offsets[at : end + 1] - offsets[at]
+            hashes[at:end] = range_hash(prefix_hash(data), cut[:-1], cut[1:]).view(np.int64)
+        ranked = sorted(range(len(texts)), key=texts.__getitem__)
+        for at in range(0, len(texts), 20_000):
+            some = ranked[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(np.full(len(some), chunk)), pa.array(place[some].astype(np.int32)), pa.array([texts[k] for k in some], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pieces_of(path).cut.findall
@@ -144,12 +159,12 @@ def stage_words(docs: DataFrame, path: str) -> DataFrame:
                 sizes.append(len(found))
                 marks.append(MARK in text)
                 if len(words) >= CHUNK_WORDS:
-                    yield row(ids, sizes, marks, words, vocab)
+                    yield from rows(ids, sizes, marks, words, vocab)
                     ids, sizes, marks, words, vocab = [], [], [], array("I"), {}
         if ids:
-            yield row(ids, sizes, marks, words, vocab)
+            yield from rows(ids, sizes, marks, words, vocab)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long NOT NULL, parts array<binary> NOT NULL")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int, keys: list[str], edge: Column, none: Column) -> DataFrame:
@@ -201,56 +216,100 @@ def viterbi(words: DataFrame, table: DataFrame, longest: int, unknown: float) ->
     return lat.select("word", F.array_sort(back).alias("cuts"), F.expr("best.sum[n]").alias("score"))
 
 
+def word_ids(word: str, mask: int | None, p: Pieces) -> list[int]:
+    """Ids of a word from its boundaries; without them by the rule itself."""
+    if mask is None:
+        return p.fold(word)
+    ids, i, mask = [], 0, mask >> 1
+    while mask:
+        j = i + (mask & -mask).bit_length()
+        mask >>= j - i
+        one = p.id.get(word[i:j])
+        ids += [one] if one is not None else [p.byte0 + b for b in word[i:j].encode()]
+        i = j
+    return ids
+
+
+def _only(rows: DataFrame, condition: str, *columns: str) -> DataFrame:
+    """Some rows of an exchange that others read too: a filter would go below it and make it another one, an array of one
+    row or none doesn't."""
+    kept = F.explode(F.expr(f"CASE WHEN {condition} THEN array(struct({', '.join(columns)})) ELSE array() END")).alias("r")
+    return rows.select("key", kept).select("key", *[f"r.{c}" for c in columns])
+
+
+def answers(asked: DataFrame, path: str) -> DataFrame:
+    """Rows (chunk, reply) from rows (chunk, at, word, mask): packed word numbers, sizes, ids, and the numbers of words that
+    don't decode to themselves. A chunk has one row for some of its words."""
+
+    def flush(found: dict[int, list]) -> pa.RecordBatch:
+        keys, packed = [], []
+        for chunk, rows in found.items():
+            rows.sort(key=lambda r: r[0])
+            at = np.array([r[0] for r in rows], np.int64)
+            parts = [pack_bytes(np.diff(at, prepend=0).astype("<u4")), pack_bytes(np.array([len(r[1]) for r in rows], "<u4")), pack_bytes(np.array([x for r in rows for x in r[1]], "<u4")), pack_bytes(np.array([r[0] for r in rows if r[2]], "<u4"))]
+            keys.append(chunk)
+            packed.append(b"".join(len(x).to_bytes(8, "little") + x for x in parts))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "reply"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, found, n, last = pieces_of(path), {}, 0, (None, None, None)
+        for batch in batches:
+            for chunk, at, word, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word != last[0]:  # a word's questions come one after the other
+                    ids = word_ids(word, mask, p)
+                    last = word, ids, b"".join([p.raw[x] for x in ids]) != word.replace(MARK, " ").encode()
+                found.setdefault(chunk, []).append((at, last[1], last[2]))
+                n += 1
+            if n >= ASKED:
+                yield flush(found)
+                found, n = {}, 0
+        if found:
+            yield flush(found)
+
+    return asked.select("chunk", "at", "word", "mask").mapInArrow(run, "chunk long, reply binary")
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, round_trip (whether decoding gives the text back)."""
     path = path or _model_path()
     p, spark = pieces_of(path), docs.sparkSession
-    # both sides of the join below take the whole rows unfiltered (hence the outer explode of arrays that are never empty),
-    # so the dealing by chunk is one exchange that both read
-    chunks = stage_words(with_text(docs, id_col, text_col), path).repartition(4 * n_partitions(spark), "chunk")
-    words = chunks.select("chunk", F.posexplode_outer("parts").alias("at", "raw")).where(f"at >= {HEAD}").select("chunk", "at", F.col("raw").cast("string").alias("word"))
-    found = lattice(words.where(F.length("word") <= LONGEST), piece_table(spark, path), p.longest, ["chunk", "at"], *_ranked())
-    reply = found.select("chunk", "at", merge_fold().alias("mask")).groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("reply"))
-    joined = chunks.join(reply, "chunk", "left").select("parts", "reply")
-
-    def word_ids(words: list[str], masks: Iterator[int], p: Pieces) -> tuple[array, array, np.ndarray]:
-        """Ids of all words, one after the other, how many each has, and whether they decode to the word."""
-        flat, sizes, good = array("i"), array("I"), np.ones(len(words), bool)
-        for k, w in enumerate(words):
-            ids = []
-            if len(w) > LONGEST:
-                ids = p.fold(w)
-            else:
-                mask, i = next(masks) >> 1, 0
-                while mask:
-                    j = i + (mask & -mask).bit_length()
-                    mask >>= j - i
-                    one = p.id.get(w[i:j])
-                    ids += [one] if one is not None else [p.byte0 + b for b in w[i:j].encode()]
-                    i = j
-            if b"".join([p.raw[x] for x in ids]) != w.replace(MARK, " ").encode():
-                good[k] = False
-            flat.extend(ids)
-            sizes.append(len(ids))
-        return flat, sizes, good
+    parts = 4 * n_partitions(spark)
+    dealt = stage_words(with_text(docs, id_col, text_col), path).repartition(parts, "key")
+    asked = _only(dealt, "at IS NOT NULL", "chunk", "at", "body").withColumn("word", F.col("body").cast("string")).drop("body")
+    words = asked.select("key", "word").where(F.length("word") <= LONGEST).distinct()
+    folded = lattice(words, piece_table(spark, path), p.longest, ["key", "word"], *_ranked()).select("key", "word", merge_fold().alias("mask"))
+    # by the key that both are dealt by; words are compared beside it (as an equality they would become keys and be dealt anew)
+    a, f = asked.alias("a"), folded.alias("f")
+    known = a.join(f, F.expr("a.key = f.key AND a.word >= f.word AND a.word <= f.word"), "left").select("a.chunk", "a.at", "a.word", "f.mask")
+    reply = answers(known, path).repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list("reply").alias("replies"))
+    bodies = _only(dealt, "at IS NULL", "chunk", "at", "body").select("key", "body")
+    joined = bodies.join(reply, F.col("key") == F.col("chunk"), "left").select("body", "replies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces_of(path)
         for batch in batches:
-            for parts, reply in zip(batch.column(0), batch.column(1), strict=True):
-                raw = parts.values
-                head = [raw[k].as_py() for k in range(HEAD)]
-                vocab = [x.decode() for x in raw.slice(HEAD).to_pylist()]
-                at, mask = (reply.values.field(c).to_numpy() for c in ("at", "mask")) if reply.is_valid else (np.zeros(0, np.int64),) * 2
-                if len(at) != sum(len(w) <= LONGEST for w in vocab):
+            for body, replies in zip(batch.column(0), batch.column(1), strict=True):
+                head = _parts(body.as_py())
+                got = [[unpack_bytes(x, "<u4").astype(np.int64) for x in _parts(r)] for r in (replies.as_py() or [])]
+                got = [r + [np.zeros(0, np.int64)] * (4 - len(r)) for r in got]
+                at = np.concatenate([np.cumsum(r[0]) for r in got]) if got else np.zeros(0, np.int64)
+                sizes, flat, bad_at = (np.concatenate([r[k] for r in got]) if got else np.zeros(0, np.int64) for k in (1, 2, 3))
+                local = unpack_bytes(head[0], "<u4")
+                if len(np.unique(at)) != (int(local.max()) + 1 if len(local) else 0):
                     raise RuntimeError("words of a chunk without an answer: its source gives other rows when it is read again")
-                ids, sizes, good = word_ids(vocab, iter(mask[np.argsort(at)].tolist()), p)
-                flat, size = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(sizes, np.int64)
-                first = np.cumsum(size) - size
-                local, n_words = unpack_bytes(head[0], "<u4"), unpack_bytes(head[1], "<u4").astype(np.int64)
+                size, first, bad = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+                size[at], first[at], bad[bad_at] = sizes, np.cumsum(sizes) - sizes, True
+                flat, n_words = flat.astype(np.int32), unpack_bytes(head[1], "<u4").astype(np.int64)
                 doc_ids, marks = unpack_bytes(head[2], "<i8"), np.frombuffer(head[3], np.uint8)
-                end = np.cumsum(n_words)
-                doc = 0
+                end, doc = np.cumsum(n_words), 0
                 while doc < len(n_words):  # some documents at a time
                     begin = int(end[doc] - n_words[doc])
                     stop = max(doc + 1, int(np.searchsorted(end, begin + SLICE, side="right")))
@@ -259,9 +318,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                     ends = np.append(0, np.cumsum(count))
                     tokens = flat[np.repeat(first[mine] - ends[:-1], count) + np.arange(int(ends[-1]))]
                     cuts = np.append(0, end[doc:stop] - begin)
-                    bad = np.diff(np.append(0, np.cumsum(~good[mine]))[cuts]) > 0
+                    wrong = np.diff(np.append(0, np.cumsum(bad[mine]))[cuts]) > 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[doc:stop], pa.int64(), mask=marks[doc:stop] & 1 > 0), pa.array(np.diff(ends[cuts])), pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(tokens)), pa.array(~(bad | (marks[doc:stop] & 2 > 0)), pa.bool_())],
+                        [pa.array(doc_ids[doc:stop], pa.int64(), mask=marks[doc:stop] & 1 > 0), pa.array(np.diff(ends[cuts])), pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(tokens)), pa.array(~(wrong | (marks[doc:stop] & 2 > 0)), pa.bool_())],
                         names=["doc_id", "n_tokens", "ids", "round_trip"],
                     )
                     doc = stop
