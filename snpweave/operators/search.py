@@ -1,4 +1,4 @@
-"""Seeding and local search over SNP networks, QUBO construction and annealing, regression scores.
+"""Seeding and local search over SNP networks, QUBO construction and annealing.
 
 The iterative parts run inside Arrow functions: seeds, clusters or sets are dealt over tasks, and each task works on its
 rows alone. What a task needs beside its rows (the genotype matrix and the adjacency of the network's SNPs) is broadcast
@@ -222,43 +222,3 @@ def anneal(qubo: DataFrame, samples: int = 10, sweeps: int = 1000, seed: int = 1
         return pd.DataFrame({"cluster_id": [pdf["cluster_id"].iloc[0]], "energy": [best], "ones": [np.flatnonzero(best_x).tolist()]})
 
     return qubo.groupBy("cluster_id").applyInPandas(run, "cluster_id long, energy double, ones array<int>")
-
-
-# ---------------------------------------------------------------- regression scores
-
-
-def fit_logistic(cells: np.ndarray, counts: np.ndarray, rate: float = 0.1, stop: float = 1e-4, most: int = 50_000) -> float:
-    """Negative log likelihood after batch gradient descent from all ones; cells: features, counts: (n of 0, n of 1)."""
-    w, last, n = np.ones(cells.shape[1]), math.inf, counts.sum()
-    for _ in range(most):
-        p = np.clip(1 / (1 + np.exp(-np.clip(cells @ w, -700, 700))), 2.2250738585072014e-308, 1 - 1e-16)
-        loss = -(counts[:, 1] * np.log(p) + counts[:, 0] * np.log1p(-p)).sum()
-        if last - loss / n < stop:
-            break
-        last = loss / n
-        w = w - rate * cells.T @ (p * counts.sum(axis=1) - counts[:, 1]) / n
-    return float(loss)
-
-
-def regression(sets: DataFrame, cell: DataFrame) -> DataFrame:
-    """Logistic regression scores of a dichotomous phenotype: each set is fitted on its cells (at most 3^k rows), with and
-    without products of dosages."""
-    sized = cell.join(sets.select("set_id", F.size("snps").alias("k")), "set_id").where("gid IS NOT NULL")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        gids, at = np.unique(pdf["gid"].to_numpy(), return_inverse=True)
-        counts = np.zeros((len(gids), 2))
-        np.add.at(counts, (at, pdf["y"].to_numpy().astype(int)), pdf["n"].to_numpy())
-        g = np.column_stack([gids // 3 ** (k - 1 - i) % 3 for i in range(k)]).astype(float)
-        plain = np.column_stack([np.ones(len(g)), g])
-        full = np.column_stack([plain, *[g[:, i] * g[:, j] for i in range(k) for j in range(i + 1, k)]])
-        nll, alone, n = fit_logistic(full, counts), fit_logistic(plain, counts), counts.sum()
-        df, d0 = full.shape[1], plain.shape[1]
-        return pd.DataFrame([{
-            "set_id": pdf["set_id"].iloc[0], "REGRESSION_NLL": nll, "REGRESSION_LLH": math.exp(-nll), "REGRESSION_AIC": 2 * nll + 2 * df, "REGRESSION_BIC": 2 * nll + math.log(n) * df,
-            "REGRESSION_NLL_GAIN": alone - nll, "REGRESSION_LLH_GAIN": math.exp(-nll) - math.exp(-alone), "REGRESSION_AIC_GAIN": 2 * alone + 2 * d0 - 2 * nll + 2 * df, "REGRESSION_BIC_GAIN": 2 * alone + math.log(n) * d0 - 2 * nll + math.log(n) * df,
-        }])
-
-    names = ("NLL", "LLH", "AIC", "BIC", "NLL_GAIN", "LLH_GAIN", "AIC_GAIN", "BIC_GAIN")
-    return sized.groupBy("set_id").applyInPandas(run, "set_id long, " + ", ".join(f"REGRESSION_{x} double" for x in names))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import filters, network, scores, search, sets
+from snpweave.operators import filters, network, regression, scores, search, sets
 from snpweave.sources import star
 
 
@@ -95,7 +96,35 @@ def penetrance_prediction(s, d):
 
 def regression_y2(s, d):
     x, g, p = _geno(s, d)
-    return search.regression(x, scores.cells(x, g, p, "y2"))
+    return regression.regression(x, scores.cells(x, g, p, "y2"), 2)
+
+
+def regression_y5(s, d):
+    x, g, p = _geno(s, d)
+    return regression.regression(x, scores.cells(x, g, p, "y5"), 5)
+
+
+def regression_yq(s, d):
+    x, g, p = _geno(s, d)
+    return regression.regression_quantitative(x, g, p, "yq")
+
+
+def covariate_anova(s, d):
+    x, g, p = _geno(s, d)
+    c = star.covariates(s, d)
+    return _r(scores.anova(scores.quantitative_cells(x, g, regression.residuals(p, c, "yq"), "yq")).drop("VARIANCE"), "f", digits=4)
+
+
+def cross_validation(s, d):
+    x, g, p = _geno(s, d)
+    return _r(regression.cross_validated(x, g, p, "y2", filters.folds(p, 5)), "quality")
+
+
+def model_comparison(s, d):
+    x, g, p = _geno(s, d)
+    cell = shared.materialize(scores.cells(x, g, p, "y2"), "cells")
+    both = scores.bayesian(cell).join(scores.chi_squared(cell, scores.category_totals(p, "y2")), "set_id")
+    return _r(regression.compare_models(both, ["BAYESIAN", "chi2"]), "cosine")
 
 
 def monte_carlo_p(s, d):
@@ -313,7 +342,7 @@ def qubo_annealing(s, d):
 
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
-    penetrance_prediction, regression_y2, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
+    penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
     network_stats, connected_components, diameter, page_rank, set_neighbours, set_edges, relabelled, shuffled_network, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
@@ -370,6 +399,8 @@ ORACLE_SQL = {
     "chi_squared_y2": _chi("y2"),
     "chi_squared_y5": _chi("y5"),
     "anova_yq": _QCELL + ", w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 6) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
+    "covariate_anova": f"WITH {_G25}, {_SETS}, {_JOINT}, cov AS (SELECT c_custkey::BIGINT AS ind_id, c_nationkey::DOUBLE AS c1 FROM customer), fit AS (SELECT regr_slope(yq, c1) AS b, regr_intercept(yq, c1) AS a FROM ind JOIN cov USING (ind_id)), jy AS (SELECT set_id, gid, yq - a - b * c1 AS y FROM joint JOIN ind USING (ind_id) JOIN cov USING (ind_id), fit), q AS (SELECT set_id, gid, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM jy GROUP BY ALL), w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 4) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
+    "model_comparison": _cells("y2") + f", {_K2}, {_FULL}, e AS (SELECT *, total * size / (SELECT sum(total) FROM tot) AS ex FROM f), c2 AS (SELECT set_id, sum((n - ex) ** 2 / ex) AS c FROM e GROUP BY ALL), s AS (SELECT b, c FROM k2 JOIN c2 USING (set_id)) SELECT * FROM (SELECT 'BAYESIAN' AS model, 'BAYESIAN' AS other, 1.0::DOUBLE AS cosine UNION ALL SELECT 'chi2', 'chi2', 1.0::DOUBLE UNION ALL SELECT 'BAYESIAN', 'chi2', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s UNION ALL SELECT 'chi2', 'BAYESIAN', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s)",
     "cell_statistics": _QCELL + " SELECT set_id, gid, n, round(mean * n, 2) AS total, round(var, 1) AS var FROM q",
     "penetrance_y2": _cells("y2") + f", {_FULL}, {_PEN} SELECT set_id, {_CRIT} FROM l JOIN sets USING (set_id)",
     "penetrance_yq": _QCELL + f", st AS (SELECT q.set_id, q.gid, CASE WHEN n >= 10 THEN mean ELSE gm END AS m, CASE WHEN n >= 10 THEN sqrt(var) ELSE gs END AS sd FROM q CROSS JOIN (SELECT avg(yq) AS gm, stddev_pop(yq) AS gs FROM ind)), l AS (SELECT set_id, sum(-ln(greatest(least(exp(-0.5 * ((y - m) / d) ** 2) / (d * 2.5066282746310002), 1), 2.2250738585072014e-308))) AS nll, 2 AS c FROM (SELECT jy.*, m, CASE WHEN sd = 0 THEN 1e-4 ELSE sd END AS d FROM jy JOIN st USING (set_id, gid)) GROUP BY ALL) SELECT set_id, {_CRIT} FROM l JOIN sets USING (set_id)",

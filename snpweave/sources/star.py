@@ -19,6 +19,11 @@ def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").cast("long").alias("ind_id"), (F.col("c_acctbal") >= 4500).cast("int").alias("y2"), F.col("y5").cast("int"), F.col("c_acctbal").cast("double").alias("yq"))
 
 
+def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ind_id, nation."""
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ind_id"), F.col("c_nationkey").cast("double").alias("nation"))
+
+
 def _dosages(spark: SparkSession, sf_dir: str, marker: DataFrame, markers: DataFrame) -> DataFrame:
     orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("long").alias("ind_id"))
     n = marker.join(orders, "l_orderkey").groupBy("ind_id", "snp_id").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("g"))
