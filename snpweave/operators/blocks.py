@@ -37,24 +37,27 @@ def _by_chunk_and_block(sets: DataFrame, genotypes: DataFrame, phenotypes: DataF
     calls = genotypes.where("g IS NOT NULL").select("snp_id", "ind_id", F.col("g").cast("tinyint").alias("g")).join(people.select("ind_id", "block", F.col("pos").cast("smallint").alias("pos")), "ind_id")
     packed = calls.groupBy("snp_id", "block").agg(F.collect_list("pos").alias("pos"), F.collect_list("g").alias("g"))
     needed = dealt.select("chunk", F.explode("snps").alias("snp_id")).distinct()
-    ids, values = F.lit(None).cast("array<struct<set_id:bigint,snps:array<int>>>"), F.lit(None).cast("array<double>")
-    dosages = needed.join(packed, "snp_id").select("chunk", "block", F.lit(0).alias("kind"), F.col("snp_id").cast("long").alias("snp_id"), "pos", "g", ids.alias("sets"), values.alias("y"))
+    ids, values, people_ids = F.lit(None).cast("array<struct<set_id:bigint,snps:array<int>>>"), F.lit(None).cast("array<double>"), F.lit(None).cast("array<bigint>").alias("ind_ids")
+    dosages = needed.join(packed, "snp_id").select("chunk", "block", F.lit(0).alias("kind"), F.col("snp_id").cast("long").alias("snp_id"), "pos", "g", ids.alias("sets"), values.alias("y"), people_ids)
     no = [F.lit(None).cast("long").alias("snp_id"), F.lit(None).cast("array<smallint>").alias("pos"), F.lit(None).cast("array<tinyint>").alias("g")]
     whole = dealt.groupBy("chunk").agg(F.collect_list(F.struct(F.col("set_id").cast("long").alias("set_id"), F.col("snps").cast("array<int>").alias("snps"))).alias("sets"))
-    blocks = people.groupBy("block").agg(F.expr("transform(array_sort(collect_list(struct(pos, y))), x -> x.y)").alias("y"))
+    rows = people.select("block", "pos", "y", F.col("ind_id").cast("long").alias("ind_id"))
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "y", "ind_id"))).alias("p")).select("block", F.col("p.y").alias("y"), F.col("p.ind_id").alias("ind_ids"))
     # a chunk's sets go to every block and a block's phenotype to every chunk: a few bytes a set and a person each
-    asked = whole.crossJoin(blocks.select("block")).select("chunk", "block", F.lit(1).alias("kind"), *no, "sets", values.alias("y"))
-    own = blocks.crossJoin(whole.select("chunk")).select("chunk", "block", F.lit(2).alias("kind"), *no, ids.alias("sets"), "y")
+    asked = whole.crossJoin(blocks.select("block")).select("chunk", "block", F.lit(1).alias("kind"), *no, "sets", values.alias("y"), people_ids)
+    own = blocks.crossJoin(whole.select("chunk")).select("chunk", "block", F.lit(2).alias("kind"), *no, ids.alias("sets"), "y", "ind_ids")
     return dosages.unionAll(asked).unionAll(own)
 
 
-def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """What `one` (cell numbers and phenotypes of the individuals without a missing call) gives for every set and block."""
+def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """What `one` (cell numbers, phenotypes and ids of the individuals without a missing call) gives for every set and
+    block."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = pdf["kind"].to_numpy()
-        y = np.asarray(pdf["y"].iloc[int(np.flatnonzero(kind == 2)[0])], float)
+        own = int(np.flatnonzero(kind == 2)[0])
+        y, ids = np.array([np.nan if v is None else v for v in pdf["y"].iloc[own]], float), np.asarray(pdf["ind_ids"].iloc[own])
         rows: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(kind == 0):
             g = np.full(len(y), MISSING, np.int64)
@@ -70,11 +73,11 @@ def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray], dict[str,
             for c in calls:
                 gid = gid * 3 + c
                 ok &= c != MISSING
-            found = one(gid[ok], y[ok])
+            found = one(gid[ok], y[ok], ids[ok])
             out.append({"set_id": np.full(len(found["gid"]), s["set_id"], np.int64), **found})
         if not out:
             return pd.DataFrame({n: [] for n in names})
-        return pd.DataFrame({n: np.concatenate([o[n] for o in out]) for n in names})
+        return pd.DataFrame({n: np.concatenate([o[n] for o in out]) if not isinstance(out[0][n], list) else [v for o in out for v in o[n]] for n in names})
 
     return rows.groupBy("chunk", "block").applyInPandas(run, schema)
 
@@ -82,7 +85,7 @@ def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray], dict[str,
 def category_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
     """set_id, gid, y, n: individuals by joint genotype and category."""
 
-    def one(gid: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def one(gid: np.ndarray, y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
         codes, at = np.unique(y, return_inverse=True)
         found, n = np.unique(gid * max(len(codes), 1) + at, return_counts=True)
         return {"gid": found // max(len(codes), 1), "y": codes[found % max(len(codes), 1)].astype(np.int64), "n": n}
@@ -97,7 +100,7 @@ def value_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y:
     about the mean of all, so that large values lose no digits."""
     centre = phenotypes.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
 
-    def one(gid: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def one(gid: np.ndarray, y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
         order = np.argsort(gid, kind="stable")
         gid, v = gid[order], y[order]
         first = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
@@ -110,3 +113,28 @@ def value_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y:
     out = parts.groupBy("set_id", "gid").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")], F.min("low").alias("low"), F.max("high").alias("high"))
     shift = F.col("s1") / F.col("n")
     return out.select("set_id", "gid", "n", (F.lit(centre) + shift).alias("mean"), F.greatest(F.col("s2") / F.col("n") - shift * shift, F.lit(0.0)).alias("var"), "low", "high")
+
+
+def carriers(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
+    """set_id, y, ind_ids: individuals with a non-zero dosage at every SNP of the set, ascending, by category."""
+    kind = phenotypes.schema[y].dataType
+
+    def one(gid: np.ndarray, y: np.ndarray, ids: np.ndarray) -> dict:
+        rest, all_of = gid.copy(), gid > 0
+        while (rest > 0).any():  # digits in base 3; a leading 0 is a SNP without the allele
+            all_of &= (rest % 3 > 0) | (rest == 0)
+            rest //= 3
+        return _by_category(y[all_of], ids[all_of], gid[all_of])
+
+    parts = _counted(_by_chunk_and_block(sets, genotypes, phenotypes, y), one, "set_id long, gid long, y long, ind_ids array<long>")
+    width = sets.select("set_id", F.pow(F.lit(3), F.size("snps") - 1).cast("long").alias("least"))
+    whole = parts.join(width, "set_id").where("gid >= least")  # the first SNP's digit isn't 0
+    out = whole.groupBy("set_id", F.col("y").cast(kind).alias("y")).agg(F.array_sort(F.flatten(F.collect_list("ind_ids"))).alias("ind_ids"))
+    return out
+
+
+def _by_category(y: np.ndarray, ids: np.ndarray, gid: np.ndarray) -> dict:
+    order = np.lexsort((ids, gid, y))
+    y, ids, gid = y[order], ids[order], gid[order]
+    first = np.flatnonzero(np.append(True, (y[1:] != y[:-1]) | (gid[1:] != gid[:-1]))) if len(y) else np.zeros(0, np.int64)
+    return {"gid": gid[first], "y": y[first].astype(np.int64), "ind_ids": [a.tolist() for a in np.split(ids, first[1:])] if len(y) else []}

@@ -164,6 +164,12 @@ def predict_penetrance(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFr
     return joint.join(best, ["set_id", "gid"]).select("set_id", "ind_id", (-F.col("b.y")).alias("predicted"))
 
 
+def training_hits(cell: DataFrame) -> DataFrame:
+    """set_id, right: individuals whose category is the one that `predict_penetrance` gives their cell."""
+    best = cell.groupBy("set_id", "gid").agg(F.max(F.struct("n", (-F.col("y")).alias("y"))).alias("b"))
+    return best.groupBy("set_id").agg(F.sum("b.n").alias("right"))
+
+
 def score_sets(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
     """All closed-form scores of a categorical phenotype from one table of cells."""
     cell = materialize(cells(sets, genotypes, phenotypes, y), "cells")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snpweave import shared
@@ -19,13 +19,23 @@ def _geno(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return star.pair_sets(s), star.genotypes25(s, d), star.individuals(s, d)
 
 
-def _edges(s: SparkSession) -> DataFrame:
-    a = star.labels(s)
-    return network.same_label_edges(a).unionByName(network.label_network_edges(a, star.label_network(s), "NET"))
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    a = star.labels(s, d)
+    return network.same_label_edges(a).unionByName(network.label_network_edges(a, star.label_network(s, d), "NET"))
 
 
-def _sets100(s: SparkSession) -> DataFrame:
-    return s.range(30).select(F.col("id").alias("set_id"), F.array_sort(F.array(*[F.pmod(F.col("id") * m, F.lit(97)).cast("int") + i for i, m in enumerate((7, 31, 53))])).alias("snps"))
+def _order_sets(s: SparkSession, d: str) -> DataFrame:
+    """The parts of every order that has at least two."""
+    li = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").cast("long").alias("set_id"))
+    return li.agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("int"))).alias("snps")).where(F.size("snps") > 1)
+
+
+def _type_edges(s: SparkSession, d: str) -> DataFrame:
+    """The label network with types numbered by name."""
+    net = star.label_network(s, d)
+    names = net.select(F.explode(F.array("label1", "label2")).alias("label")).distinct().withColumn("id", F.dense_rank().over(Window.orderBy("label")).cast("long"))
+    one, two = names.select(F.col("label").alias("label1"), F.col("id").alias("x")), names.select(F.col("label").alias("label2"), F.col("id").alias("y"))
+    return net.join(one, "label1").join(two, "label2").select(F.least("x", "y").alias("node1"), F.greatest("x", "y").alias("node2")).distinct()
 
 
 # ---------------------------------------------------------------- scores
@@ -90,8 +100,7 @@ def penetrance_yq(s, d):
 
 def penetrance_prediction(s, d):
     x, g, p = _geno(s, d)
-    out = scores.predict_penetrance(x, g, p, "y2").join(p.select("ind_id", "y2"), "ind_id")
-    return out.groupBy("set_id").agg(F.sum((F.col("predicted") == F.col("y2")).cast("long")).alias("right"))
+    return scores.training_hits(scores.cells(x, g, p, "y2"))
 
 
 def regression_y2(s, d):
@@ -165,7 +174,7 @@ def duplicate_variants(s, d):
 
 
 def hardy_weinberg(s, d):
-    return filters.hardy_weinberg(star.genotypes100(s, d), star.individuals(s, d).select("ind_id", F.col("y2").alias("y")))
+    return _r(filters.hardy_weinberg(star.genotypes100(s, d), star.individuals(s, d).select("ind_id", F.col("y2").alias("y"))), "p_case", "p_control")
 
 
 def bh_correction(s, d):
@@ -219,66 +228,94 @@ def merged_datasets(s, d):
 
 
 def same_label(s, d):
-    return network.same_label_edges(star.labels(s)).drop("tag")
+    return network.same_label_edges(star.labels(s, d)).drop("tag")
 
 
 def label_network(s, d):
-    return network.label_network_edges(star.labels(s), star.label_network(s), "NET").drop("tag")
+    return network.label_network_edges(star.labels(s, d), star.label_network(s, d), "NET").drop("tag")
 
 
 def tagged(s, d):
-    return network.tagged_edges(_edges(s))
+    return network.tagged_edges(_edges(s, d))
+
+
+def edge_counts(s, d):
+    return network.edge_counts(_edges(s, d))
 
 
 def degrees(s, d):
-    return network.degrees(_edges(s))
+    return network.degrees(_edges(s, d))
 
 
 def joint_degrees(s, d):
-    return network.joint_degrees(_edges(s))
+    return network.joint_degrees(_edges(s, d))
 
 
 def adjacency(s, d):
-    return network.adjacency(_edges(s))
+    return network.adjacency(_edges(s, d))
 
 
 def network_stats(s, d):
-    return _r(network.network_stats(_edges(s), star.snps100(s), star.labels(s)), "density")
+    return _r(network.network_stats(_edges(s, d), star.snps(s, d), star.labels(s, d)), "density")
 
 
 def connected_components(s, d):
-    return network.components(network.same_label_edges(star.labels(s)))
+    return network.components(network.same_label_edges(star.labels(s, d)))
 
 
 def diameter(s, d):
-    return network.diameter(network.same_label_edges(star.labels(s)))
+    return network.diameter(_type_edges(s, d))
+
+
+def closeness(s, d):
+    return _r(network.closeness(_type_edges(s, d)), "closeness")
+
+
+def betweenness(s, d):
+    return _r(network.betweenness(_edges(s, d)), "betweenness", digits=4)
+
+
+def eigenvector(s, d):
+    return _r(network.eigenvector(_edges(s, d)), "eigenvector")
 
 
 def page_rank(s, d):
-    return _r(network.page_rank(_edges(s)), "rank")
+    return _r(network.page_rank(_edges(s, d)), "rank", digits=9)
+
+
+def top_nodes(s, d):
+    e = shared.materialize(network.degrees(_edges(s, d)), "degrees")
+    return network.top_nodes(e.withColumn("rare", F.col("degree")), {"degree": True, "rare": False}, 20)
 
 
 def set_neighbours(s, d):
-    return network.neighbours_of_sets(_sets100(s), _edges(s))
+    return network.neighbours_of_sets(_order_sets(s, d), _edges(s, d)).groupBy("set_id").agg(F.count("*").alias("n"), F.sum(F.col("snp_id").cast("long")).alias("total"))
 
 
 def set_edges(s, d):
-    return network.induced_edges(_sets100(s), _edges(s))
+    return network.induced_edges(_order_sets(s, d), _edges(s, d))
+
+
+def label_subnetwork(s, d):
+    return network.label_subnetwork(_order_sets(s, d).where("size(snps) = 2"), star.labels(s, d), star.label_network(s, d))
 
 
 def relabelled(s, d):
-    m = s.range(100).select(F.col("id").cast("int").alias("old"), (F.col("id") % 60).cast("int").alias("new"))
-    return network.relabel(_edges(s), m)
+    m = star.snps(s, d).select(F.col("snp_id").alias("old"), F.floor(F.col("snp_id") / 2).cast("int").alias("new"))
+    return network.relabel(_edges(s, d), m)
 
 
 def shuffled_network(s, d):
-    e = _edges(s)
-    after = network.shuffle_labels(e, 7)
+    after = network.shuffle_labels(_edges(s, d), 7)
     return network.degrees(after).groupBy("degree").agg(F.count("*").alias("n"))
 
 
+def rewired_network(s, d):
+    return network.rewire(_edges(s, d), 7)
+
+
 def network_filter(s, d):
-    return filters.filter_in_network(star.snps100(s), network.label_network_edges(star.labels(s), star.label_network(s), "NET")).select("snp_id")
+    return filters.filter_in_network(star.snps(s, d), network.label_network_edges(star.labels(s, d), star.label_network(s, d), "NET")).select("snp_id")
 
 
 # ---------------------------------------------------------------- sets and search
@@ -318,14 +355,13 @@ def scalar_functions(s, d):
 
 def local_search(s, d):
     g, p = star.genotypes100(s, d), star.individuals(s, d)
-    e = _edges(s)
+    e = network.same_label_edges(star.labels100(s, d))
     ctx = search.build_context(g, p, "y2", e)
-    seeds = search.random_connected_seeds(e, 12, seed=1)
-    return search.local_search(seeds, ctx, rounds=10, high=4)
+    return search.local_search(search.random_connected_seeds(e, 300, seed=1), ctx)
 
 
 def random_seeds(s, d):
-    return search.random_connected_seeds(_edges(s), 30, seed=1)
+    return search.random_connected_seeds(_edges(s, d), 300, seed=1)
 
 
 def qubo(s, d):
@@ -337,14 +373,14 @@ def qubo(s, d):
 
 def qubo_annealing(s, d):
     q = qubo(s, d).withColumn("cluster_id", F.lit(0).cast("long"))
-    return search.anneal(q, samples=2, sweeps=100)
+    return search.anneal(q)
 
 
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
-    network_stats, connected_components, diameter, page_rank, set_neighbours, set_edges, relabelled, shuffled_network, network_filter, set_subsets, set_sizes, collapsed,
+    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 
@@ -362,7 +398,7 @@ g AS (SELECT s.snp_id, i.ind_id, least(coalesce(c.n, 0), 2)::INT AS g FROM ind i
   ON c.ind_id = i.ind_id AND c.snp_id = s.snp_id)"""
 _SETS = """sets AS (
   SELECT row_number() OVER (ORDER BY a, b) - 1 AS set_id, [a, b] AS snps FROM (SELECT x.range AS a, y.range AS b FROM range(25) x, range(25) y WHERE x.range < y.range)
-  UNION ALL SELECT 299 + row_number() OVER (ORDER BY a, b, c), [a, b, c] FROM (SELECT x.range AS a, y.range AS b, z.range AS c FROM range(8) x, range(8) y, range(8) z WHERE x.range < y.range AND y.range < z.range))"""
+  UNION ALL SELECT 299 + row_number() OVER (ORDER BY a, b, c), [a, b, c] FROM (SELECT x.range AS a, y.range AS b, z.range AS c FROM range(25) x, range(25) y, range(25) z WHERE x.range < y.range AND y.range < z.range))"""
 _JOINT = """joint AS (
   SELECT set_id, ind_id, sum(g * 3 ** (k - pos))::BIGINT AS gid FROM (SELECT set_id, len(snps) AS k, unnest(snps) AS snp_id, generate_subscripts(snps, 1) AS pos FROM sets) m JOIN g USING (snp_id) GROUP BY ALL)"""
 
@@ -380,12 +416,13 @@ def _chi(y: str) -> str:
 
 
 _QCELL = f"WITH {_G25}, {_SETS}, {_JOINT}, jy AS (SELECT set_id, gid, yq AS y FROM joint JOIN ind USING (ind_id)), q AS (SELECT set_id, gid, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM jy GROUP BY ALL)"
-_LABELS = "ann AS (SELECT s.range::INT AS snp_id, unnest(['A' || (s.range % 20), 'B' || ((s.range * 7) % 33)]) AS label FROM range(100) s)"
-_NET = "net AS (SELECT 'A' || i.range AS label1, unnest(['A' || ((i.range + 1) % 20), 'B' || ((i.range * 3) % 33)]) AS label2 FROM range(20) i)"
+_LABELS = "ann AS (SELECT p_partkey::INT AS snp_id, unnest([p_brand || '/' || p_size::VARCHAR, p_type || '/' || p_size::VARCHAR]) AS label FROM part)"
+_NET = "lt AS (SELECT DISTINCT l_orderkey, p_type || '/' || p_size::VARCHAR AS label FROM lineitem JOIN part ON p_partkey = l_partkey), net AS (SELECT label1, label2 FROM (SELECT a.label AS label1, b.label AS label2, count(*) AS n FROM lt a JOIN lt b ON a.l_orderkey = b.l_orderkey AND a.label <> b.label GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY label1 ORDER BY n DESC, label2) = 1)"
 _SAME = "same AS (SELECT DISTINCT a.snp_id AS node1, b.snp_id AS node2 FROM ann a JOIN ann b ON a.label = b.label AND a.snp_id < b.snp_id)"
 _LNET = "lnet AS (SELECT DISTINCT least(a.snp_id, b.snp_id) AS node1, greatest(a.snp_id, b.snp_id) AS node2 FROM net JOIN ann a ON a.label = label1 JOIN ann b ON b.label = label2 WHERE label1 <> label2 AND a.snp_id <> b.snp_id)"
 _EDGES = f"{_LABELS}, {_NET}, {_SAME}, {_LNET}, e AS (SELECT node1, node2 FROM same UNION SELECT node1, node2 FROM lnet), sym AS (SELECT node1 AS node, node2 AS other FROM e UNION ALL SELECT node2, node1 FROM e), deg AS (SELECT node, count(*) AS degree FROM sym GROUP BY ALL)"
-_SETS100 = "sets AS (SELECT range AS set_id, list_sort([(range * 7) % 97, (range * 31) % 97 + 1, (range * 53) % 97 + 2])::INT[] AS snps FROM range(30))"
+_ORDERS = "sets AS (SELECT l_orderkey::BIGINT AS set_id, list_sort(list(DISTINCT l_partkey::INT)) AS snps FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1), m AS (SELECT set_id, unnest(snps) AS node FROM sets)"
+_TYPES = f"{_NET}, tn AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT label1 AS label FROM net UNION SELECT label2 FROM net)), l AS (SELECT x.id AS a, y.id AS b FROM net JOIN tn x ON x.label = label1 JOIN tn y ON y.label = label2 UNION SELECT y.id, x.id FROM net JOIN tn x ON x.label = label1 JOIN tn y ON y.label = label2), r AS (SELECT DISTINCT a, a AS b, 0 AS d FROM l UNION SELECT r.a, l.b, d + 1 FROM r JOIN l ON l.a = r.b WHERE d < 40), md AS (SELECT a, b, min(d) AS d FROM r GROUP BY ALL)"
 _LD = "ld AS (SELECT a.snp_id AS a, b.snp_id AS b, corr(a.g, b.g) ** 2 AS r2 FROM g a JOIN g b ON a.ind_id = b.ind_id AND a.snp_id < b.snp_id GROUP BY ALL)"
 _PEN = """s AS (SELECT *, count(*) FILTER (share > 0) OVER (PARTITION BY set_id, gid) AS s, count(*) OVER (PARTITION BY set_id, gid) AS c FROM (
     SELECT *, CASE WHEN size < 10 * (SELECT count(*) FROM tot) THEN total / (SELECT sum(total) FROM tot) ELSE n / size END AS share FROM f)),
@@ -411,6 +448,15 @@ ORACLE_SQL = {
     "filter_common": f"WITH {_G100} SELECT snp_id, sum(g) / (2 * count(g)) < 0.2 AS is_removed FROM g GROUP BY ALL",
     "filter_missing": f"WITH {_G100}, m AS (SELECT snp_id, ind_id, CASE WHEN (snp_id * 31 + ind_id * 17) % 100 < snp_id % 40 THEN NULL ELSE g END AS g FROM g), k AS (SELECT * FROM m WHERE snp_id IN (SELECT snp_id FROM m GROUP BY snp_id HAVING avg((g IS NULL)::INT) <= 0.2)) SELECT snp_id, count(*) AS n FROM k WHERE ind_id IN (SELECT ind_id FROM k GROUP BY ind_id HAVING avg((g IS NULL)::INT) <= 0.2) GROUP BY ALL",
     "duplicate_variants": "SELECT min(p_partkey) AS id, p_brand, p_size FROM part GROUP BY p_brand, p_size",
+    "hardy_weinberg": f"""WITH {_G100},
+  c AS (SELECT snp_id, y2, sum((g = 0)::INT)::BIGINT AS n0, sum((g = 1)::INT)::BIGINT AS n1, sum((g = 2)::INT)::BIGINT AS n2 FROM g JOIN ind USING (ind_id) GROUP BY ALL),
+  h AS (SELECT *, n0 + n1 + n2 AS n, 2 * least(n0, n2) + n1 AS rare FROM c),
+  x AS (SELECT snp_id, y2, n, n1, rare, unnest(range(rare % 2, least(rare, 2 * n - rare) + 1, 2)) AS het FROM h),
+  l AS (SELECT *, het * ln(2) - lgamma((rare - het) / 2 + 1) - lgamma(het + 1) - lgamma(n - het - (rare - het) / 2 + 1) AS lp FROM x),
+  p AS (SELECT *, exp(lp - max(lp) OVER w) AS q FROM l WINDOW w AS (PARTITION BY snp_id, y2)),
+  s AS (SELECT *, q / sum(q) OVER w AS p, sum(CASE WHEN het = n1 THEN q END) OVER w / sum(q) OVER w AS own FROM p WINDOW w AS (PARTITION BY snp_id, y2)),
+  t AS (SELECT snp_id, y2, least(1, sum(CASE WHEN p < own * (1 - 1e-9) THEN p ELSE 0 END) + 0.5 * sum(CASE WHEN abs(p - own) <= own * 1e-9 THEN p ELSE 0 END)) AS m FROM s GROUP BY ALL)
+  SELECT a.snp_id, round(a.m, 6) AS p_case, round(b.m, 6) AS p_control, a.m >= 1e-6 AND b.m >= 1e-10 AS ok FROM t a JOIN t b ON a.snp_id = b.snp_id AND a.y2 = 1 AND b.y2 = 0""",
     "bh_correction": "WITH t AS (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS p FROM lineitem JOIN part ON p_partkey = l_partkey), v AS (SELECT p, count(*) AS c FROM t GROUP BY p), w AS (SELECT p, p * sum(c) OVER () / sum(c) OVER (ORDER BY p) AS raw FROM v), q AS (SELECT p, least(1, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM w) SELECT l_orderkey, l_linenumber, round(p, 6) AS p, round(q, 6) AS q FROM t JOIN q USING (p)",
     "eqtl_annotator": "WITH t AS (SELECT (l_partkey % 100)::INT AS snp_id, p_brand AS label, l_discount::DOUBLE * l_discount::DOUBLE * l_discount::DOUBLE AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('A', 'R')), v AS (SELECT p, count(*) AS c FROM t GROUP BY p), w AS (SELECT p, p * sum(c) OVER () / sum(c) OVER (ORDER BY p) AS raw FROM v), q AS (SELECT p, least(1, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM w) SELECT DISTINCT snp_id, label FROM t JOIN q USING (p) WHERE q < 0.0003",
     "carriers": f"WITH {_G25}, {_SETS}, c AS (SELECT set_id, ind_id FROM (SELECT set_id, unnest(snps) AS snp_id FROM sets) JOIN g USING (snp_id) GROUP BY ALL HAVING min(g) > 0) SELECT set_id, y2 AS category, count(*) AS num, round(count(*) / (SELECT count(*) FROM ind x WHERE x.y2 = i.y2), 6) AS freq, string_agg(ind_id::VARCHAR, ';' ORDER BY ind_id) AS individuals FROM c JOIN ind i USING (ind_id) GROUP BY set_id, y2",
@@ -426,12 +472,16 @@ ORACLE_SQL = {
     "degrees": f"WITH {_EDGES} SELECT node, degree FROM deg",
     "joint_degrees": f"WITH {_EDGES} SELECT a.degree AS d_in, b.degree AS d_out, count(*) AS n FROM sym JOIN deg a ON a.node = sym.node JOIN deg b ON b.node = other GROUP BY ALL",
     "adjacency": f"WITH {_EDGES} SELECT node, string_agg(other::VARCHAR, ',' ORDER BY other) AS neighbours FROM sym GROUP BY ALL",
-    "network_stats": f"WITH {_EDGES} SELECT 100::BIGINT AS nodes, count(*) AS edges, round(2.0 * count(*) / 9900, 6)::DOUBLE AS density, (SELECT count(DISTINCT label) FROM ann) AS labels FROM e",
+    "network_stats": f"WITH {_EDGES} SELECT (SELECT count(*) FROM part) AS nodes, count(*) AS edges, round(2.0::DOUBLE * count(*) / ((SELECT count(*) FROM part) * ((SELECT count(*) FROM part) - 1)), 6)::DOUBLE AS density, (SELECT count(DISTINCT label) FROM ann) AS labels FROM e",
     "connected_components": f"WITH RECURSIVE {_EDGES}, l AS (SELECT node1 AS node, node2 AS other FROM same UNION ALL SELECT node2, node1 FROM same), r AS (SELECT node, node AS reach FROM l UNION SELECT r.node, l.other FROM r JOIN l ON l.node = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY ALL",
-    "diameter": f"WITH RECURSIVE {_LABELS}, {_SAME}, l AS (SELECT node1 AS a, node2 AS b FROM same UNION ALL SELECT node2, node1 FROM same), r AS (SELECT DISTINCT a, a AS b, 0 AS d FROM l UNION SELECT r.a, l.b, d + 1 FROM r JOIN l ON l.a = r.b WHERE d < 12), m AS (SELECT a, b, min(d) AS d FROM r GROUP BY ALL) SELECT max(d)::BIGINT AS diameter FROM m",
-    "set_neighbours": f"WITH {_EDGES}, {_SETS100}, m AS (SELECT set_id, unnest(snps) AS node FROM sets) SELECT DISTINCT set_id, other AS snp_id FROM m JOIN sym USING (node) WHERE (set_id, other) NOT IN (SELECT set_id, node FROM m)",
-    "set_edges": f"WITH {_EDGES}, {_SETS100} SELECT set_id, node1, node2 FROM sets JOIN e ON list_contains(snps, node1) AND list_contains(snps, node2)",
-    "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 % 60, node2 % 60) AS node1, greatest(node1 % 60, node2 % 60) AS node2 FROM e WHERE node1 % 60 <> node2 % 60",
+    "diameter": f"WITH RECURSIVE {_TYPES} SELECT max(d)::BIGINT AS diameter FROM md",
+    "set_neighbours": f"WITH {_EDGES}, {_ORDERS}, x AS (SELECT DISTINCT set_id, other FROM m JOIN sym USING (node)) SELECT set_id, count(*) AS n, sum(other)::BIGINT AS total FROM x ANTI JOIN m ON m.set_id = x.set_id AND m.node = x.other GROUP BY ALL",
+    "set_edges": f"WITH {_EDGES}, {_ORDERS} SELECT a.set_id, e.node1, e.node2 FROM m a JOIN e ON e.node1 = a.node JOIN m b ON b.set_id = a.set_id AND b.node = e.node2",
+    "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 // 2, node2 // 2) AS node1, greatest(node1 // 2, node2 // 2) AS node2 FROM e WHERE node1 // 2 <> node2 // 2",
+    "closeness": f"WITH RECURSIVE {_TYPES} SELECT a AS node, round(count(*) / sum(d), 6) AS closeness FROM md WHERE d > 0 GROUP BY ALL",
+    "top_nodes": f"WITH {_EDGES} SELECT * FROM (SELECT 'degree' AS measure, node, degree::DOUBLE AS value FROM deg ORDER BY degree DESC, node LIMIT 20) UNION ALL SELECT * FROM (SELECT 'rare', node, degree::DOUBLE FROM deg ORDER BY degree, node LIMIT 20)",
+    "edge_counts": f"WITH {_EDGES} SELECT 'SAME_TAG' AS tag, count(*) AS n FROM same UNION ALL SELECT 'NET', count(*) FROM lnet",
+    "label_subnetwork": f"WITH {_EDGES}, {_ORDERS}, own AS (SELECT DISTINCT label FROM ann WHERE snp_id IN (SELECT unnest(snps) FROM sets WHERE len(snps) = 2)) SELECT DISTINCT label1, label2 FROM net WHERE label1 IN (SELECT label FROM own) AND label2 IN (SELECT label FROM own)",
     "shuffled_network": f"WITH {_EDGES} SELECT degree, count(*) AS n FROM deg GROUP BY ALL",
     "network_filter": f"WITH {_EDGES} SELECT DISTINCT unnest([node1, node2]) AS snp_id FROM lnet",
     "set_subsets": f"WITH {_SETS} SELECT DISTINCT set_id, array_to_string(s, ',') AS snps FROM (SELECT set_id, unnest(CASE WHEN len(snps) = 3 THEN [snps, [snps[1], snps[2]], [snps[1], snps[3]], [snps[2], snps[3]]] ELSE [snps] END) AS s FROM sets)",

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# ---------------------------------------------------------------- numbers in an order
+
+
+def numbered(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
+    """Add `out`: the rows' numbers from 0, by part and then by `order`. Rows are numbered inside each part, and the parts'
+    sizes (few rows) are added up in order."""
+    here = df.withColumn("__in", F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    sizes = df.groupBy(part).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(part).alias("__part"), before.cast("long").alias("__before"))
+    return here.join(starts, F.col(part).eqNullSafe(F.col("__part"))).withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__part", "__before")
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -54,18 +54,34 @@ def genotypes100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dosages(spark, sf_dir, marker, snps100(spark))
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    """snp_id, label: two labels for each of the 100 markers."""
-    s = F.col("snp_id")
-    return snps100(spark).select("snp_id", F.explode(F.array(F.concat(F.lit("A"), (s % 20).cast("string")), F.concat(F.lit("B"), ((s * 7) % 33).cast("string")))).alias("label"))
+def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snp_id, name: one marker a part."""
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("snp_id"), F.concat(F.lit("rs"), "p_partkey").alias("name"))
 
 
-def label_network(spark: SparkSession) -> DataFrame:
-    """label1, label2: 40 rows."""
-    i = spark.range(20).select(F.col("id").cast("int").alias("i"))
-    a = F.concat(F.lit("A"), F.col("i").cast("string"))
-    other = F.explode(F.array(F.concat(F.lit("A"), ((F.col("i") + 1) % 20).cast("string")), F.concat(F.lit("B"), ((F.col("i") * 3) % 33).cast("string"))))
-    return i.select(a.alias("label1"), other.alias("label2"))
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snp_id, label: two labels a part, its brand and size, and its type and size."""
+    both = F.array(*[F.concat_ws("/", c, F.col("p_size").cast("string")) for c in ("p_brand", "p_type")])
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("snp_id"), F.explode(both).alias("label"))
+
+
+def label_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label1, label2: each type and size with the one that it is ordered with most often (the first by name of equals)."""
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("label"))
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey").select("l_orderkey", "label").distinct()
+    pairs = li.select("l_orderkey", F.col("label").alias("label1")).join(li.select("l_orderkey", F.col("label").alias("label2")), "l_orderkey").where("label1 <> label2")
+    counted = pairs.groupBy("label1", "label2").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("label1").orderBy(F.desc("n"), "label2"))
+    return counted.withColumn("i", first).where("i = 1").select("label1", "label2")
+
+
+def labels100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snp_id, label: for the 100 markers by part number modulo 100, the brand and the type ordered most often."""
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    li = _t(spark, sf_dir, "lineitem").select("l_partkey").join(part, "l_partkey").select((F.col("l_partkey") % 100).cast("int").alias("snp_id"), F.explode(F.array("p_brand", "p_type")).alias("label"), F.col("p_brand"))
+    counted = li.withColumn("kind", F.col("label") == F.col("p_brand")).groupBy("snp_id", "kind", "label").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("snp_id", "kind").orderBy(F.desc("n"), "label"))
+    return counted.withColumn("i", first).where("i = 1").select("snp_id", "label")
 
 
 def eqtl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +91,8 @@ def eqtl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, "l_partkey").select((F.col("l_partkey") % 100).cast("int").alias("snp_id"), "gene", "p", "tissue", "l_orderkey", "l_linenumber")
 
 
-def pair_sets(spark: SparkSession, n: int = 25, triples_of: int = 8) -> DataFrame:
-    """set_id, snps: all pairs of n markers, then all triples of the first few."""
+def pair_sets(spark: SparkSession, n: int = 25, triples_of: int = 25) -> DataFrame:
+    """set_id, snps: all pairs of n markers, then all triples of the first `triples_of`."""
     import itertools
 
     sets = [list(c) for c in itertools.combinations(range(n), 2)] + [list(c) for c in itertools.combinations(range(triples_of), 3)]
