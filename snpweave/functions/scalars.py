@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,8 @@ def genotype_id(g: Column) -> Column:
 def genotype_of(gid: Column, k: int) -> Column:
     """The k dosages of a base-3 number."""
     return F.array(*[F.pmod(F.floor(gid / F.lit(3 ** (k - 1 - i))), F.lit(3)).cast("int") for i in range(k)])
+
+
+def binomial(n: int, k: int) -> int:
+    """Subsets of k of n things."""
+    return math.comb(n, k) if 0 <= k <= n else 0

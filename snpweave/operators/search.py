@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MATRIX_LIMIT = 1 << 30
+from snpweave import shared
+from snpweave.functions.stats import ln_factorials
+
+MATRIX_LIMIT, EDGE_LIMIT = 1 << 30, 20_000_000
+ANNEALING = ("SIMULATED", "HYPERBOLIC_TAN", "RANDOM")
 
 
 @dataclass
@@ -28,10 +34,12 @@ class Context:
     y: np.ndarray
     categories: int
     near: dict[int, list[int]] = field(default_factory=dict)
+    ld: dict[tuple[int, int], float] = field(default_factory=dict)
 
 
-def build_context(genotypes: DataFrame, phenotypes: DataFrame, y: str, edges: DataFrame | None = None) -> Context:
-    """Collects the matrix of the network's SNPs and its adjacency, both of a size checked beforehand."""
+def build_context(genotypes: DataFrame, phenotypes: DataFrame, y: str, edges: DataFrame | None = None, ld: DataFrame | None = None) -> Context:
+    """Collects the matrix of the network's SNPs, its adjacency and their r2 (a, b, r2; pairs left out have 0), all of a size
+    checked beforehand. A missing call or phenotype is refused."""
     people = phenotypes.count()
     snps = genotypes.select("snp_id").distinct()
     if edges is not None:
@@ -39,6 +47,11 @@ def build_context(genotypes: DataFrame, phenotypes: DataFrame, y: str, edges: Da
     n = snps.count()
     if n * people > MATRIX_LIMIT:
         raise ValueError(f"{n} x {people} genotypes are too many to broadcast; filter markers first")
+    for what, df in (("edges", edges), ("pairs in LD", ld)):
+        if df is not None and df.limit(EDGE_LIMIT + 1).count() > EDGE_LIMIT:
+            raise ValueError(f"more than {EDGE_LIMIT} {what} are too many to broadcast; filter the network first")
+    if not phenotypes.where(F.col(y).isNull()).isEmpty():
+        raise ValueError("individuals without a phenotype: leave them out first")
     order = phenotypes.select("ind_id", y).orderBy("ind_id").toPandas()
     rows = genotypes.join(snps, "snp_id", "left_semi").groupBy("snp_id").agg(F.expr("transform(array_sort(collect_list(struct(ind_id, g))), x -> cast(x.g AS tinyint))").alias("g")).toPandas()
     near: dict[int, list[int]] = {}
@@ -46,17 +59,33 @@ def build_context(genotypes: DataFrame, phenotypes: DataFrame, y: str, edges: Da
         for a, b in edges.select("node1", "node2").distinct().toPandas().itertuples(index=False):
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
+    short = [int(r.snp_id) for r in rows.itertuples() if len(r.g) != people or any(v is None for v in r.g)]
+    if short:
+        raise ValueError(f"missing calls at {len(short)} SNPs, {short[0]} among them: filter or impute them first")
+    r2 = {} if ld is None else {(int(a), int(b)): float(v) for a, b, v in ld.select("a", "b", "r2").toPandas().itertuples(index=False)}
     values = order[y].to_numpy().astype(np.int64)
-    return Context({int(r.snp_id): np.asarray(r.g, np.int8) for r in rows.itertuples()}, values, int(values.max()) + 1, {k: sorted(v) for k, v in near.items()})
+    return Context({int(r.snp_id): np.asarray(r.g, np.int8) for r in rows.itertuples()}, values, int(values.max()) + 1, {k: sorted(v) for k, v in near.items()}, r2)
 
 
-def score_nll(ctx: Context, snps: tuple[int, ...]) -> float:
-    """Penetrance negative log likelihood of a set, from its cell counts."""
+def cell_counts(ctx: Context, snps: tuple[int, ...]) -> np.ndarray:
+    """Individuals by joint genotype (those that occur) and category."""
     gid = np.zeros(len(ctx.y), np.int64)
     for s in snps:
         gid = gid * 3 + ctx.rows[s]
     used, at = np.unique(gid, return_inverse=True)
-    n = np.bincount(at * ctx.categories + ctx.y, minlength=len(used) * ctx.categories).reshape(-1, ctx.categories).astype(float)
+    return np.bincount(at * ctx.categories + ctx.y, minlength=len(used) * ctx.categories).reshape(-1, ctx.categories)
+
+
+def score_k2(ctx: Context, snps: tuple[int, ...]) -> float:
+    """K2 score of a set."""
+    n = cell_counts(ctx, snps)
+    ln = ln_factorials(len(ctx.y) + 1)
+    return float((ln[n.sum(axis=1) + 1] - ln[n].sum(axis=1)).sum())
+
+
+def score_nll(ctx: Context, snps: tuple[int, ...]) -> float:
+    """Penetrance negative log likelihood of a set, from its cell counts."""
+    n = cell_counts(ctx, snps).astype(float)
     size = n.sum(axis=1, keepdims=True)
     share = np.where(size < 10 * ctx.categories, n.sum(axis=0) / n.sum(), n / size)
     seen = (share > 0).sum(axis=1, keepdims=True)
@@ -81,61 +110,128 @@ def cut_vertices(vertices: set[int], links: dict[int, set[int]]) -> set[int]:
     return out
 
 
-def search_one(ctx: Context, seed_set: tuple[int, ...], rng: random.Random, low: int = 2, high: int = 10, rounds: int = 300) -> dict | None:
-    """Steepest descent from a seed set: in every round the best of adding a neighbour, deleting a member that holds
-    nothing together, or exchanging one for a neighbour. The best set met is returned."""
+SCORES = {"PENETRANCE_NLL": score_nll, "BAYESIAN": score_k2}
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a search goes on: sizes, rounds, when a move that makes no gain is taken, and limits.
+
+    annealing: SIMULATED (temperature from p_start to p_end), HYPERBOLIC_TAN or RANDOM. By default exchanging a SNP for itself
+    counts as a move without gain, which SIMULATED never takes, so the search ends at the first local optimum;
+    exclude_self leaves such exchanges out. ld_cutoff: a SNP joins only where its mean (ld_mode "mean") or largest r2 with
+    the others is below. Seconds are limits on the clock and make results depend on it; rounds don't."""
+
+    low: int = 2
+    high: int = 10
+    rounds: int = 300
+    score: str = "PENETRANCE_NLL"
+    annealing: str = "SIMULATED"
+    p_start: float = 0.8
+    p_end: float = 0.01
+    exclude_self: bool = False
+    ld_cutoff: float | None = None
+    ld_mode: str = "mean"
+    seed_seconds: float | None = None
+    search_seconds: float | None = None
+
+
+def in_ld(ctx: Context, others: set[int], snp: int, o: Options) -> bool:
+    values = [ctx.ld.get((v, snp), ctx.ld.get((snp, v), 0.0)) for v in others]
+    return bool(values) and (sum(values) / len(values) if o.ld_mode == "mean" else max(values)) >= o.ld_cutoff
+
+
+def accepts(o: Options, rng: random.Random, worse: float, mean: float, temperature: float, stalls: int, r: int) -> bool:
+    """Whether a move is taken that is no gain but worse by this much; mean: of the differences so far; temperature < 0."""
+    u = rng.random()
+    if o.annealing == "SIMULATED":
+        return worse != 0 and (u > math.exp(min(700.0, -worse / (mean * temperature))) - 1 or u < stalls / r)
+    if o.annealing == "HYPERBOLIC_TAN":
+        return u >= 1 - 2 / (math.exp(min(700.0, 2 * worse / max(o.rounds - r, 1e-9))) + 1)
+    return r < o.rounds - 1 and u < 0.5
+
+
+def search_one(ctx: Context, seed_set: tuple[int, ...], rng: random.Random, o: Options, until: float = math.inf) -> dict | None:
+    """Descent from a seed set: in every round the best of adding a neighbour, deleting a member that holds nothing together,
+    or exchanging one for a neighbour; without a gain the runner-up, if annealing accepts it. The best set met is returned."""
+    grade, began = SCORES[o.score], time.monotonic()
     now = set(seed_set)
     outside = lambda s: sorted({n for v in s for n in ctx.near.get(v, ())} - s)
-    while len(now) < low:
+    while len(now) < o.low:
         options = outside(now)
         if not options:
             return None
         now.add(rng.choice(options))
     links = {v: now - {v} for v in now}  # a seed's members count as linked
     memo: dict[tuple[int, ...], float] = {}
+    may = lambda others, a: o.ld_cutoff is None or not in_ld(ctx, others, a, o)
 
     def score(s: set[int]) -> float:
         key = tuple(sorted(s))
         if key not in memo:
-            memo[key] = score_nll(ctx, key)
+            memo[key] = grade(ctx, key)
         return memo[key]
 
-    best, done, reason = set(now), rounds + 1, "CONVERGENCE"
-    for r in range(1, rounds + 1):
+    best, done, reason = set(now), o.rounds + 1, "CONVERGENCE"
+    temperature, moved, stalls = 1 / math.log(o.p_start), 0.0, 0
+    factor = (1 / math.log(o.p_end) / temperature) ** (1 / max(o.rounds - 1, 1))
+    for r in range(1, o.rounds + 1):
+        clock = time.monotonic()
+        if clock > until or (o.seed_seconds is not None and clock - began > o.seed_seconds):
+            done, reason = r, "SEARCH_TIMEOUT" if clock > until else "SEED_TIMEOUT"
+            break
         free = sorted(now - cut_vertices(now, links))
-        moves = [(None, a) for a in outside(now)] if len(now) < high else []
-        moves += [(d, None) for d in free] if len(now) > low else []
-        moves += [(d, a) for d in free for a in outside(now - {d}) if a != d]
-        graded = [(score(now - {d} | ({a} - {None})), i) for i, (d, a) in enumerate(moves)]
-        if not graded or min(graded)[0] >= score(now):
-            done, reason = r, "SIMULATED_ANNEALING" if graded else "CONVERGENCE"
+        moves = [(None, a) for a in outside(now) if may(now, a)] if len(now) < o.high else []
+        moves += [(d, None) for d in free] if len(now) > o.low else []
+        moves += [(d, a) for d in free for a in outside(now - {d}) if (a != d or not o.exclude_self) and may(now - {d}, a)]
+        own, first, second = score(now), None, None
+        for d, a in moves:
+            v = score((now - {d}) | ({a} - {None}))
+            if v < (own if first is None else first[0]):
+                first = v, d, a
+            elif second is None or v < second[0]:
+                second = v, d, a
+        if first is None and second is None:
+            done = r
             break
-        d, a = moves[min(graded)[1]]
+        take = first or second
+        moved += abs(take[0] - own)
+        if first is None:
+            if not accepts(o, rng, abs(second[0] - own), moved / r, temperature, stalls, r):
+                done, reason = r, "SIMULATED_ANNEALING"
+                break
+            stalls += 1
+        _, d, a = take
         if d is not None:
             now.discard(d)
             for v in links.pop(d):
                 links[v].discard(d)
         if a is not None:
-            own = set(ctx.near.get(a, ())) & now
+            near = set(ctx.near.get(a, ())) & now
             now.add(a)
-            links[a] = own
-            for v in own:
+            links[a] = near
+            for v in near:
                 links[v].add(a)
         if score(now) < score(best):
             best = set(now)
+        temperature *= factor
     return {"snps": sorted(best), "score": score(best), "num_rounds": done, "stopping_reason": reason}
 
 
-def local_search(seeds: DataFrame, ctx: Context, seed: int = 0, low: int = 2, high: int = 10, rounds: int = 300, parts: int | None = None) -> DataFrame:
-    """set_id, snps, score, num_rounds, stopping_reason for every seed set; seeds are dealt over tasks."""
+def local_search(seeds: DataFrame, ctx: Context, seed: int = 0, parts: int | None = None, **options) -> DataFrame:
+    """set_id, snps, score, num_rounds, stopping_reason for every seed set; seeds are dealt over tasks. options: of Options."""
+    o = Options(**options)
+    if o.annealing not in ANNEALING or o.score not in SCORES:
+        raise ValueError(f"annealing is one of {ANNEALING}, score one of {tuple(SCORES)}")
     spark = seeds.sparkSession
-    shared = spark.sparkContext.broadcast(ctx)
+    shared_context = spark.sparkContext.broadcast(ctx)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        until = math.inf if o.search_seconds is None else time.monotonic() + o.search_seconds
         for pdf in pdfs:
             out = []
             for set_id, snps in zip(pdf["set_id"], pdf["snps"], strict=True):
-                found = search_one(shared.value, tuple(int(s) for s in snps), random.Random(seed * 1_000_003 + int(set_id)), low, high, rounds)
+                found = search_one(shared_context.value, tuple(int(s) for s in snps), random.Random(seed * 1_000_003 + int(set_id)), o, until)
                 if found:
                     out.append({"set_id": set_id, **found})
             yield pd.DataFrame(out, columns=["set_id", "snps", "score", "num_rounds", "stopping_reason"])
@@ -144,23 +240,43 @@ def local_search(seeds: DataFrame, ctx: Context, seed: int = 0, low: int = 2, hi
     return dealt.mapInPandas(run, "set_id long, snps array<int>, score double, num_rounds int, stopping_reason string")
 
 
+def ld_cutoff(ld: DataFrame, samples: int = 10_000, low: int = 2, high: int = 10, mode: str = "mean", seed: int = 0) -> float:
+    """The value that 95 % of random SNPs keep to with random sets of low to high members: sampled sets and SNPs, their mean
+    or largest r2 with the set, sorted, element floor(0.95 n) - 1. ld: a, b, r2, each pair once; others have 0."""
+    names = ld.select(F.explode(F.array("a", "b")).alias("snp")).distinct()
+    numbered = shared.materialize(shared.numbered(names.select("snp", F.pmod(F.xxhash64("snp"), F.lit(64)).alias("part")), "part", ["snp"], "i").select("snp", "i"), "snps")
+    n = numbered.count()
+    if n <= high:
+        raise ValueError("fewer SNPs than a set has members")
+    size = F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(high - low + 1))
+    # enough draws to have size + 1 different ones; the first is the SNP, the next ones the set
+    draws = ld.sparkSession.range(samples).select("id", size.cast("int").alias("size"), F.posexplode(F.expr(f"array_distinct(transform(sequence(1, {8 * (high + 1)}), d -> pmod(xxhash64({seed}, id, d), {n})))")).alias("at", "i")).where("at <= size")
+    named = draws.join(numbered, "i").select("id", "at", "snp")
+    one, rest = named.where("at = 0").select("id", F.col("snp").alias("x")), named.where("at > 0").select("id", F.col("snp").alias("y"))
+    both = ld.select("a", "b", "r2").unionAll(ld.select(F.col("b"), F.col("a"), "r2"))
+    value = one.join(rest, "id").join(both, F.expr("x = a AND y = b"), "left").groupBy("id").agg((F.avg if mode == "mean" else F.max)(F.coalesce("r2", F.lit(0.0))).alias("v"))
+    place = max(int(samples * 0.95) - 1, 0)
+    return float(value.orderBy("v").limit(place + 1).agg(F.max("v")).first()[0])
+
+
 def random_connected_seeds(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """set_id, snps: a random matching. Every edge has a hash; in each round the edges that are least at both ends are taken
     and their ends leave, until n are taken or none is left. Joins and aggregations only."""
-    left = edges.select("node1", "node2").distinct().withColumn("h", F.xxhash64(F.lit(seed), "node1", "node2"))
-    taken = None
+    left = shared.materialize(edges.select("node1", "node2").distinct().withColumn("h", F.xxhash64(F.lit(seed), "node1", "node2")), "left")
+    taken, have = None, 0
     while True:
         ends = left.select("h", F.explode(F.array("node1", "node2")).alias("node"))
         least = ends.groupBy("node").agg(F.min("h").alias("m"))
         a, b = least.select(F.col("node").alias("node1"), F.col("m").alias("m1")), least.select(F.col("node").alias("node2"), F.col("m").alias("m2"))
-        won = left.join(a, "node1").join(b, "node2").where("h = m1 AND h = m2").select("node1", "node2", "h").cache()
-        if won.isEmpty():
+        won = shared.materialize(left.join(a, "node1").join(b, "node2").where("h = m1 AND h = m2").select("node1", "node2", "h"), "won")
+        more = won.count()
+        if more == 0:
             break
-        taken = won if taken is None else taken.unionByName(won)
-        used = won.select(F.explode(F.array("node1", "node2")).alias("u"))
-        left = left.join(used.withColumnRenamed("u", "node1"), "node1", "left_anti").join(used.withColumnRenamed("u", "node2"), "node2", "left_anti")
-        if taken.count() >= n:
+        taken, have = (won if taken is None else taken.unionByName(won)), have + more
+        if have >= n:
             break
+        used = won.select(F.explode(F.array("node1", "node2")).alias("u"))
+        left = shared.materialize(left.join(used.withColumnRenamed("u", "node1"), "node1", "left_anti").join(used.withColumnRenamed("u", "node2"), "node2", "left_anti"), "left")
     if taken is None:
         return edges.sparkSession.createDataFrame([], "set_id long, snps array<int>")
     return taken.orderBy("h").limit(n).select(F.xxhash64("node1", "node2").alias("set_id"), F.array(F.col("node1").cast("int"), F.col("node2").cast("int")).alias("snps"))
@@ -193,6 +309,12 @@ def ising(qubo: DataFrame) -> tuple[DataFrame, DataFrame]:
     return diag.unionAll(ends).groupBy("i").agg(F.sum("h").alias("h")), off.select("i", "j", (F.col("w") / 4).alias("c"))
 
 
+class Solver(Protocol):
+    """What solves the QUBO problems of clusters: rows (cluster_id, i, j, w) to (cluster_id, energy, ones)."""
+
+    def __call__(self, qubo: DataFrame) -> DataFrame: ...
+
+
 def anneal(qubo: DataFrame, samples: int = 10, sweeps: int = 1000, seed: int = 1234) -> DataFrame:
     """cluster_id, energy, ones: the best of several simulated annealings of each cluster's QUBO (cluster_id, i, j, w)."""
 
@@ -222,3 +344,54 @@ def anneal(qubo: DataFrame, samples: int = 10, sweeps: int = 1000, seed: int = 1
         return pd.DataFrame({"cluster_id": [pdf["cluster_id"].iloc[0]], "energy": [best], "ones": [np.flatnonzero(best_x).tolist()]})
 
     return qubo.groupBy("cluster_id").applyInPandas(run, "cluster_id long, energy double, ones array<int>")
+
+
+def parallel_tempering(qubo: DataFrame, chains: int = 8, sweeps: int = 500, seed: int = 1234) -> DataFrame:
+    """cluster_id, energy, ones: the best state of Metropolis chains at temperatures from 1 to 0.01 (in units of the largest
+    local field), whose neighbours exchange states after every sweep, with probability exp of the product of differences of
+    inverse temperatures and energies."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(max(pdf["i"].max(), pdf["j"].max())) + 1
+        q = np.zeros((n, n))
+        np.add.at(q, (pdf["i"].to_numpy(), pdf["j"].to_numpy()), pdf["w"].to_numpy())
+        diag = np.diag(q).copy()
+        sym = q + q.T - 2 * np.diag(diag)
+        rng = np.random.default_rng(seed)
+        top = max(np.abs(diag).max() + np.abs(sym).sum(axis=1).max(), 1e-9)
+        beta = 1 / (np.geomspace(1, 1e-2, chains) * top)
+        x = rng.integers(0, 2, (chains, n))
+        local = diag + x @ sym
+        energy = np.einsum("ci,ij,cj->c", x, q, x).astype(float)
+        low = int(energy.argmin())
+        best, best_x = energy[low], x[low].copy()
+        for _ in range(sweeps):
+            for i in rng.permutation(n):  # all chains at once
+                step = 1 - 2 * x[:, i]
+                delta = local[:, i] * step
+                flip = (delta <= 0) | (rng.random(chains) < np.exp(-np.minimum(np.maximum(delta, 0) * beta, 700)))
+                x[flip, i] += step[flip]
+                energy[flip] += delta[flip]
+                local[flip] += step[flip, None] * sym[i]
+            for c in range(chains - 1):
+                gain = (beta[c + 1] - beta[c]) * (energy[c + 1] - energy[c])
+                if gain >= 0 or rng.random() < math.exp(gain):
+                    for v in (x, local, energy):
+                        v[[c, c + 1]] = v[[c + 1, c]]
+            low = int(energy.argmin())
+            if energy[low] < best - 1e-12:
+                best, best_x = energy[low], x[low].copy()
+        return pd.DataFrame({"cluster_id": [pdf["cluster_id"].iloc[0]], "energy": [float(best_x @ q @ best_x)], "ones": [np.flatnonzero(best_x).tolist()]})
+
+    return qubo.groupBy("cluster_id").applyInPandas(run, "cluster_id long, energy double, ones array<int>")
+
+
+def decode_cliques(solved: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
+    """set_id, cluster_id, snps: the SNPs of every clique of the solutions; nodes: cluster_id, v, snp_id, as numbered in the
+    problems, clique by clique. Empty ones, and those of more than `most`, go."""
+    sizes = nodes.groupBy("cluster_id").agg((F.max("v") + 1).alias("n"))
+    ones = solved.select("cluster_id", F.explode("ones").alias("o")).join(sizes, "cluster_id")
+    placed = ones.select("cluster_id", F.floor(F.col("o") / F.col("n")).alias("clique"), (F.col("o") % F.col("n")).cast("int").alias("v"))
+    named = placed.join(nodes.select("cluster_id", F.col("v").cast("int").alias("v"), "snp_id"), ["cluster_id", "v"])
+    out = named.groupBy("cluster_id", "clique").agg(F.array_sort(F.collect_set(F.col("snp_id").cast("int"))).alias("snps")).where(F.size("snps") <= most)
+    return out.select(F.xxhash64("cluster_id", F.array_join("snps", ",")).alias("set_id"), "cluster_id", "snps").dropDuplicates(["set_id"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snpweave import shared
+
 MAX_SIZE = 10
 
 
@@ -74,9 +76,32 @@ def results_table(scored: DataFrame, sets: DataFrame, snps: DataFrame, annotatio
     return out.select(F.col("RANK").alias(f"RANK ({score})"), "RS_IDS", *keep, "ANNOTATIONS")
 
 
+def with_carriers(table: DataFrame, carriers: DataFrame, categories: list) -> DataFrame:
+    """Adds NUM_INDIVIDUALS_<c>, FREQ_INDIVIDUALS_<c> and INDIVIDUALS_<c> of every category to a table with set_id, from rows
+    (set_id, category, num, freq, individuals); a set without carriers in a category has 0, 0 and the empty text."""
+    wide = carriers.groupBy("set_id").pivot("category", categories).agg(F.first("num").alias("num"), F.first("freq").alias("freq"), F.first("individuals").alias("individuals"))
+    out = table.join(wide, "set_id", "left")
+    for c in categories:
+        none = {"num": F.lit(0).cast("long"), "freq": F.lit(0.0), "individuals": F.lit("")}
+        for part, name in (("num", "NUM_INDIVIDUALS"), ("freq", "FREQ_INDIVIDUALS"), ("individuals", "INDIVIDUALS")):
+            out = out.withColumn(f"{name}_{c}", F.coalesce(F.col(f"`{c}_{part}`"), none[part])).drop(f"{c}_{part}")
+    return out
+
+
+def attribute_lists(values: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the sorted distinct values of all its rows, joined by ';': genes of a SNP, SNPs of a gene, sources of a set."""
+    return values.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(value).cast("string"))), ";").alias(value))
+
+
+def map_labels(sets: DataFrame, annotations: DataFrame, how: str = "left") -> DataFrame:
+    """set_id, snp_id, label: the labels of every member; `how` as in joins (left keeps members without a label)."""
+    members = sets.select("set_id", F.explode("snps").alias("snp_id"))
+    return members.join(annotations.select("snp_id", "label").distinct(), "snp_id", how).select("set_id", "snp_id", "label")
+
+
 def random_like(sets: DataFrame, snps: DataFrame, seed: int) -> DataFrame:
     """Random sets with the sizes of the input, members drawn with replacement (so a set may shrink), by a seeded hash."""
-    numbered = snps.select("snp_id", (F.row_number().over(Window.orderBy("snp_id")) - 1).alias("i"))
+    numbered = shared.numbered(snps.select("snp_id", F.pmod(F.xxhash64("snp_id"), F.lit(256)).alias("part")), "part", ["snp_id"], "i").select("snp_id", "i")
     n = snps.count()
     draws = sets.select("set_id", F.explode(F.sequence(F.lit(1), F.size("snps"))).alias("d")).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "set_id", "d"), F.lit(n)).cast("int"))
     return draws.join(numbered, "i").groupBy("set_id").agg(F.array_sort(F.collect_set("snp_id")).alias("snps"))

@@ -192,11 +192,31 @@ def read_macoed(spark: SparkSession, path: str, snps: DataFrame) -> DataFrame:
     return _named_sets(df.select("set_id"), df.select("set_id", F.explode(F.array(F.col("p")[1], F.col("p")[2])).alias("alias")), snps, False)
 
 
-def read_disease_snps(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct names of the first line, comma-separated, quotes stripped."""
+def read_disease_snps(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Distinct names of the first line, comma-separated, quotes stripped; only those of `known` (name), if given."""
     whole = spark.read.text(path, wholetext=True)
     first = F.split(F.get(F.split("value", "\r?\n"), F.lit(0)), ",")
-    return whole.select(F.explode(first).alias("v")).select(F.trim(F.regexp_replace("v", "[\"']", "")).alias("name")).where("name <> ''").distinct()
+    found = whole.select(F.explode(first).alias("v")).select(F.trim(F.regexp_replace("v", "[\"']", "")).alias("name")).where("name <> ''").distinct()
+    return found if known is None else found.join(known.select("name"), "name", "left_semi")
+
+
+def find_file(spark: SparkSession, folder: str, pattern: str, without: str | None = None) -> str:
+    """The path of the one file of a folder whose name matches a glob pattern (and not another, a regular expression); an
+    error where there is none or more than one. Only the listing is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    if without:
+        found = found.where(~F.regexp_extract("path", "[^/]*$", 0).rlike(without))
+    paths = [r[0] for r in found.limit(3).collect()]
+    if len(paths) != 1:
+        raise FileNotFoundError(f"{'no' if not paths else 'more than one'} file {pattern} in {folder}")
+    return paths[0]
+
+
+def list_datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name, format, phenotype, categories of the files of a folder called name.format.phenotype[.categories]."""
+    files = spark.read.format("binaryFile").load(folder).select("path", F.split(F.regexp_extract("path", "[^/]*$", 0), "\\.").alias("p"))
+    part = lambda i: F.get("p", F.lit(i))
+    return files.where(F.size("p").between(3, 4)).select("path", part(0).alias("name"), part(1).alias("format"), part(2).alias("phenotype"), part(3).cast("int").alias("categories"))
 
 
 def read_ld(spark: SparkSession, path: str) -> DataFrame:

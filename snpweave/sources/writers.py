@@ -3,7 +3,7 @@ what a format holds in one cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snpweave.functions.scalars import base32
@@ -88,3 +88,51 @@ def vcf_lines(genotypes: DataFrame, snps: DataFrame) -> DataFrame:
     call = F.when(F.col("g").isNull(), "./.").when(F.col("g") == 0, "0/0").when(F.col("g") == 1, "0/1").otherwise("1/1")
     calls = genotypes.withColumn("c", call).groupBy("snp_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(ind_id, c))), x -> x.c), '\t')").alias("calls"))
     return snps.join(calls, "snp_id").select(F.concat_ws("\t", "chrom", "pos", "name", F.lit("A"), F.lit("B"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "calls").alias("value"))
+
+
+def tped_lines(genotypes: DataFrame, snps: DataFrame) -> DataFrame:
+    """value: one line per SNP with allele pairs A/B by dosage of B, individuals in order."""
+    pair = F.when(F.col("g").isNull(), "0 0").when(F.col("g") == 0, "A A").when(F.col("g") == 1, "A B").otherwise("B B")
+    calls = genotypes.withColumn("c", pair).groupBy("snp_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(ind_id, c))), x -> x.c), ' ')").alias("calls"))
+    return snps.join(calls, "snp_id").select(F.concat_ws(" ", "chrom", "name", F.lit("0"), "pos", "calls").alias("value"))
+
+
+def fam_lines(people: DataFrame) -> DataFrame:
+    """value: one line per individual (fid, iid, sex, y: 0 or 1)."""
+    return people.select(F.concat_ws(" ", "fid", "iid", F.lit("0"), F.lit("0"), "sex", F.coalesce((F.col("y") + 1).cast("string"), F.lit("-9"))).alias("value"))
+
+
+def bed_rows(genotypes: DataFrame) -> DataFrame:
+    """snp_id, bits: the two-bit row of each SNP, individuals in order: 2 -> 00, missing -> 01, 1 -> 10, 0 -> 11. The file is
+    the bytes 6c 1b 01 and the rows in order of snp_id."""
+    code = F.when(F.col("g").isNull(), 1).when(F.col("g") == 2, 0).when(F.col("g") == 1, 2).otherwise(3)
+    rows = genotypes.select("snp_id", "ind_id", code.alias("c")).groupBy("snp_id").agg(F.expr("transform(array_sort(collect_list(struct(ind_id, c))), x -> x.c)").alias("c"))
+    byte = "coalesce(c[4 * i], 0) + 4 * coalesce(get(c, 4 * i + 1), 0) + 16 * coalesce(get(c, 4 * i + 2), 0) + 64 * coalesce(get(c, 4 * i + 3), 0)"
+    return rows.select("snp_id", F.expr(f"unhex(array_join(transform(sequence(0, (size(c) - 1) div 4), i -> lpad(hex({byte}), 2, '0')), ''))").alias("bits"))
+
+
+def write_bed(genotypes: DataFrame, path: str) -> None:
+    """One two-bit file on a path that the driver writes, row by row; the rows come partition by partition."""
+    with open(path, "wb") as out:
+        out.write(b"\x6c\x1b\x01")
+        for r in bed_rows(genotypes).orderBy("snp_id").select("bits").toLocalIterator():
+            out.write(bytes(r[0]))
+
+
+def pocos_tables(genotypes: DataFrame, phenotypes: DataFrame, snps: DataFrame) -> dict[str, DataFrame]:
+    """genotype (a tab-separated line of dosages per SNP), phenotype (1 or 2 a line) and names (a SNP a line)."""
+    line = F.expr("array_join(transform(array_sort(collect_list(struct(ind_id, g))), x -> x.g), '\t')")
+    return {
+        "genotype": genotypes.groupBy("snp_id").agg(line.alias("value")).orderBy("snp_id").select("value"),
+        "phenotype": phenotypes.orderBy("ind_id").select((F.col("y") + 1).cast("string").alias("value")),
+        "names": snps.orderBy("snp_id").select(F.col("name").alias("value")),
+    }
+
+
+def save_cells(cell: DataFrame, path: str) -> None:
+    """A fitted penetrance model: the cells of its sets. `load_cells` reads it; predictions are the same."""
+    cell.write.mode("overwrite").parquet(path)
+
+
+def load_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -16,11 +16,13 @@ DIR = "/root/testdata/sf0.001"
 def state(spark):
     g = star.genotypes100(spark, DIR).where("snp_id < 40").cache()
     p = star.individuals(spark, DIR).cache()
-    return pipeline.State(g, p, star.snps100(spark).where("snp_id < 40"), star.labels(spark).where("snp_id < 40"))
+    return pipeline.State(g, p, star.snps100(spark).where("snp_id < 40"), star.labels100(spark, DIR).where("snp_id < 40").cache())
 
 
 def test_search_pipeline(spark, state):
-    plan = pipeline.Pipeline(pipeline.same_label(), pipeline.label_network(star.label_network(spark), "NET"), pipeline.random_seeds(4, 1), pipeline.local_search("y2", rounds=3, high=3))
+    names = sorted(r.label for r in state.annotations.select("label").distinct().collect())
+    net = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "label1 string, label2 string")
+    plan = pipeline.Pipeline(pipeline.same_label(), pipeline.label_network(net, "NET"), pipeline.random_seeds(4, 1), pipeline.local_search("y2", rounds=3, high=3))
     rows = plan.run(state).results.collect()
     assert rows and all(2 <= len(r.snps) <= 3 for r in rows)
     assert '"label_network"' in plan.config()
