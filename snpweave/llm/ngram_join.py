@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from snpweave.llm.common import array_parts, components, digest128, materialize, mix, shingle_hashes, small_or_shuffled, summed_arrays, text_blocks, with_text, word_hashes
 
-SLOTS, SEEN, HUB_ROUNDS, LIST = 1 << 19, 50_000, 1, 500
+SLOTS, SEEN, HUB_ROUNDS, LIST, BEFORE = 1 << 19, 50_000, 1, 500, 16
 _KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, part int, buckets binary, text_key long"
 
 
@@ -283,16 +283,20 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
         links = materialize(links.unionAll(verify(met, sets_of(met), percent)), "links")
         tried = tried.unionAll(met)
 
-    # pass 3: all pairs of one list that are still in different components
-    # (the suffix filter on 64 buckets is part of the join, so that pairs it rules out are never made)
+    # pass 3: all pairs of one list that are still in different components, each at the first list that both are in (the
+    # BEFORE lists before it are compared, so few pairs are met twice), if 64 bucket sums leave it possible
     open_lists = still_open()
-    open_lists = open_lists.join(signatures(classes.join(open_lists.select("gid").distinct(), "gid", "left_semi")), "gid")
+    own = open_lists.groupBy("gid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("p"))
+    own = own.join(signatures(classes.join(own.select("gid"), "gid", "left_semi")), "gid")
+    cells = F.expr(f"transform(p, (x, i) -> struct(x.h AS h, x.pos AS pos, transform(slice(p, greatest(i - {BEFORE - 1}, 1), least(i, {BEFORE})), y -> y.h) AS before))")
+    shown = own.select("gid", "n", "component", "sig", F.explode(cells).alias("c")).select("gid", "n", "component", "sig", "c.h", "c.pos", "c.before")
+    shown = materialize(shown, "shown")
     common = f"coalesce({100 + percent} * aggregate(zip_with(l.sig, r.sig, (x, y) -> least(x, y)), 0, (t, x) -> t + x) >= {percent} * (l.n + r.n), true)"
-    l, r = open_lists.alias("l"), open_lists.alias("r")
-    crossing = l.join(r, F.expr("l.h = r.h AND l.gid < r.gid AND l.component <> r.component") & _near("l.n", "l.pos", "r.n", "r.pos", percent) & F.expr(common))
+    l, r = shown.alias("l"), shown.alias("r")
+    crossing = l.join(r, F.expr("l.h = r.h AND l.gid < r.gid AND l.component <> r.component") & _near("l.n", "l.pos", "r.n", "r.pos", percent) & F.expr("NOT arrays_overlap(l.before, r.before)") & F.expr(common))
     crossing = crossing.select(F.col("l.gid").alias("a"), F.col("r.gid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     crossing = materialize(suffix_filter(crossing, classes, percent), "crossing")
-    all_links = links.unionAll(verify(crossing, sets_of(crossing), percent))
+    all_links = materialize(links.unionAll(verify(crossing, sets_of(crossing), percent)), "links")
     whole = materialize(components(all_links), "components")
 
     member = classes.drop("n", "buckets").join(whole.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))

@@ -339,7 +339,8 @@ def removed_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     spread = lambda df, a: df.groupBy("fp").agg(F.min(a).alias("a"), F.max(a).alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).where("a <> b OR p <> q").select("fp")
     # what is joined by a hash or a digest stands in a table of its own first, so that a join can split the rows of a hot one
     some = materialize(found.join(small_or_shuffled(spread(found, "eid")), "fp", "left_semi"), "repeated")
-    some = materialize(some.join(gid_of, "eid").select("fp", "gid", "pos").distinct(), "repeated")
+    by_text = some.groupBy("eid").agg(F.collect_list(F.struct("fp", "pos")).alias("p")).join(gid_of, "eid")  # a row a text
+    some = materialize(by_text.select("gid", F.explode("p").alias("p")).select("p.fp", "gid", "p.pos").distinct(), "repeated")
     some = some.join(small_or_shuffled(spread(some, "gid")), "fp", "left_semi")
     by_doc = some.groupBy("gid").agg(F.collect_list("pos").alias("at")).join(classes.select("gid", "rid", "tk"), "gid")
     texts = source.select("rid", "tk", "text").join(by_doc, ["rid", "tk"]).groupBy("rid", "tk").agg(F.first("gid").alias("gid"), F.first("text").alias("text"), F.first("at").alias("at"))
