@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import n_partitions, prefix_hash, range_hash, with_text
+from snpweave.llm.common import n_partitions, with_text
 from snpweave.llm.lm_scoring import pack_bytes, unpack_bytes
 from snpweave.llm.token_counts import MARK, _model_path, piece_model
 
@@ -112,10 +112,10 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stage_words(docs: DataFrame, path: str) -> DataFrame:
-    """Rows of chunks. A body: key (a digest of what the chunk holds), at null, and its packed word numbers, sizes (words),
-    ids, and for each text whether its id is null (1) and whether it holds a space mark (2). A question: key (a hash of the
-    word), the chunk's key, at (the word's number in it, frequent ones first), and the word."""
-    schema = "key long NOT NULL, chunk long NOT NULL, at int, body binary"
+    """Rows of chunks. A question: key (a word), the chunk (a digest of what it holds) and at (the word's number in it,
+    frequent ones first). A body: key (the digest as text), the chunk, at null, and the packed word numbers, sizes (words),
+    ids, and for each text whether its id is null (1) and whether it holds a space mark (2)."""
+    schema = "key string NOT NULL, chunk long NOT NULL, at int, body binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def rows(ids: list, sizes: list, marks: list, words: array, vocab: dict) -> Iterator[pa.RecordBatch]:
@@ -123,26 +123,17 @@ def stage_words(docs: DataFrame, path: str) -> DataFrame:
         order = np.argsort(-np.bincount(local, minlength=len(vocab)), kind="stable")
         place = np.empty(len(order), "<u4")
         place[order] = np.arange(len(order), dtype="<u4")  # frequent words get small numbers, which pack better
-        texts = [w.encode() for w in vocab]
         parts = [pack_bytes(place[local] if len(local) else local), pack_bytes(np.array(sizes, "<u4")), pack_bytes(np.array([i or 0 for i in ids], "<i8")), bytes((i is None) + 2 * m for i, m in zip(ids, marks, strict=True))]
         body = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+        texts = pa.array(vocab, pa.string()).take(pa.array(order))
         key = hashlib.blake2b(body, digest_size=8)
-        for k in order:
-            key.update(len(texts[k]).to_bytes(4, "little") + texts[k])
+        for x in texts.buffers()[1:]:
+            key.update(x or b"")
         chunk = int.from_bytes(key.digest(), "little", signed=True)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.array([body], pa.binary())], names=names)
-        # questions of one partition stand together in the exchange, in the order of their words, which packs better
-        flat, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
-        hashes = np.zeros(len(texts), np.int64)
-        for at in range(0, len(texts), ASKED // 8):
-            end = min(len(texts), at + ASKED // 8)
-            data = flat[offsets[at] : offsets[end]]
-            cut = offsets[at : end + 1] - offsets[at]
-            hashes[at:end] = range_hash(prefix_hash(data), cut[:-1], cut[1:]).view(np.int64)
-        ranked = sorted(range(len(texts)), key=texts.__getitem__)
+        yield pa.RecordBatch.from_arrays([pa.array([str(chunk)]), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), pa.array([body], pa.binary())], names=names)
         for at in range(0, len(texts), 20_000):
-            some = ranked[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(np.full(len(some), chunk)), pa.array(place[some].astype(np.int32)), pa.array([texts[k] for k in some], pa.binary())], names=names)
+            some = texts.slice(at, 20_000)
+            yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.nulls(len(some), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = pieces_of(path).cut.findall
@@ -238,7 +229,7 @@ def _only(rows: DataFrame, condition: str, *columns: str) -> DataFrame:
 
 
 def answers(asked: DataFrame, path: str) -> DataFrame:
-    """Rows (chunk, reply) from rows (chunk, at, word, mask): packed word numbers, sizes, ids, and the numbers of words that
+    """Rows (whose: the chunk as text, reply) from rows (chunk, at, word, mask): packed word numbers, sizes, ids, and the numbers of words that
     don't decode to themselves. A chunk has one row for some of its words."""
 
     def flush(found: dict[int, list]) -> pa.RecordBatch:
@@ -247,14 +238,14 @@ def answers(asked: DataFrame, path: str) -> DataFrame:
             rows.sort(key=lambda r: r[0])
             at = np.array([r[0] for r in rows], np.int64)
             parts = [pack_bytes(np.diff(at, prepend=0).astype("<u4")), pack_bytes(np.array([len(r[1]) for r in rows], "<u4")), pack_bytes(np.array([x for r in rows for x in r[1]], "<u4")), pack_bytes(np.array([r[0] for r in rows if r[2]], "<u4"))]
-            keys.append(chunk)
+            keys.append(str(chunk))
             packed.append(b"".join(len(x).to_bytes(8, "little") + x for x in parts))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "reply"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["whose", "reply"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, found, n, last = pieces_of(path), {}, 0, (None, None, None)
         for batch in batches:
-            for chunk, at, word, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, at, word, mask in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 if word != last[0]:  # a word's questions come one after the other
                     ids = word_ids(word, mask, p)
                     last = word, ids, b"".join([p.raw[x] for x in ids]) != word.replace(MARK, " ").encode()
@@ -266,7 +257,7 @@ def answers(asked: DataFrame, path: str) -> DataFrame:
         if found:
             yield flush(found)
 
-    return asked.select("chunk", "at", "word", "mask").mapInArrow(run, "chunk long, reply binary")
+    return asked.mapInArrow(run, "whose string, reply binary")
 
 
 def _parts(raw: bytes) -> list[bytes]:
@@ -284,19 +275,17 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     p, spark = pieces_of(path), docs.sparkSession
     parts = 4 * n_partitions(spark)
     dealt = stage_words(with_text(docs, id_col, text_col), path).repartition(parts, "key")
-    asked = _only(dealt, "at IS NOT NULL", "chunk", "at", "body").withColumn("word", F.col("body").cast("string")).drop("body")
-    words = asked.select("key", "word").where(F.length("word") <= LONGEST).distinct()
-    folded = lattice(words, piece_table(spark, path), p.longest, ["key", "word"], *_ranked()).select("key", "word", merge_fold().alias("mask"))
-    # by the key that both are dealt by; words are compared beside it (as an equality they would become keys and be dealt anew)
-    a, f = asked.alias("a"), folded.alias("f")
-    known = a.join(f, F.expr("a.key = f.key AND a.word >= f.word AND a.word <= f.word"), "left").select("a.chunk", "a.at", "a.word", "f.mask")
-    reply = answers(known, path).repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list("reply").alias("replies"))
-    bodies = _only(dealt, "at IS NULL", "chunk", "at", "body").select("key", "body")
-    joined = bodies.join(reply, F.col("key") == F.col("chunk"), "left").select("body", "replies")
+    asked = _only(dealt, "at IS NOT NULL", "chunk", "at", "body")
+    words = asked.select(F.col("key").alias("word")).where(F.length("word") <= LONGEST).distinct()
+    folded = lattice(words, piece_table(spark, path), p.longest, ["word"], *_ranked()).select(F.col("word").alias("key"), merge_fold().alias("mask"))
+    known = asked.join(folded, "key", "left").select("chunk", "at", F.col("key").alias("word"), "mask", "body")
+    reply = answers(known, path).repartition(parts, "whose").groupBy("whose").agg(F.collect_list("reply").alias("replies"))
+    bodies = _only(dealt, "at IS NULL", "chunk", "at", "body")
+    joined = bodies.join(reply, F.col("key") == F.col("whose"), "left").select("body", "replies", "chunk", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, replies in zip(batch.column(0), batch.column(1), strict=True):
+            for body, replies in zip(batch.column(0), batch.column(1), strict=True):  # the others keep both sides' columns alike
                 head = _parts(body.as_py())
                 got = [[unpack_bytes(x, "<u4").astype(np.int64) for x in _parts(r)] for r in (replies.as_py() or [])]
                 got = [r + [np.zeros(0, np.int64)] * (4 - len(r)) for r in got]
