@@ -21,7 +21,7 @@ from snpweave.operators.scores import joint_genotypes
 from snpweave.shared import materialize
 
 RATE, STOP, MOST = 0.1, 1e-4, 50_000
-CHUNK = 64
+CHUNK = 256
 NAMES = ("NLL", "LLH", "AIC", "BIC", "NLL_GAIN", "LLH_GAIN", "AIC_GAIN", "BIC_GAIN")
 ROOT = 2.5066282746310002
 

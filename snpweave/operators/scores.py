@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import NumericType
 
 from snpweave.functions.stats import TINY, chi2_sf, clamp_probability, f_sf, ln_factorial, ln_factorials, normal_quantile
 from snpweave.operators.blocks import category_cells, value_cells
-from snpweave.shared import materialize
+from snpweave.shared import in_order, materialize
 
 #: whether a larger score is better
 MAXIMISE = {"PENETRANCE_LLH", "REGRESSION_LLH", "REGRESSION_NLL_GAIN", "REGRESSION_LLH_GAIN", "REGRESSION_AIC_GAIN", "REGRESSION_BIC_GAIN"}
@@ -179,8 +180,10 @@ def score_sets(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y:
 
 def rank_sets(scored: DataFrame, score: str, tie: str = "set_id") -> DataFrame:
     """Adds RANK: 1..n in the score's sense, ties by id."""
-    order = F.desc(score) if score in MAXIMISE else F.asc(score)
-    return scored.withColumn("RANK", F.row_number().over(Window.orderBy(order, tie)).cast("long"))
+    if not isinstance(scored.schema[score].dataType, NumericType):
+        raise TypeError(f"{score} is no number")
+    by = scored.withColumn("__by", -F.col(score) if score in MAXIMISE else F.col(score))
+    return in_order(by, "__by", [tie], "RANK").withColumn("RANK", (F.col("RANK") + 1).cast("long")).drop("__by")
 
 
 def monte_carlo(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:
@@ -200,11 +203,11 @@ def monte_carlo(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y:
         rng = np.random.default_rng([seed, int(pdf["set_id"].iloc[0]) & 0xFFFFFFFF])
         rest = np.tile(table.sum(axis=0), (rounds, 1))  # individuals of each category not dealt yet
         score = np.full(rounds, ln[size + 1].sum())
-        for n in size:
+        for n in size[np.argsort(-size)]:  # in any order; cells without individuals left to choose from cost little
             left, others = np.full(rounds, n), rest.sum(axis=1)
             for k in range(len(cats)):
                 others = others - rest[:, k]
-                drawn = rng.hypergeometric(rest[:, k], others, left)
+                drawn = rng.hypergeometric(rest[:, k], others, left) if k < len(cats) - 1 else left  # the last category has what is left
                 rest[:, k] -= drawn
                 left = left - drawn
                 score -= ln[drawn]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +111,10 @@ def random_like(sets: DataFrame, snps: DataFrame, seed: int) -> DataFrame:
 
 def best_of_clusters(candidates: DataFrame, quantile: float) -> DataFrame:
     """The best candidate (least score) of every cluster, and the best ceil(q N) of all; ties by set_id."""
-    n = F.count("*").over(Window.partitionBy())
-    ranked = candidates.withColumn("in", F.row_number().over(Window.partitionBy("cluster").orderBy("score", "set_id"))).withColumn("all", F.row_number().over(Window.orderBy("score", "set_id"))).withColumn("n", n)
-    return ranked.where((F.col("in") == 1) | (F.col("all") <= F.ceil(F.lit(quantile) * F.col("n")))).select("set_id", "cluster", "score")
+    candidates = shared.materialize(candidates, "candidates")
+    n = candidates.count()
+    ranked = shared.in_order(candidates, "score", ["set_id"], "all").withColumn("in", F.row_number().over(Window.partitionBy("cluster").orderBy("score", "set_id")))
+    return ranked.where((F.col("in") == 1) | (F.col("all") < math.ceil(round(quantile * n, 9)))).select("set_id", "cluster", "score")
 
 
 def best_so_far(trace: DataFrame, time: str, score: str) -> DataFrame:

@@ -43,6 +43,21 @@ def numbered(df: DataFrame, part: str, order: list[str], out: str) -> DataFrame:
     return here.join(starts, F.col(part).eqNullSafe(F.col("__part"))).withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__part", "__before")
 
 
+def in_order(df: DataFrame, value: str, ties: list[str], out: str, parts: int = 64) -> DataFrame:
+    """`numbered` by a number and then by `ties`, in ranges of the number with about equally many rows; nulls come first."""
+    df = materialize(df, "ordered")
+    edges = df.approxQuantile(value, [k / parts for k in range(1, parts)], 0.25 / parts)
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>"), lambda e: e < F.col(value).cast("double")))
+    ranged = df.withColumn("__range", F.when(F.col(value).isNull(), -1).otherwise(part))
+    return numbered(ranged, "__range", [value, *ties], out).drop("__range")
+
+
+def line_numbers(lines: DataFrame, out: str) -> DataFrame:
+    """Add `out`: numbers from 0 in the order in which Spark reads the rows of a file."""
+    at = lines.withColumn("__line", F.monotonically_increasing_id())
+    return numbered(at.withColumn("__file_part", F.shiftright("__line", 33)), "__file_part", ["__line"], out).drop("__line", "__file_part")
+
+
 # ---------------------------------------------------------------- connected components
 
 

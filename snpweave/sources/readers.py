@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snpweave.functions.scalars import split_list
+from snpweave.shared import line_numbers
 
 EPIGEN = "num_snps int, num_inds int, model_type string, num_categories int, genotype array<array<int>>, phenotype array<string>, snps array<array<string>>, mafs array<double>, disease_snps array<int>"
 
@@ -56,21 +57,20 @@ def read_covariates(spark: SparkSession, path: str, id_column: str | None = None
     covs = F.array(*[F.col(c).cast("double") for c in cols]).alias("covs")
     if id_column:
         return df.select(F.col(id_column).alias("ind_id"), covs)
-    numbered = df.withColumn("__m", F.monotonically_increasing_id())
-    return numbered.select((F.row_number().over(Window.orderBy("__m")) - 1).alias("ind_id"), covs)
+    return line_numbers(df, "ind_id").select("ind_id", covs)
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
     """snp_id, name, chrom, pos, a1, a2 of a variant table."""
-    df = spark.read.csv(path, sep="\t").toDF("chrom", "name", "cm", "pos", "a1", "a2").withColumn("__m", F.monotonically_increasing_id())
-    return df.select((F.row_number().over(Window.orderBy("__m")) - 1).alias("snp_id"), "name", "chrom", "pos", "a1", "a2")
+    df = spark.read.csv(path, sep="\t").toDF("chrom", "name", "cm", "pos", "a1", "a2")
+    return line_numbers(df, "snp_id").select("snp_id", "name", "chrom", "pos", "a1", "a2")
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """ind_id, fid, iid, sex, y (1 case, 0 control, null unknown) of a sample table."""
-    df = spark.read.text(path).withColumn("__m", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    df = line_numbers(spark.read.text(path), "ind_id").withColumn("p", F.split(F.trim("value"), r"\s+"))
     y = F.when(F.col("p")[5] == "2", 1).when(F.col("p")[5] == "1", 0)
-    return df.select((F.row_number().over(Window.orderBy("__m")) - 1).alias("ind_id"), F.col("p")[0].alias("fid"), F.col("p")[1].alias("iid"), F.col("p")[4].cast("int").alias("sex"), y.alias("y"))
+    return df.select("ind_id", F.col("p")[0].alias("fid"), F.col("p")[1].alias("iid"), F.col("p")[4].cast("int").alias("sex"), y.alias("y"))
 
 
 def read_bed(spark: SparkSession, path: str, n_inds: int) -> DataFrame:
@@ -97,16 +97,14 @@ def read_bed(spark: SparkSession, path: str, n_inds: int) -> DataFrame:
 
 def read_ped(spark: SparkSession, path: str) -> DataFrame:
     """ind_id, snp_id, g, a: dosage of the rarer allele from paired allele columns ('0' is missing)."""
-    df = spark.read.text(path).withColumn("__m", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    df = df.withColumn("ind_id", F.row_number().over(Window.orderBy("__m")) - 1)
+    df = line_numbers(spark.read.text(path), "ind_id").withColumn("p", F.split(F.trim("value"), r"\s+"))
     pairs = df.select("ind_id", F.expr("transform(sequence(0, (size(p) - 6) div 2 - 1), i -> array(p[6 + 2 * i], p[7 + 2 * i]))").alias("calls"))
     return _dosage(pairs.select("ind_id", F.posexplode("calls").alias("snp_id", "c")))
 
 
 def read_tped(spark: SparkSession, path: str) -> DataFrame:
     """As `read_ped`, SNP by SNP."""
-    df = spark.read.text(path).withColumn("__m", F.monotonically_increasing_id()).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    df = df.withColumn("snp_id", F.row_number().over(Window.orderBy("__m")) - 1)
+    df = line_numbers(spark.read.text(path), "snp_id").withColumn("p", F.split(F.trim("value"), r"\s+"))
     pairs = df.select("snp_id", F.expr("transform(sequence(0, (size(p) - 4) div 2 - 1), i -> array(p[4 + 2 * i], p[5 + 2 * i]))").alias("calls"))
     return _dosage(pairs.select("snp_id", F.posexplode("calls").alias("ind_id", "c")))
 
@@ -120,8 +118,8 @@ def _dosage(calls: DataFrame) -> DataFrame:
 
 def read_vcf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """snps and genotypes of a variant call file: dosage of alternative alleles, '.' is missing."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("##")).withColumn("__m", F.monotonically_increasing_id())
-    body = lines.where(~F.col("value").startswith("#")).withColumn("p", F.split("value", "\t")).withColumn("snp_id", F.row_number().over(Window.orderBy("__m")) - 1)
+    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+    body = line_numbers(lines, "snp_id").withColumn("p", F.split("value", "\t"))
     snps = body.select("snp_id", F.col("p")[2].alias("name"), F.col("p")[0].alias("chrom"), F.col("p")[1].alias("pos"), F.col("p")[3].alias("ref"), F.col("p")[4].alias("alt"))
     calls = body.select("snp_id", F.posexplode(F.expr("slice(p, 10, greatest(size(p) - 9, 0))")).alias("ind_id", "call"))
     alleles = F.split(F.substring_index("call", ":", 1), "[/|]")
@@ -165,8 +163,8 @@ def read_biogrid(spark: SparkSession, path: str) -> DataFrame:
 def read_sets(spark: SparkSession, path: str, snps: DataFrame, skip_unknown: bool = False) -> DataFrame:
     """set_id, snps and further columns of a table with RS_IDS (names joined by ';'). Unknown names are an error, or left
     out; sets without members go."""
-    df = spark.read.csv(path, header=True, sep="\t").withColumn("__m", F.monotonically_increasing_id())
-    df = df.withColumn("set_id", (F.row_number().over(Window.orderBy("__m")) - 1).cast("long")).drop("__m")
+    df = spark.read.csv(path, header=True, sep="\t")
+    df = line_numbers(df, "set_id")
     return _named_sets(df, df.select("set_id", F.explode(split_list(F.col("RS_IDS"), ";")).alias("alias")), snps, skip_unknown).drop("RS_IDS")
 
 
@@ -180,15 +178,14 @@ def _named_sets(df: DataFrame, members: DataFrame, snps: DataFrame, skip_unknown
 
 def read_linden(spark: SparkSession, path: str, snps: DataFrame) -> DataFrame:
     """Pairs snp1, snp2; LINDEN_rank numbers the rows."""
-    df = spark.read.csv(path, header=True, sep="\t").withColumn("__m", F.monotonically_increasing_id())
-    df = df.withColumn("LINDEN_rank", F.row_number().over(Window.orderBy("__m"))).withColumn("set_id", (F.col("LINDEN_rank") - 1).cast("long"))
+    df = spark.read.csv(path, header=True, sep="\t")
+    df = line_numbers(df, "set_id").withColumn("LINDEN_rank", (F.col("set_id") + 1).cast("int"))
     return _named_sets(df.select("set_id", "LINDEN_rank"), df.select("set_id", F.explode(F.array("snp1", "snp2")).alias("alias")), snps, False)
 
 
 def read_macoed(spark: SparkSession, path: str, snps: DataFrame) -> DataFrame:
     """Lines whose first field is 'final'; fields two and three are the pair."""
-    df = spark.read.text(path).withColumn("__m", F.monotonically_increasing_id()).withColumn("p", F.split("value", "\t")).where(F.col("p")[0] == "final")
-    df = df.withColumn("set_id", (F.row_number().over(Window.orderBy("__m")) - 1).cast("long"))
+    df = line_numbers(spark.read.text(path).where("split(value, '\t')[0] = 'final'"), "set_id").withColumn("p", F.split("value", "\t"))
     return _named_sets(df.select("set_id"), df.select("set_id", F.explode(F.array(F.col("p")[1], F.col("p")[2])).alias("alias")), snps, False)
 
 
