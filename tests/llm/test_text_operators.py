@@ -303,3 +303,32 @@ def test_round_trip_is_what_decoding_shows(spark):
     enc = sentencepiece_lattice.encode_texts(docs)
     back = {x.doc_id: x.text for x in sentencepiece_lattice.decode_ids(enc).collect()}
     assert {x.doc_id: x.round_trip for x in enc.collect()} == {i: back[i] == (t or "") for i, t in enumerate(texts)}
+
+
+def test_lm_score_against_dictionaries(docs, corpus):
+    """The whole model by dictionaries: counts, histogram of the tuning fold, weights, and the mixture of every token."""
+    import pandas as pd
+
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in corpus}
+    tokens = {i: [*words(t), b"\n"] for i, t in corpus}
+    pairs = {i: list(zip([b"\n", *ws[:-1]], ws, strict=True)) for i, ws in tokens.items()}
+    count = lambda of, keep: Counter(x for i in of if keep(fold[i]) for x in of[i])
+    fit1, fit2 = (count(of, lambda f: f not in (2, 3)) for of in (tokens, pairs))
+    all1, all2 = (count(of, lambda f: f != 2) for of in (tokens, pairs))
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    cell = lambda p: round(-math.log2(p) * lm_scoring.STEP) if p else -1
+    seen = Counter()
+    for i in pairs:
+        if fold[i] == 3:
+            for v, w in pairs[i]:
+                c = fit1[v]
+                seen[bucket(c), cell(fit2[v, w] / c if c else 0), cell(fit1[w] / sum(fit1.values()))] += 1
+    hist = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["bucket", "two", "one", "tokens"])
+    weights = lm_scoring.mixture_weights(hist, len(fit1))
+    n, v_size = sum(all1.values()), len(all1)
+    for r in lm_scoring.score_texts(docs).collect():
+        want = 0.0
+        for v, w in pairs[r.doc_id]:
+            a = weights[bucket(all1[v])]
+            want += math.log10(a[0] * (all2[v, w] / all1[v] if all1[v] else 0) + a[1] * all1[w] / n + a[2] / (v_size + 1))
+        assert r.score == pytest.approx(want, rel=1e-9), r.doc_id
