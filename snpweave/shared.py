@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_and_see(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """`materialize`, and aggregates of the rows that are taken while they are written, so that no job of its own is needed."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in what.items()]), name)
+    return out, seen.get
+
+
 # ---------------------------------------------------------------- numbers in an order
 
 
@@ -105,8 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(small, "links")
-        sums = now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        whole = lambda c: F.sum(c.cast("decimal(38,0)"))
+        now, sums = materialize_and_see(small, "links", n=F.count(F.lit(1)), a=whole(F.col("a")), b=whole(F.col("b")), h=whole(F.xxhash64("a", "b")))
         if sums == before:
             break
         before = sums
