@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snpweave.shared import components, local_forest, materialize, scratch_dir  # noqa: F401
+from snpweave.shared import components, local_forest, materialize, materialize_and_see, scratch_dir  # noqa: F401
 
 BLOCK_BYTES = 512 << 10
 SMALL_ROWS = 200_000
@@ -25,8 +25,8 @@ U64 = np.uint64
 
 def small_or_shuffled(df: DataFrame) -> DataFrame:
     """df (a few numbers a row) with a hint to broadcast it, if a count shows that it is small; else as it is, for a shuffle."""
-    df = materialize(df, "side")
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    df, seen = materialize_and_see(df, "side", n=F.count(F.lit(1)))
+    return F.broadcast(df) if seen["n"] <= SMALL_ROWS else df
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snpweave.llm.common import array_parts, components, digest128, materialize, mix, shingle_hashes, small_or_shuffled, summed_arrays, text_blocks, with_text, word_hashes
+from snpweave.llm.common import SMALL_ROWS, array_parts, components, digest128, materialize, materialize_and_see, mix, shingle_hashes, small_or_shuffled, summed_arrays, text_blocks, with_text, word_hashes
 
 SLOTS, SEEN, HUB_ROUNDS, LIST, BEFORE = 1 << 19, 50_000, 1, 500, 16
 _KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, part int, buckets binary, text_key long"
@@ -253,10 +253,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
-        needed = materialize(ids.join(classes.select("gid", "doc_id", "d1", "d2"), "gid"), "needed")
-        keys = small_or_shuffled(needed.select("doc_id").distinct())
+        needed, seen = materialize_and_see(ids.join(classes.select("gid", "doc_id", "d1", "d2"), "gid"), "needed", n=F.count(F.lit(1)))
+        side = F.broadcast if seen["n"] <= SMALL_ROWS else lambda df: df
+        keys = side(needed.select("doc_id").distinct())
         texts = source.alias("s").join(keys.alias("k"), F.expr("s.doc_id <=> k.doc_id"), "left_semi")
-        found = set_table(texts, words).join(small_or_shuffled(needed.select("d1", "d2", "gid")), ["d1", "d2"])
+        found = set_table(texts, words).join(side(needed.select("d1", "d2", "gid")), ["d1", "d2"])
         return materialize(found.select("gid", "shingles").dropDuplicates(["gid"]), "sets")
 
     links = materialize(verify(first_pairs, sets_of(first_pairs), percent), "links1")
