@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,30 +233,48 @@ def answers(asked: DataFrame, path: str) -> DataFrame:
     """Rows (whose: the chunk as text, reply) from rows (chunk, at, word, mask): packed word numbers, sizes, ids, and the numbers of words that
     don't decode to themselves. A chunk has one row for some of its words."""
 
-    def flush(found: dict[int, list]) -> pa.RecordBatch:
-        keys, packed = [], []
-        for chunk, rows in found.items():
-            rows.sort(key=lambda r: r[0])
-            at = np.array([r[0] for r in rows], np.int64)
-            parts = [pack_bytes(np.diff(at, prepend=0).astype("<u4")), pack_bytes(np.array([len(r[1]) for r in rows], "<u4")), pack_bytes(np.array([x for r in rows for x in r[1]], "<u4")), pack_bytes(np.array([r[0] for r in rows if r[2]], "<u4"))]
-            keys.append(str(chunk))
+    def flush(chunks: list, ats: list, owners: list, ids: array, sizes: array, bad: list[bool]) -> pa.RecordBatch:
+        chunk, at, word = (np.concatenate(x) for x in (chunks, ats, owners))
+        flat, size = np.frombuffer(ids, "<u4"), np.array(sizes, np.int64)
+        first = np.cumsum(size) - size
+        order = np.lexsort((at, chunk))
+        chunk, at, word = chunk[order], at[order], word[order]
+        cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        wrong = np.array(bad)[word]
+        packed = []
+        for i, j in zip(cut, np.append(cut[1:], len(chunk)), strict=True):
+            n = size[word[i:j]]
+            ends = np.cumsum(n)
+            own = flat[np.repeat(first[word[i:j]] - (ends - n), n) + np.arange(int(n.sum()))]
+            parts = [pack_bytes(np.diff(at[i:j], prepend=0).astype("<u4")), pack_bytes(n.astype("<u4")), pack_bytes(own), pack_bytes(at[i:j][wrong[i:j]].astype("<u4"))]
             packed.append(b"".join(len(x).to_bytes(8, "little") + x for x in parts))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(packed, pa.binary())], names=["whose", "reply"])
+        return pa.RecordBatch.from_arrays([pa.array([str(c) for c in chunk[cut]]), pa.array(packed, pa.binary())], names=["whose", "reply"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, found, n, last = pieces_of(path), {}, 0, (None, None, None)
+        p = pieces_of(path)
+        chunks, ats, owners, n = [], [], [], 0
+        ids, sizes, bad = array("I"), array("I"), []
         for batch in batches:
-            for chunk, at, word, mask in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if word != last[0]:  # a word's questions come one after the other
-                    ids = word_ids(word, mask, p)
-                    last = word, ids, b"".join([p.raw[x] for x in ids]) != word.replace(MARK, " ").encode()
-                found.setdefault(chunk, []).append((at, last[1], last[2]))
-                n += 1
+            if len(batch) == 0:
+                continue
+            runs = pc.run_end_encode(batch.column(2))  # a word's questions come one after the other
+            length = np.diff(runs.run_ends.to_numpy(), prepend=0)
+            masks = batch.column(3).take(pa.array(runs.run_ends.to_numpy() - 1)).to_pylist()
+            for word, mask in zip(runs.values.to_pylist(), masks, strict=True):
+                own = word_ids(word, mask, p)
+                ids.extend(own)
+                sizes.append(len(own))
+                bad.append(b"".join([p.raw[x] for x in own]) != word.replace(MARK, " ").encode())
+            chunks.append(batch.column(0).to_numpy())
+            ats.append(batch.column(1).to_numpy().astype(np.int64))
+            owners.append(np.repeat(np.arange(len(sizes) - len(length), len(sizes)), length))
+            n += len(batch)
             if n >= ASKED:
-                yield flush(found)
-                found, n = {}, 0
-        if found:
-            yield flush(found)
+                yield flush(chunks, ats, owners, ids, sizes, bad)
+                chunks, ats, owners, n = [], [], [], 0
+                ids, sizes, bad = array("I"), array("I"), []
+        if n:
+            yield flush(chunks, ats, owners, ids, sizes, bad)
 
     return asked.mapInArrow(run, "whose string, reply binary")
 
@@ -276,7 +295,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     parts = 4 * n_partitions(spark)
     dealt = stage_words(with_text(docs, id_col, text_col), path).repartition(parts, "key")
     asked = _only(dealt, "at IS NOT NULL", "chunk", "at", "body")
-    words = asked.select(F.col("key").alias("word")).where(F.length("word") <= LONGEST).distinct()
+    words = _only(dealt, f"at IS NOT NULL AND length(key) <= {LONGEST}", "chunk", "at", "body").select(F.col("key").alias("word")).distinct()
     folded = lattice(words, piece_table(spark, path), p.longest, ["word"], *_ranked()).select(F.col("word").alias("key"), merge_fold().alias("mask"))
     known = asked.join(folded, "key", "left").select("chunk", "at", F.col("key").alias("word"), "mask", "body")
     reply = answers(known, path).repartition(parts, "whose").groupBy("whose").agg(F.collect_list("reply").alias("replies"))
