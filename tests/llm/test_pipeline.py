@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from snpweave.llm.common import materialize
@@ -34,3 +36,62 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
 
     cut = Counter((x.doc_id, x.text or "") for x in corpus_pipeline.repeated_passage_stage(spark, kept, "").collect())
     assert cut == got  # no passage stands at two places any more
+
+
+def test_stages_against_plain_python(spark):
+    """Every stage on the smallest tables does what brute force says, on all that the one before it kept."""
+    import re
+
+    from snpweave.llm.quality import score_quality
+
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    of = lambda df: {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+    steps = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, where), name)
+        steps[name] = before, docs
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    before, after = steps["quality_classifier"]
+    rejected = {r.doc_id for r in score_quality(before, spark.read.parquet(f"{where}/labels.parquet")).where("predicted = 0").collect()}
+    texts, left = of(before), of(after)
+    assert left == {i: t for i, t in texts.items() if i not in rejected}
+
+    texts, left = left, of(steps["ngram_join"][1])
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    top = smallest_reachable(list(sets), links)
+    assert left == {i: t for i, t in texts.items() if top[i] == i}
+
+    texts, left = left, of(steps["suffix_dedup"][1])
+    seen = Counter(t.encode()[k : k + 400] for t in texts.values() for k in range(len(t.encode()) - 399))
+    for i, t in texts.items():
+        raw, gone = t.encode(), set()
+        for k in range(len(raw) - 399):
+            if seen[raw[k : k + 400]] > 1:
+                gone.update(range(k, k + 400))
+        assert left[i] == bytes(b for k, b in enumerate(raw) if k not in gone).decode("utf-8", "ignore")
+
+    texts, left = left, of(steps["secret_scan"][1])
+    keys = [r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?=[A-Za-z0-9+/_.=-]{6})[A-Za-z0-9+/_.=-]+""", r"AKIA[A-Z0-9]{16,}", r"(?<![0-9a-f])[0-9a-f]{24,}"]
+    assert set(left) == set(texts)
+    for i, t in texts.items():
+        hit = any(re.search(k, t) for k in keys)
+        assert not any(re.search(k, left[i]) for k in keys) and (("[SECRET]" in left[i]) or not hit) and (left[i] == t or "[SECRET]" in left[i])
+
+    pieces = steps["packing"][1]
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(left)
+    bad = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").count()
+    assert bad == 0 and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_on_an_empty_table_and_extra_columns(spark):
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    extra = docs.limit(20).withColumns({c: F.lit(7) for c in ("text_key", "n", "h", "component", "spans", "kind")})
+    for table in (docs.limit(0), extra):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = materialize(stage(spark, now, where), name)
+        assert (now.count() > 0) == (table is extra)
