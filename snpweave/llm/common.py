@@ -16,7 +16,7 @@ from snpweave.shared import components, local_forest, materialize, materialize_a
 
 BLOCK_BYTES = 512 << 10
 SMALL_ROWS = 200_000
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 U64 = np.uint64
 
 
