@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import filters, network, regression, scores, search, sets
+from snpweave.operators import covariate_regression, filters, network, pca, regression, scores, search, sets
 from snpweave.sources import star
 
 
@@ -124,6 +124,25 @@ def covariate_anova(s, d):
     return _r(scores.anova(scores.quantitative_cells(x, g, regression.residuals(p, c, "yq"), "yq")).drop("VARIANCE"), "f", digits=4)
 
 
+def principal_components(s, d):
+    """Of the 100 markers: ten components of every individual."""
+    return _r(pca.principal_components(star.genotypes100(s, d))[0], *[f"pc{i}" for i in range(1, 11)])
+
+
+def _with_components(s: SparkSession, d: str) -> DataFrame:
+    return covariate_regression.with_components(star.covariates(s, d), pca.principal_components(star.genotypes100(s, d))[0])
+
+
+def regression_cov_y2(s, d):
+    x, g, p = _geno(s, d)
+    return covariate_regression.covariate_scores(x, g, p, _with_components(s, d), "y2", 2)
+
+
+def regression_cov_yq(s, d):
+    x, g, p = _geno(s, d)
+    return covariate_regression.covariate_scores(x, g, p, _with_components(s, d), "yq")
+
+
 def cross_validation(s, d):
     x, g, p = _geno(s, d)
     return _r(regression.cross_validated(x, g, p, "y2", filters.folds(p, 5)), "quality")
@@ -378,7 +397,7 @@ def qubo_annealing(s, d):
 
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
-    penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
+    penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
     network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
