@@ -49,9 +49,9 @@ def _by_chunk_and_block(sets: DataFrame, genotypes: DataFrame, phenotypes: DataF
     return dosages.unionAll(asked).unionAll(own)
 
 
-def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, absent: int = MISSING) -> DataFrame:
     """What `one` (cell numbers, phenotypes and ids of the individuals without a missing call) gives for every set and
-    block."""
+    block. absent: the dosage of calls without a row."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,13 +60,14 @@ def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray]
         y, ids = np.array([np.nan if v is None else v for v in pdf["y"].iloc[own]], float), np.asarray(pdf["ind_ids"].iloc[own])
         rows: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(kind == 0):
-            g = np.full(len(y), MISSING, np.int64)
+            g = np.full(len(y), absent, np.int64)
             g[np.asarray(pdf["pos"].iloc[k])] = np.asarray(pdf["g"].iloc[k])
             rows[int(pdf["snp_id"].iloc[k])] = g
         known = ~np.isnan(y)
+        nothing = None if absent == MISSING else np.full(len(y), absent, np.int64)
         out: list[dict[str, np.ndarray]] = []
         for s in pdf["sets"].iloc[int(np.flatnonzero(kind == 1)[0])] if (kind == 1).any() else []:
-            calls = [rows.get(int(v)) for v in s["snps"]]
+            calls = [rows.get(int(v), nothing) for v in s["snps"]]
             if any(c is None for c in calls):
                 continue
             gid, ok = np.zeros(len(y), np.int64), known.copy()
@@ -82,8 +83,9 @@ def _counted(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray]
     return rows.groupBy("chunk", "block").applyInPandas(run, schema)
 
 
-def category_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
-    """set_id, gid, y, n: individuals by joint genotype and category."""
+def category_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, absent: int = MISSING) -> DataFrame:
+    """set_id, gid, y, n: individuals by joint genotype and category. absent: the dosage of calls without a row, so that a table
+    may leave the dosage 0 out."""
 
     def one(gid: np.ndarray, y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
         codes, at = np.unique(y, return_inverse=True)
@@ -91,7 +93,7 @@ def category_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame,
         return {"gid": found // max(len(codes), 1), "y": codes[found % max(len(codes), 1)].astype(np.int64), "n": n}
 
     kind = phenotypes.schema[y].dataType
-    parts = _counted(_by_chunk_and_block(sets, genotypes, phenotypes, y), one, "set_id long, gid long, y long, n long")
+    parts = _counted(_by_chunk_and_block(sets, genotypes, phenotypes, y), one, "set_id long, gid long, y long, n long", absent)
     return parts.groupBy("set_id", "gid", F.col("y").cast(kind).alias("y")).agg(F.sum("n").alias("n"))
 
 

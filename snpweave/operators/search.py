@@ -1,17 +1,8 @@
-"""Seeding and local search over SNP networks, QUBO construction and annealing.
-
-The iterative parts run inside Arrow functions: seeds, clusters or sets are dealt over tasks, and each task works on its
-rows alone. What a task needs beside its rows (the genotype matrix and the adjacency of the network's SNPs) is broadcast
-after a check of its size.
-"""
+"""Seeds of SNP networks, LD cutoffs, QUBO construction and annealing. Local search is in `open_search`."""
 
 from __future__ import annotations
 
 import math
-import random
-import time
-from collections.abc import Iterator
-from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -20,225 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snpweave import shared
-from snpweave.functions.stats import ln_factorials
-
-MATRIX_LIMIT, EDGE_LIMIT = 1 << 30, 20_000_000
-ANNEALING = ("SIMULATED", "HYPERBOLIC_TAN", "RANDOM")
-
-
-@dataclass
-class Context:
-    """What one task needs: dosages by SNP (packed bytes), phenotype categories, neighbours by SNP."""
-
-    rows: dict[int, np.ndarray]
-    y: np.ndarray
-    categories: int
-    near: dict[int, list[int]] = field(default_factory=dict)
-    ld: dict[tuple[int, int], float] = field(default_factory=dict)
-
-
-def build_context(genotypes: DataFrame, phenotypes: DataFrame, y: str, edges: DataFrame | None = None, ld: DataFrame | None = None) -> Context:
-    """Collects the matrix of the network's SNPs, its adjacency and their r2 (a, b, r2; pairs left out have 0), all of a size
-    checked beforehand. A missing call or phenotype is refused."""
-    people = phenotypes.count()
-    snps = genotypes.select("snp_id").distinct()
-    if edges is not None:
-        snps = snps.join(edges.select(F.explode(F.array("node1", "node2")).alias("snp_id")).distinct(), "snp_id", "left_semi")
-    n = snps.count()
-    if n * people > MATRIX_LIMIT:
-        raise ValueError(f"{n} x {people} genotypes are too many to broadcast; filter markers first")
-    for what, df in (("edges", edges), ("pairs in LD", ld)):
-        if df is not None and df.limit(EDGE_LIMIT + 1).count() > EDGE_LIMIT:
-            raise ValueError(f"more than {EDGE_LIMIT} {what} are too many to broadcast; filter the network first")
-    if not phenotypes.where(F.col(y).isNull()).isEmpty():
-        raise ValueError("individuals without a phenotype: leave them out first")
-    order = phenotypes.select("ind_id", y).orderBy("ind_id").toPandas()
-    rows = genotypes.join(snps, "snp_id", "left_semi").groupBy("snp_id").agg(F.expr("transform(array_sort(collect_list(struct(ind_id, g))), x -> cast(x.g AS tinyint))").alias("g")).toPandas()
-    near: dict[int, list[int]] = {}
-    if edges is not None:
-        for a, b in edges.select("node1", "node2").distinct().toPandas().itertuples(index=False):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-    short = [int(r.snp_id) for r in rows.itertuples() if len(r.g) != people or any(v is None for v in r.g)]
-    if short:
-        raise ValueError(f"missing calls at {len(short)} SNPs, {short[0]} among them: filter or impute them first")
-    r2 = {} if ld is None else {(int(a), int(b)): float(v) for a, b, v in ld.select("a", "b", "r2").toPandas().itertuples(index=False)}
-    values = order[y].to_numpy().astype(np.int64)
-    return Context({int(r.snp_id): np.asarray(r.g, np.int8) for r in rows.itertuples()}, values, int(values.max()) + 1, {k: sorted(v) for k, v in near.items()}, r2)
-
-
-def cell_counts(ctx: Context, snps: tuple[int, ...]) -> np.ndarray:
-    """Individuals by joint genotype (those that occur) and category."""
-    gid = np.zeros(len(ctx.y), np.int64)
-    for s in snps:
-        gid = gid * 3 + ctx.rows[s]
-    used, at = np.unique(gid, return_inverse=True)
-    return np.bincount(at * ctx.categories + ctx.y, minlength=len(used) * ctx.categories).reshape(-1, ctx.categories)
-
-
-def score_k2(ctx: Context, snps: tuple[int, ...]) -> float:
-    """K2 score of a set."""
-    n = cell_counts(ctx, snps)
-    ln = ln_factorials(len(ctx.y) + 1)
-    return float((ln[n.sum(axis=1) + 1] - ln[n].sum(axis=1)).sum())
-
-
-def score_nll(ctx: Context, snps: tuple[int, ...]) -> float:
-    """Penetrance negative log likelihood of a set, from its cell counts."""
-    n = cell_counts(ctx, snps).astype(float)
-    size = n.sum(axis=1, keepdims=True)
-    share = np.where(size < 10 * ctx.categories, n.sum(axis=0) / n.sum(), n / size)
-    seen = (share > 0).sum(axis=1, keepdims=True)
-    p = np.where(share == 0, 1e-5, share - 1e-5 * (ctx.categories - seen) / seen)
-    return float(-(n * np.log(np.clip(p, 2.2250738585072014e-308, 1))).sum())
-
-
-def cut_vertices(vertices: set[int], links: dict[int, set[int]]) -> set[int]:
-    """Members without which the others fall apart."""
-    out = set()
-    for v in vertices:
-        rest = vertices - {v}
-        if len(rest) > 1:
-            seen, todo = set(), [next(iter(rest))]
-            while todo:
-                u = todo.pop()
-                if u not in seen:
-                    seen.add(u)
-                    todo += links[u] & rest - seen
-            if seen != rest:
-                out.add(v)
-    return out
-
-
-SCORES = {"PENETRANCE_NLL": score_nll, "BAYESIAN": score_k2}
-
-
-@dataclass(frozen=True)
-class Options:
-    """How a search goes on: sizes, rounds, when a move that makes no gain is taken, and limits.
-
-    annealing: SIMULATED (temperature from p_start to p_end), HYPERBOLIC_TAN or RANDOM. By default exchanging a SNP for itself
-    counts as a move without gain, which SIMULATED never takes, so the search ends at the first local optimum;
-    exclude_self leaves such exchanges out. ld_cutoff: a SNP joins only where its mean (ld_mode "mean") or largest r2 with
-    the others is below. Seconds are limits on the clock and make results depend on it; rounds don't."""
-
-    low: int = 2
-    high: int = 10
-    rounds: int = 300
-    score: str = "PENETRANCE_NLL"
-    annealing: str = "SIMULATED"
-    p_start: float = 0.8
-    p_end: float = 0.01
-    exclude_self: bool = False
-    ld_cutoff: float | None = None
-    ld_mode: str = "mean"
-    seed_seconds: float | None = None
-    search_seconds: float | None = None
-
-
-def in_ld(ctx: Context, others: set[int], snp: int, o: Options) -> bool:
-    values = [ctx.ld.get((v, snp), ctx.ld.get((snp, v), 0.0)) for v in others]
-    return bool(values) and (sum(values) / len(values) if o.ld_mode == "mean" else max(values)) >= o.ld_cutoff
-
-
-def accepts(o: Options, rng: random.Random, worse: float, mean: float, temperature: float, stalls: int, r: int) -> bool:
-    """Whether a move is taken that is no gain but worse by this much; mean: of the differences so far; temperature < 0."""
-    u = rng.random()
-    if o.annealing == "SIMULATED":
-        return worse != 0 and (u > math.exp(min(700.0, -worse / (mean * temperature))) - 1 or u < stalls / r)
-    if o.annealing == "HYPERBOLIC_TAN":
-        return u >= 1 - 2 / (math.exp(min(700.0, 2 * worse / max(o.rounds - r, 1e-9))) + 1)
-    return r < o.rounds - 1 and u < 0.5
-
-
-def search_one(ctx: Context, seed_set: tuple[int, ...], rng: random.Random, o: Options, until: float = math.inf) -> dict | None:
-    """Descent from a seed set: in every round the best of adding a neighbour, deleting a member that holds nothing together,
-    or exchanging one for a neighbour; without a gain the runner-up, if annealing accepts it. The best set met is returned."""
-    grade, began = SCORES[o.score], time.monotonic()
-    now = set(seed_set)
-    outside = lambda s: sorted({n for v in s for n in ctx.near.get(v, ())} - s)
-    while len(now) < o.low:
-        options = outside(now)
-        if not options:
-            return None
-        now.add(rng.choice(options))
-    links = {v: now - {v} for v in now}  # a seed's members count as linked
-    memo: dict[tuple[int, ...], float] = {}
-    may = lambda others, a: o.ld_cutoff is None or not in_ld(ctx, others, a, o)
-
-    def score(s: set[int]) -> float:
-        key = tuple(sorted(s))
-        if key not in memo:
-            memo[key] = grade(ctx, key)
-        return memo[key]
-
-    best, done, reason = set(now), o.rounds + 1, "CONVERGENCE"
-    temperature, moved, stalls = 1 / math.log(o.p_start), 0.0, 0
-    factor = (1 / math.log(o.p_end) / temperature) ** (1 / max(o.rounds - 1, 1))
-    for r in range(1, o.rounds + 1):
-        clock = time.monotonic()
-        if clock > until or (o.seed_seconds is not None and clock - began > o.seed_seconds):
-            done, reason = r, "SEARCH_TIMEOUT" if clock > until else "SEED_TIMEOUT"
-            break
-        free = sorted(now - cut_vertices(now, links))
-        moves = [(None, a) for a in outside(now) if may(now, a)] if len(now) < o.high else []
-        moves += [(d, None) for d in free] if len(now) > o.low else []
-        moves += [(d, a) for d in free for a in outside(now - {d}) if (a != d or not o.exclude_self) and may(now - {d}, a)]
-        own, first, second = score(now), None, None
-        for d, a in moves:
-            v = score((now - {d}) | ({a} - {None}))
-            if v < (own if first is None else first[0]):
-                first = v, d, a
-            elif second is None or v < second[0]:
-                second = v, d, a
-        if first is None and second is None:
-            done = r
-            break
-        take = first or second
-        moved += abs(take[0] - own)
-        if first is None:
-            if not accepts(o, rng, abs(second[0] - own), moved / r, temperature, stalls, r):
-                done, reason = r, "SIMULATED_ANNEALING"
-                break
-            stalls += 1
-        _, d, a = take
-        if d is not None:
-            now.discard(d)
-            for v in links.pop(d):
-                links[v].discard(d)
-        if a is not None:
-            near = set(ctx.near.get(a, ())) & now
-            now.add(a)
-            links[a] = near
-            for v in near:
-                links[v].add(a)
-        if score(now) < score(best):
-            best = set(now)
-        temperature *= factor
-    return {"snps": sorted(best), "score": score(best), "num_rounds": done, "stopping_reason": reason}
-
-
-def local_search(seeds: DataFrame, ctx: Context, seed: int = 0, parts: int | None = None, **options) -> DataFrame:
-    """set_id, snps, score, num_rounds, stopping_reason for every seed set; seeds are dealt over tasks. options: of Options."""
-    o = Options(**options)
-    if o.annealing not in ANNEALING or o.score not in SCORES:
-        raise ValueError(f"annealing is one of {ANNEALING}, score one of {tuple(SCORES)}")
-    spark = seeds.sparkSession
-    shared_context = spark.sparkContext.broadcast(ctx)
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        until = math.inf if o.search_seconds is None else time.monotonic() + o.search_seconds
-        for pdf in pdfs:
-            out = []
-            for set_id, snps in zip(pdf["set_id"], pdf["snps"], strict=True):
-                found = search_one(shared_context.value, tuple(int(s) for s in snps), random.Random(seed * 1_000_003 + int(set_id)), o, until)
-                if found:
-                    out.append({"set_id": set_id, **found})
-            yield pd.DataFrame(out, columns=["set_id", "snps", "score", "num_rounds", "stopping_reason"])
-
-    dealt = seeds.select("set_id", "snps").repartition(parts or spark.sparkContext.defaultParallelism, "set_id")
-    return dealt.mapInPandas(run, "set_id long, snps array<int>, score double, num_rounds int, stopping_reason string")
-
 
 def ld_cutoff(ld: DataFrame, samples: int = 10_000, low: int = 2, high: int = 10, mode: str = "mean", seed: int = 0) -> float:
     """The value that 95 % of random SNPs keep to with random sets of low to high members: sampled sets and SNPs, their mean
@@ -334,7 +106,7 @@ def anneal(qubo: DataFrame, samples: int = 10, sweeps: int = 1000, seed: int = 1
             for beta in betas:
                 for i in range(n):
                     delta = local[i] * (1 - 2 * x[i])
-                    if delta <= 0 or (delta * beta < 44.36 and rng.random() < math.exp(-delta * beta)):
+                    if delta <= 0 or rng.random() < math.exp(-min(delta * beta, 700.0)):
                         step = 1 - 2 * x[i]
                         x[i] += step
                         local += sym[:, i] * step

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snpweave.operators import filters, network, scores, search, sets
+from snpweave.operators import filters, network, open_search, scores, search, sets
 
 
 @dataclass(frozen=True)
@@ -80,9 +80,9 @@ def local_search(y: str, **options) -> Step:
     """Search from every set; equal results are merged."""
 
     def apply(s: State) -> State:
-        ctx = search.build_context(s.genotypes, s.phenotypes, y, s.edges)
-        found = search.local_search(s.sets, ctx, **options)
-        return replace(s, results=found)
+        rest = {k: v for k, v in options.items() if k != "score"}
+        grade = open_search.cell_score(s.genotypes, s.phenotypes, y, options.get("score", "PENETRANCE_NLL"))
+        return replace(s, results=open_search.local_search(s.sets, s.edges, grade, **rest))
 
     return Step("local_search", apply, {"y": y, **options})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import covariate_regression, filters, network, pca, regression, scores, search, sets
+from snpweave.operators import community, covariate_regression, filters, network, open_search, pca, regression, scores, search, sets
 from snpweave.sources import star
 
 
@@ -333,6 +333,16 @@ def rewired_network(s, d):
     return network.rewire(_edges(s, d), 7)
 
 
+def communities(s, d):
+    return community.communities(_edges(s, d))
+
+
+def community_seeds(s, d):
+    """Of the part network: stars of each community, the best by the K2 score."""
+    e = shared.materialize(_edges(s, d).select("node1", "node2").distinct(), "edges")
+    return community.community_seeds(e, open_search.cell_score(star.part_dosages(s, d), star.individuals(s, d), "y2", "BAYESIAN", absent=0)).select("set_id", "cluster", "snps")
+
+
 def network_filter(s, d):
     return filters.filter_in_network(star.snps(s, d), network.label_network_edges(star.labels(s, d), star.label_network(s, d), "NET")).select("snp_id")
 
@@ -373,10 +383,10 @@ def scalar_functions(s, d):
 
 
 def local_search(s, d):
-    g, p = star.genotypes100(s, d), star.individuals(s, d)
-    e = network.same_label_edges(star.labels100(s, d))
-    ctx = search.build_context(g, p, "y2", e)
-    return search.local_search(search.random_connected_seeds(e, 300, seed=1), ctx)
+    """300 random seeds of the part network, searched with the default options."""
+    e = shared.materialize(_edges(s, d).select("node1", "node2").distinct(), "edges")
+    grade = open_search.cell_score(star.part_dosages(s, d), star.individuals(s, d), "y2", absent=0)
+    return open_search.local_search(search.random_connected_seeds(e, 300, seed=1), e, grade)
 
 
 def random_seeds(s, d):
@@ -399,7 +409,7 @@ QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
-    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, network_filter, set_subsets, set_sizes, collapsed,
+    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, community_seeds, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 

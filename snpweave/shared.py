@@ -119,3 +119,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = sums
     tops = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionAll(tops)
+
+
+def running_total_in(df: DataFrame, value: str, group: list[str], chunk: str, order: list, out: str) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows before this one in its group, by chunk and then by `order`. Each chunk of a
+    group is summed on its own and the chunks' totals are added up, so that a group that holds most rows is still summed by
+    many tasks. Group and chunk columns hold no nulls."""
+    keys = [*group, chunk]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
+    before = totals.select(*keys, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+    here = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return here.join(before, keys).withColumn(out, F.col("__inside") + F.col("__before")).drop("__inside", "__before")

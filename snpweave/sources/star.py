@@ -54,6 +54,13 @@ def genotypes100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dosages(spark, sf_dir, marker, snps100(spark))
 
 
+def part_dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snp_id, ind_id, g of the markers that are parts; calls of dosage 0 have no row."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("long").alias("ind_id"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("int").alias("snp_id"))
+    return lines.join(orders, "l_orderkey").groupBy("snp_id", "ind_id").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("g"))
+
+
 def snps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snp_id, name: one marker a part."""
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("snp_id"), F.concat(F.lit("rs"), "p_partkey").alias("name"))

@@ -101,11 +101,6 @@ def test_graph(spark):
     assert network.diameter(e).first()[0] == 3
     joint = {(r.d_in, r.d_out): r.n for r in network.joint_degrees(e).collect()}
     assert joint == {(2, 2): 2, (2, 3): 3, (3, 2): 3, (1, 2): 1, (2, 1): 1, (1, 1): 2}
-    links = {k: set() for k in range(7)}
-    for a, b in [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4)]:
-        links[a].add(b)
-        links[b].add(a)
-    assert search.cut_vertices({0, 1, 2, 3, 4}, links) == {2, 3}
     assert sum(r[0] for r in network.page_rank(e).select("rank").collect()) == pytest.approx(1)
 
 
@@ -156,15 +151,6 @@ def test_random_seeds_are_a_matching(spark):
     assert used and len(used) == len(set(used))
 
 
-def test_search_is_never_worse_than_its_seed(spark, data):
-    _, g, p = data
-    e = spark.createDataFrame([(0, 1), (1, 2)], "node1 int, node2 int")
-    ctx = search.build_context(g, p, "y", e)
-    seeds = spark.createDataFrame([(0, [0, 1])], "set_id long, snps array<int>")
-    r = search.local_search(seeds, ctx, high=3).first()
-    assert r.score <= search.score_nll(ctx, (0, 1)) + 1e-9 and 2 <= len(r.snps) <= 3
-
-
 def test_annealing_finds_the_minimum(spark):
     q = spark.createDataFrame([(0, 0, 0, -1.0), (0, 1, 1, -2.0), (0, 0, 1, 4.0)], "cluster_id long, i long, j long, w double")
     r = search.anneal(q, samples=4, sweeps=50).first()

@@ -96,36 +96,8 @@ def test_carrier_columns(small):
             assert rows[i][f"NUM_INDIVIDUALS_{c}"] == len(own) and rows[i][f"INDIVIDUALS_{c}"] == ";".join(map(str, own))
 
 
-@pytest.mark.parametrize("options", [{}, {"score": "BAYESIAN"}, {"annealing": "HYPERBOLIC_TAN", "exclude_self": True}, {"annealing": "RANDOM", "exclude_self": True}, {"annealing": "SIMULATED", "exclude_self": True}])
-def test_search_options(spark, small, options):
-    geno, people, ring = small
-    ctx = search.build_context(geno, people, "y", ring)
-    seeds = spark.createDataFrame([(i, [i, i + 1]) for i in range(6)], "set_id long, snps array<int>")
-    grade = search.SCORES[options.get("score", "PENETRANCE_NLL")]
-    for r in search.local_search(seeds, ctx, rounds=15, high=4, **options).collect():
-        assert 2 <= len(r.snps) <= 4 and r.score == pytest.approx(grade(ctx, tuple(r.snps)))
-        assert r.score <= grade(ctx, (r.set_id, r.set_id + 1)) + 1e-9
-        assert r.stopping_reason in ("CONVERGENCE", "SIMULATED_ANNEALING")
-        if not options:
-            assert r.stopping_reason == "SIMULATED_ANNEALING"
-            for a in {n for v in r.snps for n in ctx.near[v]} - set(r.snps):  # a local optimum
-                assert len(r.snps) == 4 or grade(ctx, tuple(sorted([*r.snps, a]))) >= r.score
-
-
-def test_search_limits(spark, small):
-    geno, people, ring = small
-    seeds = spark.createDataFrame([(0, [0, 1])], "set_id long, snps array<int>")
-    ctx = search.build_context(geno, people, "y", ring)
-    assert search.local_search(seeds, ctx, seed_seconds=0.0).first().stopping_reason == "SEED_TIMEOUT"
-    assert search.local_search(seeds, ctx, search_seconds=0.0).first().stopping_reason == "SEARCH_TIMEOUT"
-    with pytest.raises(ValueError, match="annealing"):
-        search.local_search(seeds, ctx, annealing="NONE")
-    with pytest.raises(ValueError, match="missing calls"):
-        search.build_context(geno.withColumn("g", F.when(F.col("ind_id") == 3, None).otherwise(F.col("g"))), people, "y", ring)
+def test_ld_cutoff(spark):
     r2 = spark.createDataFrame([(a, b, 0.9) for a, b in itertools.combinations(range(8), 2)], "a int, b int, r2 double")
-    tied = search.build_context(geno, people, "y", ring, r2)
-    found = search.local_search(seeds, tied, ld_cutoff=0.5).first()
-    assert found.snps == [0, 1]  # nothing may join
     assert search.ld_cutoff(r2, 200, 2, 4) == pytest.approx(0.9)
 
 
