@@ -117,6 +117,26 @@ def value_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y:
     return out.select("set_id", "gid", "n", (F.lit(centre) + shift).alias("mean"), F.greatest(F.col("s2") / F.col("n") - shift * shift, F.lit(0.0)).alias("var"), "low", "high")
 
 
+def decimal_cells(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, digits: int) -> DataFrame:
+    """set_id, gid, n, s1, s2 of a phenotype with at most `digits` decimals: sums and sums of squares in units of its last
+    decimal, as whole numbers, so that no order of adding changes them. Values below 2**31 units."""
+    unit = 10**digits
+
+    def one(gid: np.ndarray, y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+        order = np.argsort(gid, kind="stable")
+        gid, v = gid[order], np.rint(y[order] * unit).astype(np.int64)
+        if not len(gid):
+            return {k: np.zeros(0, np.int64) for k in ("gid", "n", "s1", "s2")}
+        first = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+        # squares by halves of 2**16, as a block's sum of squares may pass 2**63
+        low, high = np.add.reduceat(v * v & 0xFFFF, first), np.add.reduceat(v * v >> 16, first)
+        s2 = [(int(h) << 16) + int(l) for h, l in zip(high, low, strict=True)]
+        return {"gid": gid[first], "n": np.diff(np.append(first, len(gid))), "s1": np.add.reduceat(v, first), "s2": [str(x) for x in s2]}
+
+    parts = _counted(_by_chunk_and_block(sets, genotypes, phenotypes, y), one, "set_id long, gid long, n long, s1 long, s2 string")
+    return parts.groupBy("set_id", "gid").agg(F.sum("n").alias("n"), F.sum(F.col("s1").cast("decimal(28,0)")).alias("s1"), F.sum(F.col("s2").cast("decimal(28,0)")).alias("s2"))
+
+
 def carriers(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str) -> DataFrame:
     """set_id, y, ind_ids: individuals with a non-zero dosage at every SNP of the set, ascending, by category."""
     kind = phenotypes.schema[y].dataType

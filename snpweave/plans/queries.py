@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import community, covariate_regression, filters, network, open_search, pca, regression, scores, search, sets
+from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, pca, regression, scores, search, sets
 from snpweave.sources import star
 
 
@@ -82,9 +82,11 @@ def anova_yq(s, d):
 
 
 def cell_statistics(s, d):
+    """Sum and population variance of each cell, from whole cents: the variance in tenths, rounded half up."""
     x, g, p = _geno(s, d)
-    out = scores.quantitative_cells(x, g, p, "yq")
-    return out.select("set_id", F.col("gid").cast("long").alias("gid"), "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), F.round("var", 1).alias("var"))
+    out = blocks.decimal_cells(x, g, p, "yq", 2)
+    tenths = F.expr("CAST((20 * (n * s2 - s1 * s1) + n * n * 10000) AS DECIMAL(38,0)) div CAST(2 * n * n * 10000 AS DECIMAL(38,0))")
+    return out.select("set_id", "gid", "n", (F.col("s1").cast("double") / 100).alias("total"), (tenths.cast("double") / 10).alias("var"))
 
 
 def penetrance_y2(s, d):
@@ -337,12 +339,6 @@ def communities(s, d):
     return community.communities(_edges(s, d))
 
 
-def community_seeds(s, d):
-    """Of the part network: stars of each community, the best by the K2 score."""
-    e = shared.materialize(_edges(s, d).select("node1", "node2").distinct(), "edges")
-    return community.community_seeds(e, open_search.cell_score(star.part_dosages(s, d), star.individuals(s, d), "y2", "BAYESIAN", absent=0)).select("set_id", "cluster", "snps")
-
-
 def network_filter(s, d):
     return filters.filter_in_network(star.snps(s, d), network.label_network_edges(star.labels(s, d), star.label_network(s, d), "NET")).select("snp_id")
 
@@ -351,17 +347,20 @@ def network_filter(s, d):
 
 
 def set_subsets(s, d):
-    out = sets.subsets(star.pair_sets(s), 2, 2)
+    """Of every order with two parts or more: all pairs of its parts, and the order whole."""
+    out = sets.subsets(_order_sets(s, d), 2, 2)
     return out.select("set_id", F.array_join("snps", ",").alias("snps"))
 
 
 def set_sizes(s, d):
-    return sets.size_distribution(star.pair_sets(s))
+    return sets.size_distribution(_order_sets(s, d))
 
 
 def collapsed(s, d):
-    x = star.pair_sets(s).select("set_id", F.array((F.col("set_id") % 4).cast("int"), (F.col("set_id") % 4 + 1).cast("int")).alias("snps"), (F.col("set_id") % 3).alias("rounds"))
-    return sets.collapse(x, ["rounds"])
+    """Orders of the same brands as one; the numbers of their lines are listed."""
+    brand = s.read.parquet(f"{d}/part.parquet").join(star.snps25(s, d).withColumnRenamed("name", "p_brand"), "p_brand").select(F.col("p_partkey").alias("l_partkey"), "snp_id")
+    lines = s.read.parquet(f"{d}/lineitem.parquet").join(brand, "l_partkey").groupBy(F.col("l_orderkey").cast("long").alias("set_id"))
+    return sets.collapse(lines.agg(F.array_sort(F.collect_set("snp_id")).alias("snps"), F.count("*").alias("lines")).where(F.size("snps") > 1), ["lines"])
 
 
 def cluster_best(s, d):
@@ -409,7 +408,7 @@ QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
-    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, community_seeds, network_filter, set_subsets, set_sizes, collapsed,
+    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 
@@ -467,7 +466,7 @@ ORACLE_SQL = {
     "anova_yq": _QCELL + ", w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 6) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
     "covariate_anova": f"WITH {_G25}, {_SETS}, {_JOINT}, cov AS (SELECT c_custkey::BIGINT AS ind_id, c_nationkey::DOUBLE AS c1 FROM customer), fit AS (SELECT regr_slope(yq, c1) AS b, regr_intercept(yq, c1) AS a FROM ind JOIN cov USING (ind_id)), jy AS (SELECT set_id, gid, yq - a - b * c1 AS y FROM joint JOIN ind USING (ind_id) JOIN cov USING (ind_id), fit), q AS (SELECT set_id, gid, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM jy GROUP BY ALL), w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 4) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
     "model_comparison": _cells("y2") + f", {_K2}, {_FULL}, e AS (SELECT *, total * size / (SELECT sum(total) FROM tot) AS ex FROM f), c2 AS (SELECT set_id, sum((n - ex) ** 2 / ex) AS c FROM e GROUP BY ALL), s AS (SELECT b, c FROM k2 JOIN c2 USING (set_id)) SELECT * FROM (SELECT 'BAYESIAN' AS model, 'BAYESIAN' AS other, 1.0::DOUBLE AS cosine UNION ALL SELECT 'chi2', 'chi2', 1.0::DOUBLE UNION ALL SELECT 'BAYESIAN', 'chi2', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s UNION ALL SELECT 'chi2', 'BAYESIAN', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s)",
-    "cell_statistics": _QCELL + " SELECT set_id, gid, n, round(mean * n, 2) AS total, round(var, 1) AS var FROM q",
+    "cell_statistics": f"WITH {_G25}, {_SETS}, {_JOINT}, c AS (SELECT set_id, gid, count(*)::HUGEINT AS n, sum(round(yq * 100)::BIGINT)::HUGEINT AS s1, sum(round(yq * 100)::BIGINT::HUGEINT * round(yq * 100)::BIGINT) AS s2 FROM joint JOIN ind USING (ind_id) GROUP BY ALL) SELECT set_id, gid, n::BIGINT AS n, s1::DOUBLE / 100 AS total, ((20 * (n * s2 - s1 * s1) + n * n * 10000) // (2 * n * n * 10000))::DOUBLE / 10 AS var FROM c",
     "penetrance_y2": _cells("y2") + f", {_FULL}, {_PEN} SELECT set_id, {_CRIT} FROM l JOIN sets USING (set_id)",
     "penetrance_yq": _QCELL + f", st AS (SELECT q.set_id, q.gid, CASE WHEN n >= 10 THEN mean ELSE gm END AS m, CASE WHEN n >= 10 THEN sqrt(var) ELSE gs END AS sd FROM q CROSS JOIN (SELECT avg(yq) AS gm, stddev_pop(yq) AS gs FROM ind)), l AS (SELECT set_id, sum(-ln(greatest(least(exp(-0.5 * ((y - m) / d) ** 2) / (d * 2.5066282746310002), 1), 2.2250738585072014e-308))) AS nll, 2 AS c FROM (SELECT jy.*, m, CASE WHEN sd = 0 THEN 1e-4 ELSE sd END AS d FROM jy JOIN st USING (set_id, gid)) GROUP BY ALL) SELECT set_id, {_CRIT} FROM l JOIN sets USING (set_id)",
     "penetrance_prediction": _cells("y2") + ", best AS (SELECT set_id, gid, y FROM cell QUALIFY row_number() OVER (PARTITION BY set_id, gid ORDER BY n DESC, y) = 1) SELECT set_id, count(*) FILTER (y = y2)::BIGINT AS \"right\" FROM joint JOIN best USING (set_id, gid) JOIN ind USING (ind_id) GROUP BY ALL",
@@ -513,9 +512,9 @@ ORACLE_SQL = {
     "label_subnetwork": f"WITH {_EDGES}, {_ORDERS}, own AS (SELECT DISTINCT label FROM ann WHERE snp_id IN (SELECT unnest(snps) FROM sets WHERE len(snps) = 2)) SELECT DISTINCT label1, label2 FROM net WHERE label1 IN (SELECT label FROM own) AND label2 IN (SELECT label FROM own)",
     "shuffled_network": f"WITH {_EDGES} SELECT degree, count(*) AS n FROM deg GROUP BY ALL",
     "network_filter": f"WITH {_EDGES} SELECT DISTINCT unnest([node1, node2]) AS snp_id FROM lnet",
-    "set_subsets": f"WITH {_SETS} SELECT DISTINCT set_id, array_to_string(s, ',') AS snps FROM (SELECT set_id, unnest(CASE WHEN len(snps) = 3 THEN [snps, [snps[1], snps[2]], [snps[1], snps[3]], [snps[2], snps[3]]] ELSE [snps] END) AS s FROM sets)",
-    "set_sizes": f"WITH {_SETS} SELECT len(snps)::INT AS size, count(*) AS n FROM sets GROUP BY ALL",
-    "collapsed": f"WITH {_SETS}, t AS (SELECT set_id, (set_id % 4) || ',' || (set_id % 4 + 1) AS key, set_id % 3 AS rounds FROM sets) SELECT key, count(*) AS \"NUM_MERGED\", string_agg(rounds::VARCHAR, ';' ORDER BY set_id) AS \"rounds_ALL\", string_agg(DISTINCT rounds::VARCHAR, ';' ORDER BY rounds::VARCHAR) AS \"rounds_DISTINCT\" FROM t GROUP BY key",
+    "set_subsets": f"WITH {_ORDERS} SELECT set_id, array_to_string(snps, ',') AS snps FROM sets UNION SELECT a.set_id, a.node || ',' || b.node FROM m a JOIN m b ON a.set_id = b.set_id AND a.node < b.node",
+    "set_sizes": f"WITH {_ORDERS} SELECT len(snps)::INT AS size, count(*) AS n FROM sets GROUP BY ALL",
+    "collapsed": f"WITH {_SNP25}, t AS (SELECT l_orderkey AS set_id, list_sort(list(DISTINCT snp_id)) AS snps, count(*) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey JOIN snp ON name = p_brand GROUP BY ALL) SELECT array_to_string(snps, ',') AS key, count(*) AS \"NUM_MERGED\", string_agg(lines::VARCHAR, ';' ORDER BY set_id) AS \"lines_ALL\", string_agg(DISTINCT lines::VARCHAR, ';' ORDER BY lines::VARCHAR) AS \"lines_DISTINCT\" FROM t WHERE len(snps) > 1 GROUP BY snps",
     "cluster_best": _cells("y2") + f", {_K2}, c AS (SELECT set_id, set_id % 11 AS cluster, round(b, 6) AS score FROM k2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score, set_id) AS i, row_number() OVER (ORDER BY score, set_id) AS a, count(*) OVER () AS n FROM c) SELECT set_id, cluster, score FROM r WHERE i = 1 OR a <= ceil(0.1 * n)",
     "best_trace": "WITH t AS (SELECT ts, value, min(value) OVER (ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events) SELECT ts, value FROM t WHERE low IS NULL OR value < low",
     "scalar_functions": "WITH t AS (SELECT c_custkey::BIGINT AS n, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM customer) SELECT n AS id, CASE WHEN n = 0 THEN '0' ELSE ltrim(substr(d, (n // 1048576 % 32 + 1), 1) || substr(d, (n // 32768 % 32 + 1), 1) || substr(d, (n // 1024 % 32 + 1), 1) || substr(d, (n // 32 % 32 + 1), 1) || substr(d, (n % 32 + 1), 1), '0') END AS b32, CASE n % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 10 WHEN 2 THEN 120 ELSE 7200 END::DOUBLE AS minutes, n::VARCHAR AS bare, (n % 3) * 9 + ((n + 1) % 3) * 3 + 2 AS gid FROM t",
