@@ -29,9 +29,10 @@ from snpweave.operators.pca import MISSING, dealt, genotype_tiles
 from snpweave.shared import materialize, materialize_and_see
 
 BLOCK, CHUNK = 8192, 64
-MOST, TOLERANCE = 40, 1e-10
+MOST, TOLERANCE = 25, 1e-10
 ROOT = 2.5066282746310002
 MODELS = ("L", "Q", "LC", "QC")
+SUMS = "chunk int, block int, set_id long, model string, people double, loss double, slope binary, curve binary"
 STATE = "chunk int, set_id long, snps array<int>, model string, weights array<double>, step array<double>, share double, loss double, people double, sigma double, open boolean"
 
 
@@ -116,7 +117,7 @@ def _over_models(tile: DataFrame, state: DataFrame, one, schema: str) -> DataFra
                     g = np.stack(calls)
                     ok = (g != MISSING).all(axis=0)
                     if ok.any():
-                        out.append({"set_id": m["set_id"], "model": m["model"], **one(design(m["model"], g[:, ok].astype(float), cov[ok]), y[ok], m)})
+                        out.append({"chunk": r.chunk, "block": r.block, "set_id": m["set_id"], "model": m["model"], **one(design(m["model"], g[:, ok].astype(float), cov[ok]), y[ok], m)})
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return tile.join(listed, "chunk").mapInPandas(run, schema)
@@ -136,8 +137,13 @@ def fit(tile: DataFrame, sets: DataFrame, n_cov: int, categories: int, models: t
         return {"people": float(len(y)), "loss": loss, "slope": slope.tobytes(), "curve": curve[np.triu_indices(len(slope))].tobytes()}
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda c: np.sum([np.frombuffer(v) for v in pdf[c]], axis=0).tobytes()
-        return pd.DataFrame({"set_id": pdf["set_id"].iloc[:1], "model": pdf["model"].iloc[:1], "now_people": [pdf["people"].sum()], "now": [pdf["loss"].sum()], "slope": [whole("slope")], "curve": [whole("curve")]})
+        total: dict[tuple, list] = {}
+        for r in pdf.itertuples():
+            row = [r.people, r.loss, np.frombuffer(r.slope), np.frombuffer(r.curve)]
+            have = total.get((r.set_id, r.model))
+            total[r.set_id, r.model] = row if have is None else [x + y for x, y in zip(have, row, strict=True)]
+        rows = [(pdf["chunk"].iloc[0], 0, s, m, n, loss, slope.tobytes(), curve.tobytes()) for (s, m), (n, loss, slope, curve) in total.items()]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in SUMS.split(", ")])
 
     def advance(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -160,8 +166,10 @@ def fit(tile: DataFrame, sets: DataFrame, n_cov: int, categories: int, models: t
             yield pd.DataFrame(out, columns=[x.split()[0] for x in STATE.split(", ")])
 
     for _ in range(MOST):
-        parts = _over_models(tile, state, one, "set_id long, model string, people double, loss double, slope binary, curve binary")
-        sums = parts.groupBy("set_id", "model").applyInPandas(add, "set_id long, model string, now_people double, now double, slope binary, curve binary")
+        parts = _over_models(tile, state, one, SUMS)
+        # two levels, so that no group holds more than 64 blocks or sums of 64 blocks each
+        sums = parts.groupBy("chunk", F.expr("block div 64")).applyInPandas(add, SUMS).groupBy("chunk").applyInPandas(add, SUMS)
+        sums = sums.select("set_id", "model", F.col("people").alias("now_people"), F.col("loss").alias("now"), "slope", "curve")
         after = state.join(sums, ["set_id", "model"]).mapInPandas(advance, STATE)
         after, seen = materialize_and_see(after, "models", open=F.sum(F.col("open").cast("long")))
         ended = after.where("NOT open")
@@ -189,7 +197,7 @@ def covariate_scores(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFram
             z = (v - x @ np.asarray(m["weights"])) / m["sigma"]
             return {"nll": float(-np.log(np.clip(np.exp(-z * z / 2) / (m["sigma"] * ROOT), TINY, 1)).sum())}
 
-        parts = _over_models(tile, fitted, density, "set_id long, model string, nll double")
+        parts = _over_models(tile, fitted, density, "chunk int, block int, set_id long, model string, nll double")
         fitted = fitted.join(parts.groupBy("set_id", "model").agg(F.sum("nll").alias("nll")), ["set_id", "model"])
     else:
         fitted = fitted.withColumn("nll", F.col("loss"))

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snpweave.shared import materialize
 
 BLOCK, CHUNK = 4096, 1024
+WHOLE = 128
 MISSING = 3
 
 
@@ -83,44 +84,58 @@ def times(tiles: DataFrame, scale: DataFrame, side: DataFrame, part: str, width:
 
 
 def gram(rows: DataFrame, width: int) -> np.ndarray:
-    """Sums of the products of every two columns."""
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    found = rows.agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in pairs]).first()
+    """Sums of the products of every two columns: added up a task at a time, and over the tasks by Spark."""
+    names = [f"v{j}" for j in range(width)]
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for pdf in pdfs:
+            m = pdf[names].to_numpy()
+            total += m.T @ m
+        i, j = np.triu_indices(width)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
     out = np.zeros((width, width))
-    for (i, j), v in zip(pairs, found, strict=True):
-        out[i, j] = out[j, i] = v or 0.0
+    for r in rows.select(*names).mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.v
     return out
 
 
-def rotated(rows: DataFrame, keys: list[str], by: np.ndarray) -> DataFrame:
-    """The columns v0, v1, ... times a small matrix."""
+def rotated(rows: DataFrame, by: np.ndarray) -> DataFrame:
+    """block, pos and the columns v0, v1, ... times a small matrix."""
+    before, after = [f"v{j}" for j in range(len(by))], [f"v{j}" for j in range(by.shape[1])]
 
-    def column(j: int) -> Column:
-        return sum((F.col(f"v{i}") * float(by[i, j]) for i in range(len(by))), F.lit(0.0)).alias(f"v{j}")
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.concat([pdf[["block", "pos"]], pd.DataFrame(pdf[before].to_numpy() @ by, columns=after, index=pdf.index)], axis=1)
 
-    return rows.select(*keys, *[column(j) for j in range(by.shape[1])])
+    return rows.select("block", "pos", *before).mapInPandas(run, "block int, pos int, " + ", ".join(f"{v} double" for v in after))
 
 
-def orthonormal(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Columns that span the same space, at right angles and of length 1; twice, as once loses digits."""
+def orthonormal(rows: DataFrame, width: int) -> DataFrame:
+    """Columns that span the same space, at right angles and of length 1; twice where once loses digits."""
     for _ in range(2):
         values, vectors = np.linalg.eigh(gram(rows, width))
-        values = np.maximum(values, values.max() * 1e-14 if values.max() > 0 else 1.0)
-        rows = materialize(rotated(rows, keys, vectors / np.sqrt(values)), "basis")
+        low = values.max() * 1e-14 if values.max() > 0 else 1.0
+        rows = materialize(rotated(rows, vectors / np.sqrt(np.maximum(values, low))), "basis")
+        if values.min() > values.max() * 1e-6:
+            break
     return rows
 
 
-def principal_components(genotypes: DataFrame, n: int = 10, extra: int = 10, rounds: int = 40, tolerance: float = 1e-9, seed: int = 0) -> tuple[DataFrame, list[float]]:
+def principal_components(genotypes: DataFrame, n: int = 10, extra: int = 30, rounds: int = 40, tolerance: float = 1e-7, seed: int = 0) -> tuple[DataFrame, list[float]]:
     """(ind_id, pc1, pc2, ...) and the components' variances: of the standardised matrix, the projections of individuals on
     the n directions of largest variance. Each component's entry of largest size is positive. Fewer components come back
-    where there are fewer markers with variation or individuals. `extra` more columns than asked speed the iteration up;
-    it ends when no variance changes by more than `tolerance` of the first."""
+    where there are fewer markers with variation or individuals. `extra` more columns than asked speed the iteration up
+    (with up to WHOLE markers or individuals there are as many columns, and one pass is exact); it ends when no variance
+    changes by more than `tolerance` of the first."""
     stats = genotypes.where("g IS NOT NULL").groupBy("snp_id").agg(F.avg("g").alias("mean"), F.stddev_pop("g").alias("sd")).where("sd > 0")
     stats = materialize(stats, "scale")
     markers = materialize(dealt(stats, "snp_id", CHUNK, "chunk").join(stats, "snp_id"), "markers")
     people = materialize(dealt(genotypes, "ind_id", BLOCK, "block"), "people")
     n_people = people.count()
-    width = min(n + extra, stats.count(), n_people)
+    most = min(stats.count(), n_people)
+    width = most if most <= WHOLE else min(n + extra, most)
     n = min(n, width)
     if not n:
         return people.select("ind_id"), []
@@ -133,17 +148,17 @@ def principal_components(genotypes: DataFrame, n: int = 10, extra: int = 10, rou
             yield pd.DataFrame(np.reshape(rows, (-1, width)), columns=[f"v{j}" for j in range(width)]).assign(block=pdf["block"], pos=pdf["pos"])[["block", "pos", *[f"v{j}" for j in range(width)]]]
 
     shape = "block int, pos int, " + ", ".join(f"v{j} double" for j in range(width))
-    basis = orthonormal(materialize(people.select("block", "pos").mapInPandas(start, shape), "start"), ["block", "pos"], width)
+    basis = orthonormal(materialize(people.select("block", "pos").mapInPandas(start, shape), "start"), width)
     names, before = [f"v{j}" for j in range(width)], None
     for _ in range(rounds):
         loads = materialize(times(tiles, scale, as_matrix(basis, "block", names), "block", width), "loads")
         values, vectors = np.linalg.eigh(gram(loads, width))  # the squared matrix seen from the basis
         values, vectors = values[::-1], vectors[:, ::-1]
-        if before is not None and np.abs(values[:n] - before[:n]).max() <= tolerance * values[0]:
+        if width == most or before is not None and np.abs(values[:n] - before[:n]).max() <= tolerance * values[0]:
             break
         before = values
-        basis = orthonormal(materialize(times(tiles, scale, as_matrix(loads, "chunk", names), "chunk", width), "basis"), ["block", "pos"], width)
-    scores = materialize(rotated(basis, ["block", "pos"], vectors[:, :n] * np.sqrt(np.maximum(values[:n], 0))), "components")
+        basis = orthonormal(materialize(times(tiles, scale, as_matrix(loads, "chunk", names), "chunk", width), "basis"), width)
+    scores = materialize(rotated(basis, vectors[:, :n] * np.sqrt(np.maximum(values[:n], 0))), "components")
     signs = scores.agg(*[F.max_by(F.signum(f"v{j}"), F.struct(F.round(F.abs(F.col(f"v{j}")), 9), -F.col("block"), -F.col("pos"))) for j in range(n)]).first()
     named = scores.join(people, ["block", "pos"]).select("ind_id", *[(F.col(f"v{j}") * float(s or 1.0)).alias(f"pc{j + 1}") for j, s in enumerate(signs)])
     return named, [float(v) / n_people for v in values[:n]]

@@ -382,9 +382,9 @@ def scalar_functions(s, d):
 
 
 def local_search(s, d):
-    """300 random seeds of the part network, searched with the default options."""
-    e = shared.materialize(_edges(s, d).select("node1", "node2").distinct(), "edges")
-    grade = open_search.cell_score(star.part_dosages(s, d), star.individuals(s, d), "y2", absent=0)
+    """300 random seeds of the network of 100 markers, searched with the default options."""
+    e = network.same_label_edges(star.labels100(s, d)).drop("tag")
+    grade = open_search.cell_score(star.genotypes100(s, d), star.individuals(s, d), "y2")
     return open_search.local_search(search.random_connected_seeds(e, 300, seed=1), e, grade)
 
 

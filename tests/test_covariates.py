@@ -50,6 +50,7 @@ def found(data):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(pca, "BLOCK", 40)
         m.setattr(pca, "CHUNK", 13)
+        m.setattr(pca, "WHOLE", 5)
         return pca.principal_components(data[3], 4, extra=14)
 
 
@@ -67,6 +68,13 @@ def test_components_are_those_of_the_whole_matrix(data, found):
         assert mine[np.abs(mine[:, j]).argmax(), j] > 0
 
 
+def test_few_markers_take_one_pass(data, found):
+    got, variance = pca.principal_components(data[3], 3)
+    assert variance == pytest.approx(found[1][:3], rel=1e-6)
+    mine, other = (np.array([r[1:4] for r in sorted(x.collect())]) for x in (got, found[0]))
+    assert np.abs(mine - other).max() < 1e-2
+
+
 def test_components_of_little_or_nothing(spark):
     empty = spark.createDataFrame([], "snp_id int, ind_id long, g int")
     assert pca.principal_components(empty)[1] == []
