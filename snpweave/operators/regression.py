@@ -35,8 +35,8 @@ def features(gids: np.ndarray, k: int, products: bool) -> np.ndarray:
     return np.concatenate(columns, axis=-1)
 
 
-def descend(x: np.ndarray, outputs: int, step: Callable) -> np.ndarray:
-    """Predictions of models of many sets (x: sets, cells, features) at the step where each one's loss stops falling.
+def descend(x: np.ndarray, outputs: int, step: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions and weights of models of many sets (x: sets, cells, features) where each one's loss stops falling.
     step(predictors of the sets at, at) -> loss a set, prediction, and its derivative a cell and output, over people."""
     w = np.ones((len(x), x.shape[2], outputs))
     before, final = np.full(len(x), np.inf), np.zeros((len(x), x.shape[1], outputs))
@@ -50,14 +50,14 @@ def descend(x: np.ndarray, outputs: int, step: Callable) -> np.ndarray:
         if done.any():
             at, slope = at[~done], slope[~done]
             now = x[at]
-        if len(at) == 0:
+        if len(at) == 0 or turn == MOST - 1:
             break
         w[at] -= RATE * (np.swapaxes(now, 1, 2) @ slope)
-    return final
+    return final, w
 
 
-def fit_linear(x: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions a cell, and the mean squared error a set, from counts, sums and sums of squares a cell."""
+def fit_linear(x: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predictions a cell, the mean squared error and the weights a set, from counts, sums and sums of squares a cell."""
 
     def step(z: np.ndarray, at: np.ndarray) -> tuple:
         h, people = z[..., 0], n[at].sum(axis=1, keepdims=True)
@@ -65,13 +65,14 @@ def fit_linear(x: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) ->
         return loss, z, ((n[at] * h - s1[at]) / people)[..., None]
 
     with np.errstate(over="ignore", invalid="ignore"):
-        h = descend(x, 1, step)[..., 0]
-        return h, np.maximum((n * h**2 - 2 * h * s1 + s2).sum(axis=1), 0) / n.sum(axis=1)
+        h, w = descend(x, 1, step)
+        h = h[..., 0]
+        return h, np.maximum((n * h**2 - 2 * h * s1 + s2).sum(axis=1), 0) / n.sum(axis=1), w
 
 
-def fit_categories(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shares of the categories a cell, from their counts: logistic for two, softmax for more."""
-    people = counts.sum(axis=(1, 2))
+def fit_categories(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the categories a cell and the weights a set, from the counts: logistic for two, softmax for more."""
+    people = np.maximum(counts.sum(axis=(1, 2)), 1)
 
     def step(z: np.ndarray, at: np.ndarray) -> tuple:
         c = counts[at]
@@ -86,12 +87,19 @@ def fit_categories(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
         loss = -(c * np.log(np.maximum(share, TINY))).sum(axis=(1, 2))
         return loss, z, slope / people[at][:, None, None]
 
-    z = descend(x, 1 if counts.shape[2] == 2 else counts.shape[2], step)
+    z, w = descend(x, 1 if counts.shape[2] == 2 else counts.shape[2], step)
     if counts.shape[2] == 2:
         p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-        return np.concatenate([1 - p, p], axis=2)
+        return np.concatenate([1 - p, p], axis=2), w
     e = np.exp(z - z.max(axis=2, keepdims=True))
-    return e / e.sum(axis=2, keepdims=True)
+    return e / e.sum(axis=2, keepdims=True), w
+
+
+def likeliest(z: np.ndarray) -> np.ndarray:
+    """The category of predictors (the last axis: one for the second of two categories, or one a category); of equals the later
+    one than the first."""
+    z = z if z.shape[-1] == 1 else z[..., 1:] - z[..., :1]
+    return np.where(z.max(axis=-1) >= 0, 1 + z.argmax(axis=-1), 0)
 
 
 def _scores(full: np.ndarray, alone: np.ndarray, df: float, df0: float, people: np.ndarray, strict: bool) -> dict[str, np.ndarray]:
@@ -140,7 +148,7 @@ def regression(sets: DataFrame, cell: DataFrame, categories: int | None = None,
         nll, size = [], []
         for products in (True, False):
             x = features(gids, k, products)
-            nll.append(-(counts * np.log(np.clip(fit_categories(x, counts), TINY, 1))).sum(axis=(1, 2)))
+            nll.append(-(counts * np.log(np.clip(fit_categories(x, counts)[0], TINY, 1))).sum(axis=(1, 2)))
             size.append(x.shape[2] * (max(wide, 2) - 1))
         found = _scores(nll[0], nll[1], size[0], size[1], counts.sum(axis=(1, 2)), strict)
         return pd.DataFrame({"set_id": ids, **{f"REGRESSION_{c}": found[c] for c in NAMES}})
@@ -160,7 +168,7 @@ def regression_quantitative(sets: DataFrame, genotypes: DataFrame, phenotypes: D
         low, high = table(pdf["low"].to_numpy()), table(pdf["high"].to_numpy())
         out = {"set_id": ids, "people": n.sum(axis=1), "k": k, "gids": [g.tolist() for g in gids]}
         for name, products in (("full", True), ("alone", False)):
-            h, sigma = fit_linear(features(gids, k, products), n, n * mean, n * (var + mean**2))
+            h, sigma, _ = fit_linear(features(gids, k, products), n, n * mean, n * (var + mean**2))
             sigma = np.maximum(sigma, TINY)
             squares = n * (var + (mean - h) ** 2)
             far = np.where(n > 0, np.maximum(np.abs(low - h), np.abs(high - h)), 0).max(axis=1) / sigma
@@ -207,25 +215,16 @@ def predict(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, gids, (row, at), k = _grid(pdf)
         x = features(gids, k, True)
-        every = features(np.arange(3**k), k, True)
         if categorical:
             counts = np.zeros((*gids.shape, max(wide, 2)))
             np.add.at(counts, (row, at, pdf["y"].to_numpy().astype(int)), pdf["n"].to_numpy())
-            share = fit_categories(x, counts)
-            target = np.log(np.maximum(share, TINY))
-            target = target[..., 1:] - target[..., :1]
+            w = fit_categories(x, counts)[1]
         else:
             n, mean, var = (_filled(gids.shape, row, at, pdf[c].to_numpy().astype(float)) for c in ("n", "mean", "var"))
-            target = fit_linear(x, n, n * mean, n * (var + mean**2))[0][..., None]
-        # predictors are linear in the features: the weights come back from the fitted cells, and give the other cells
-        out = []
-        for i, s in enumerate(ids):
-            used = np.unique(at[row == i])
-            w = np.linalg.lstsq(x[i, used], target[i, used], rcond=None)[0]
-            z = every @ w
-            value = z[:, 0] if not categorical else np.where(z.max(axis=1) >= 0, 1 + z.argmax(axis=1), 0)
-            out.append(pd.DataFrame({"set_id": s, "gid": np.arange(3**k), "predicted": value.astype(float)}))
-        return pd.concat(out)
+            w = fit_linear(x, n, n * mean, n * (var + mean**2))[2]
+        z = features(np.arange(3**k), k, True) @ w  # of every cell, also those without people
+        value = likeliest(z) if categorical else z[..., 0]
+        return pd.DataFrame({"set_id": np.repeat(ids, 3**k), "gid": np.tile(np.arange(3**k), len(ids)), "predicted": value.reshape(-1).astype(float)})
 
     by_cell = _by_size(cell, sets, run, "set_id long, gid long, predicted double")
     return joint_genotypes(sets, genotypes).join(by_cell, ["set_id", "gid"]).select("set_id", "ind_id", "predicted")
@@ -255,19 +254,36 @@ def residuals(phenotypes: DataFrame, covariates: DataFrame, y: str) -> DataFrame
 
 def cross_validated(sets: DataFrame, genotypes: DataFrame, phenotypes: DataFrame, y: str, fold: DataFrame, categorical: bool = True) -> DataFrame:
     """set_id, quality: predictions of every individual by the model of the other folds (ind_id, fold), against the truth:
-    balanced accuracy of categories, or the mean absolute error of values."""
+    balanced accuracy of categories (from counts by cell, fold and category), or the mean absolute error of values."""
+    folds = sorted(r[0] for r in fold.select("fold").distinct().collect())  # a handful
+    if categorical:
+        wide = max(2, (phenotypes.agg(F.max(y)).first()[0] or 0) + 1)
+        place = F.create_map(*[F.lit(v) for i, f in enumerate(folds) for v in (f, i)])
+        both = phenotypes.join(fold, "ind_id").where(F.col(y).isNotNull()).select("ind_id", (place[F.col("fold")] * wide + F.col(y)).cast("long").alias("code"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids, gids, (row, at), k = _grid(pdf)
+            counts = np.zeros((*gids.shape, len(folds), wide))
+            code = pdf["y"].to_numpy().astype(int)
+            np.add.at(counts, (row, at, code // wide, code % wide), pdf["n"].to_numpy())
+            x, hits = features(gids, k, True), np.zeros((len(ids), wide))
+            for f in range(len(folds)):
+                train = counts.sum(axis=2) - counts[:, :, f]
+                guess = likeliest(x @ fit_categories(x, train)[1])
+                hits += np.stack([(counts[:, :, f, c] * (guess == c)).sum(axis=1) for c in range(wide)], axis=1)
+            people = counts.sum(axis=(1, 2))
+            share = np.where(people > 0, hits / np.maximum(people, 1), np.nan)
+            return pd.DataFrame({"set_id": ids, "quality": np.nanmean(share, axis=1)})
+
+        return _by_size(category_cells(sets, genotypes, both, "code"), sets, run, "set_id long, quality double")
     parts = None
-    for k in sorted(r[0] for r in fold.select("fold").distinct().collect()):  # a handful
+    for k in folds:
         inside = fold.where(F.col("fold") == k).select("ind_id")
         train = phenotypes.join(inside, "ind_id", "left_anti")
         test = phenotypes.join(inside, "ind_id", "left_semi")
-        found = predict(sets, genotypes, phenotypes, y, categorical, train)
-        one = found.join(test.select("ind_id", F.col(y).cast("double").alias("truth")), "ind_id")
+        one = predict(sets, genotypes, test, y, False, train).join(test.select("ind_id", F.col(y).cast("double").alias("truth")), "ind_id")
         parts = one if parts is None else parts.unionByName(one)
-    if not categorical:
-        return parts.groupBy("set_id").agg(F.avg(F.abs(F.col("predicted") - F.col("truth"))).alias("quality"))
-    by = parts.groupBy("set_id", "truth").agg(F.avg((F.col("predicted") == F.col("truth")).cast("double")).alias("share"))
-    return by.groupBy("set_id").agg(F.avg("share").alias("quality"))
+    return parts.groupBy("set_id").agg(F.avg(F.abs(F.col("predicted") - F.col("truth"))).alias("quality"))
 
 
 def compare_models(scores: DataFrame, models: list[str]) -> DataFrame:

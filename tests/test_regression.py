@@ -32,8 +32,8 @@ def design(g, snps, products):
     return np.column_stack(cols).astype(float)
 
 
-def slow_fit(x, y, kind):
-    """Descent over individuals."""
+def slow_fit(x, y, kind, weights=False):
+    """Descent over individuals: the negative log likelihood, or the weights."""
     c = 1 if kind != "softmax" else max(y) + 1
     w, last = np.ones((x.shape[1], c)), math.inf
     for _ in range(50_000):
@@ -50,6 +50,8 @@ def slow_fit(x, y, kind):
             break
         last = loss
         w = w - 0.1 * x.T @ slope / len(y)
+    if weights:
+        return w
     if kind == "linear":
         sigma = loss / len(y)
         d = np.exp(-(((np.array(y) - z[:, 0]) / sigma) ** 2) / 2) / (sigma * 2.5066282746310002)
@@ -99,23 +101,46 @@ def test_blocks_add_up(data, monkeypatch):
         assert tuple(r) == pytest.approx(tuple(values[r.set_id, r.gid]))
 
 
-def test_predictions_and_cross_validation(data):
+def said(z, kind):
+    """The likeliest category by the predictors of one individual, or the value."""
+    if kind == "linear":
+        return float(z[0])
+    if kind == "logistic":
+        return int(z[0] >= 0)
+    later = [v - z[0] for v in z[1:]]
+    return 1 + later.index(max(later)) if max(later) >= 0 else 0
+
+
+def test_predictions_are_those_of_descent_over_individuals(data):
     g, values, geno, people, sets = data
-    for y in ("y2", "q"):
-        rows = regression.predict(sets, geno, people, y, categorical=y == "y2").collect()
+    train = people.where("ind_id % 3 <> 0")  # leaves cells without people
+    inside = [i for i in range(PEOPLE) if i % 3]
+    for y, kind in (("y2", "logistic"), ("y3", "softmax"), ("q", "linear")):
+        rows = regression.predict(sets, geno, people, y, kind != "linear", train).collect()
         assert len(rows) == len(SETS) * PEOPLE
+        w = [slow_fit(design(g, snps, True)[inside], [values[y][i] for i in inside], kind, True) for snps in SETS]
         for r in rows:
-            x = design(g, SETS[r.set_id], True)
-            if y == "q":
-                w = np.linalg.lstsq(x, np.array(values["q"]), rcond=None)[0]
-                assert r.predicted == pytest.approx(float(x[r.ind_id] @ w), abs=0.5)
-            else:
-                assert r.predicted in (0.0, 1.0)
+            assert r.predicted == pytest.approx(said(design(g, SETS[r.set_id], True)[r.ind_id] @ w[r.set_id], kind), abs=1e-6), (y, r)
+
+
+def test_cross_validation(data):
+    g, values, geno, people, sets = data
     fold = filters.folds(people, 3)
-    quality = {r.set_id: r.quality for r in regression.cross_validated(sets, geno, people, "y2", fold).collect()}
-    assert len(quality) == len(SETS) and all(0 <= v <= 1 for v in quality.values()) and quality[1] > 0.4
-    error = {r.set_id: r.quality for r in regression.cross_validated(sets, geno, people, "q", fold, categorical=False).collect()}
-    assert error[1] < error[2]
+    of = {r.ind_id: r.fold for r in fold.collect()}
+    for y, kind in (("y2", "logistic"), ("y3", "softmax"), ("q", "linear")):
+        got = {r.set_id: r.quality for r in regression.cross_validated(sets, geno, people, y, fold, kind != "linear").collect()}
+        for i, snps in enumerate(SETS):
+            x, guess = design(g, snps, True), {}
+            for f in set(of.values()):
+                inside = [k for k in range(PEOPLE) if of[k] != f]
+                w = slow_fit(x[inside], [values[y][k] for k in inside], kind, True)
+                guess |= {k: said(x[k] @ w, kind) for k in range(PEOPLE) if of[k] == f}
+            v = values[y]
+            if kind == "linear":
+                want = sum(abs(guess[k] - v[k]) for k in guess) / PEOPLE
+            else:
+                want = np.mean([np.mean([guess[k] == c for k in guess if v[k] == c]) for c in set(v)])
+            assert got[i] == pytest.approx(want, abs=1e-6), (y, i)
 
 
 def test_residuals_and_comparison(spark, data):
