@@ -127,7 +127,7 @@ def principal_components(genotypes: DataFrame, n: int = 10, extra: int = 30, rou
     """(ind_id, pc1, pc2, ...) and the components' variances: of the standardised matrix, the projections of individuals on
     the n directions of largest variance. Each component's entry of largest size is positive. Fewer components come back
     where there are fewer markers with variation or individuals. `extra` more columns than asked speed the iteration up
-    (with up to WHOLE markers or individuals there are as many columns, and one pass is exact); it ends when no variance
+    (with up to WHOLE markers or individuals there are as many columns, and the second pass is exact); it ends when no variance
     changes by more than `tolerance` of the first."""
     stats = genotypes.where("g IS NOT NULL").groupBy("snp_id").agg(F.avg("g").alias("mean"), F.stddev_pop("g").alias("sd")).where("sd > 0")
     stats = materialize(stats, "scale")
@@ -154,7 +154,7 @@ def principal_components(genotypes: DataFrame, n: int = 10, extra: int = 30, rou
         loads = materialize(times(tiles, scale, as_matrix(basis, "block", names), "block", width), "loads")
         values, vectors = np.linalg.eigh(gram(loads, width))  # the squared matrix seen from the basis
         values, vectors = values[::-1], vectors[:, ::-1]
-        if width == most or before is not None and np.abs(values[:n] - before[:n]).max() <= tolerance * values[0]:
+        if before is not None and (width == most or np.abs(values[:n] - before[:n]).max() <= tolerance * values[0]):
             break
         before = values
         basis = orthonormal(materialize(times(tiles, scale, as_matrix(loads, "chunk", names), "chunk", width), "basis"), width)

@@ -68,7 +68,7 @@ def test_components_are_those_of_the_whole_matrix(data, found):
         assert mine[np.abs(mine[:, j]).argmax(), j] > 0
 
 
-def test_few_markers_take_one_pass(data, found):
+def test_few_markers_take_two_passes(data, found):
     got, variance = pca.principal_components(data[3], 3)
     assert variance == pytest.approx(found[1][:3], rel=1e-6)
     mine, other = (np.array([r[1:4] for r in sorted(x.collect())]) for x in (got, found[0]))

@@ -115,7 +115,9 @@ def test_seeding(spark, small):
     geno, people, ring = small
     ctx = [geno, people]
     score = lambda x: scores.bayesian(scores.cells(x, *ctx, "y")).select("set_id", F.col("BAYESIAN").alias("score"))
-    for found in (community.community_seeds(ring, score, limit=4), community.qubo_seeds(ring, score, least=3, limit=4)):
+    nodes = sorted({v for r in ring.collect() for v in (r.node1, r.node2)})
+    given = spark.createDataFrame([(v, nodes[i - i % 4]) for i, v in enumerate(nodes)], "node int, cluster int")
+    for found in (community.community_seeds(ring, score, clusters=given), community.qubo_seeds(ring, score, least=3, clusters=given)):
         rows = found.collect()
         clusters = {r.cluster for r in rows}
         assert rows and len(clusters) >= 2 and all(2 <= len(set(r.snps)) == len(r.snps) <= 10 for r in rows)
