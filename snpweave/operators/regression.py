@@ -123,17 +123,14 @@ def _by_size(cell: DataFrame, sets: DataFrame, run: Callable, schema: str) -> Da
 def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The sets, their joint genotypes (sets, cells; padded with 0 where a set has fewer) and each row's place in them."""
     ids, row = np.unique(pdf["set_id"].to_numpy(), return_inverse=True)
-    pdf_gid = pdf["gid"].to_numpy()
-    cells = sorted({(r, g) for r, g in zip(row.tolist(), pdf_gid.tolist(), strict=True)})
-    col, width = {}, np.zeros(len(ids), np.int64)
-    for r, g in cells:
-        col[r, g] = width[r]
-        width[r] += 1
-    gids = np.zeros((len(ids), int(width.max())), np.int64)
-    for (r, g), c in col.items():
-        gids[r, c] = g
-    at = np.array([col[r, g] for r, g in zip(row.tolist(), pdf_gid.tolist(), strict=True)])
-    return ids, gids, np.stack([row, at]), int(pdf["k"].iloc[0])
+    gid = pdf["gid"].to_numpy(np.int64)
+    top = gid.max() + 1
+    cell, at = np.unique(row * top + gid, return_inverse=True)
+    owner = cell // top
+    place = np.arange(len(cell)) - np.searchsorted(owner, np.arange(len(ids)))[owner]
+    gids = np.zeros((len(ids), int(place.max()) + 1), np.int64)
+    gids[owner, place] = cell % top
+    return ids, gids, np.stack([row, place[at]]), int(pdf["k"].iloc[0])
 
 
 def regression(sets: DataFrame, cell: DataFrame, categories: int | None = None, strict: bool = False) -> DataFrame:
