@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, pca, regression, scores, search, sets
+from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, paths, pca, regression, scores, search, sets
 from snpweave.sources import star
 
 
@@ -285,15 +285,20 @@ def connected_components(s, d):
 
 
 def diameter(s, d):
-    return network.diameter(_type_edges(s, d))
+    return paths.diameter(_type_edges(s, d))
 
 
 def closeness(s, d):
-    return _r(network.closeness(_type_edges(s, d)), "closeness")
+    return _r(paths.closeness(_type_edges(s, d)), "closeness")
 
 
 def betweenness(s, d):
-    return _r(network.betweenness(_edges(s, d)), "betweenness", digits=4)
+    return _r(paths.betweenness(_edges(s, d)), "betweenness", digits=4)
+
+
+def betweenness_types(s, d):
+    """Four digits; the small addend lets exact halves go up whatever the order of the sums."""
+    return paths.betweenness(_type_edges(s, d)).select("node", F.round(F.col("betweenness") + 1e-9, 4).alias("betweenness"))
 
 
 def eigenvector(s, d):
@@ -408,7 +413,7 @@ QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
-    network_stats, connected_components, diameter, closeness, betweenness, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
+    network_stats, connected_components, diameter, closeness, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 
@@ -507,6 +512,12 @@ ORACLE_SQL = {
     "set_edges": f"WITH {_EDGES}, {_ORDERS} SELECT a.set_id, e.node1, e.node2 FROM m a JOIN e ON e.node1 = a.node JOIN m b ON b.set_id = a.set_id AND b.node = e.node2",
     "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 // 2, node2 // 2) AS node1, greatest(node1 // 2, node2 // 2) AS node2 FROM e WHERE node1 // 2 <> node2 // 2",
     "closeness": f"WITH RECURSIVE {_TYPES} SELECT a AS node, round(count(*) / sum(d), 6) AS closeness FROM md WHERE d > 0 GROUP BY ALL",
+    "betweenness_types": f"""WITH RECURSIVE {_TYPES}, p1 AS (SELECT a, b, 1 AS n FROM md WHERE d = 1),
+  p2 AS (SELECT p.a, l.b, sum(n) AS n FROM p1 p JOIN l ON l.a = p.b JOIN md ON md.a = p.a AND md.b = l.b AND md.d = 2 GROUP BY ALL),
+  p3 AS (SELECT p.a, l.b, sum(n) AS n FROM p2 p JOIN l ON l.a = p.b JOIN md ON md.a = p.a AND md.b = l.b AND md.d = 3 GROUP BY ALL),
+  ways AS (SELECT a, b, 1 AS d, n FROM p1 UNION ALL SELECT a, b, 2, n FROM p2 UNION ALL SELECT a, b, 3, n FROM p3),
+  part AS (SELECT x.b AS node, sum(x.n * y.n / z.n::DOUBLE) AS share FROM ways x JOIN ways y ON y.a = x.b JOIN ways z ON z.a = x.a AND z.b = y.b AND z.d = x.d + y.d WHERE x.a < y.b GROUP BY ALL)
+  SELECT node, round(coalesce(share, 0) + 1e-9, 4) AS betweenness FROM (SELECT DISTINCT a AS node FROM l) LEFT JOIN part USING (node)""",
     "top_nodes": f"WITH {_EDGES} SELECT * FROM (SELECT 'degree' AS measure, node, degree::DOUBLE AS value FROM deg ORDER BY degree DESC, node LIMIT 20) UNION ALL SELECT * FROM (SELECT 'rare', node, degree::DOUBLE FROM deg ORDER BY degree, node LIMIT 20)",
     "edge_counts": f"WITH {_EDGES} SELECT 'SAME_TAG' AS tag, count(*) AS n FROM same UNION ALL SELECT 'NET', count(*) FROM lnet",
     "label_subnetwork": f"WITH {_EDGES}, {_ORDERS}, own AS (SELECT DISTINCT label FROM ann WHERE snp_id IN (SELECT unnest(snps) FROM sets WHERE len(snps) = 2)) SELECT DISTINCT label1, label2 FROM net WHERE label1 IN (SELECT label FROM own) AND label2 IN (SELECT label FROM own)",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snpweave.functions import scalars, stats
-from snpweave.operators import filters, network, scores, search, sets
+from snpweave.operators import filters, network, paths, scores, search, sets
 
 G = {0: [0] * 4 + [1] * 4 + [2] * 4, 1: [0, 1, 2, 0, 1, 2, 0, 1, 2, 0, 1, 2], 2: [0] * 4 + [1] * 4 + [2] * 4}
 Y = [0, 0, 0, 1, 0, 1, 0, 1, 1, 1, 1, 1]
@@ -98,7 +98,7 @@ def test_graph(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (5, 6)], "node1 int, node2 int")
     assert column(network.degrees(e), "node", "degree") == {0: 2, 1: 2, 2: 3, 3: 2, 4: 1, 5: 1, 6: 1}
     assert column(network.components(e), "node", "component") == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 5}
-    assert network.diameter(e).first()[0] == 3
+    assert paths.diameter(e).first()[0] == 3
     joint = {(r.d_in, r.d_out): r.n for r in network.joint_degrees(e).collect()}
     assert joint == {(2, 2): 2, (2, 3): 3, (3, 2): 3, (1, 2): 1, (2, 1): 1, (1, 1): 2}
     assert sum(r[0] for r in network.page_rank(e).select("rank").collect()) == pytest.approx(1)
@@ -126,8 +126,8 @@ def test_centralities_of_a_long_path(spark):
     got = column(network.page_rank(e), "node", "rank")
     assert [got[i] for i in range(len(m))] == pytest.approx(want, abs=1e-9)
     path = spark.createDataFrame([(i, i + 1) for i in range(7)], "node1 int, node2 int")
-    assert column(network.closeness(path), "node", "closeness") == pytest.approx({i: 7 / sum(abs(i - j) for j in range(8)) for i in range(8)})
-    assert column(network.closeness(path, 3), "node", "closeness")[0] == pytest.approx(3 / 6)
+    assert column(paths.closeness(path), "node", "closeness") == pytest.approx({i: 7 / sum(abs(i - j) for j in range(8)) for i in range(8)})
+    assert column(paths.closeness(path, 3), "node", "closeness")[0] == pytest.approx(3 / 6)
 
 
 def test_label_edges(spark):

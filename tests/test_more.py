@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snpweave.functions import scalars
-from snpweave.operators import community, filters, network, scores, search, sets
+from snpweave.operators import community, filters, network, paths, scores, search, sets
 from snpweave.sources import readers, writers
 
 PATH = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (5, 6)]
@@ -32,11 +32,11 @@ def small(spark):
 
 
 def test_centralities(edges):
-    near = {r.node: r.closeness for r in network.closeness(edges).collect()}
+    near = {r.node: r.closeness for r in paths.closeness(edges).collect()}
     assert near[2] == pytest.approx(4 / 5) and near[4] == pytest.approx(4 / 9) and near[5] == 1
-    between = {r.node: r.betweenness for r in network.betweenness(edges, None).collect()}
+    between = {r.node: r.betweenness for r in paths.betweenness(edges, None).collect()}
     assert between == {0: 0, 1: 0, 2: 4, 3: 3, 4: 0, 5: 0, 6: 0}
-    cut = {r.node: r.betweenness for r in network.betweenness(edges, 2).collect()}
+    cut = {r.node: r.betweenness for r in paths.betweenness(edges, 2).collect()}
     assert cut[2] == 2 and cut[3] == 1
     a = np.zeros((7, 7))
     for x, y in PATH:
@@ -47,17 +47,67 @@ def test_centralities(edges):
     m = a / np.maximum(a.sum(axis=0), 1)
     rank = np.linalg.solve(np.eye(7) - 0.85 * m, np.full(7, 0.15 / 7))
     assert {r.node: round(r.rank, 8) for r in network.page_rank(edges).collect()} == {i: round(float(v), 8) for i, v in enumerate(rank)}
-    assert network.diameter(edges).first()[0] == 3 and network.diameter(edges.limit(0)).first()[0] == -1
+    assert paths.diameter(edges).first()[0] == 3 and paths.diameter(edges.limit(0)).first()[0] == -1
     top = network.top_nodes(network.degrees(edges), {"degree": True}, 2).collect()
     assert [(r.node, r.value) for r in top] == [(2, 3.0), (0, 2.0)]
 
 
-def test_large_networks_go_by_joins(edges, monkeypatch):
-    monkeypatch.setattr(network, "LINKS", 1)
-    assert network.diameter(edges).first()[0] == 3
-    assert {r.node: round(r.closeness, 6) for r in network.closeness(edges).collect()}[2] == 0.8
-    with pytest.raises(ValueError, match="too many"):
-        network.betweenness(edges)
+def test_paths_by_small_batches_of_sources(edges, monkeypatch):
+    monkeypatch.setattr(paths, "STATE_ROWS", 1)
+    assert paths.diameter(edges).first()[0] == 3
+    assert {r.node: round(r.closeness, 6) for r in paths.closeness(edges).collect()}[2] == 0.8
+    assert {r.node: r.betweenness for r in paths.betweenness(edges, None).collect()}[2] == 4
+
+
+def brute_paths(links, limit):
+    """Distances between all nodes, and betweenness by listing every shortest path."""
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    far, between = {}, dict.fromkeys({v for e in links for v in e}, 0.0)
+    for s in near:
+        routes = {s: [[s]]}
+        front = [s]
+        for d in range(1, (limit or len(near)) + 1):
+            step = {}
+            for v in front:
+                for w in near[v]:
+                    if w not in routes:
+                        step.setdefault(w, []).extend([*r, w] for r in routes[v])
+            routes.update(step)
+            front = list(step)
+            far.update({(s, w): d for w in step})
+        for w, rs in routes.items():
+            for r in rs:
+                for v in r[1:-1]:
+                    between[v] += 0.5 / len(rs)
+    return far, between
+
+
+@pytest.mark.parametrize("limit, rows", [(None, 200_000_000), (2, 200_000_000), (3, 9000)])
+def test_paths_of_many_words(spark, monkeypatch, limit, rows):
+    monkeypatch.setattr(paths, "STATE_ROWS", rows)
+    r = random.Random(6)
+    links = [(r.randrange(90), r.randrange(90)) for _ in range(130)] + [(0, v) for v in range(200, 240)] + [(300, 300), (5, 6), (6, 5)]
+    e = spark.createDataFrame(links, "node1 int, node2 int")
+    far, between = brute_paths(links, limit)
+    got = {x.node: x.closeness for x in paths.closeness(e, limit).collect()}
+    nodes = {a for a, _ in far}
+    want = {v: sum(1 for a, _ in far if a == v) / sum(d for (a, _), d in far.items() if a == v) for v in nodes}
+    assert got == pytest.approx(want) and 300 not in got
+    found = {x.node: x.betweenness for x in paths.betweenness(e, limit).collect()}
+    assert found == pytest.approx(between) and found[300] == 0
+    if limit is None:
+        assert paths.diameter(e).first()[0] == max(far.values())
+
+
+def test_paths_without_edges(spark):
+    none = spark.createDataFrame([], "node1 int, node2 int")
+    loops = spark.createDataFrame([(1, 1)], "node1 int, node2 int")
+    assert paths.diameter(loops).first()[0] == 0 and paths.closeness(loops).count() == 0 and paths.closeness(none).count() == 0
+    assert [tuple(x) for x in paths.betweenness(loops).collect()] == [(1, 0.0)] and paths.betweenness(none).count() == 0
 
 
 def test_shuffling_and_rewiring(spark):
