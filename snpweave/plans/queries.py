@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from snpweave import shared
 from snpweave.functions import scalars
 from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, paths, pca, regression, scores, search, sets
+from snpweave.operators import linkage as linkage_planes
+from snpweave.operators import shuffle as shuffles
 from snpweave.sources import star
 
 
@@ -220,12 +222,23 @@ def genotype_lookup(s, d):
 def linkage(s, d):
     n = s.range(25).select(F.col("id").cast("int").alias("a"))
     pairs = n.join(n.withColumnRenamed("a", "b"), F.expr("a < b"))
-    return _r(filters.pairwise_ld(star.genotypes25(s, d), pairs), "r2")
+    return _r(linkage_planes.pairwise_ld(star.genotypes25(s, d), pairs), "r2")
+
+
+def linkage_all(s, d):
+    """All pairs of the 100 markers."""
+    one = star.snps100(s).select(F.col("snp_id").alias("a"))
+    pairs = one.join(one.withColumnRenamed("a", "b"), F.expr("a < b"))  # the full matrix is the result
+    return _r(linkage_planes.pairwise_ld(star.genotypes100(s, d), pairs), "r2")
+
+
+def shuffled_phenotypes(s, d):
+    return shuffles.shuffle_phenotypes(star.individuals(s, d), 7)
 
 
 def ld_filter(s, d):
     n = s.range(25).select(F.col("id").cast("int").alias("a"))
-    ld = filters.pairwise_ld(star.genotypes25(s, d), n.join(n.withColumnRenamed("a", "b"), F.expr("a < b")))
+    ld = linkage_planes.pairwise_ld(star.genotypes25(s, d), n.join(n.withColumnRenamed("a", "b"), F.expr("a < b")))
     x = star.pair_sets(s)
     cand = x.select("set_id", F.explode(F.expr("array_except(sequence(0, 24), snps)")).alias("snp_id"))
     return filters.ld_passes(cand, x, ld, 0.003).select("set_id", "snp_id")
@@ -292,6 +305,11 @@ def closeness(s, d):
     return _r(paths.closeness(_type_edges(s, d)), "closeness")
 
 
+def closeness_parts(s, d):
+    """Within three steps of the part network."""
+    return _r(paths.closeness(_edges(s, d), 3), "closeness")
+
+
 def betweenness(s, d):
     return _r(paths.betweenness(_edges(s, d)), "betweenness", digits=4)
 
@@ -412,8 +430,8 @@ def qubo_annealing(s, d):
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
-    eqtl_annotator, carriers, genotype_lookup, linkage, ld_filter, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
-    network_stats, connected_components, diameter, closeness, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
+    eqtl_annotator, carriers, genotype_lookup, linkage, linkage_all, ld_filter, shuffled_phenotypes, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
+    network_stats, connected_components, diameter, closeness, closeness_parts, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 
@@ -462,6 +480,15 @@ _PEN = """s AS (SELECT *, count(*) FILTER (share > 0) OVER (PARTITION BY set_id,
   l AS (SELECT set_id, sum(-n * ln(greatest(least(CASE WHEN share = 0 THEN 1e-5 ELSE share - 1e-5 * (c - s) / s END, 1), 2.2250738585072014e-308))) AS nll, max(c) AS c FROM s GROUP BY ALL)"""
 _CRIT = "round(nll, 6) AS \"PENETRANCE_NLL\", round(2 * nll + 2 * 3.0::DOUBLE ** len(snps) * c, 6) AS \"PENETRANCE_AIC\", round(2 * nll + ln((SELECT count(*) FROM ind)) * 3.0::DOUBLE ** len(snps) * c, 6) AS \"PENETRANCE_BIC\""
 
+_SHUFFLE = f"""n AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM ind), side AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+  row AS (SELECT *, row_number() OVER (ORDER BY ind_id) - 1 AS i FROM ind),
+  w AS (SELECT i, i % a AS l, i // a AS r, 0 AS k FROM row, side UNION ALL
+    SELECT i, CASE WHEN k % 2 = 0 THEN (l + m) % a ELSE l END, CASE WHEN k % 2 = 1 THEN (r + m) % b ELSE r END, k + 1 FROM (
+      SELECT *, xor(x3, x3 >> 13) AS m FROM (SELECT *, (xor(x1, x1 >> 15) * {shuffles.MIX2}) % {shuffles.MODULUS} AS x3 FROM (
+        SELECT w.*, side.*, ((CASE WHEN k % 2 = 0 THEN r ELSE l END) * {shuffles.MIX1} + {shuffles.round_keys(7)}[k % 4 + 1]) % {shuffles.MODULUS} AS x1 FROM w, side)))
+    WHERE k = 0 OR k % 4 <> 0 OR l + a * r >= n),
+  went AS (SELECT i, l + a * r AS j FROM w, side WHERE k > 0 AND k % 4 = 0 AND l + a * r < n)"""
+
 ORACLE_SQL = {
     "penetrance_table": _cells("y2") + " SELECT set_id, gid, y, n FROM cell",
     "bayesian_y2": _cells("y2") + f', {_K2} SELECT set_id, round(b, 6) AS "BAYESIAN" FROM k2',
@@ -512,6 +539,11 @@ ORACLE_SQL = {
     "set_edges": f"WITH {_EDGES}, {_ORDERS} SELECT a.set_id, e.node1, e.node2 FROM m a JOIN e ON e.node1 = a.node JOIN m b ON b.set_id = a.set_id AND b.node = e.node2",
     "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 // 2, node2 // 2) AS node1, greatest(node1 // 2, node2 // 2) AS node2 FROM e WHERE node1 // 2 <> node2 // 2",
     "closeness": f"WITH RECURSIVE {_TYPES} SELECT a AS node, round(count(*) / sum(d), 6) AS closeness FROM md WHERE d > 0 GROUP BY ALL",
+    "linkage_all": f"WITH {_G100}, {_LD} SELECT a, b, round(r2, 6) AS r2 FROM ld",
+    "shuffled_phenotypes": f"WITH RECURSIVE {_IND}, {_SHUFFLE} SELECT x.ind_id, y.y2, y.y5, y.yq FROM went JOIN row x USING (i) JOIN row y ON y.i = j",
+    "closeness_parts": f"""WITH {_EDGES}, d1 AS (SELECT node AS a, other AS b FROM sym), d2 AS (SELECT a, other AS b FROM d1 JOIN sym ON node = b WHERE other <> a EXCEPT SELECT * FROM d1),
+  d3 AS (SELECT a, other AS b FROM d2 JOIN sym ON node = b WHERE other <> a EXCEPT SELECT * FROM d1 EXCEPT SELECT * FROM d2),
+  d AS (SELECT a, 1 AS d FROM d1 UNION ALL SELECT a, 2 FROM d2 UNION ALL SELECT a, 3 FROM d3) SELECT a AS node, round(count(*) / sum(d), 6) AS closeness FROM d GROUP BY ALL""",
     "betweenness_types": f"""WITH RECURSIVE {_TYPES}, p1 AS (SELECT a, b, 1 AS n FROM md WHERE d = 1),
   p2 AS (SELECT p.a, l.b, sum(n) AS n FROM p1 p JOIN l ON l.a = p.b JOIN md ON md.a = p.a AND md.b = l.b AND md.d = 2 GROUP BY ALL),
   p3 AS (SELECT p.a, l.b, sum(n) AS n FROM p2 p JOIN l ON l.a = p.b JOIN md ON md.a = p.a AND md.b = l.b AND md.d = 3 GROUP BY ALL),

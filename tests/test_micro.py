@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snpweave.functions import scalars, stats
-from snpweave.operators import filters, network, paths, scores, search, sets
+from snpweave.operators import filters, linkage, network, paths, scores, search, sets
 
 G = {0: [0] * 4 + [1] * 4 + [2] * 4, 1: [0, 1, 2, 0, 1, 2, 0, 1, 2, 0, 1, 2], 2: [0] * 4 + [1] * 4 + [2] * 4}
 Y = [0, 0, 0, 1, 0, 1, 0, 1, 1, 1, 1, 1]
@@ -64,7 +64,7 @@ def test_order_of_members_does_not_matter(spark, data):
 def test_ld_maf_carriers(spark, data):
     x, g, p = data
     pairs = spark.createDataFrame([(0, 1), (0, 2)], "a int, b int")
-    assert {(r.a, r.b): round(r.r2, 6) for r in filters.pairwise_ld(g, pairs).collect()} == {(0, 1): 0.0625, (0, 2): 1.0}
+    assert {(r.a, r.b): round(r.r2, 6) for r in linkage.pairwise_ld(g, pairs).collect()} == {(0, 1): 0.0625, (0, 2): 1.0}
     assert column(filters.minor_allele_frequency(g), "snp_id", "maf") == {0: 0.5, 1: 0.5, 2: 0.5}
     c = {r.category: r.individuals for r in filters.carriers(x.where("set_id = 2"), g, p, "y").collect()}
     assert c == {0: "4", 1: "5;7;8;10;11"}
