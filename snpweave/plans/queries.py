@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from snpweave.functions import scalars
 from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, paths, pca, regression, scores, search, sets
 from snpweave.operators import linkage as linkage_planes
 from snpweave.operators import shuffle as shuffles
-from snpweave.sources import star
+from snpweave.sources import binary, star
 
 
 def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -236,6 +238,14 @@ def shuffled_phenotypes(s, d):
     return shuffles.shuffle_phenotypes(star.individuals(s, d), 7)
 
 
+def instance_file(s, d):
+    """The 100 markers and the segments written as one binary file and read back, everyone's phenotype beside the calls."""
+    path = f"{shared.scratch_dir(s)}/snpweave/instance-{uuid.uuid4().hex}.bin"
+    binary.write_instance(star.genotypes100(s, d), star.individuals(s, d).select("ind_id", F.col("y5").alias("y")), star.snps100(s), path)
+    found = binary.read_instance(s, path)
+    return found["genotypes"].join(found["phenotypes"], "ind_id").join(found["snps"].select("snp_id", "name"), "snp_id").select("name", "ind_id", "g", "y")
+
+
 def ld_filter(s, d):
     n = s.range(25).select(F.col("id").cast("int").alias("a"))
     ld = linkage_planes.pairwise_ld(star.genotypes25(s, d), n.join(n.withColumnRenamed("a", "b"), F.expr("a < b")))
@@ -430,7 +440,7 @@ def qubo_annealing(s, d):
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
-    eqtl_annotator, carriers, genotype_lookup, linkage, linkage_all, ld_filter, shuffled_phenotypes, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
+    eqtl_annotator, carriers, genotype_lookup, linkage, linkage_all, instance_file, ld_filter, shuffled_phenotypes, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
     network_stats, connected_components, diameter, closeness, closeness_parts, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
@@ -540,6 +550,7 @@ ORACLE_SQL = {
     "relabelled": f"WITH {_EDGES} SELECT DISTINCT least(node1 // 2, node2 // 2) AS node1, greatest(node1 // 2, node2 // 2) AS node2 FROM e WHERE node1 // 2 <> node2 // 2",
     "closeness": f"WITH RECURSIVE {_TYPES} SELECT a AS node, round(count(*) / sum(d), 6) AS closeness FROM md WHERE d > 0 GROUP BY ALL",
     "linkage_all": f"WITH {_G100}, {_LD} SELECT a, b, round(r2, 6) AS r2 FROM ld",
+    "instance_file": f"WITH {_G100} SELECT name, i AS ind_id, g, y FROM g JOIN (SELECT *, 'rs' || snp_id AS name FROM snp) USING (snp_id) JOIN (SELECT ind_id, y5::BIGINT AS y, row_number() OVER (ORDER BY ind_id) - 1 AS i FROM ind) USING (ind_id)",
     "shuffled_phenotypes": f"WITH RECURSIVE {_IND}, {_SHUFFLE} SELECT x.ind_id, y.y2, y.y5, y.yq FROM went JOIN row x USING (i) JOIN row y ON y.i = j",
     "closeness_parts": f"""WITH {_EDGES}, d1 AS (SELECT node AS a, other AS b FROM sym), d2 AS (SELECT a, other AS b FROM d1 JOIN sym ON node = b WHERE other <> a EXCEPT SELECT * FROM d1),
   d3 AS (SELECT a, other AS b FROM d2 JOIN sym ON node = b WHERE other <> a EXCEPT SELECT * FROM d1 EXCEPT SELECT * FROM d2),

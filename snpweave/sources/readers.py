@@ -3,10 +3,6 @@ in any store that Spark reads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,28 +69,6 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
     return df.select("ind_id", F.col("p")[0].alias("fid"), F.col("p")[1].alias("iid"), F.col("p")[4].cast("int").alias("sex"), y.alias("y"))
 
 
-def read_bed(spark: SparkSession, path: str, n_inds: int) -> DataFrame:
-    """snp_id, ind_id, g of a two-bit genotype file, SNP by SNP: 00 -> 2, 01 -> missing, 10 -> 1, 11 -> 0 copies of the
-    first allele."""
-    width = -(-n_inds // 4)
-    raw = spark.read.format("binaryFile").load(path).select("content")
-
-    def unpack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = np.array([2, -1, 1, 0])
-        for pdf in pdfs:
-            for content in pdf["content"]:
-                data = np.frombuffer(content, np.uint8)
-                if bytes(data[:3]) != b"\x6c\x1b\x01":
-                    raise ValueError("not a SNP-major genotype file")
-                data = data[3:].reshape(-1, width)
-                for i in range(len(data)):
-                    bits = (data[i][:, None] >> np.array([0, 2, 4, 6]) & 3).reshape(-1)[:n_inds]
-                    g = code[bits]
-                    yield pd.DataFrame({"snp_id": i, "ind_id": np.arange(n_inds), "g": pd.array(np.where(g < 0, 0, g), "Int32")}).assign(g=lambda d, g=g: d["g"].mask(g < 0))
-
-    return raw.mapInPandas(unpack, "snp_id int, ind_id int, g int")
-
-
 def read_ped(spark: SparkSession, path: str) -> DataFrame:
     """ind_id, snp_id, g, a: dosage of the rarer allele from paired allele columns ('0' is missing)."""
     df = line_numbers(spark.read.text(path), "ind_id").withColumn("p", F.split(F.trim("value"), r"\s+"))

@@ -102,23 +102,6 @@ def fam_lines(people: DataFrame) -> DataFrame:
     return people.select(F.concat_ws(" ", "fid", "iid", F.lit("0"), F.lit("0"), "sex", F.coalesce((F.col("y") + 1).cast("string"), F.lit("-9"))).alias("value"))
 
 
-def bed_rows(genotypes: DataFrame) -> DataFrame:
-    """snp_id, bits: the two-bit row of each SNP, individuals in order: 2 -> 00, missing -> 01, 1 -> 10, 0 -> 11. The file is
-    the bytes 6c 1b 01 and the rows in order of snp_id."""
-    code = F.when(F.col("g").isNull(), 1).when(F.col("g") == 2, 0).when(F.col("g") == 1, 2).otherwise(3)
-    rows = genotypes.select("snp_id", "ind_id", code.alias("c")).groupBy("snp_id").agg(F.expr("transform(array_sort(collect_list(struct(ind_id, c))), x -> x.c)").alias("c"))
-    byte = "coalesce(c[4 * i], 0) + 4 * coalesce(get(c, 4 * i + 1), 0) + 16 * coalesce(get(c, 4 * i + 2), 0) + 64 * coalesce(get(c, 4 * i + 3), 0)"
-    return rows.select("snp_id", F.expr(f"unhex(array_join(transform(sequence(0, (size(c) - 1) div 4), i -> lpad(hex({byte}), 2, '0')), ''))").alias("bits"))
-
-
-def write_bed(genotypes: DataFrame, path: str) -> None:
-    """One two-bit file on a path that the driver writes, row by row; the rows come partition by partition."""
-    with open(path, "wb") as out:
-        out.write(b"\x6c\x1b\x01")
-        for r in bed_rows(genotypes).orderBy("snp_id").select("bits").toLocalIterator():
-            out.write(bytes(r[0]))
-
-
 def pocos_tables(genotypes: DataFrame, phenotypes: DataFrame, snps: DataFrame) -> dict[str, DataFrame]:
     """genotype (a tab-separated line of dosages per SNP), phenotype (1 or 2 a line) and names (a SNP a line)."""
     line = F.expr("array_join(transform(array_sort(collect_list(struct(ind_id, g))), x -> x.g), '\t')")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snpweave.functions import scalars
 from snpweave.operators import community, filters, network, paths, scores, search, sets
-from snpweave.sources import readers, writers
+from snpweave.sources import binary, readers, writers
 
 PATH = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (5, 6)]
 
@@ -187,8 +187,8 @@ def test_merging_by_alleles(spark):
 def test_exports(spark, tmp_path, small):
     geno, people, _ = small
     holes = geno.withColumn("g", F.when((F.col("snp_id") == 1) & (F.col("ind_id") == 3), None).otherwise(F.col("g")))
-    writers.write_bed(holes, str(tmp_path / "x.bed"))
-    back = readers.read_bed(spark, str(tmp_path / "x.bed"), 80)
+    binary.write_bed(holes, str(tmp_path / "x.bed"))
+    back = binary.read_bed(spark, str(tmp_path / "x.bed"), 80)
     same = lambda d: sorted((r.snp_id, r.ind_id, -1 if r.g is None else r.g) for r in d.collect())
     assert same(back) == same(holes)
     snps = spark.createDataFrame([(i, f"rs{i}", "1", str(i)) for i in range(8)], "snp_id int, name string, chrom string, pos string")

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from snpweave.sources import readers, writers
+from snpweave.sources import binary, readers, writers
 
 GENO = [[0, 1, 2, 0], [2, 2, 0, 1]]
 
@@ -62,7 +62,7 @@ def test_bed(spark, tmp_path):
         raw += bytes(sum(b << 2 * k for k, b in enumerate(bits[i : i + 4])) for i in (0, 4))
     p = tmp_path / "x.bed"
     p.write_bytes(raw)
-    assert cells(readers.read_bed(spark, str(p), 5)) == {(s, i): g for s, row in enumerate(rows) for i, g in enumerate(row)}
+    assert cells(binary.read_bed(spark, str(p), 5)) == {(s, i): g for s, row in enumerate(rows) for i, g in enumerate(row)}
 
 
 def test_ped_and_vcf(spark, tmp_path):
