@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snpweave import shared
 from snpweave.functions import scalars
-from snpweave.operators import blocks, community, covariate_regression, filters, network, open_search, paths, pca, regression, scores, search, sets
+from snpweave.operators import blocks, community, comparison, covariate_regression, filters, network, open_search, paths, pca, regression, scores, search, sets
 from snpweave.operators import linkage as linkage_planes
 from snpweave.operators import shuffle as shuffles
 from snpweave.sources import binary, star
@@ -161,6 +161,19 @@ def model_comparison(s, d):
     return _r(regression.compare_models(both, ["BAYESIAN", "chi2"]), "cosine")
 
 
+def model_report(s, d):
+    """Two models over all sets but the first, which stands for the known one."""
+    x, g, p = _geno(s, d)
+    cell = shared.materialize(scores.cells(x, g, p, "y2"), "cells")
+    one = scores.bayesian(cell).select("set_id", F.lit("BAYESIAN").alias("model"), F.col("BAYESIAN").alias("value"))
+    two = scores.chi_squared(cell, scores.category_totals(p, "y2")).select("set_id", F.lit("chi2").alias("model"), F.col("chi2").alias("value"))
+    both = shared.materialize(one.unionAll(two), "scores")
+    rest = both.where("set_id > 0")
+    known = both.where("set_id = 0").select("model", "value", (F.col("model") == "BAYESIAN").alias("less_is_better"))
+    tests = comparison.t_tests(rest, known).select("model", "n", "t")
+    return _r(tests.join(comparison.mean_similarity(comparison.similarity(rest, ["BAYESIAN", "chi2"])), "model"), "t", "mean_cosine")
+
+
 def monte_carlo_p(s, d):
     x, g, p = _geno(s, d)
     return _r(scores.monte_carlo(x, g, p, "y2"), "p")
@@ -439,7 +452,7 @@ def qubo_annealing(s, d):
 
 QUERIES = {f.__name__: f for f in (
     penetrance_table, bayesian_y2, bayesian_y5, bayesian_quantitative, chi_squared_y2, chi_squared_y5, variance_p_value, anova_yq, cell_statistics, penetrance_y2, penetrance_yq,
-    penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
+    penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, model_report, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, linkage_all, instance_file, ld_filter, shuffled_phenotypes, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
     network_stats, connected_components, diameter, closeness, closeness_parts, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
     cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
@@ -507,6 +520,7 @@ ORACLE_SQL = {
     "chi_squared_y5": _chi("y5"),
     "anova_yq": _QCELL + ", w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 6) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
     "covariate_anova": f"WITH {_G25}, {_SETS}, {_JOINT}, cov AS (SELECT c_custkey::BIGINT AS ind_id, c_nationkey::DOUBLE AS c1 FROM customer), fit AS (SELECT regr_slope(yq, c1) AS b, regr_intercept(yq, c1) AS a FROM ind JOIN cov USING (ind_id)), jy AS (SELECT set_id, gid, yq - a - b * c1 AS y FROM joint JOIN ind USING (ind_id) JOIN cov USING (ind_id), fit), q AS (SELECT set_id, gid, count(*) AS n, avg(y) AS mean, var_pop(y) AS var FROM jy GROUP BY ALL), w AS (SELECT *, sum(n * mean) OVER (PARTITION BY set_id) / sum(n) OVER (PARTITION BY set_id) AS m FROM q), t AS (SELECT set_id, sum(n) AS nn, count(*) AS gg, sum(n * (mean - m) ** 2) AS b, sum(n * var) AS wi FROM w GROUP BY ALL) SELECT set_id, round(b / (gg - 1) / (wi / (nn - gg)), 4) AS f, (gg - 1)::BIGINT AS df1, (nn - gg)::BIGINT AS df2 FROM t",
+    "model_report": _cells("y2") + f", {_K2}, {_FULL}, e AS (SELECT *, total * size / (SELECT sum(total) FROM tot) AS ex FROM f), c2 AS (SELECT set_id, sum((n - ex) ** 2 / ex) AS c FROM e GROUP BY ALL), s AS (SELECT set_id, b, c FROM k2 JOIN c2 USING (set_id)), m AS (SELECT set_id, 'BAYESIAN' AS model, b AS v FROM s UNION ALL SELECT set_id, 'chi2', c FROM s), cs AS (SELECT sum(b * c) / sqrt(sum(b * b) * sum(c * c)) AS cosine FROM s WHERE set_id > 0) SELECT model, count(*) AS n, round((avg(v) - any_value(own)) / (stddev_samp(v) / sqrt(count(*))), 6) AS t, round(any_value(cosine), 6) AS mean_cosine FROM m JOIN (SELECT model, v AS own FROM m WHERE set_id = 0) USING (model), cs WHERE set_id > 0 GROUP BY model",
     "model_comparison": _cells("y2") + f", {_K2}, {_FULL}, e AS (SELECT *, total * size / (SELECT sum(total) FROM tot) AS ex FROM f), c2 AS (SELECT set_id, sum((n - ex) ** 2 / ex) AS c FROM e GROUP BY ALL), s AS (SELECT b, c FROM k2 JOIN c2 USING (set_id)) SELECT * FROM (SELECT 'BAYESIAN' AS model, 'BAYESIAN' AS other, 1.0::DOUBLE AS cosine UNION ALL SELECT 'chi2', 'chi2', 1.0::DOUBLE UNION ALL SELECT 'BAYESIAN', 'chi2', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s UNION ALL SELECT 'chi2', 'BAYESIAN', round(sum(b * c) / sqrt(sum(b * b) * sum(c * c)), 6) FROM s)",
     "cell_statistics": f"WITH {_G25}, {_SETS}, {_JOINT}, c AS (SELECT set_id, gid, count(*)::HUGEINT AS n, sum(round(yq * 100)::BIGINT)::HUGEINT AS s1, sum(round(yq * 100)::BIGINT::HUGEINT * round(yq * 100)::BIGINT) AS s2 FROM joint JOIN ind USING (ind_id) GROUP BY ALL) SELECT set_id, gid, n::BIGINT AS n, s1::DOUBLE / 100 AS total, ((20 * (n * s2 - s1 * s1) + n * n * 10000) // (2 * n * n * 10000))::DOUBLE / 10 AS var FROM c",
     "penetrance_y2": _cells("y2") + f", {_FULL}, {_PEN} SELECT set_id, {_CRIT} FROM l JOIN sets USING (set_id)",
