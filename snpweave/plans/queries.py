@@ -364,7 +364,7 @@ def set_edges(s, d):
 
 
 def label_subnetwork(s, d):
-    return network.label_subnetwork(_order_sets(s, d).where("size(snps) = 2"), star.labels(s, d), star.label_network(s, d))
+    return network.label_subnetwork(_order_sets(s, d), star.labels(s, d), star.label_network(s, d))
 
 
 def relabelled(s, d):
@@ -577,7 +577,7 @@ ORACLE_SQL = {
   SELECT node, round(coalesce(share, 0) + 1e-9, 4) AS betweenness FROM (SELECT DISTINCT a AS node FROM l) LEFT JOIN part USING (node)""",
     "top_nodes": f"WITH {_EDGES} SELECT * FROM (SELECT 'degree' AS measure, node, degree::DOUBLE AS value FROM deg ORDER BY degree DESC, node LIMIT 20) UNION ALL SELECT * FROM (SELECT 'rare', node, degree::DOUBLE FROM deg ORDER BY degree, node LIMIT 20)",
     "edge_counts": f"WITH {_EDGES} SELECT 'SAME_TAG' AS tag, count(*) AS n FROM same UNION ALL SELECT 'NET', count(*) FROM lnet",
-    "label_subnetwork": f"WITH {_EDGES}, {_ORDERS}, own AS (SELECT DISTINCT label FROM ann WHERE snp_id IN (SELECT unnest(snps) FROM sets WHERE len(snps) = 2)) SELECT DISTINCT label1, label2 FROM net WHERE label1 IN (SELECT label FROM own) AND label2 IN (SELECT label FROM own)",
+    "label_subnetwork": f"WITH {_EDGES}, {_ORDERS}, own AS (SELECT DISTINCT label FROM ann WHERE snp_id IN (SELECT unnest(snps) FROM sets)) SELECT DISTINCT label1, label2 FROM net WHERE label1 IN (SELECT label FROM own) AND label2 IN (SELECT label FROM own)",
     "shuffled_network": f"WITH {_EDGES} SELECT degree, count(*) AS n FROM deg GROUP BY ALL",
     "network_filter": f"WITH {_EDGES} SELECT DISTINCT unnest([node1, node2]) AS snp_id FROM lnet",
     "set_subsets": f"WITH {_ORDERS} SELECT set_id, array_to_string(snps, ',') AS snps FROM sets UNION SELECT a.set_id, a.node || ',' || b.node FROM m a JOIN m b ON a.set_id = b.set_id AND a.node < b.node",
