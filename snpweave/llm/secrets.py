@@ -1,9 +1,10 @@
 """Secret scans: key patterns, and a randomness test battery for strings that no pattern names.
 
 DataFrame functions only. Patterns give spans of kind assign, access and hex. The battery looks at what they leave: every
-maximal run of at least LEAST key-like characters that changes between letters and digits or from lower to upper case.
+maximal run of at least LEAST key-like characters; an inner "=" ends a run, up to two at the end are padding.
 
-- encoding: the smallest alphabet that holds it (hex, base32, lower or upper case with digits, base64);
+- encoding: the smallest alphabet that holds it (digits, hex and UUIDs, letters of one case, base32, lower or upper case with
+  digits, base64);
 - uniformity: chi-squared of its symbol counts against equal shares;
 - runs: the number of changes between lower case, upper case and digits (one less than that of runs);
 - serial correlation: the number of changes between vowels and consonants among neighbouring letters, and the correlation
@@ -14,8 +15,13 @@ REJECT). Ordinary text: the same statistics are far from those of random strings
 scripts, few changes of class, vowels and consonants taking turns), the farther the longer the string. A test's z-value
 against text is weighted by the distance between the two in standard deviations, which follows from encoding and length, so
 a test counts as much as it can tell; the weighted sum gives one p-value a string. Strings that the first side rejects have
-p = 1. Benjamini-Hochberg over all distinct strings of the corpus, counted by tenths of log10 p, controls the share of false
-ones; what passes are spans of kind random. Short strings of small alphabets cannot reach the p-values that it asks for.
+p = 1. Benjamini-Hochberg over all distinct strings of one encoding and length class (half octaves), counted by tenths of log10
+p, controls the share of false ones, at the rate times the share of classes in which anything passes: the many short words of a
+corpus don't count against long strings. What passes are spans of kind random. Nothing but the p-values decides: short strings of small
+alphabets cannot reach those that their full classes ask for, and digits alone have no ordinary text to differ from (p = 0.5).
+
+Texts are read twice: first for the distinct strings, whose tests give the cuts; then for the places of strings, only in
+lengths and shapes of which some string passed.
 
 Null or empty text: no spans. Null ids and repeated rows: a row each. An empty table gives no rows. Extra columns are
 ignored.
@@ -23,7 +29,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snpweave.llm.common import materialize, small_or_shuffled, with_text
@@ -31,9 +37,9 @@ from snpweave.llm.common import materialize, small_or_shuffled, with_text
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-LEAST = 12  # shorter runs are left to the patterns: no alphabet reaches the control's p-values there
-KEY = "[A-Za-z0-9+/_=-]"
-RUN = rf"(?<!{KEY})(?={KEY}{{{LEAST}}})(?={KEY}*?(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z])){KEY}+"
+LEAST = 8  # what is shorter than any accepted password is no key
+KEY = "[A-Za-z0-9+/_-]"
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 KINDS = ("assign", "access", "hex", "random")
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 # ordinary text: chance that two of its letters are equal, share of neighbours of different class, and of letters that are
@@ -42,9 +48,31 @@ TEXT_EQUAL, TEXT_CHANGES, TEXT_TURNS = 0.065, 0.15, 0.6
 REJECT = 0.001
 BLOCK = 256
 
+# encodings: alphabet, letters and digits in each of its classes, vowels and consonants among its letters
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ENCODINGS = (
+    (DIGITS + LOWER[:6], (10, 6), (2, 4)),  # hex
+    (UPPER + "234567", (26, 6), (5, 21)),  # base32
+    (DIGITS + LOWER, (26, 10), (5, 21)),
+    (DIGITS + UPPER, (26, 10), (5, 21)),
+    (B64, (26, 26, 10), (5, 21)),
+    (LOWER, (26,), (5, 21)),
+    (UPPER, (26,), (5, 21)),
+    (DIGITS, (10,), (5, 21)),
+)
+ONE_CASE = (5, 6, 7)
+
 _SPAN = "struct<at:int, kind:int, stop:int>"
 
 
+def run_pattern(any_shape: int, mixed: int) -> str:
+    """Maximal runs of key-like characters with their padding: of any shape from one length on, and such as hold two of lower
+    case, upper case, digits and signs from another."""
+    run = lambda n: rf"{KEY}{{{n},}}+"
+    two = rf"(?!(?:[a-z]+|[A-Z]+|[0-9]+)(?!{KEY}))"
+    return rf"(?<!{KEY})(?:{run(any_shape)}|{two}{run(mixed)})(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+
+
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """Spans of all matches of the pattern, from the lengths of the matches and of the pieces between them, added up by
     blocks (one long array would be copied for every match). keep: array of booleans, one a match."""
@@ -93,17 +121,19 @@ def _lower_tail(z: Column) -> Column:
 def random_candidates(strings: DataFrame) -> DataFrame:
     """Adds to a column `s`: n (symbols), a (alphabet size), whether the string may be random, and log10 of its p-value
     under ordinary text (0 where it can't be random)."""
-    body = F.translate(F.regexp_replace("s", "=+$", ""), "-_", "+/")
-    hexa, b32 = F.col("s").rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.col("s").rlike("^[A-Z2-7]+=*$")
-    lower, upper = F.col("s").rlike("^[a-z0-9]+$"), F.col("s").rlike("^[A-Z0-9]+$")
-    kind = F.when(hexa, 0).when(b32, 1).when(lower, 2).when(upper, 3).otherwise(4)
-    df = strings.withColumn("kind", kind).withColumn("body", F.when(hexa, F.lower(body)).otherwise(body))
+    plain, uuid = F.regexp_replace("s", "=+$", ""), F.col("s").rlike(UUID)
+    of = lambda p: F.col("s").rlike(p)
+    letters = F.when(of("^[a-z]+=*$"), 5).when(of("^[A-Z]+=*$"), 6).when(of("^[0-9]+=*$"), 7)
+    hexa = uuid | of("^([0-9a-f]+|[0-9A-F]+)$")
+    rest = F.when(hexa, 0).when(of("^[A-Z2-7]+=*$"), 1).when(of("^[a-z0-9]+$"), 2).when(of("^[A-Z0-9]+$"), 3).otherwise(4)
+    df = strings.withColumn("kind", F.coalesce(letters, rest))
+    body = F.when(uuid, F.lower(F.replace("s", F.lit("-")))).when(F.col("kind") == 0, F.lower(plain)).otherwise(F.translate(plain, "-_", "+/"))
+    df = df.withColumn("body", body)
     of_kind = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("kind") + 1)
-    df = df.withColumn("alphabet", of_kind(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", B64]))
+    df = df.withColumn("alphabet", of_kind([e[0] for e in ENCODINGS]))
     # of random neighbours: share of different class, and of letters of which one is a vowel
-    mixed = lambda *parts: 1 - sum((p / sum(parts)) ** 2 for p in parts)
-    df = df.withColumn("changing", of_kind([mixed(10, 6), mixed(26, 6), mixed(26, 10), mixed(26, 10), mixed(26, 26, 10)]))
-    df = df.withColumn("turning", of_kind([mixed(2, 4)] + [mixed(5, 21)] * 4))
+    mixed = lambda parts: 1 - sum((p / sum(parts)) ** 2 for p in parts)
+    df = df.withColumn("changing", of_kind([mixed(e[1]) for e in ENCODINGS])).withColumn("turning", of_kind([mixed(e[2]) for e in ENCODINGS]))
     df = df.withColumn("n", F.length("body").cast("double")).withColumn("a", F.length("alphabet").cast("double"))
     n = F.col("n")
     # uniformity
@@ -148,17 +178,28 @@ def random_candidates(strings: DataFrame) -> DataFrame:
     return df.withColumn("log_p", F.when(F.col("may_be_random"), log_p).otherwise(0.0))
 
 
-def false_discovery_cut(tests: DataFrame, rate: float) -> float:
-    """Benjamini-Hochberg over the column log_p, counted by upper edges of tenths: the largest edge that passes. Only
-    the counts of at most a few thousand edges are summed up in order."""
-    from pyspark.sql import Window
+def false_discovery_cuts(tests: DataFrame, rate: float) -> DataFrame:
+    """tests(kind, n, log_p) -> kind, octave, top, shortest: the largest tenth of log10 p that Benjamini-Hochberg passes in each
+    class of one encoding and half octave of lengths, and the least length of what passes. Classes are selected at the rate
+    and then cut at the rate times their share among all classes (Benjamini and Bogomolov). At most a few hundred classes,
+    each of at most 3001 tenths."""
+    edges = tests.select("kind", _octave(), _edge(), "n").groupBy("kind", "octave", "edge").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    by = Window.partitionBy("kind", "octave")
+    share = F.sum("c").over(by.orderBy("edge")) / F.sum("c").over(by)
+    edges = materialize(edges.withColumn("share", share), "edges")
+    passes = lambda rate: F.col("edge") / 10 <= F.log10(F.col("share") * rate)
+    selected = edges.groupBy("kind", "octave").agg(F.max(passes(F.lit(rate)).cast("int")).alias("in")).agg(F.avg("in").alias("part"))  # one row
+    top = F.max(F.when(passes(rate * F.col("part")), F.col("edge"))).over(by)
+    passed = edges.crossJoin(F.broadcast(selected)).where("part > 0").withColumn("top", top).where("edge <= top")
+    return passed.groupBy("kind", "octave").agg(F.max("top").alias("top"), F.min("n").cast("int").alias("shortest"))
 
-    edges = tests.select(F.greatest(F.ceil(F.col("log_p") * 10), F.lit(-3000)).cast("int").alias("edge")).groupBy("edge").agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    rank = F.sum("c").over(Window.orderBy("edge"))
-    passed = edges.select("edge", (F.col("edge") / 10 <= F.log10(rank * F.lit(rate) / total)).alias("ok"))
-    top = passed.where("ok").agg(F.max("edge")).first()[0]
-    return -1e9 if top is None else top / 10
+
+def _octave() -> Column:
+    return F.floor(F.log2("n") * 2).cast("int").alias("octave")
+
+
+def _edge() -> Column:
+    return F.greatest(F.ceil(F.col("log_p") * 10), F.lit(-3000)).cast("int").alias("edge")
 
 
 def secret_spans(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,15 +209,21 @@ def secret_spans(docs: DataFrame, rate: float = 0.01, id_col: str = "doc_id", te
     long_enough = lambda p, g, n: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda m: F.length(m) >= n)
     base = F.concat(_spans(text, ASSIGN, 0, long_enough(ASSIGN, 2, 6)), _spans(text, ACCESS, 1, long_enough(ACCESS, 0, 20)), _spans(text, HEX, 2))
     found = source.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.array_sort(base).alias("base"))
-    rest = _masked(text, F.col("base"))
-    found = found.withColumn("rest", F.when(rest.rlike(RUN), rest))  # null where there is no candidate
-    runs = F.transform(_spans(F.coalesce("rest", F.lit("")), RUN, 3), lambda r: F.struct(r["at"].alias("at"), r["stop"].alias("stop"), F.substring("rest", r["at"] + 1, r["stop"] - r["at"]).alias("s")))
+    found = found.withColumn("rest", _masked(text, F.col("base")))
+
+    strings = found.select(F.explode(F.array_distinct(F.regexp_extract_all("rest", F.lit(run_pattern(LEAST, LEAST)), F.lit(0)))).alias("s")).distinct()
+    tests = materialize(random_candidates(strings).select("s", "kind", F.length("body").alias("n"), "log_p"), "tests")
+    cuts = materialize(false_discovery_cuts(tests, rate), "cuts")
+    secret = tests.select("s", "kind", _octave(), _edge()).join(F.broadcast(cuts), ["kind", "octave"]).where("edge <= top").select("s")
+    secret = small_or_shuffled(materialize(secret, "random"))
+
+    # places: the shortest strings that passed bound the runs worth looking for (padding and hyphens only add to a length)
+    one_case = F.col("kind").isin(*ONE_CASE)
+    low = cuts.agg(F.min(F.when(one_case, F.col("shortest"))), F.min(F.when(~one_case, F.col("shortest")))).first()
+    none = 1 << 30
+    pattern = run_pattern(low[0] or none, low[1] or none)
+    runs = F.transform(_spans(F.when(F.col("rest").rlike(pattern), F.col("rest")).otherwise(""), pattern, 3), lambda r: F.struct(r["at"].alias("at"), r["stop"].alias("stop"), F.substring("rest", r["at"] + 1, r["stop"] - r["at"]).alias("s")))
     found = materialize(found.select("doc_id", "text_key", "base", runs.alias("runs")), "spans")
-
-    tests = random_candidates(found.select(F.explode("runs").alias("r")).select("r.s").distinct())
-    tests = materialize(tests.select("s", "log_p"), "tests")
-    cut = false_discovery_cut(tests, rate)
-    secret = small_or_shuffled(tests.where(F.col("log_p") <= cut).select("s"))
     some = found.where(F.size("runs") > 0).select("doc_id", "text_key", F.explode("runs").alias("r")).select("doc_id", "text_key", "r.at", "r.stop", "r.s")
     added = some.join(secret, "s").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("at", F.lit(3).alias("kind"), "stop"))).alias("added"))
     plain = found.where(F.size("runs") == 0).select("doc_id", "text_key", "base", F.array().cast(f"array<{_SPAN}>").alias("added"))

@@ -199,6 +199,68 @@ def test_random_strings_of_every_encoding_and_length(spark):
     assert [(a.at, a.stop) for a in last[10**6].added] == [(15, 55)] and not last[10**6 + 1].added
 
 
+def test_short_one_case_and_uuid_strings(spark):
+    """Short strings, letters of one case, UUIDs and strings after a name and "=" are left to the battery, among ordinary text."""
+    import string
+    import uuid
+
+    r = random.Random(3)
+    pick = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    b64 = string.ascii_letters + string.digits + "+/"
+    makers = {
+        "base64 11": (lambda: pick(b64, 11), 0.85),
+        "lower 32": (lambda: pick(string.ascii_lowercase, 32), 0.7),
+        "upper 40": (lambda: pick(string.ascii_uppercase, 40), 0.8),
+        "uuid": (lambda: str(uuid.UUID(int=r.getrandbits(128), version=4)), 0.85),
+        "session": (lambda: "session-id=" + pick(b64, 32), 0.9),
+        "padded": (lambda: pick(b64, 43) + "=", 0.9),
+    }
+    rows, of = [], {}
+    for name, (make, _) in makers.items():
+        for _ in range(100):
+            of[len(rows)] = name
+            rows.append(make())
+    syllable = lambda: r.choice("bcdfglmnprst") + r.choice("aeiou") + r.choice(["", "n", "s"])
+    rows += ["-".join("".join(syllable() for _ in range(r.randrange(2, 7))).capitalize() for _ in range(r.randrange(1, 3))) for _ in range(2000)]
+    found = secrets.secret_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where(F.size("added") > 0).collect()
+    hits = Counter(of.get(x.doc_id, "text") for x in found)
+    assert hits["text"] <= 0.01 * sum(hits.values())
+    for name, (_, least) in makers.items():
+        assert hits[name] >= 100 * least, (name, hits[name])
+    for x in found:  # the name before "=" is no part of a span, the padding is
+        spans = [(a.at, a.stop) for a in x.added]
+        assert of.get(x.doc_id) != "session" or spans == [(11, 43)]
+        assert of.get(x.doc_id) != "padded" or spans == [(0, 44)]
+
+
+def test_false_discovery_cuts(spark):
+    """Against Benjamini-Hochberg by hand in each class, after selection of the classes."""
+    import math
+
+    r = random.Random(5)
+    rows = [(k, n, round(-r.expovariate(1 / m), 3)) for k in range(3) for n, m in ((9, 0.45), (17, 3.0 * k), (30, 6.0)) if m for _ in range(r.randrange(1, 80))]
+    rows += [(4, 12, 0.0)]
+    rate, classes = 0.05, {}
+    for k, n, p in rows:
+        classes.setdefault((k, math.floor(2 * math.log2(n))), []).append((max(math.ceil(round(p * 10, 9)), -3000), n))
+
+    def cut(xs, rate):
+        edges = [e for e, _ in xs]
+        ok = [e for e in edges if e / 10 <= math.log10(sum(x <= e for x in edges) / len(edges) * rate)]
+        return max(ok, default=None)
+
+    selected = sum(cut(xs, rate) is not None for xs in classes.values())
+    want = {}
+    for c, xs in classes.items():
+        top = cut(xs, rate * selected / len(classes))
+        if top is not None:
+            want[c] = (top, min(n for e, n in xs if e <= top))
+    tests = spark.createDataFrame(rows, "kind int, n int, log_p double")
+    got = {(x.kind, x.octave): (x.top, x.shortest) for x in secrets.false_discovery_cuts(tests, rate).collect()}
+    assert got == want and 0 < len(want) < len(classes)
+    assert secrets.false_discovery_cuts(tests.limit(0), rate).count() == 0
+
+
 def test_many_spans_in_one_text(spark):
     text = "password=abcdef1 and " * 1500 + "AKIA" + "B" * 20
     row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.written(F.col("base")).alias("base")).first()
