@@ -13,6 +13,7 @@ from snpweave.operators import blocks, community, comparison, covariate_regressi
 from snpweave.operators import linkage as linkage_planes
 from snpweave.operators import shuffle as shuffles
 from snpweave.sources import binary, star
+from snpweave.streaming import trace as traces
 
 
 def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -420,6 +421,14 @@ def best_trace(s, d):
     return sets.best_so_far(e, "ts", "value")
 
 
+def trace_stream(s, d):
+    path = f"{d}/events.parquet"
+    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/{{events.parquet}}")  # as a pattern: a file or a folder
+    out = f"{shared.scratch_dir(s)}/snpweave/trace-{uuid.uuid4().hex}"
+    traces.follow(stream, f"{out}/rows", f"{out}/checkpoint", "event_type", "ts", "value", "1 hour")
+    return s.read.schema("search string, time timestamp, score double").parquet(f"{out}/rows")
+
+
 def scalar_functions(s, d):
     c = s.read.parquet(f"{d}/customer.parquet")
     n = F.col("c_custkey")
@@ -455,7 +464,7 @@ QUERIES = {f.__name__: f for f in (
     penetrance_prediction, regression_y2, regression_y5, regression_yq, covariate_anova, principal_components, regression_cov_y2, regression_cov_yq, cross_validation, model_comparison, model_report, monte_carlo_p, ranked_results, maf, filter_maf, filter_common, filter_missing, duplicate_variants, hardy_weinberg, bh_correction,
     eqtl_annotator, carriers, genotype_lookup, linkage, linkage_all, instance_file, ld_filter, shuffled_phenotypes, kfold, dataset_stats, merged_datasets, same_label, label_network, tagged, degrees, joint_degrees, adjacency,
     network_stats, connected_components, diameter, closeness, closeness_parts, betweenness, betweenness_types, eigenvector, page_rank, top_nodes, edge_counts, set_neighbours, set_edges, label_subnetwork, relabelled, shuffled_network, rewired_network, communities, network_filter, set_subsets, set_sizes, collapsed,
-    cluster_best, best_trace, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
+    cluster_best, best_trace, trace_stream, scalar_functions, local_search, random_seeds, qubo, qubo_annealing,
 )}
 
 # ---------------------------------------------------------------- SQL
@@ -584,6 +593,7 @@ ORACLE_SQL = {
     "set_sizes": f"WITH {_ORDERS} SELECT len(snps)::INT AS size, count(*) AS n FROM sets GROUP BY ALL",
     "collapsed": f"WITH {_SNP25}, t AS (SELECT l_orderkey AS set_id, list_sort(list(DISTINCT snp_id)) AS snps, count(*) AS lines FROM lineitem JOIN part ON p_partkey = l_partkey JOIN snp ON name = p_brand GROUP BY ALL) SELECT array_to_string(snps, ',') AS key, count(*) AS \"NUM_MERGED\", string_agg(lines::VARCHAR, ';' ORDER BY set_id) AS \"lines_ALL\", string_agg(DISTINCT lines::VARCHAR, ';' ORDER BY lines::VARCHAR) AS \"lines_DISTINCT\" FROM t WHERE len(snps) > 1 GROUP BY snps",
     "cluster_best": _cells("y2") + f", {_K2}, c AS (SELECT set_id, set_id % 11 AS cluster, round(b, 6) AS score FROM k2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score, set_id) AS i, row_number() OVER (ORDER BY score, set_id) AS a, count(*) OVER () AS n FROM c) SELECT set_id, cluster, score FROM r WHERE i = 1 OR a <= ceil(0.1 * n)",
+    "trace_stream": "WITH r AS (SELECT event_type AS search, ts AS time, min(value) AS score FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) GROUP BY ALL), t AS (SELECT *, min(score) OVER (PARTITION BY search ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM r) SELECT search, time, score FROM t WHERE (low IS NULL OR score < low) AND time <= (SELECT date_trunc('milliseconds', max(time)) - INTERVAL 1 HOUR FROM r)",
     "best_trace": "WITH t AS (SELECT ts, value, min(value) OVER (ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM events) SELECT ts, value FROM t WHERE low IS NULL OR value < low",
     "scalar_functions": "WITH t AS (SELECT c_custkey::BIGINT AS n, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM customer) SELECT n AS id, CASE WHEN n = 0 THEN '0' ELSE ltrim(substr(d, (n // 1048576 % 32 + 1), 1) || substr(d, (n // 32768 % 32 + 1), 1) || substr(d, (n // 1024 % 32 + 1), 1) || substr(d, (n // 32 % 32 + 1), 1) || substr(d, (n % 32 + 1), 1), '0') END AS b32, CASE n % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 10 WHEN 2 THEN 120 ELSE 7200 END::DOUBLE AS minutes, n::VARCHAR AS bare, (n % 3) * 9 + ((n + 1) % 3) * 3 + 2 AS gid FROM t",
     "qubo": _cells("y2") + f", {_K2}, p AS (SELECT snps[1] AS i, snps[2] AS j, round(b / 1000, 5) AS stat FROM k2 JOIN sets USING (set_id) WHERE len(snps) = 2), c AS (SELECT range AS c FROM range(2)), v AS (SELECT range AS v FROM range(25)) SELECT v + 25 * c AS i, v + 25 * c AS j, (-25.0)::DOUBLE AS w FROM v, c UNION ALL SELECT i + 25 * c, j + 25 * c, round(10 - 0.5 * stat, 6)::DOUBLE FROM p, c UNION ALL SELECT v, v + 25, 1.0::DOUBLE FROM v",
