@@ -57,12 +57,20 @@ def frequency_sketch(docs: DataFrame, words: int, slots: int = SLOTS) -> np.ndar
     return np.minimum(found.get(0, np.zeros(slots, np.int64)), 2**32 - 1).astype(np.uint32)
 
 
+def strangers_on_a_counter(sketch: np.ndarray) -> float:
+    """What a counter holds beside any one shingle, at most but for rare ones: the median counter and six standard deviations.
+    It grows with the corpus, so that only shingles that are frequent in themselves count as long lists at any size."""
+    usual = float(np.median(sketch))
+    return usual + 6 * usual**0.5
+
+
 def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
     """kind 0: one row per document (doc_id, class eid of its task, n, digest, text_key); kind 1: the prefix postings of each
     class (eid, n, h, pos, part). A class seen before in the same task sends no postings again. A shingle that the sketch
-    counts more than LIST times has its postings dealt over parts 1, 2, ... by class; others have part 0."""
+    shows more than LIST times beyond what strangers put on its counter has its postings dealt over parts 1, 2, ... by class;
+    others have part 0."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    slots = len(sketch)
+    slots, strangers = len(sketch), strangers_on_a_counter(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, seen, serial = shared.value, {}, TaskContext.get().partitionId() << 34
@@ -85,7 +93,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> D
                     p = n - -(-percent * n // 100) + 1
                     f = freq[(s & np.uint64(slots - 1)).astype(np.int64)]
                     order = np.lexsort((s, f))[:p]
-                    lists = f[order].astype(np.uint64) // np.uint64(LIST)
+                    lists = np.maximum(f[order] - strangers, 0).astype(np.uint64) // np.uint64(LIST)
                     deal = np.where(lists > 0, mix(np.full(p, eid, np.uint64)) % (lists + np.uint64(1)) + np.uint64(1), 0)
                     posts.append((eid, n, s[order], deal.astype(np.int32)))
                 head.append((ids[row], eid, n, *d, buckets))

@@ -3,7 +3,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -278,6 +278,37 @@ def test_ngram_join(docs, corpus, empty, odd):
     assert len(got) == 6 and all(r.component_id in (7, 9, None) for r in got)
 
 
+def test_crowded_sketch_finds_the_long_lists(spark, monkeypatch):
+    """With thousands of shingles on every counter only the frequent one is dealt over parts, and the links are the same."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(900)]
+    texts += [" ".join([*(word() for _ in range(r.randrange(3))), "one line that all of them hold", word()]) for _ in range(900)]
+    texts += [t + " " + word() for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crowded = ngram_join.frequency_sketch(df, 5, 16)
+    roomy = ngram_join.frequency_sketch(df, 5)
+    assert np.median(crowded) > 2 * ngram_join.LIST > 2 * np.median(roomy)
+
+    def dealt(sketch):
+        rows = ngram_join.postings(df, sketch, 5, 75).where("kind = 1")
+        return {x.h for x in rows.where("part > 0").select("h").distinct().collect()}, rows.select("h").distinct().count()
+
+    (long_, n), (exact, m) = dealt(crowded), dealt(roomy)
+    held = {x.h for x in ngram_join.postings(df, roomy, 5, 75).where("kind = 1").groupBy("h").count().where("count > 500").select("h").collect()}
+    assert exact and held <= exact and len(exact) <= 5
+    assert held <= long_ and len(long_) < 0.25 * n, (len(long_), n)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    first = defaultdict(set)
+    for i, s in sets.items():
+        for h in s:
+            first[h].add(i)
+    near = {(a, b) for ids in first.values() for a in ids for b in ids if a < b}
+    want = smallest_reachable(list(sets), [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    monkeypatch.setattr(ngram_join, "frequency_sketch", lambda docs, words: crowded)
+    assert {x.doc_id: x.component_id for x in ngram_join.jaccard_components(df).collect()} == {i: want[i] for i in sets}
+
+
 def test_lm_scoring(docs, corpus, empty, odd):
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in corpus}
     tokens = {i: [*words(t), b"\n"] for i, t in corpus}
