@@ -7,8 +7,8 @@ verified once, on the whole sets.
 
 Equal sets are one class from the start, so copies never form pairs. Links are found in passes, for the sake of
 groups with thousands of near copies: first every posting is paired with the first and with the previous one
-of its list (a list that the sketch shows to be long is dealt over parts, whose first ones meet), then with the member of its list that has most links (in a group of edited copies the original),
-which joins nearly all of each group; last, all pairs of postings whose classes are still in different components
+of its list (a list that the sketch shows to be long is dealt over parts, whose first ones meet), then with the member of its list that has most links (in a group of edited copies the original)
+and with the few that have its shingle foremost (the copies with the fewest edits), which joins nearly all of each group; last, all pairs of postings whose classes are still in different components
 are verified, so no link between components is lost.
 
 Null or empty text, or text without words: an empty set, linked with nothing, its own component. A text with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from snpweave.llm.common import SMALL_ROWS, array_parts, components, digest128, materialize, materialize_and_see, mix, shingle_hashes, small_or_shuffled, summed_arrays, text_blocks, with_text, word_hashes
 
-SLOTS, SEEN, HUB_ROUNDS, LIST, BEFORE = 1 << 19, 50_000, 1, 500, 16
+SLOTS, SEEN, HUB_ROUNDS, LIST, BEFORE, MIDDLE = 1 << 19, 50_000, 1, 500, 16, 4
 _KIND = "kind int, doc_id long, eid long, n int, d1 long, d2 long, h long, pos int, part int, buckets binary, text_key long"
 
 
@@ -217,11 +217,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _near(n1: str, p1: str, n2: str, p2: str, percent: int):
+def _near_sql(n1: str, p1: str, n2: str, p2: str, percent: int) -> str:
     """Length and positional filters of two postings of one shingle. At the first shingle that two sets share, in the
     common order, no more than it and what follows on the shorter side can be shared; every pair meets there."""
     most = f"least({n1} - {p1}, {n2} - {p2})"
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * {most} >= {percent} * ({n1} + {n2})")
+    return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * {most} >= {percent} * ({n1} + {n2})"
+
+
+def _near(n1: str, p1: str, n2: str, p2: str, percent: int):
+    return F.expr(_near_sql(n1, p1, n2, p2, percent))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,24 +282,32 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, id_col: s
         part = components(links)
         shown = grouped.join(part.withColumnRenamed("id", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
         shown = materialize(shown, "shown")
-        split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+        split = shown.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("h", "size")
         return materialize(shown.join(small_or_shuffled(split), "h"), "open")
 
-    # pass 2: every posting with the member of its list that has most links so far, if that is in another component
-    for _ in range(HUB_ROUNDS):
-        rows = still_open()
+    # pass 2: every posting with the member of its list that has most links so far and with the MIDDLE ones that have it
+    # foremost, if they are in another component. A copy's own edits are rare and come before what it shares with others, so
+    # these are the copies with the fewest edits, which link with copies that have too many to link with each other. A long
+    # list is dealt over parts by hash, each with foremost ones of its own
+    rows = still_open()
+    for round_ in range(HUB_ROUNDS):
         degree = links.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count("*").alias("degree"))
         hubs = rows.join(degree, "gid").groupBy("h").agg(F.max(F.struct("degree", "gid", "n", "pos", "component")).alias("o"))
-        met = rows.join(small_or_shuffled(hubs), "h").where("component <> o.component").where(_near("n", "pos", "o.n", "o.pos", percent))
+        by_hub = rows.join(small_or_shuffled(hubs), "h").select("gid", "n", "pos", "component", F.struct("o.gid", "o.n", "o.pos", "o.component").alias("o"))
+        dealt = rows.select("*", F.xxhash64("gid", F.lit(round_)).alias("at")).withColumn("part", F.expr(f"pmod(at, size div {LIST} + 1)"))
+        ahead = Window.partitionBy("h", "part").orderBy("pos", "at")
+        foremost = F.array(*[F.nth_value(F.struct("gid", "n", "pos", "component"), k + 1).over(ahead) for k in range(MIDDLE)])
+        others = F.expr(f"filter(o, x -> x.component <> component AND {_near_sql('n', 'pos', 'x.n', 'x.pos', percent)})")
+        by_pos = dealt.select("gid", "n", "pos", "component", foremost.alias("o")).select("gid", "n", "pos", "component", F.explode(others).alias("o"))
+        met = by_hub.unionAll(by_pos).where("component <> o.component").where(_near("n", "pos", "o.n", "o.pos", percent))
         met = met.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         met = materialize(suffix_filter(met, classes, percent), "pairs")
         links = materialize(links.unionAll(verify(met, sets_of(met), percent)), "links")
-        tried = tried.unionAll(met)
+        tried, rows = tried.unionAll(met), still_open()
 
     # pass 3: all pairs of one list that are still in different components, each at the first list that both are in (the
     # BEFORE lists before it are compared, so few pairs are met twice), if 64 bucket sums leave it possible
-    open_lists = still_open()
-    own = open_lists.groupBy("gid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("p"))
+    own = rows.groupBy("gid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("p"))
     own = own.join(signatures(classes.join(own.select("gid"), "gid", "left_semi")), "gid")
     cells = F.expr(f"transform(p, (x, i) -> struct(x.h AS h, x.pos AS pos, transform(slice(p, greatest(i - {BEFORE - 1}, 1), least(i, {BEFORE})), y -> y.h) AS before))")
     shown = own.select("gid", "n", "component", "sig", F.explode(cells).alias("c")).select("gid", "n", "component", "sig", "c.h", "c.pos", "c.before")
