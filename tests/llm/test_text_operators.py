@@ -143,6 +143,21 @@ def test_suffix_dedup(docs, corpus, monkeypatch, split):
         assert r.n_spans == int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
 
 
+def test_suffix_dedup_keeps_repeated_anchors_by_text(spark, monkeypatch):
+    """After the table of anchors no scratch table holds a row an anchor; copies in several tasks are one text."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, copied = prose(300), prose(200)
+    texts = [prose(20) + passage + prose(20) for _ in range(12)] + [copied] * 8 + [prose(300)]
+    tables, kept = [], suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: tables.append((name, kept(df, name))) or tables[-1][1])
+    got = {x.doc_id: x for x in suffix_dedup.removed_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    for i, t in enumerate(texts):
+        assert 0 <= got[i].n_removed - (len(passage) if i < 12 else len(t) if i < 20 else 0) < 20, i
+    counts = {(k, name): df.count() for k, (name, df) in enumerate(tables) if name not in ("anchors", "strings", "shared", "matches")}
+    assert max(counts.values()) <= len(texts), counts
+
+
 def test_suffix_dedup_of_odd_tables(empty, odd):
     assert suffix_dedup.removed_spans(empty).count() == 0
     assert suffix_dedup.removed_spans(odd).agg(F.sum("n_removed")).first()[0] == 0
