@@ -355,7 +355,7 @@ def test_lm_scoring(docs, corpus, empty, odd):
         own = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[r.doc_id] == 2, len(own), sum(w in c for w in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
-        assert r.score < 10 * len(texts)
+        assert r.score < 0
     assert lm_scoring.score_texts(empty).count() == 0 and lm_scoring.score_texts(odd).count() == 6
 
 
