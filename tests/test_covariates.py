@@ -151,3 +151,26 @@ def test_people_without_covariates_and_separable_classes(spark):
     rows = cr.covariate_scores(sets, geno, people, cov, "y2", 2).collect()
     assert [r.set_id for r in rows] == [0] and rows[0].NLL_LC < 1e-3 < rows[0].NLL_L  # the covariate tells the classes apart
     assert cr.covariate_scores(sets.limit(0), geno, people, cov, "y2", 2).count() == 0
+
+
+def test_sums_once_a_task_f10_f11(spark, monkeypatch):
+    """A task sends one row a model, however many blocks it meets, and marker tiles hold every call at its place."""
+    import numpy as np
+
+    from snpweave.operators import covariate_regression as cr
+
+    monkeypatch.setattr(cr, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    calls, y, c = rng.integers(0, 3, (200, 3)), rng.normal(size=200), rng.normal(size=200)
+    g = spark.createDataFrame([(int(s), int(i), int(calls[i, s])) for i in range(200) for s in range(3)], "snp_id int, ind_id long, g int")
+    p = spark.createDataFrame([(i, float(y[i])) for i in range(200)], "ind_id long, yq double")
+    cov = spark.createDataFrame([(i, float(c[i])) for i in range(200)], "ind_id long, c double")
+    sets = spark.createDataFrame([(0, 1, [0, 1]), (0, 2, [1, 2])], "chunk int, set_id long, snps array<int>")
+    tile = cr.tiles(sets, g, p, cov, "yq").coalesce(1)
+    state = sets.selectExpr("chunk", "set_id", "snps", "'L' AS model", "array(0D, 0D, 0D) AS weights", "array(0D, 0D, 0D) AS step", "1D AS share", "1D AS sigma")
+    found = cr._over_models(tile, state, lambda x, v, m: {"people": float(len(v)), "slope": x.T @ v}, 2, "people double, slope binary").collect()
+    assert tile.count() > 8 and len(found) == 2
+    for r in found:
+        a, b = (0, 1) if r.set_id == 1 else (1, 2)
+        assert r.people == 200
+        assert np.allclose(np.frombuffer(r.slope), [y.sum(), calls[:, a] @ y, calls[:, b] @ y])
